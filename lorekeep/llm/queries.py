@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, urlrules
+from . import chat, topk, urlrules
 from .common import sha256
 
 
@@ -79,12 +79,32 @@ select page_id, host, path, rule, coalesce(action, 'allow') as verdict from rank
 """.replace("{rules}", ", ".join(str(r) for r in urlrules.RULES))
 
 
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), topk.quantised("embedding").alias("vector"))
+    return topk.top_k(vectors, vectors.where(F.col("id") % 20 == 0), k=20)
+
+
+OP9_SQL = """
+with v as (
+  select distinct vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as e from embeddings
+  where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+  select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint as score
+  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0
+), ranked as (
+  select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from scored
+)
+select query_id, rank, vec_id, score from ranked where rank <= 20
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op7_chat": op7_chat,
         "op8_url_rules": op8_url_rules,
+        "op9_top_k": op9_top_k,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat": OP7_SQL, "op8_url_rules": OP8_SQL}
+    return {"op7_chat": OP7_SQL, "op8_url_rules": OP8_SQL, "op9_top_k": OP9_SQL}
