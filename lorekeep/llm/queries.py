@@ -7,14 +7,41 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, topk, urlrules
+from . import bpe, chat, tokencount, topk, urlrules
 from .common import sha256
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def tokenizer_pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(_read(spark, sf_dir, "documents"), tokencount.load(tokenizer_file("piece_bpe_32k.model")))
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = bpe.load_ranks(tokenizer_file("byte_bpe_50k.tiktoken"))
+    ids = bpe.encode(_read(spark, sf_dir, "documents"), ranks, tokenizer_pattern())
+    return bpe.decode(ids, ranks).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        sha256(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"),
+        sha256(F.col("decoded")).alias("decoded_sha256"),
+    )
+
+
 EXTRA_CHAT = "</s>[INST] ok [/INST]"
 
 
@@ -100,6 +127,8 @@ select query_id, rank, vec_id, score from ranked where rank <= 20
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_counts": op1_token_counts,
+        "op6_bpe": op6_bpe,
         "op7_chat": op7_chat,
         "op8_url_rules": op8_url_rules,
         "op9_top_k": op9_top_k,
