@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, tokencount, topk, urlrules
+from . import bpe, chat, decontam, tokencount, topk, urlrules
 from .common import sha256
 
 
@@ -125,6 +125,10 @@ select query_id, rank, vec_id, score from ranked where rank <= 20
 """
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -132,6 +136,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_chat": op7_chat,
         "op8_url_rules": op8_url_rules,
         "op9_top_k": op9_top_k,
+        "op10_decontaminate": op10_decontaminate,
     }
 
 
