@@ -23,11 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import text_of
+from .common import text_of, word_hashes
 
 #: Fixed masks: any window of 15 words with at most 3 substitutions holds a whole match of one of them.
 MASKS = ("1111011", "11001000111", "11010110001")
@@ -39,12 +39,6 @@ SLICE_WORDS = 500_000
 LEAKS = "array<struct<item_id:{kind},first_word:int,n_words:int,n_same:int>>"
 
 
-def word_hashes(text: Column) -> Column:
-    """The hash of each word (letters and digits, lower case), in order."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return F.transform(words, lambda w: F.xxhash64(w))
-
-
 def _offsets(mask: str) -> list[int]:
     return [i for i, c in enumerate(mask) if c == "1"]
 

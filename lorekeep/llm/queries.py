@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, tokencount, topk, urlrules
+from . import bagminhash, bpe, chat, decontam, tokencount, topk, urlrules
 from .common import sha256
 
 
@@ -31,6 +31,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(_read(spark, sf_dir, "documents"), tokencount.load(tokenizer_file("piece_bpe_32k.model")))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.near_duplicates(_read(spark, sf_dir, "documents")).select("doc_id", "class_id", "is_kept")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.load_ranks(tokenizer_file("byte_bpe_50k.tiktoken"))
     ids = bpe.encode(_read(spark, sf_dir, "documents"), ranks, tokenizer_pattern())
@@ -132,6 +136,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op3_near_duplicates": op3_near_duplicates,
         "op6_bpe": op6_bpe,
         "op7_chat": op7_chat,
         "op8_url_rules": op8_url_rules,
