@@ -8,7 +8,7 @@ ids are laid out by position. So a word crosses the network once for each block
 often it is in its texts, and texts cross it only as compressed sequences. Decoding joins the ids with
 the token-byte table, by position in the table, which has at most ``MAX_VOCAB`` rows.
 
-A block ends after ``BLOCK_WORDS`` words or ``BLOCK_DISTINCT`` distinct ones, which bounds what is held of
+A block ends after ``BLOCK_CHARS`` characters or ``BLOCK_DISTINCT`` distinct ones, which bounds what is held of
 it. Its key is a digest of its list: if the input's rows come otherwise when it is read for the second
 time, sequences find no list, and the job fails instead of mixing ids. Give it a stored table.
 
@@ -22,9 +22,11 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
@@ -32,9 +34,11 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from .common import shuffles, text_of
 
 MAX_VOCAB = 1_000_000
-BLOCK_WORDS = 6_000_000
+BLOCK_CHARS = 30_000_000
 BLOCK_DISTINCT = 500_000
+CUTS = 200_000
 CHUNK = 256
+LISTINGS = 200_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -47,52 +51,56 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class Splitter:
-    """Words of a text by the pattern. A space before a character that is no white space always begins a
-    match, so a text is cut there, and what a cut holds is looked up if the block has seen it before."""
+    """Words of a text by the pattern, as places in the block's list of distinct words.
+
+    A space before a character that is no white space always begins a match, so a text is cut there, and
+    what a cut holds is looked up if the block has seen it before."""
 
     def __init__(self, pattern: str):
+        import re
+
         import regex
 
         self.find = regex.compile(pattern).findall
         self.starts = regex.compile(r" (?=\S)")
-        self.solid = regex.compile(r"\S").match
+        self.loose = re.compile(r" (?:\s|\Z)").search  # a space that may not begin a match
         self.reset()
 
     def reset(self) -> None:
         self.places: dict[str, int] = {}
-        self.cuts: dict[str, tuple[int, ...] | None] = {}
+        self.cuts: dict[str, tuple[int, ...]] = {}
 
     def place(self, word: str) -> int:
         return self.places.setdefault(word, len(self.places))
 
-    def cut(self, cut: str) -> tuple[int, ...] | None:
-        """Places of the words of a cut that follows a space; None if it isn't solid at its start."""
-        found = tuple(map(self.place, self.find(" " + cut))) if self.solid(cut) else None
-        self.cuts[cut] = found
-        return found
-
-    def text(self, text: str) -> list[int]:
+    def words(self, text: str) -> tuple[int, ...]:
+        return tuple(map(self.place, self.find(text)))
+
+    def text(self, text: str, sequence: bool) -> list[int]:
+        """List the words; their places in order if the ``sequence`` is wanted."""
+        if self.loose(text):
+            out, at = [], 0
+            for m in self.starts.finditer(text):
+                out += self.words(text[at : m.start()])
+                at = m.start()
+            out += self.words(text[at:])
+            return out
         cuts = text.split(" ")
-        out = list(map(self.place, self.find(cuts[0])))
-        known = self.cuts.get
-        for cut in cuts[1:]:
-            places = known(cut) or self.cut(cut)
-            if places is None:
-                return self.slow(text)
-            out += places
+        out = list(self.words(cuts.pop(0)))
+        if len(self.cuts) > CUTS:
+            self.cuts = {}
+        known = self.cuts
+        for cut in [c for c in cuts if c not in known]:
+            known[cut] = self.words(" " + cut)
+        if sequence:
+            out.extend(chain.from_iterable(map(known.__getitem__, cuts)))
         return out
 
-    def slow(self, text: str) -> list[int]:
-        out, at = [], 0
-        for m in self.starts.finditer(text):
-            out += map(self.place, self.find(text[at : m.start()]))
-            at = m.start()
-        return out + list(map(self.place, self.find(text[at:])))
 
-
-def _packed(places: list[int]) -> bytes:
-    planes = np.array(places, dtype="<u4").view(np.uint8).reshape(-1, 4).T
-    return pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True) if places else b""
+def _packed(numbers) -> bytes:
+    """Numbers below 2**32, compressed by byte planes."""
+    planes = np.array(numbers, dtype="<u4").view(np.uint8).reshape(-1, 4).T
+    return pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True) if len(numbers) else b""
 
 
 def _unpacked(data: bytes, n: int) -> np.ndarray:
@@ -126,15 +134,16 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, sequences: bool) ->
 
     for batch in batches:
         for i in range(batch.num_rows):
-            places = splitter.text(batch.column(1)[i].as_py())
-            total += len(places)
+            text = batch.column(1)[i].as_py()
+            places = splitter.text(text, sequences)
+            total += len(text)
             if sequences:
                 ids.append(batch.column(0)[i].as_py())
                 lengths.append(len(places))
                 flat += places
                 if len(ids) >= CHUNK or len(flat) >= 1_000_000:
                     close_chunk()
-            if total >= BLOCK_WORDS or len(splitter.places) >= BLOCK_DISTINCT:
+            if total >= BLOCK_CHARS or len(splitter.places) >= BLOCK_DISTINCT:
                 yield close_block()
     if splitter.places or ids or chunks:
         yield close_block()
@@ -181,29 +190,54 @@ def encode(
         import tiktoken
 
         core = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=vocabulary.value, special_tokens={})
-        last, ids = None, []
+        last, ids, blocks, places, sizes, flat = None, [], [], [], [], []
+
+        def packed() -> pa.RecordBatch:
+            """The listings so far, one row for each block."""
+            order = np.lexsort((places, blocks))
+            block, place, size = (np.array(x, dtype=np.int64)[order] for x in (blocks, places, sizes))
+            starts = (np.cumsum(sizes) - sizes)[order]
+            token = np.array(flat, dtype=np.int64)
+            token = token[np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(len(token))]
+            cut = np.append(np.flatnonzero(np.diff(block, prepend=block[0] - 1)), len(block))
+            stop = np.concatenate([[0], np.cumsum(size)])
+            rows = [
+                (int(block[a]), b - a, _packed(np.diff(place[a:b], prepend=0)), _packed(size[a:b]), _packed(token[stop[a] : stop[b]]))
+                for a, b in zip(cut[:-1], cut[1:])
+            ]
+            kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)]
+            return pa.RecordBatch.from_arrays(columns, ["block", "n", "places", "sizes", "ids"])
+
         for batch in batches:  # sorted by word: each distinct word is one run
-            out = []
+            blocks += batch.column(0).to_pylist()
+            places += batch.column(1).to_pylist()
             for word in batch.column(2).to_pylist():
                 if word != last:
                     last, ids = word, core._encode_single_piece(word)
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))], ["block", "place", "ids"]
-            )
+                sizes.append(len(ids))
+                flat += ids
+            if len(blocks) >= LISTINGS:
+                yield packed()
+                blocks, places, sizes, flat = [], [], [], []
+        if blocks:
+            yield packed()
 
     def lay_out(sequences: pa.Table, words: pa.Table) -> pa.Table:
         from pyspark.sql.pandas.types import to_arrow_type
 
-        out_ids, out = [], []
-        n = 0
+        out_ids, out, n = [], [], 0
         if words.num_rows:
-            words = words.combine_chunks().sort_by("place")
-            place = words["place"].to_numpy()
-            first = np.flatnonzero(np.diff(place, prepend=-1))  # equal blocks list the same words
-            n = len(first)
-            lists = words["ids"].combine_chunks().take(pa.array(first))
-            flat, ends = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+            parts = []
+            for row in words.to_pylist():
+                size = _unpacked(row["sizes"], row["n"])
+                parts.append((np.cumsum(_unpacked(row["places"], row["n"])), size, _unpacked(row["ids"], int(size.sum()))))
+            place, size, flat = (np.concatenate(x) for x in zip(*parts))
+            del parts
+            n = int(place.max()) + 1
+            start = np.cumsum(size) - size
+            begins, sizes = np.full(n, -1), np.zeros(n, dtype=np.int64)
+            begins[place], sizes[place] = start, size  # equal blocks list the same words
         for chunk in sequences.to_pylist():
             lengths = np.array(chunk["lengths"], dtype=np.int64)
             places = _unpacked(chunk["packed"], int(lengths.sum()))
@@ -211,11 +245,11 @@ def encode(
             if not len(places):
                 out.append(pa.array([[]] * len(lengths), pa.list_(pa.int32())))
                 continue
-            if places.max() >= n:
+            if places.max() >= n or begins[places].min() < 0:
                 raise RuntimeError("the input's rows changed between two reads: encode a stored table")
-            size = (ends[1:] - ends[:-1])[places]
+            size = sizes[places]
             stop = np.cumsum(size)
-            taken = flat[np.repeat(ends[places] - (stop - size), size) + np.arange(stop[-1])]
+            taken = flat[np.repeat(begins[places] - (stop - size), size) + np.arange(stop[-1])]
             offsets = np.concatenate([[0], stop])[np.concatenate([[0], np.cumsum(lengths)])]
             out.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(taken, pa.int32())))
         return pa.table(
@@ -227,7 +261,7 @@ def encode(
     encoded = (
         listed.repartition(n, "word")
         .sortWithinPartitions("word")
-        .mapInArrow(encode_words, "block long, place int, ids array<int>")
+        .mapInArrow(encode_words, "block long, n int, places binary, sizes binary, ids binary")
     )
     sequences = rows.mapInArrow(
         list_sequences, f"block long, row_ids array<{kind.simpleString()}>, lengths array<int>, packed binary"
@@ -253,16 +287,18 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], *, ids_col: str = "ids",
     def join_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token_bytes = pa.array(tokens.value, pa.large_binary())
         outside = len(token_bytes) - 1
-        for batch in batches:
-            lists = batch.column(at)
-            flat = np.asarray(lists.flatten().fill_null(outside), dtype=np.int64)
-            ends = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
-            flat = np.where((flat < 0) | (flat > outside), outside, flat)
-            joined = token_bytes.take(pa.array(flat))
-            stops = np.frombuffer(joined.buffers()[1], dtype=np.int64)[: len(flat) + 1] if len(flat) else np.zeros(1, np.int64)
-            data = joined.buffers()[2].to_pybytes() if len(flat) else b""
-            texts = [data[a:b] for a, b in zip(stops[ends[:-1]], stops[ends[1:]])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], [*names, out_col])
+        for whole in batches:
+            for first in range(0, whole.num_rows, CHUNK):
+                batch = whole.slice(first, CHUNK)
+                lists = batch.column(at)
+                flat = np.asarray(lists.flatten().fill_null(outside), dtype=np.int64)
+                ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+                flat = np.where((flat < 0) | (flat > outside), outside, flat)
+                joined = token_bytes.take(pa.array(flat))
+                stops = np.concatenate([[0], np.cumsum(pc.binary_length(joined).to_numpy())])[np.concatenate([[0], ends])]
+                data = b"".join(joined.to_pylist())
+                texts = [data[a:b] for a, b in zip(stops[:-1], stops[1:])]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], [*names, out_col])
 
     return encoded.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(
         join_bytes, StructType([*fields, StructField(out_col, BinaryType())])

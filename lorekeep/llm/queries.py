@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, bpe, chat, decontam, tokencount, topk, urlrules
-from .common import sha256
+from . import bagminhash, bpe, chat, decontam, tokencount, topk, toxicity, urlrules
+from .common import sha256, ship
 
 
 def tokenizer_file(name: str) -> str:
@@ -24,6 +24,7 @@ def tokenizer_pattern() -> str:
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -31,6 +32,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(_read(spark, sf_dir, "documents"), tokencount.load(tokenizer_file("piece_bpe_32k.model")))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, _read(spark, sf_dir, "labels")))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicates(_read(spark, sf_dir, "documents")).select("doc_id", "class_id", "is_kept")
 
@@ -136,6 +142,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op2_toxicity": op2_toxicity,
         "op3_near_duplicates": op3_near_duplicates,
         "op6_bpe": op6_bpe,
         "op7_chat": op7_chat,
