@@ -2,7 +2,7 @@
 
 Grades 0..K-1 are ordered. One weight vector is shared by all thresholds: P(grade <= k) =
 sigmoid(threshold_k - weights . x), with rising thresholds, so the expected severity is the sum over k of
-P(grade > k). Features are the presence of a text's words and of their first ``PREFIX`` letters, known by
+P(grade > k). Features are the presence of a text's words and of their first letters, as many as ``PREFIXES`` says, known by
 64-bit hashes, so that no two share a weight. Features of the training rows that are seen in at least
 ``MIN_TEXTS`` of them and stand out between grades are kept, and an L1 penalty empties most weights
 (accelerated proximal gradient on the driver). The training rows are a bounded sample: of each grade at
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import text_of
 
-PREFIX = 4
+PREFIXES = (4, 5, 7)
 MIN_TEXTS = 5
 MAX_ROWS = 3000
 STANDS_OUT = 4.0
@@ -49,10 +49,11 @@ class OrdinalModel:
 def features(text: Column) -> Column:
     """The distinct feature hashes of a text: its words and their first letters."""
     words = F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != ""))
-    starts = F.array_distinct(F.transform(words, lambda w: F.substring(w, 1, PREFIX)))
-    return F.concat(
-        F.transform(words, lambda w: F.xxhash64(w)), F.transform(starts, lambda s: F.xxhash64(s, F.lit("start")))
-    )
+    starts = [
+        F.transform(F.filter(words, lambda w: F.length(w) >= n), lambda w: F.xxhash64(F.substring(w, 1, n), F.lit(n)))
+        for n in PREFIXES
+    ]
+    return F.concat(F.transform(words, lambda w: F.xxhash64(w)), *[F.array_distinct(s) for s in starts])
 
 
 def _csr(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
