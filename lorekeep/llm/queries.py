@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, bpe, chat, decontam, tokencount, topk, toxicity, urlrules
+from . import bagminhash, bpe, chat, decontam, quality, tokencount, topk, toxicity, urlrules
 from .common import sha256, ship
 
 
@@ -41,6 +41,13 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicates(_read(spark, sf_dir, "documents")).select("doc_id", "class_id", "is_kept")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = quality.train(docs.where(~held_out), labels.where(~held_out))
+    return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.load_ranks(tokenizer_file("byte_bpe_50k.tiktoken"))
     ids = bpe.encode(_read(spark, sf_dir, "documents"), ranks, tokenizer_pattern())
@@ -144,6 +151,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_counts": op1_token_counts,
         "op2_toxicity": op2_toxicity,
         "op3_near_duplicates": op3_near_duplicates,
+        "op5_quality": op5_quality,
         "op6_bpe": op6_bpe,
         "op7_chat": op7_chat,
         "op8_url_rules": op8_url_rules,
