@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, bpe, chat, decontam, quality, tokencount, topk, toxicity, urlrules
+from . import bagminhash, bpe, chat, decontam, quality, sanitise, tokencount, topk, toxicity, urlrules
 from .common import sha256, ship
 
 
@@ -41,6 +41,21 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicates(_read(spark, sf_dir, "documents")).select("doc_id", "class_id", "is_kept")
 
 
+def op4_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sanitise.sanitise(_read(spark, sf_dir, "documents"), texts=False)
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    joined = lambda spans: F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ","
+    )
+    return found.select(
+        "doc_id",
+        *[count(kind).alias(f"n_{kind}") for kind in sanitise.KINDS],
+        sha256(joined(F.filter("spans", lambda s: s["kind"] != sanitise.TERM))).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+        count(sanitise.TERM).alias("n_term"),
+    )
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
@@ -151,6 +166,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_counts": op1_token_counts,
         "op2_toxicity": op2_toxicity,
         "op3_near_duplicates": op3_near_duplicates,
+        "op4_sanitise": op4_sanitise,
         "op5_quality": op5_quality,
         "op6_bpe": op6_bpe,
         "op7_chat": op7_chat,
