@@ -1,0 +1,210 @@
+"""Text functions as column expressions: tokens, hashes, symbols, salience, retention, cursors."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+TOKEN = r"[\p{L}\p{N}]+"
+
+# Fixed patterns of the salience families, with what each adds.
+SALIENCE = {
+    "error": (r"(?i)traceback|error:|\bfailed\b|\bexception\b", 0.25),
+    "decision": (r"(?i)\bdecided\b|let'?s go with|\binstead of\b|switched to", 0.2),
+    "correction": (r"(?i)\bno,|\bactually\b|that'?s wrong|\bdon'?t\b", 0.2),
+    "preference": (r"(?i)i prefer|i always|i never|my name is|i work|call me", 0.3),
+    "remember": (r"(?i)\bremember\b|note that|don'?t forget", 0.35),
+}
+# Fixed patterns of code symbols: pattern, group, least length.
+SYMBOLS = (
+    (r"`([a-zA-Z_][a-zA-Z0-9_]*(?:\([^)]*\))?)`", 2),
+    (r"\b([A-Z][a-z]+(?:[A-Z][a-z0-9]*)+)\b", 3),
+    (r"\b([a-z]+(?:[A-Z][a-z0-9]*)+)\b", 3),
+    (r"\b([a-z][a-z0-9]*(?:_[a-z0-9]+)+)\b", 3),
+    (r"\b([A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+)\b", 3),
+    (r"\.([a-zA-Z_][a-zA-Z0-9_]*)", 2),
+)
+# Fixed list of words that look like symbols but are prose.
+PROSE = (
+    "e_g", "i_e", "the", "and", "for", "not", "with", "this", "that", "self", "init", "com", "org", "www", "http", "https",
+    "png", "jpg", "md", "txt", "py", "js", "ts",
+)
+MAX_SYMBOLS = 64
+# Fixed patterns of retention.
+NARRATION = (
+    r"(?i)\b(?:created|made|pushed|amended|rebased|squashed)\s+(?:the\s+)?commit\b|\bcommit\s+[0-9a-f]{7,40}\b"
+    r"|\b(?:ran|running|executed)\s+(?:the\s+)?(?:tests?|pytest|ruff|lint|build)\b|\b(?:command|process)\s+(?:completed|exited|returned)\b"
+)
+OPERATIONAL = r"(?i)\b(?:branch|deployment|deploy(?:ment|ed|ing|s)?|pull request|pr\s*#?\d+|ci|currently working on|working on)\b"
+END_DATE = r"(?i)\b(?:until|through|ending|ends|expires|expiry|end date(?: is)?)\s+(\d{4}-\d{2}-\d{2})\b"
+DURABLE_KINDS = ("preference", "warning", "profile", "decision")
+#: Fixed intent families; the first that scores best wins.
+INTENTS = {
+    "temporal": (
+        r"(?i)\b(when|last|yesterday|today|tomorrow|ago|before|after|since|until|during|recently|lately)\b",
+        r"(?i)\b(monday|tuesday|wednesday|thursday|friday|saturday|sunday)\b",
+        r"(?i)\b(january|february|march|april|may|june|july|august|september|october|november|december)\b",
+        r"\b\d{4}-\d{2}-\d{2}\b",
+    ),
+    "factual": (
+        r"(?i)\bwhat\s+is\b", r"(?i)\bwho\s+is\b", r"(?i)\bwhere\s+is\b",
+        r"(?i)\b(definition|define|explain|meaning)\b", r"(?i)\bhow\s+(many|much|long|far)\b",
+    ),
+    "entity": (
+        r"(?i)\b(tell\s+me\s+about|what\s+do\s+you\s+know\s+about)\b", r"(?i)\b(who\s+is|what\s+does)\s+[a-z]+\b",
+        r"(?i)\b(about|regarding|concerning)\s+[a-z]+\b",
+    ),
+    "preference": (
+        r"(?i)\b(prefer|like|dislike|want|hate|love|enjoy|favorite|best|worst)\b",
+        r"(?i)\b(should\s+i|would\s+you|do\s+you\s+recommend)\b", r"(?i)\b(choose|pick|select|option|choice|decide)\b",
+    ),
+    "procedural": (
+        r"(?i)\bhow\s+(to|do|can|should|would)\b", r"(?i)\b(step|process|procedure|workflow|guide|tutorial)\b",
+        r"(?i)\b(setup|install|configure|build|deploy|run|execute|start|stop)\b",
+    ),
+}
+#: Fixed multipliers of the keyword and vector legs by intent.
+INTENT_LEGS = {
+    "temporal": (1.5, 0.6), "factual": (1.2, 1.0), "entity": (1.0, 1.1), "preference": (0.8, 0.9), "procedural": (0.9, 1.3),
+    "general": (1.0, 1.0),
+}
+ABSTENTION = ("don't know", "do not know", "no information", "not enough information", "cannot find", "could not find")
+
+
+def tokens(text: Column) -> Column:
+    """Lower-cased runs of letters and digits, in order."""
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+
+
+def normalised(text: Column) -> Column:
+    """Lower case, white space collapsed and trimmed: what content hashes are taken of."""
+    return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+
+
+def content_hash(text: Column) -> Column:
+    return F.sha2(normalised(text), 256)
+
+
+def approx_tokens(text: Column) -> Column:
+    return F.greatest(F.lit(1), F.floor(F.length(text) / 4)).cast("long")
+
+
+def canonical_entity(name: Column) -> Column:
+    return F.substring(normalised(name), 1, 120)
+
+
+def clip(text: Column, limit: int) -> Column:
+    return F.substring(F.trim(F.regexp_replace(text, r"\s+", " ")), 1, limit)
+
+
+def code_symbols(text: Column) -> Column:
+    """Likely code identifiers, sorted, at most ``MAX_SYMBOLS``."""
+    found = None
+    for i, (pattern, least) in enumerate(SYMBOLS):
+        hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+        if i == 0:
+            hits = F.transform(hits, lambda s: F.regexp_replace(s, r"\([^)]*\)", ""))
+        else:
+            hits = F.filter(hits, lambda s: ~F.lower(s).isin(*PROSE))
+        hits = F.filter(hits, lambda s: F.length(s) >= least)
+        found = hits if found is None else F.array_union(found, hits)
+    return F.slice(F.array_sort(found), 1, MAX_SYMBOLS)
+
+
+def symbols_field(text: Column) -> Column:
+    """Each symbol in lower case and, if it has parts, its parts."""
+    split = lambda s: F.lower(F.replace(F.regexp_replace(s, "([a-z])([A-Z])", "$1 $2"), F.lit("_"), F.lit(" ")))
+    both = lambda s: F.when(split(s) == F.lower(s), F.lower(s)).otherwise(F.concat_ws(" ", F.lower(s), split(s)))
+    return F.array_join(F.array_distinct(F.transform(code_symbols(text), both)), " ")
+
+
+def salience(user: Column, assistant: Column) -> Column:
+    """0..1: how much a turn is worth extracting; short turns without any signal count least."""
+    both = F.concat_ws("\n", F.coalesce(user, F.lit("")), F.coalesce(assistant, F.lit("")))
+    boost = F.lit(0.0)
+    for name, (pattern, add) in SALIENCE.items():
+        where = F.coalesce(user, F.lit("")) if name in ("correction", "preference") else both
+        boost = boost + F.when(where.rlike(pattern), add).otherwise(0.0)
+    boost = boost + F.when(both.contains("```") | (F.size(code_symbols(both)) >= 3), 0.1).otherwise(0.0)
+    short = (boost == 0) & (F.length(F.regexp_replace(both, r"^\s+|\s+$", "")) <= 40)
+    return F.when(short, 0.05).otherwise(F.least(F.lit(1.0), boost + 0.1))
+
+
+def retention(content: Column, kind: Column, now: Column) -> Column:
+    """struct(retention, ttl_days, source): narration stays an episode, dated and operational rows expire."""
+    text = F.trim(F.regexp_replace(content, r"\s+", " "))
+    end = F.try_to_date(F.nullif(F.regexp_extract(text, END_DATE, 1), F.lit("")), "yyyy-MM-dd")
+    days = F.greatest(F.lit(1), F.least(F.lit(365), F.datediff(end, F.to_date(now)) + 1))
+    out = lambda name, n, why: F.struct(F.lit(name).alias("retention"), n.cast("int").alias("ttl_days"), F.lit(why).alias("source"))
+    none = F.lit(None)
+    return (
+        F.when(text.rlike(NARRATION), out("episode_only", none, None))
+        .when(end.isNotNull(), out("temporary", days, "explicit_end_date"))
+        .when(kind.isin(*DURABLE_KINDS), out("durable", none, None))
+        .when(text.rlike(OPERATIONAL), out("temporary", F.lit(7), "operational_default"))
+        .otherwise(out("durable", none, None))
+    )
+
+
+def intent(query: Column) -> Column:
+    """The family with the best score min(0.3 + 0.15 matches, 1), the first of equals; else general."""
+    best, score = F.lit("general"), F.lit(0.0)
+    for name, patterns in INTENTS.items():
+        hits = sum((F.regexp_count(query, F.lit(p)) for p in patterns), F.lit(0))
+        own = F.when(hits > 0, F.least(F.lit(1.0), hits * 0.15 + 0.3)).otherwise(0.0)
+        best, score = F.when(own > score, name).otherwise(best), F.greatest(own, score)
+    return best
+
+
+def task_like(query: Column, verbs: list[str]) -> Column:
+    """An imperative verb among the first four words, but not as the last word."""
+    words = tokens(query)
+    first = F.slice(words, F.lit(1), F.least(F.lit(4), F.greatest(F.size(words) - 1, F.lit(0))))
+    return F.exists(first, lambda w: w.isin(*verbs))
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    """Overlap of two token arrays as sets; 0 if both are empty."""
+    union = F.size(F.array_union(a, b))
+    return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)
+
+
+def cursor(ts: Column, event_id: Column) -> Column:
+    """An opaque paging cursor."""
+    return F.base64(F.encode(F.concat_ws("|", ts.cast("string"), event_id.cast("string")), "UTF-8"))
+
+
+def read_cursor(cursor: Column) -> Column:
+    """struct(ts, event_id); empty strings where the cursor can't be read."""
+    plain = F.coalesce(F.decode(F.try_to_binary(cursor, F.lit("base64")), "UTF-8"), F.lit(""))
+    return F.struct(F.split_part(plain, F.lit("|"), F.lit(1)).alias("ts"), F.split_part(plain, F.lit("|"), F.lit(2)).alias("event_id"))
+
+
+def slug(name: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.lower(name), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
+
+
+def tag_list(raw: Column) -> Column:
+    """Tags from a JSON list or from comma-separated text; junk gives what its commas separate."""
+    parsed = F.from_json(raw, "array<string>")
+    cut = F.filter(F.transform(F.split(raw, ","), lambda t: F.trim(t)), lambda t: t != "")
+    return F.when(raw.isNull() | (F.trim(raw) == ""), F.array().cast("array<string>")).when(
+        F.trim(raw).startswith("["), F.coalesce(parsed, F.array().cast("array<string>"))
+    ).otherwise(cut)
+
+
+def flattened_parts(raw: Column) -> Column:
+    """Message content that may be a JSON list of typed parts behind a marker, as text."""
+    body = F.substring(raw, 7, 2**31 - 1)
+    parts = F.from_json(body, "array<struct<type:string,text:string>>")
+    said = F.transform(parts, lambda p: F.when(p["type"] == "text", F.coalesce(p["text"], F.lit(""))).otherwise(F.lit("[image]")))
+    return F.when(raw.startswith("\x00json:"), F.coalesce(F.array_join(said, "\n"), F.substring(body, 1, 4000))).otherwise(raw)
+
+
+def abstains(answer: Column) -> Column:
+    return F.exists(F.array(*[F.lit(m) for m in ABSTENTION]), lambda m: F.contains(F.lower(answer), m))
+
+
+def instruction_shaped(text: Column) -> Column:
+    """Text that reads like an instruction to the model rather than a memory."""
+    return text.rlike(r"(?is)\b(ignore|disregard)\b.{0,40}\b(previous|prior|above)\b|\byou must\b|\bsystem prompt\b|^\s*(always|never)\b")

@@ -1 +1 @@
-"""Plans of the engine."""
+"""Plans: the operators applied to the store's tables, registered as queries with their SQL."""

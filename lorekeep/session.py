@@ -25,8 +25,9 @@ def session(master: str | None = None, app: str = "lorekeep", **conf: str) -> Sp
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One input table of a data directory, local or remote."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """One input table of a data directory, local or remote; its zoneless times are those of the session."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return df.withColumns({c: df[c].cast("timestamp") for c, kind in df.dtypes if kind == "timestamp_ntz"})
 
 
 def bench_dir() -> str:
