@@ -211,10 +211,15 @@ def _(spark, sf_dir):
     return rows.select("conv_id", "turn", F.round(text.salience(F.col("text"), F.lit("")), 6).alias("salience"))
 
 
+# RE2 knows ASCII word boundaries only, so the oracle spells them out
+_BOUND = r"[^\p{L}\p{N}_]"
+_OPERATIONAL = text.OPERATIONAL.replace("(?i)\\b", f"(^|{_BOUND})").removesuffix("\\b") + f"($|{_BOUND})"
+
+
 @query(
     "f18_retention",
     f"""{WITH} select id, case when kind in ('preference', 'warning', 'profile', 'decision') then 'durable'
-    when regexp_matches(content, '{text.OPERATIONAL.replace("(?i)", "")}', 'i') then 'temporary' else 'durable' end as retention from memories""",
+    when regexp_matches(content, '{_OPERATIONAL}', 'i') then 'temporary' else 'durable' end as retention from memories""",
 )
 def _(spark, sf_dir):
     kept = text.retention(F.col("content"), F.col("kind"), now())
