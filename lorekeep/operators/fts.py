@@ -13,21 +13,22 @@ from lorekeep.functions.text import tokens
 K1, B = 1.2, 0.75
 
 
-def postings(docs: DataFrame, id_col: str, fields: dict[str, float]) -> DataFrame:
-    """doc, term, tf (weighted over the fields) and dl (weighted length) of every term of every document."""
+def weighted_terms(docs: DataFrame, id_col: str, fields: dict[str, float]) -> DataFrame:
+    """doc, terms (term and field weight of every token) and dl (weighted length).
+
+    Tokens are taken before anything is exploded, so a text is split once and not once for each token."""
     parts = [
         F.transform(tokens(F.coalesce(F.col(f), F.lit(""))), lambda t: F.struct(t.alias("term"), F.lit(float(w)).alias("w")))
         for f, w in fields.items()
     ]
-    length = sum((F.size(tokens(F.coalesce(F.col(f), F.lit("")))) * float(w) for f, w in fields.items()), F.lit(0.0))
-    each = docs.select(F.col(id_col).alias("doc"), length.alias("dl"), F.explode(F.concat(*parts)).alias("t"))
-    return each.groupBy("doc", "dl", F.col("t.term").alias("term")).agg(F.sum("t.w").alias("tf"))
+    split = docs.select(F.col(id_col).alias("doc"), F.concat(*parts).alias("terms"))
+    return split.withColumn("dl", F.aggregate("terms", F.lit(0.0), lambda s, t: s + t["w"]))
 
 
-def statistics(docs: DataFrame, fields: dict[str, float]) -> DataFrame:
-    """One row: the number of documents and their mean weighted length."""
-    length = sum((F.size(tokens(F.coalesce(F.col(f), F.lit("")))) * float(w) for f, w in fields.items()), F.lit(0.0))
-    return docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(length).alias("mean_dl"))
+def postings(docs: DataFrame, id_col: str, fields: dict[str, float]) -> DataFrame:
+    """doc, term, tf (weighted over the fields) and dl (weighted length) of every term of every document."""
+    each = weighted_terms(docs, id_col, fields).select("doc", "dl", F.explode("terms").alias("t"))
+    return each.groupBy("doc", "dl", F.col("t.term").alias("term")).agg(F.sum("t.w").alias("tf"))
 
 
 def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -41,16 +42,11 @@ def bm25(docs: DataFrame, queries: DataFrame, *, id_col: str, fields: dict[str,
     ``queries`` has (query, term). Only terms of a query survive the join, before tf is aggregated by
     document; the document frequency is a count over the same few rows."""
     wanted = queries.select("term").distinct()
-    parts = [
-        F.transform(tokens(F.coalesce(F.col(f), F.lit(""))), lambda t: F.struct(t.alias("term"), F.lit(float(w)).alias("w")))
-        for f, w in fields.items()
-    ]
-    length = sum((F.size(tokens(F.coalesce(F.col(f), F.lit("")))) * float(w) for f, w in fields.items()), F.lit(0.0))
-    each = docs.select(F.col(id_col).alias("doc"), length.alias("dl"), F.explode(F.concat(*parts)).alias("t"))
-    each = each.select("doc", "dl", F.col("t.term").alias("term"), F.col("t.w").alias("w")).join(wanted, "term")
+    split = weighted_terms(docs, id_col, fields)
+    each = split.select("doc", "dl", F.explode("terms").alias("t")).select("doc", "dl", "t.term", "t.w").join(wanted, "term")
     own = each.groupBy("doc", "dl", "term").agg(F.sum("w").alias("tf"))
     frequency = own.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = F.broadcast(statistics(docs, fields))  # one row
+    stats = F.broadcast(split.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("mean_dl")))  # one row
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     gain = F.col("tf") * (K1 + 1) / (F.col("tf") + (F.lit(1 - B) + F.col("dl") / F.col("mean_dl") * B) * K1)
     scored = own.join(frequency, "term").join(stats).withColumn("gain", idf * gain)

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PER_ENTITY, MAX_NODES = 60, 400
 DAMPING, ROUNDS = 0.5, 25
 
 
-def co_mentions(mentions: DataFrame, per_entity: int = PER_ENTITY) -> DataFrame:
+def co_mentions(mentions: DataFrame, per_entity: int = PER_ENTITY, by: Column | None = None) -> DataFrame:
     """a < b, weight: how many entities two memories share; each entity counts its ``per_entity`` smallest
-    memories, as the retrieval leg does, which bounds its pairs."""
+    memories, as the retrieval leg does, which bounds its pairs. ``by`` keeps apart what it names ``query``."""
     order = Window.partitionBy("entity").orderBy("memory")
     kept = mentions.select("entity", "memory").distinct().withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_entity)
     a, b = kept.select("entity", F.col("memory").alias("a")), kept.select("entity", F.col("memory").alias("b"))
-    return a.join(b, "entity").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    pairs = a.join(b, "entity").where("a < b")
+    keys = ["a", "b"] if by is None else [by.alias("query"), "a", "b"]
+    return pairs.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
 def restricted(edges: DataFrame, nodes: DataFrame) -> DataFrame:

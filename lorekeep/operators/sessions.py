@@ -14,7 +14,7 @@ def task_runs(rows: DataFrame, *, gap_s: int = GAP_SECONDS, max_turns: int = MAX
     """``run`` (from 1 in each session) of every outcome row: a run ends after a gap, a terminal outcome or
     ``max_turns`` rows. The cap restarts with each other break, so it is a block number inside an island."""
     order = Window.partitionBy("session_id").orderBy("created_at", "turn_id")
-    gap = F.unix_micros("created_at") - F.unix_micros(F.lag("created_at").over(order)) > F.lit(gap_s) * 1_000_000
+    gap = F.unix_micros("created_at") - F.unix_micros(F.lag("created_at").over(order)) > F.lit(gap_s * 1_000_000)
     breaks = F.coalesce(gap | F.lag("outcome").over(order).isin(*TERMINAL), F.lit(False))
     islands = rows.withColumn("island", F.sum(breaks.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     inside = Window.partitionBy("session_id", "island").orderBy("created_at", "turn_id")
@@ -42,7 +42,8 @@ def episodes(runs: DataFrame) -> DataFrame:
 def closed_only(episodes: DataFrame) -> DataFrame:
     """Without each session's last run, unless its outcome ended it: that run may still go on."""
     last = F.max("run").over(Window.partitionBy("session_id"))
-    return episodes.where((F.col("run") < last) | F.col("outcome").isin(*TERMINAL))
+    rows = episodes.withColumn("last_run", last)
+    return rows.where((F.col("run") < F.col("last_run")) | F.col("outcome").isin(*TERMINAL)).drop("last_run")
 
 
 def transcript_windows(episodes: DataFrame, before_s: int = 3600) -> DataFrame:

@@ -40,8 +40,11 @@ def successors(rows: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
     followed by a version that copies its envelope; other rows are unchanged."""
     joined = rows.join(changes, "id", "left")
     changed = F.col("new_id").isNotNull() & F.col("valid_to").isNull()
-    closed = joined.withColumn("valid_to", F.when(changed, now).otherwise(F.col("valid_to"))).withColumn(
-        "superseded_by", F.when(changed, F.col("new_id")).otherwise(F.col("superseded_by"))
+    closed = joined.withColumns(
+        {
+            "valid_to": F.when(changed, now).otherwise(F.col("valid_to")),
+            "superseded_by": F.when(changed, F.col("new_id")).otherwise(F.col("superseded_by")),
+        }
     )
     new = joined.where(changed).select(
         *[
@@ -83,7 +86,7 @@ def forward_asof(left: DataFrame, right: DataFrame, keys: list[str], left_at: st
     far = right.withColumn("bucket", bucket(F.col(right_at)))
     extra = [c for c in right.columns if c not in keys]
     hit = near.join(far, [*keys, "bucket"]).where(
-        (F.col(right_at) >= F.col(left_at)) & (F.unix_micros(right_at) - F.unix_micros(left_at) <= width * 1_000_000)
+        (F.col(right_at) >= F.col(left_at)) & (F.unix_micros(right_at) - F.unix_micros(left_at) <= F.lit(within_s * 1_000_000))
     )
     first = hit.groupBy(left_id).agg(F.min(F.struct(right_at, *[c for c in extra if c != right_at])).alias("m"))
     return left.join(first, left_id, "left").select(*[left[c] for c in left.columns], "m.*")
@@ -97,7 +100,7 @@ def nearest_within(left: DataFrame, right: DataFrame, keys: list[str], left_at:
     near = left.withColumn("bucket", F.explode(F.array(b - 1, b, b + 1)))
     far = right.withColumn("bucket", bucket(F.col(right_at)))
     extra = [c for c in right.columns if c not in keys]
-    hit = near.join(far, [*keys, "bucket"]).where(F.abs(F.unix_micros(right_at) - F.unix_micros(left_at)) <= width * 1_000_000)
+    hit = near.join(far, [*keys, "bucket"]).where(F.abs(F.unix_micros(right_at) - F.unix_micros(left_at)) <= F.lit(within_s * 1_000_000))
     first = hit.groupBy(left_id).agg(F.min(F.struct(right_at, *[c for c in extra if c != right_at])).alias("m"))
     return left.join(first, left_id, "left").select(*[left[c] for c in left.columns], "m.*")
 

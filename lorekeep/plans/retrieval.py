@@ -15,12 +15,12 @@ K = 10
 TOK = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
 
 CURRENT = f"{MEMORIES_SQL}, docs as (select id as doc, uid, content, kind, pinned, valid_from, half_life_days, helpful, harmful, outcome from memories where {CURRENT_SQL})"
-#: Queries: the first four words of every tenth benchmark item.
-QUERIES = rf"q as (select item_id as query, unnest(list_distinct(({TOK.format('text')})[1:4])) as term from benchmark where item_id % 10 = 0)"
-BM25 = rf"""{CURRENT}, {QUERIES}, own as (select doc, unnest({TOK.format('content')}) as term, len({TOK.format('content')})::double as dl from docs),
-  tf as (select doc, dl, term, count(*)::double as tf from own where term in (select term from q) group by all), df as (select term, count(*) as df from tf group by term),
-  stats as (select count(*) as n, avg(len({TOK.format('content')})::double) as m from docs),
-  bm25 as (select query, doc, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / m))) as score
+#: Queries: every benchmark item whose id is divisible by 20, all its words.
+QUERIES = rf"q as (select item_id as query, unnest(list_distinct({TOK.format('text')})) as term from benchmark where item_id % 20 = 0)"
+BM25 = rf"""{CURRENT}, {QUERIES}, split as materialized (select doc, {TOK.format('content')} as toks from docs), own as materialized (select doc, unnest(toks) as term, len(toks)::double as dl from split),
+  tf as materialized (select doc, dl, term, count(*)::double as tf from own where term in (select term from q) group by all), df as materialized (select term, count(*) as df from tf group by term),
+  stats as (select count(*) as n, avg(len(toks)::double) as m from split),
+  bm25 as materialized (select query, doc, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / m))) as score
     from tf join df using (term) join q using (term), stats group by query, doc)"""
 
 
@@ -29,8 +29,8 @@ def _docs(spark, sf_dir):
 
 
 def _queries(spark, sf_dir):
-    items = table(spark, sf_dir, "benchmark").where(F.col("item_id") % 10 == 0)
-    words = F.array_distinct(F.slice(text.tokens(F.col("text")), 1, 4))
+    items = table(spark, sf_dir, "benchmark").where(F.col("item_id") % 20 == 0)
+    words = F.array_distinct(text.tokens(F.col("text")))
     return items.select(F.col("item_id").alias("query"), F.explode(words).alias("term"))
 
 
@@ -61,10 +61,10 @@ def _(spark, sf_dir):
 
 
 VEC = """v as (select vec_id, embedding::double[] as e, label from embeddings), knn as (
-  select q.vec_id as query, d.vec_id as doc, list_cosine_similarity(q.e, d.e) as sim from v q join v d on q.vec_id <> d.vec_id where q.vec_id % 25 = 0)"""
+  select q.vec_id as query, d.vec_id as doc, list_cosine_similarity(q.e, d.e) as sim from v q join v d on q.vec_id <> d.vec_id where q.vec_id % 20 = 0)"""
 
 
-def _knn(spark, sf_dir, k, step=25):
+def _knn(spark, sf_dir, k, step=20):
     rows = table(spark, sf_dir, "embeddings")
     queries = rows.where(F.col("vec_id") % step == 0).select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
     return vectors.nearest(rows.select(F.col("vec_id").alias("doc"), F.col("embedding").alias("v")), queries, k)
@@ -92,10 +92,10 @@ def _(spark, sf_dir):
 @query(
     "v10_neighbour_pairs",
     f"""with {VEC}, r as (select query, doc, sim, row_number() over (partition by query order by sim desc, doc) as rank from knn)
-    select least(query, doc) as a, greatest(query, doc) as b, round(max(sim), 6) as sim from r where rank <= 6 and sim >= 0.5 group by 1, 2""",
+    select least(query, doc) as a, greatest(query, doc) as b, round(max(sim), 6) as sim from r where rank <= 6 and sim >= 0.2 group by 1, 2""",
 )
 def _(spark, sf_dir):
-    return vectors.neighbour_pairs(_knn(spark, sf_dir, 6), 0.5).withColumn("sim", F.round("sim", 6))
+    return vectors.neighbour_pairs(_knn(spark, sf_dir, 6), 0.2).withColumn("sim", F.round("sim", 6))
 
 
 @query(
@@ -113,11 +113,11 @@ def _(spark, sf_dir):
     return lowest.withColumn("nth", F.row_number().over(Window.orderBy("density", "query")))
 
 
-MENTIONS = "mentions as (select l_partkey as entity, l_orderkey as memory from lineitem where l_partkey % 50 = 0)"
+MENTIONS = "mentions as (select l_partkey as entity, l_orderkey as memory from lineitem)"
 
 
 def _mentions(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").where("l_partkey % 50 = 0").select(F.col("l_partkey").alias("entity"), F.col("l_orderkey").alias("memory"))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("entity"), F.col("l_orderkey").alias("memory"))
 
 
 @query(
@@ -141,9 +141,18 @@ def _(spark, sf_dir):
 
 @query("r9_pagerank_leg")
 def _(spark, sf_dir):
-    edges = graph.co_mentions(_mentions(spark, sf_dir)).withColumn("query", F.lit(0))
-    seeds = edges.select("query", F.col("a").alias("node")).where("node % 97 = 0").distinct()
-    return graph.personal_pagerank(edges, seeds).withColumn("score", F.round("score", 9))
+    """For each supplier, its orders linked by shared parts; its smallest orders are the seeds."""
+    from pyspark.sql import Window
+
+    sold = table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("query"), F.col("l_partkey").alias("entity"), F.col("l_orderkey").alias("memory")
+    )
+    nth = F.row_number().over(Window.partitionBy("query").orderBy("memory"))
+    nodes = sold.select("query", "memory").distinct().withColumn("nth", nth).where(F.col("nth") <= graph.MAX_NODES)
+    m = sold.join(nodes, ["query", "memory"]).select(F.struct("query", "entity").alias("entity"), "memory")
+    own = graph.co_mentions(m, by=F.col("entity.query"))
+    seeds = nodes.where("nth <= 5").select("query", F.col("memory").alias("node"))
+    return graph.personal_pagerank(own, seeds).withColumn("score", F.round("score", 9))
 
 
 @query(
@@ -259,11 +268,17 @@ def _(spark, sf_dir):
     return kept.select("query", "doc", F.col("used").cast("long").alias("used"))
 
 
-@query(
-    "f_intent",
-    "select item_id, case when length(text) > 0 then 'general' end as plain from benchmark where not regexp_matches(text, '(when|what|who|where|how|last|prefer|about|step|best|run|start|stop|today|like|want|before|after|since|until|love|hate|pick|ago|option|guide|build|meaning|enjoy|explain|define|choose|decide|select|worst|during|regarding|recently)', 'i')",
-)
+def _intent_sql() -> str:
+    counts = ", ".join(
+        " + ".join(f"len(regexp_extract_all(text, '{p.replace('(?i)', '')}', 0, 'i'))" for p in patterns) + f" as n_{name}"
+        for name, patterns in text.INTENTS.items()
+    )
+    own = ", ".join(f"case when n_{name} > 0 then least(1.0, 0.3 + 0.15 * n_{name}) else 0 end as s_{name}" for name in text.INTENTS)
+    best = "greatest(" + ", ".join(f"s_{name}" for name in text.INTENTS) + ")"
+    pick = " ".join(f"when s_{name} = {best} then '{name}'" for name in text.INTENTS)
+    return f"with c as (select item_id, {counts} from benchmark), s as (select item_id, {own} from c) select item_id, case when {best} = 0 then 'general' {pick} end as intent from s"
+
+
+@query("r14_intent", _intent_sql())
 def _(spark, sf_dir):
-    rows = table(spark, sf_dir, "benchmark")
-    odd = r"(?i)(when|what|who|where|how|last|prefer|about|step|best|run|start|stop|today|like|want|before|after|since|until|love|hate|pick|ago|option|guide|build|meaning|enjoy|explain|define|choose|decide|select|worst|during|regarding|recently)"
-    return rows.where(~F.col("text").rlike(odd)).select("item_id", text.intent(F.col("text")).alias("plain"))
+    return table(spark, sf_dir, "benchmark").select("item_id", text.intent(F.col("text")).alias("intent"))

@@ -1,0 +1,53 @@
+"""A batch pipeline of named stages with modes, budgets and a resumable run log."""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Callable
+from dataclasses import dataclass, field
+
+from pyspark.sql import SparkSession
+
+MODES = ("off", "shadow", "dry_run", "active")
+
+
+@dataclass
+class Run:
+    """The log of a run: phases done, spent units, failures."""
+
+    budget: int
+    done: list[str] = field(default_factory=list)
+    spent: int = 0
+    failed: dict[str, str] = field(default_factory=dict)
+
+    def to_json(self) -> str:
+        return json.dumps(self.__dict__)
+
+    @classmethod
+    def from_json(cls, text: str) -> Run:
+        return cls(**json.loads(text))
+
+
+Stage = Callable[[SparkSession, str], int]
+
+
+def run_stages(spark: SparkSession, stages: list[tuple[str, Stage]], run: Run, modes: dict[str, str] | None = None) -> Run:
+    """Run the stages that a run has not done, in order, until its budget is spent.
+
+    A stage gets the mode to write in and returns its cost. A failed stage is logged and tried again by the
+    next run; the others go on."""
+    for name, stage in stages:
+        mode = (modes or {}).get(name, "active")
+        if mode not in MODES:
+            raise ValueError(f"unknown mode {mode}")
+        if name in run.done or mode == "off":
+            continue
+        if run.spent >= run.budget:
+            break
+        try:
+            run.spent += stage(spark, mode)
+            run.done.append(name)
+            run.failed.pop(name, None)
+        except Exception as error:  # noqa: BLE001 - any stage may fail without stopping the night
+            run.failed[name] = str(error)[:200]
+    return run
