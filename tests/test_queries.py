@@ -2,7 +2,7 @@
 
 import pytest
 
-from lorekeep.plans import history, registry, retrieval, rollups, rows  # noqa: F401
+from lorekeep.plans import history, insight, registry, retrieval, rollups, rows  # noqa: F401
 from tests.conftest import SMALL
 from tests.oracle import assert_same, connect
 
