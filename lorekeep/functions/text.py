@@ -208,3 +208,78 @@ def abstains(answer: Column) -> Column:
 def instruction_shaped(text: Column) -> Column:
     """Text that reads like an instruction to the model rather than a memory."""
     return text.rlike(r"(?is)\b(ignore|disregard)\b.{0,40}\b(previous|prior|above)\b|\byou must\b|\bsystem prompt\b|^\s*(always|never)\b")
+
+
+#: Fixed alphabet of sortable ids.
+BASE32 = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
+#: Fixed model-name prefixes and the provider that each is billed by.
+PROVIDERS = {
+    "claude": "anthropic", "gpt": "openai", "o1": "openai", "o3": "openai", "o4": "openai", "chatgpt": "openai",
+    "gemini": "google", "deepseek": "deepseek",
+}
+
+
+def sortable_id(at: Column, key: Column) -> Column:
+    """26 characters that sort by time, with a tail from a hash of ``key``: the same row always gets the same id."""
+    digits = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
+    base32 = lambda number, radix: F.translate(F.conv(number, radix, 32), digits, BASE32)
+    tail = F.sha2(key.cast("string"), 256)
+    parts = [F.lpad(base32(F.substring(tail, 1 + 10 * i, 10), 16), 8, "0") for i in range(2)]
+    return F.concat(F.lpad(base32(F.unix_millis(at).cast("string"), 10), 10, "0"), *parts)
+
+
+def archive_ref(ref: Column) -> Column:
+    """A month and a uid, or null for anything else, such as a path out of the archive."""
+    return F.when(ref.rlike(r"^[0-9]{4}-?[0-9]{2}[/#:][A-Za-z0-9_-]+$"), ref)
+
+
+def without_id_prefix(line: Column) -> Column:
+    """A rendered line without its ``[id]``."""
+    return F.regexp_replace(line, r"^\s*\[[0-9A-Z]{6,26}\]\s*", "")
+
+
+def frontmatter(document: Column) -> Column:
+    """The ``key: value`` lines between the dashes at the head of a document, as a map; empty without a head."""
+    head = F.regexp_extract(document, r"(?s)\A---\r?\n(.*?)\r?\n---", 1)
+    lines = F.filter(F.split(head, r"\r?\n"), lambda x: x.rlike(r"^[^:#]+:"))
+    part = lambda x, i: F.regexp_extract(x, r"^([^:]+):\s*(.*?)\s*$", i)
+    return F.map_from_entries(F.transform(lines, lambda x: F.struct(F.trim(part(x, 1)), part(x, 2))))
+
+
+def replaced_section(document: Column, heading: str, body: str) -> Column:
+    """A document in which the text below ``## heading``, up to the next such heading, is ``body``."""
+    import re
+
+    pattern = rf"(?sm)^(## {re.escape(heading)}\n).*?(?=^## |\z)"
+    return F.regexp_replace(document, pattern, "$1" + body.replace("\\", "\\\\").replace("$", "\\$") + "\n")
+
+
+def search_aids(aids: Column, limit: int = 4) -> Column:
+    """Cleaned search aids: 2 to 80 characters, each once whatever its case, at most ``limit``."""
+    clean = F.filter(F.transform(aids, lambda a: F.trim(F.regexp_replace(a, r"\s+", " "))), lambda a: F.length(a).between(2, 80))
+    low = F.transform(clean, lambda a: F.lower(a))
+    return F.slice(F.filter(clean, lambda a, i: F.array_position(low, F.lower(a)) == i + 1), 1, limit)
+
+
+def metadata(raw: Column) -> Column:
+    """A JSON object as a map of strings; junk and other JSON give an empty map."""
+    empty = F.map_from_entries(F.array().cast("array<struct<key:string,value:string>>"))
+    return F.when(F.trim(raw).startswith("{"), F.coalesce(F.from_json(raw, "map<string,string>"), empty)).otherwise(empty)
+
+
+def billed_by(model: Column) -> Column:
+    """The provider of a bare model name; null for names that say a vendor themselves, and unknown ones."""
+    name, out = F.lower(F.trim(model)), None
+    for prefix, provider in PROVIDERS.items():
+        hit = name.startswith(prefix) & ~name.contains("/")
+        out = F.when(hit, provider) if out is None else out.when(hit, provider)
+    return out
+
+
+def json_span(answer: Column) -> Column:
+    """The JSON list or object inside an answer: what a fence holds, else from the first bracket to its last
+    partner; null where that is no JSON."""
+    fenced = F.nullif(F.regexp_extract(answer, r"(?s)```(?:json)?\s*(.*?)```", 1), F.lit(""))
+    body = F.coalesce(fenced, answer)
+    wide = F.nullif(F.regexp_extract(body, r"(?s)(\[.*\]|\{.*\})", 1), F.lit(""))
+    return F.when(F.try_parse_json(wide).isNotNull(), wide)

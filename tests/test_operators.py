@@ -136,3 +136,26 @@ def test_as_of_is_half_open(spark, at, expect):
     df = spark.createDataFrame(rows, "fact_id long, subject string, predicate string, d string")
     spans = temporal.fact_intervals(df.withColumn("valid_from", F.to_timestamp("d")))
     assert [r.fact_id for r in spans.where(predicates.as_of(F.to_timestamp(F.lit(at)))).collect()] == expect
+
+
+def test_leg_weights_are_checked_and_scaled():
+    assert fusion.approved_weights({"fts": 2, "odd": "x"}) == {"fts": 2.0, "vec": 1.0, "graph": 1.0, "facts": 1.0}
+    assert fusion.approved_weights({"fts": 9}) is None and fusion.approved_weights({"vec": "a"}) is None and fusion.approved_weights({}) is None
+    assert fusion.weights_of_fit({"fts": 0.2, "ppr": 0.6}) == {"fts": 0.5, "vec": 1.0, "graph": 1.5, "facts": 1.0}
+
+
+def test_small_parsers(spark):
+    one = spark.range(1)
+    get = lambda c: one.select(c.alias("x")).first().x
+    lit = F.lit
+    a, b = (get(text.sortable_id(F.timestamp_seconds(lit(s)), lit("k"))) for s in (1_700_000_000, 1_700_000_001))
+    assert len(a) == len(b) == 26 and a[:10] < b[:10] and a[10:] == b[10:]
+    assert get(text.archive_ref(lit("202401/M01"))) == "202401/M01" and get(text.archive_ref(lit("../etc"))) is None
+    assert get(text.without_id_prefix(lit("[01ABCDEF] said"))) == "said"
+    assert get(text.frontmatter(lit("---\nname: a b\nkind: x:y\n---\nbody"))) == {"name": "a b", "kind": "x:y"}
+    assert get(text.frontmatter(lit("no head"))) == {}
+    assert get(text.replaced_section(lit("## A\nold\n## B\nkeep\n"), "A", "new $1")) == "## A\nnew $1\n## B\nkeep\n"
+    assert list(get(text.search_aids(F.array(*[lit(x) for x in ("One ", "one", "x", "two  words")])))) == ["One", "two words"]
+    assert get(text.metadata(lit('{"a": "1"}'))) == {"a": "1"} and get(text.metadata(lit("[1]"))) == {} and get(text.metadata(lit("{junk"))) == {}
+    assert get(text.billed_by(lit("GPT-4"))) == "openai" and get(text.billed_by(lit("x/gpt"))) is None
+    assert get(text.json_span(lit('so:\n```json\n{"a": [1]}\n```'))) == '{"a": [1]}' and get(text.json_span(lit("none"))) is None
