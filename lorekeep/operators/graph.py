@@ -67,7 +67,8 @@ def personal_pagerank(edges: DataFrame, seeds: DataFrame, *, damping: float = DA
         return pd.DataFrame({"query": key[0], "node": nodes, "score": share})[start == 0]
 
     kinds = dict(edges.dtypes)
-    ranked = edges.groupBy("query").cogroup(seeds.groupBy("query")).applyInPandas(
+    starts = seeds.select(F.col("query").alias("of"), F.col("node").alias("node"))
+    ranked = edges.groupBy("query").cogroup(starts.groupBy("of")).applyInPandas(
         rank, f"query {kinds['query']}, node {kinds['a']}, score double"
     )
     return ranked.where("score > 0")

@@ -79,7 +79,9 @@ def seed_clusters(pairs: DataFrame, order: DataFrame, least: int = 3) -> DataFra
         return pd.DataFrame(out, columns=["scope", "seed", "member"])
 
     kinds = dict(order.dtypes)
-    return pairs.groupBy("scope").cogroup(order.groupBy("scope")).applyInPandas(
+    seeds = order.select(F.col("scope").alias("of"), F.col("id").alias("id"), F.col("nth").alias("nth"))
+    similar = pairs.select(F.col("scope").alias("scope"), F.col("a").alias("a"), F.col("b").alias("b"))
+    return similar.groupBy("scope").cogroup(seeds.groupBy("of")).applyInPandas(
         assign, f"scope {kinds['scope']}, seed {kinds['id']}, member {kinds['id']}"
     )
 

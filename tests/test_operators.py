@@ -159,3 +159,12 @@ def test_small_parsers(spark):
     assert get(text.metadata(lit('{"a": "1"}'))) == {"a": "1"} and get(text.metadata(lit("[1]"))) == {} and get(text.metadata(lit("{junk"))) == {}
     assert get(text.billed_by(lit("GPT-4"))) == "openai" and get(text.billed_by(lit("x/gpt"))) is None
     assert get(text.json_span(lit('so:\n```json\n{"a": [1]}\n```'))) == '{"a": [1]}' and get(text.json_span(lit("none"))) is None
+
+
+def test_seed_clusters_are_greedy_and_exclusive(spark):
+    from lorekeep.operators.learning import seed_clusters
+
+    pairs = spark.createDataFrame([("s", a, b) for a, b in [(1, 2), (1, 3), (2, 3), (3, 4), (4, 5), (3, 5)]], "scope string, a int, b int")
+    order = spark.createDataFrame([("s", i, i) for i in range(1, 7)], "scope string, id int, nth int")
+    got = sorted((r.seed, r.member) for r in seed_clusters(pairs, order).collect())
+    assert got == [(1, 1), (1, 2), (1, 3)]
