@@ -61,17 +61,26 @@ def _csr(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return lists.values.to_numpy()[ends[0] : ends[-1]], ends - ends[0]
 
 
+def _frequent(lists: pa.ListArray, least: int = MIN_TEXTS) -> tuple[np.ndarray, np.ndarray]:
+    """Row number and feature of all entries but those whose feature surely has fewer than ``least`` of them,
+    told by how many entries share the feature's leading bits. It spares the memory that rare ones would take."""
+    flat, ends = _csr(lists)
+    row = np.repeat(np.arange(len(ends) - 1, dtype=np.int32), np.diff(ends))
+    lead = (flat.view(np.uint64) >> np.uint64(42)).astype(np.int32)
+    kept = np.bincount(lead, minlength=1 << 22)[lead] >= least
+    return row[kept], flat[kept]
+
+
 def fit(lists: pa.ListArray, grades: np.ndarray, weight: np.ndarray | None = None, rounds: int = 400) -> OrdinalModel:
     """Fit on one feature list and grade for each training row; ``weight``: how many rows a row stands for."""
     empty = OrdinalModel(np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
     levels = int(grades.max()) + 1 if len(grades) else 0
     if levels < 2:
         return empty
-    flat, ends = _csr(lists)
     n = len(grades)
     weight = np.ones(n) if weight is None else weight
     weight = weight / weight.sum()
-    row = np.repeat(np.arange(n), np.diff(ends))
+    row, flat = _frequent(lists)
     names, column, seen = np.unique(flat, return_inverse=True, return_counts=True)
     base = (grades - grades.mean()) / max(grades.std(), 1e-9)
     tilt = np.bincount(column, weights=base[row]) / np.sqrt(seen)  # a z-score, were the feature no sign of a grade
@@ -119,8 +128,7 @@ def severity_grades(lists: pa.ListArray, toxic: np.ndarray) -> np.ndarray:
     median of the toxic rows, where a sign is a feature that toxic rows have at least 20 times as often."""
     if not toxic.any():
         return toxic.astype(np.int64)
-    flat, ends = _csr(lists)
-    row = np.repeat(np.arange(len(toxic)), np.diff(ends))
+    row, flat = _frequent(lists)
     _, column = np.unique(flat, return_inverse=True)
     bad = np.bincount(column, weights=toxic[row]) / toxic.sum()
     good = np.bincount(column, weights=1 - toxic[row]) / max(1, (1 - toxic).sum())
