@@ -36,7 +36,7 @@ from .common import shuffles, text_of
 MAX_VOCAB = 1_000_000
 BLOCK_CHARS = 30_000_000
 BLOCK_DISTINCT = 500_000
-CUTS = 200_000
+CUTS = 300_000
 CHUNK = 256
 LISTINGS = 200_000
 
@@ -190,17 +190,18 @@ def encode(
         import tiktoken
 
         core = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=vocabulary.value, special_tokens={})
-        last, ids, blocks, places, sizes, flat = None, [], [], [], [], []
+        parts: list[tuple] = []
 
         def packed() -> pa.RecordBatch:
             """The listings so far, one row for each block."""
-            order = np.lexsort((places, blocks))
-            block, place, size = (np.array(x, dtype=np.int64)[order] for x in (blocks, places, sizes))
-            starts = (np.cumsum(sizes) - sizes)[order]
-            token = np.array(flat, dtype=np.int64)
-            token = token[np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(len(token))]
-            cut = np.append(np.flatnonzero(np.diff(block, prepend=block[0] - 1)), len(block))
+            block, place, size, start, token = (np.concatenate(x) for x in zip(*parts))
+            order = np.lexsort((place, block))
+            shift = np.cumsum([0, *(len(p[4]) for p in parts[:-1])])
+            start = (start + np.repeat(shift, [len(p[3]) for p in parts]))[order]
+            block, place, size = block[order], place[order], size[order]
             stop = np.concatenate([[0], np.cumsum(size)])
+            token = token[np.repeat(start - stop[:-1], size) + np.arange(stop[-1])]
+            cut = np.append(np.flatnonzero(np.diff(block, prepend=block[0] - 1)), len(block))
             rows = [
                 (int(block[a]), b - a, _packed(np.diff(place[a:b], prepend=0)), _packed(size[a:b]), _packed(token[stop[a] : stop[b]]))
                 for a, b in zip(cut[:-1], cut[1:])
@@ -209,18 +210,22 @@ def encode(
             columns = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)]
             return pa.RecordBatch.from_arrays(columns, ["block", "n", "places", "sizes", "ids"])
 
+        last, last_ids = None, []
         for batch in batches:  # sorted by word: each distinct word is one run
-            blocks += batch.column(0).to_pylist()
-            places += batch.column(1).to_pylist()
-            for word in batch.column(2).to_pylist():
+            words = batch.column(2).dictionary_encode()
+            ids = []
+            for word in words.dictionary.to_pylist():
                 if word != last:
-                    last, ids = word, core._encode_single_piece(word)
-                sizes.append(len(ids))
-                flat += ids
-            if len(blocks) >= LISTINGS:
+                    last, last_ids = word, core._encode_single_piece(word)
+                ids.append(last_ids)
+            size = np.array([len(x) for x in ids], dtype=np.int64)
+            start, run = np.cumsum(size) - size, words.indices.to_numpy()
+            flat = np.fromiter(chain.from_iterable(ids), dtype=np.int64, count=int(size.sum()))
+            parts.append((batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64), size[run], start[run], flat))
+            if sum(len(p[0]) for p in parts) >= LISTINGS:
                 yield packed()
-                blocks, places, sizes, flat = [], [], [], []
-        if blocks:
+                parts.clear()
+        if sum(len(p[0]) for p in parts):
             yield packed()
 
     def lay_out(sequences: pa.Table, words: pa.Table) -> pa.Table:
@@ -296,7 +301,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], *, ids_col: str = "ids",
                 flat = np.where((flat < 0) | (flat > outside), outside, flat)
                 joined = token_bytes.take(pa.array(flat))
                 stops = np.concatenate([[0], np.cumsum(pc.binary_length(joined).to_numpy())])[np.concatenate([[0], ends])]
-                data = b"".join(joined.to_pylist())
+                data = joined.buffers()[2].to_pybytes() if stops[-1] else b""  # the bytes of all tokens, in order
                 texts = [data[a:b] for a, b in zip(stops[:-1], stops[1:])]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], [*names, out_col])
 
