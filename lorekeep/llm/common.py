@@ -12,10 +12,16 @@ from pyspark.sql import functions as F
 
 
 _SHIPPED: set[str] = set()
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once for each application."""
+    """Send this package to the executors' Python workers, once for each application.
+
+    Where the session leaves the size of Arrow batches at its default, they are made smaller, as a row is
+    a whole document and a worker holds a batch and what it makes of it."""
+    if not spark.sparkContext.getConf().contains(BATCH_ROWS) and spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, "2000")
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
