@@ -8,12 +8,14 @@ probability of the weighted Jaccard similarity. A process is followed only while
 last time that the text's registers still need.
 
 Texts with equal multisets are one node. Signatures are cut into ``BANDS`` bands of ``ROWS`` registers;
-nodes that agree in a band meet in a bucket. Buckets are resolved without emitting all pairs: in each
-round some leaders of a bucket are compared with those of its nodes that are not in the leader's component
-yet, first one leader, then 8, 64 and all others; a bucket whose nodes are linked is done. So a large group
-of near copies costs its leaders' comparisons, and no two nodes of a bucket end in different components
-uncompared. A comparison first estimates the similarity from the signatures (dropped below ``ESTIMATE``,
-five standard deviations under the threshold) and then counts the overlap of the multisets exactly.
+nodes that agree in a band meet in a bucket, and no two nodes of a bucket end in different components
+uncompared. First every node is compared with its buckets' leaders (their smallest nodes), and what links
+is joined; only buckets that still hold several components go on. Of those with at most ``SMALL`` nodes,
+pairs from different components are compared. Larger ones are dealt into blocks of ``BLOCK`` nodes; each
+two blocks meet in one group of bounded size, which counts all overlaps at once and returns only links
+that join components, so no group emits its pairs. A comparison of a pair first estimates the similarity
+from the signatures (dropped below ``ESTIMATE``, five standard deviations under the threshold) and then
+counts the overlap of the multisets exactly; blocks count exactly at once.
 A pair at the threshold misses all bands with a probability of 3e-5, less for more similar ones.
 
 Defined cases: texts of 1 to 4 words are one shingle; null texts and texts without words resemble
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of, word_hashes, written
@@ -40,8 +42,9 @@ REGISTERS = BANDS * ROWS
 SIMILARITY = 0.8
 ESTIMATE = 0.62
 SLICE_WORDS = 400_000
-#: How many leaders a bucket has in each round.
-LEADERS = (1, 8, 64, 2**31 - 1)
+SMALL, BLOCK = 8, 384
+#: Elements of at least so many sets of a block are counted by a matrix product.
+COMMON = 8
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _EDGES = "a binary, b binary"
@@ -60,8 +63,8 @@ def shingles(words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     size = np.diff(ends)
     text = np.repeat(np.arange(len(size)), size)
     rolled = np.zeros(n, dtype=np.uint64)
-    for k in range(SHINGLE):
-        rolled[: n - k] = _mix(rolled[: n - k] * _GOLD + words[k:]) if k < n else rolled[:0]
+    for k in range(min(SHINGLE, n)):
+        rolled[: n - k] = _mix(rolled[: n - k] * _GOLD + words[k:])
     place = np.arange(n) - ends[:-1][text]
     whole = place + SHINGLE <= size[text]
     short = np.flatnonzero((size > 0) & (size < SHINGLE))
@@ -215,17 +218,88 @@ def _alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.mapInArrow(work, _EDGES)
 
 
-def links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
-    """The pairs of nodes whose multisets overlap by at least ``similarity``, verified exactly; written."""
-    pairs = written(_alike(pairs, nodes), "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node")
-    elements = written(_elements(docs, wanted, id_col, text_col).dropDuplicates(["node"]), "elements")
-    both = pairs.join(elements.toDF("a", "elements_a"), "a").join(elements.toDF("b", "elements_b"), "b")
+def _verified(pairs: DataFrame, nodes: DataFrame, elements: DataFrame, similarity: float) -> DataFrame:
+    """The pairs of nodes whose multisets overlap by at least ``similarity``, counted exactly; written."""
+    close = written(_alike(pairs, nodes), "pairs")
+    both = close.join(elements.toDF("a", "elements_a"), "a").join(elements.toDF("b", "elements_b"), "b")
     shared = F.size(F.array_intersect("elements_a", "elements_b"))
     union = F.size("elements_a") + F.size("elements_b") - F.col("shared")
-    return written(
-        both.withColumn("shared", shared).where(F.col("shared") >= union * similarity - 1e-9).select("a", "b"), "links"
-    )
+    kept = both.withColumn("shared", shared).where(F.col("shared") >= union * similarity - 1e-9)
+    return written(kept.select("a", "b"), "links")
+
+
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """The number of shared elements of every two sets: elements of many sets by a matrix product, those of
+    few sets by their own pairs."""
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])
+    _, element, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    out = np.zeros((n, n), dtype=np.float32)
+    common = np.flatnonzero(seen >= COMMON)
+    place = np.full(len(seen), -1)
+    for first in range(0, len(common), 4096):
+        part = common[first : first + 4096]
+        place[:] = -1
+        place[part] = np.arange(len(part))
+        has = place[element] >= 0
+        table = np.zeros((n, len(part)), dtype=np.float32)
+        table[owner[has], place[element[has]]] = 1
+        out += table @ table.T
+    order = np.argsort(element, kind="stable")
+    starts = np.cumsum(seen) - seen
+    for count in range(2, COMMON):
+        own = starts[seen == count]
+        members = owner[order[own[:, None] + np.arange(count)]]
+        for i in range(count):
+            for j in range(count):
+                if i != j:
+                    np.add.at(out, (members[:, i], members[:, j]), 1)
+    np.fill_diagonal(out, [len(s) for s in sets])
+    return out
+
+
+def forest(linked: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join what the matrix ``linked`` joins and the labels don't yet, a few for each node."""
+    out = []
+    label = label.copy()
+    while True:
+        best = np.where(linked, label[None, :], np.iinfo(np.int64).max)
+        least = best.argmin(axis=1)
+        better = np.flatnonzero(best[np.arange(len(label)), least] < label)
+        if not len(better):
+            return out
+        out += [(int(i), int(least[i])) for i in better]
+        for i in better:  # a whole label follows its smallest link
+            old, new = label[i], label[least[i]]
+            if new < old:
+                label[label == old] = new
+
+
+def _block_links(rows: DataFrame, elements: DataFrame, similarity: float) -> DataFrame:
+    """Links inside large buckets; ``rows`` has (bucket, node, root, n) with the bucket's size ``n``.
+
+    A bucket is dealt into blocks of about ``BLOCK`` nodes, and every two blocks meet once in a group of
+    bounded size, which counts all overlaps and returns only the links that join components."""
+    blocks = F.ceil(F.col("n") / BLOCK)
+    dealt = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    met = met.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "root")
+    full = met.join(elements, "node")
+
+    def work(group: pa.Table) -> pa.Table:
+        names = group["node"].to_pylist()
+        roots = {r: k for k, r in enumerate(sorted(set(group["root"].to_pylist())))}
+        label = np.array([roots[r] for r in group["root"].to_pylist()], dtype=np.int64)
+        if len(roots) < 2:
+            return pa.table([pa.array([], pa.binary())] * 2, ["a", "b"])
+        sets = [np.asarray(x.values) for x in group["elements"]]
+        shared = overlaps(sets)
+        size = shared.diagonal()
+        linked = shared >= (size[:, None] + size[None, :] - shared) * similarity - 1e-6
+        found = forest(linked, label)
+        return pa.table([pa.array([names[x[k]] for x in found], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+    return written(full.groupBy("bucket", "i", "j").applyInArrow(work, _EDGES), "links")
 
 
 def near_duplicates(
@@ -244,34 +318,23 @@ def near_duplicates(
         "nodes",
     )
     banded = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader")).where("n > 1")
     buckets = written(banded.join(shared, "bucket"), "buckets")
-    found, roots, used = None, None, 0
-    while True:
-        leaders = LEADERS[min(used, len(LEADERS) - 1)]
-        named = buckets.withColumn("root", F.col("node"))
-        if roots is not None:
-            named = (
-                buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("bucket", "node", "root")
-            )
-            split = named.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
-            named = named.join(split.select("bucket"), "bucket")
-        named = written(named.withColumn("nth", F.row_number().over(Window.partitionBy("bucket").orderBy("node"))), "named")
-        leading = named.where((F.col("nth") > sum(LEADERS[:used])) & (F.col("nth") <= sum(LEADERS[:used]) + leaders))
-        leading = leading.select("bucket", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("nth").alias("nth_a"))
-        pairs = (
-            named.join(leading, "bucket")
-            .where((F.col("nth") > F.col("nth_a")) & (F.col("root") != F.col("root_a")))
-            .select("a", F.col("node").alias("b"))
-            .distinct()
-        )
-        more = links(docs, nodes, pairs, id_col, text_col, similarity)
-        found = more if found is None else found.unionByName(more)
-        buckets = named.select("bucket", "node") if roots is not None else buckets
-        roots = components(found)
-        used += 1
-        if used == len(LEADERS) or named.limit(1).isEmpty():
-            break
+    wanted = buckets.select("node").distinct().join(nodes.select("node", "id", "text_hash"), "node")
+    elements = written(_elements(docs, wanted, id_col, text_col).dropDuplicates(["node"]), "elements")
+    stars = buckets.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    found = _verified(stars, nodes, elements, similarity)
+    roots = components(found)
+    named = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    split = named.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
+    open_ = written(named.join(split.select("bucket"), "bucket").select("bucket", "node", "root", "n"), "open")
+    small = open_.where(F.col("n") <= SMALL)
+    one, two = (small.select("bucket", F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
+    pairs = one.join(two, "bucket").where("a < b and root_a <> root_b").select("a", "b").distinct()
+    pairs = pairs.join(stars, ["a", "b"], "left_anti")
+    found = found.unionByName(_verified(pairs, nodes, elements, similarity))
+    found = found.unionByName(_block_links(open_.where(F.col("n") > SMALL), elements, similarity))
+    roots = components(found)
     named = nodes.select("node", "id", "text_hash").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named_class = named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")).alias("head"))
     classes = named.join(named_class, "root").select("node", "head")
