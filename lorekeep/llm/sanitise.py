@@ -8,8 +8,10 @@ by the share of e's information that it gives away,
 
 with document counts as estimates: 1 where t occurs only together with e, about 0 where t says nothing of
 e. In texts that hold e, terms at or above ``GENERALISE`` become a word that only tells their kind, and
-terms at or above ``REMOVE`` are removed. An estimate needs at least ``SUPPORT`` different texts with both
-e and t, so that copies of one text prove nothing. Base spans are replaced by their kind.
+terms at or above ``REMOVE`` are removed. Where fewer than ``SUPPORT`` different texts have both e and t, the
+missing ones count as texts with t alone, each as often as the texts seen: entities of a single text are
+estimated too, with caution, and copies of one text prove no more than it does. Base spans are replaced by
+their kind.
 
 Only texts with base spans are stored and joined; other texts keep their row and are read again where
 whole sanitised texts are wanted. Terms are runs of letters and digits, lower-cased, outside base spans;
@@ -173,35 +175,31 @@ def _terms_of(rows: DataFrame) -> DataFrame:
 
 
 def disclosures(docs: DataFrame, found: DataFrame, text_col: str = "text", support: int = SUPPORT) -> DataFrame:
-    """entity, term, disclosure and the counts behind it, of all pairs with enough support.
+    """entity, term, disclosure and the counts behind it, of all pairs that share a text.
 
     ``found`` has entities and terms of the texts with base spans (see ``_terms_of``)."""
     entities = (
         found.select("text_hash", F.explode("entities").alias("entity"))
-        .groupBy("entity", "text_hash")
-        .agg(F.count(F.lit(1)).alias("n"))
         .groupBy("entity")
-        .agg(F.sum("n").alias("n_entity"), F.count(F.lit(1)).alias("n_texts"))
-        .where(F.col("n_texts") >= support)
+        .agg(F.count(F.lit(1)).alias("n_entity"))
     )
     pairs = (
         found.select("text_hash", F.explode("entities").alias("entity"), "terms")
-        .join(entities.select("entity"), "entity")
         .groupBy("entity", "text_hash")
         .agg(F.count(F.lit(1)).alias("n"), F.first("terms").alias("terms"))  # one text, one term list
         .select("entity", "n", F.explode("terms").alias("term"))
         .groupBy("entity", "term")
         .agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("n_texts"))
-        .where(F.col("n_texts") >= support)
     )
     words = F.array_distinct(F.filter(F.split(F.lower(text_of(text_col)), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
     counts = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     total = F.lit(float(docs.count()))
     # a term that the two ways to split words tell apart is at least as frequent as its pairs
     n_term = F.greatest(F.coalesce("n_term", "n_both"), F.col("n_both"))
-    pmi = F.log(F.col("n_both") * total / (F.col("n_entity") * n_term))
+    missing = F.greatest(F.lit(support) - F.col("n_texts"), F.lit(0)) * F.col("n_both") / F.col("n_texts")
+    pmi = F.log(F.col("n_both") * total / (F.col("n_entity") * (n_term + missing)))
     return (
-        pairs.join(entities.drop("n_texts"), "entity")
+        pairs.join(entities, "entity")
         .join(counts, "term", "left")
         .withColumn("disclosure", F.when(F.col("n_entity") < total, pmi / F.log(total / F.col("n_entity"))).otherwise(0.0))
         .select("entity", "term", "disclosure", "n_entity", "n_both", n_term.alias("n_term"))

@@ -105,6 +105,13 @@ def test_terms_that_disclose_an_entity_are_replaced(spark):
     assert sanitise.sanitise(df.where("false")).count() == 0
 
 
+def test_terms_of_an_entity_in_a_single_text_are_replaced(spark):
+    docs = [(0, "Zorblax wrote to eve@example.com the day")] + [(1 + i, f"the day he wrote to n{i}") for i in range(99)]
+    out = {r.doc_id: r for r in sanitise.sanitise(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert out[0].sanitised == "[NAME] wrote to [EMAIL] the day"  # 1 - log 3 / log 100: told, but never removed on one text
+    assert out[1].sanitised == "the day he wrote to n0"
+
+
 def test_chat_parts_become_placeholders_and_read_back(spark):
     null = None
     part = lambda kind, text=null, ref=null, w=null, h=null, s=null, p=null: (kind, text, ref, w, h, s, p)
