@@ -13,12 +13,12 @@ missing ones count as texts with t alone, each as often as the texts seen: entit
 estimated too, with caution, and copies of one text prove no more than it does. Base spans are replaced by
 their kind.
 
-Only texts with base spans are stored and joined; other texts keep their row and are read again where
-whole sanitised texts are wanted. Terms are runs of letters and digits, lower-cased, outside base spans;
+Only the terms of texts with base spans are stored. Each disclosing term, with its highest disclosure, then
+goes to all texts: broadcast up to ``MAX_TOLD`` terms, else joined with the terms of each text. Terms are runs of letters and digits, lower-cased, outside base spans;
 counts are aggregated before they are shuffled, so a frequent term or entity is no group of its own.
 
 Defined cases: null and empty texts have no spans. Rows are independent: null or repeated ids stay, one
-result for each row. Texts without a base span are unchanged. Extra columns pass only if named in ``keep``.
+result for each row. Texts without a base span or disclosing term are unchanged. Extra columns pass only if named in ``keep``.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ TERM = "term"
 SUPPORT = 3
 GENERALISE = 0.75
 REMOVE = 0.95
+#: At most so many disclosing terms are broadcast; beyond it they meet the terms of each text in a join.
+MAX_TOLD = 300_000
 
 SPANS = "array<struct<kind:string,start:int,end:int,value:string>>"
 
@@ -119,6 +121,10 @@ def _entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind == 'email' else re.sub(r'[^0-9.]' if kind == 'ip' else r'[^0-9]', '', value)}"
 
 
+def _base(text: str) -> list[dict]:
+    return [{"kind": k, "start": a, "end": b, "value": _entity(k, text[a:b])} for k, a, b in base_spans(text)]
+
+
 def _terms(text: str, spans: list[dict]) -> Iterator[re.Match]:
     """Words outside the base spans."""
     ends = iter(sorted((s["start"], s["end"]) for s in spans))
@@ -130,54 +136,31 @@ def _terms(text: str, spans: list[dict]) -> Iterator[re.Match]:
             yield m
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, kept columns, ``spans`` of each row, and its ``text`` where it has spans (else null)."""
-    rows = docs.select(
-        F.col(id_col).alias("id"),
-        F.struct(*[F.col(f"`{c}`") for c in keep] or [F.lit(0).alias("none")]).alias("kept"),
-        text_of(text_col).alias("text"),
-    )
-    out = rows.select("id", "kept", F.lit(None).cast(SPANS).alias("spans"), F.lit(None).cast("string").alias("text"))
-    schema = out.schema
+def _found(docs: DataFrame, text_col: str) -> DataFrame:
+    """text_hash, entities and distinct terms of the texts with base spans."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        kind = to_arrow_type(schema["spans"].dataType)
         for batch in batches:
-            found, texts = [], []
-            for text in batch.column(2).to_pylist():
-                spans = [{"kind": k, "start": a, "end": b, "value": _entity(k, text[a:b])} for k, a, b in base_spans(text)]
-                found.append(spans)
-                texts.append(text if spans else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, kind), pa.array(texts, pa.string())], schema.names)
-
-    return rows.mapInArrow(work, schema)
-
-
-def _terms_of(rows: DataFrame) -> DataFrame:
-    """row, text_hash, entities and distinct terms of the rows of a stored scan that have spans."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = batch.to_pydict()
-            entities = [sorted({s["value"] for s in spans}) for spans in columns["spans"]]
-            terms = [sorted({m.group().lower() for m in _terms(t, s)}) for t, s in zip(columns["text"], columns["spans"])]
+            hashes, entities, terms = [], [], []
+            for text_hash, text in zip(*(c.to_pylist() for c in batch.columns)):
+                spans = _base(text)
+                if spans:
+                    hashes.append(text_hash)
+                    entities.append(sorted({s["value"] for s in spans}))
+                    terms.append(sorted({m.group().lower() for m in _terms(text, spans)}))
             lists = pa.list_(pa.string())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(entities, lists), pa.array(terms, lists)],
-                ["row", "text_hash", "entities", "terms"],
+                [pa.array(hashes, pa.int64()), pa.array(entities, lists), pa.array(terms, lists)], ["text_hash", "entities", "terms"]
             )
 
-    return rows.select("row", F.xxhash64("text").alias("text_hash"), "spans", "text").mapInArrow(
-        work, "row long, text_hash long, entities array<string>, terms array<string>"
-    )
+    rows = docs.select(text_of(text_col).alias("text")).select(F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(work, "text_hash long, entities array<string>, terms array<string>")
 
 
 def disclosures(docs: DataFrame, found: DataFrame, text_col: str = "text", support: int = SUPPORT) -> DataFrame:
     """entity, term, disclosure and the counts behind it, of all pairs that share a text.
 
-    ``found`` has entities and terms of the texts with base spans (see ``_terms_of``)."""
+    ``found`` has entities and terms of the texts with base spans (see ``_found``)."""
     entities = (
         found.select("text_hash", F.explode("entities").alias("entity"))
         .groupBy("entity")
@@ -206,38 +189,67 @@ def disclosures(docs: DataFrame, found: DataFrame, text_col: str = "text", suppo
     )
 
 
-def _applied(rows: DataFrame) -> DataFrame:
-    """Rows of a scan with ``revealing`` terms: all spans, and the text with every span replaced."""
+def _replaced(text: str, terms: dict[str, float]) -> tuple[list[dict], str]:
+    """All spans of a text, and the text with every span replaced."""
+    spans = _base(text)
+    more = [
+        {"kind": TERM, "start": m.start(), "end": m.end(), "value": m.group()}
+        for m in (_terms(text, spans) if terms else ())
+        if m.group().lower() in terms
+    ]
+    spans = sorted(spans + more, key=lambda s: (s["start"], (*KINDS, TERM).index(s["kind"])))
+    out, at = [], 0
+    for s in spans:
+        if s["start"] < at:  # what an earlier span covers is gone already
+            at = max(at, s["end"])
+            continue
+        out += text[at : s["start"]], _substitute(s, terms)
+        at = s["end"]
+    return spans, "".join([*out, text[at:]])
+
+
+def _applied(rows: DataFrame, told: dict[str, float] | None, texts: bool) -> DataFrame:
+    """Rows (id, kept, text, and ``revealing`` terms where ``told`` is none): id, kept, all spans, and the text
+    with every span replaced."""
+    sent = None if told is None else rows.sparkSession.sparkContext.broadcast(told)
     names = ["id", "kept", "spans", "text"]
-    schema = StructType([rows.schema[n] for n in names])
+    schema = rows.select("id", "kept", F.lit(None).cast(SPANS).alias("spans"), F.lit(None).cast("string").alias("text")).schema
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
         for batch in batches:
-            texts, found = [], []
-            for spans, text, revealing in zip(*(batch.column(n).to_pylist() for n in ("spans", "text", "revealing"))):
-                terms = {r["term"]: r["disclosure"] for r in revealing or ()}
-                more = [
-                    {"kind": TERM, "start": m.start(), "end": m.end(), "value": m.group()}
-                    for m in (_terms(text, spans) if terms else ())
-                    if m.group().lower() in terms
-                ]
-                spans = sorted(spans + more, key=lambda s: (s["start"], (*KINDS, TERM).index(s["kind"])))
-                out, at = [], 0
-                for s in spans:
-                    if s["start"] < at:  # what an earlier span covers is gone already
-                        at = max(at, s["end"])
-                        continue
-                    out += text[at : s["start"]], _substitute(s, terms)
-                    at = s["end"]
-                texts.append("".join([*out, text[at:]]))
+            found, out = [], []
+            own = batch.column(3).to_pylist() if sent is None else [None] * batch.num_rows
+            for text, revealing in zip(batch.column(2).to_pylist(), own):
+                spans, clean = _replaced(text, {r["term"]: r["disclosure"] for r in revealing or ()} if sent is None else sent.value)
                 found.append(spans)
+                out.append(clean if texts or spans else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(found, to_arrow_type(schema["spans"].dataType)), pa.array(texts)], names
+                [*batch.columns[:2], pa.array(found, to_arrow_type(schema["spans"].dataType)), pa.array(out, pa.string())], names
             )
 
-    return rows.select(*names, "revealing").mapInArrow(work, schema)
+    return rows.mapInArrow(work, StructType([*schema]))
+
+
+def _revealing(docs: DataFrame, told: DataFrame, text_col: str) -> DataFrame:
+    """text_hash and the told terms of each text that has some. Words are split as by ``_terms``; texts of one
+    hash share their list, which is harmless, as a text only takes the terms that it has."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms = [list({w.lower() for w in _WORD.findall(t)} | {m.group().lower() for m in _terms(t, _base(t))}) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(terms, pa.list_(pa.string()))], ["text_hash", "terms"])
+
+    texts = docs.select(text_of(text_col).alias("text")).select(F.xxhash64("text").alias("text_hash"), "text")
+    words = texts.mapInArrow(work, "text_hash long, terms array<string>").select("text_hash", F.explode("terms").alias("term"))
+    return (
+        words.join(told, "term")
+        .groupBy("text_hash", "term")
+        .agg(F.first("disclosure").alias("disclosure"))
+        .groupBy("text_hash")
+        .agg(F.collect_list(F.struct("term", "disclosure")).alias("revealing"))
+    )
 
 
 def _substitute(span: dict, terms: dict[str, float]) -> str:
@@ -254,43 +266,24 @@ def sanitise(
 ) -> DataFrame:
     """One row for each row of ``docs``: id, ``spans`` (base and term spans, with values), ``sanitised``
     (with ``texts``; else null where nothing changed) and the columns ``keep``."""
-    rows = written(scan(docs, id_col, text_col, keep).withColumn("row", F.monotonically_increasing_id()), "scan")
-    hits = rows.where("text is not null")
-    found = written(_terms_of(hits), "terms")
+    found = written(_found(docs, text_col), "terms")
     told = disclosures(docs, found, text_col).where(F.col("disclosure") >= GENERALISE)
-    by_entity = told.groupBy("entity").agg(F.collect_list(F.struct("term", "disclosure")).alias("told"))
-    by_row = (
-        found.select("row", F.explode("entities").alias("entity"))
-        .join(by_entity, "entity")
-        .select("row", F.explode("told").alias("t"))
-        .groupBy("row", "t.term")
-        .agg(F.max("t.disclosure").alias("disclosure"))
-        .groupBy("row")
-        .agg(F.collect_list(F.struct("term", "disclosure")).alias("revealing"))
+    told = written(told.groupBy("term").agg(F.max("disclosure").alias("disclosure")), "told")
+    rows = docs.select(
+        F.col(id_col).alias("id"),
+        F.struct(*[F.col(f"`{c}`") for c in keep] or [F.lit(0).alias("none")]).alias("kept"),
+        text_of(text_col).alias("text"),
     )
-    changed = _applied(hits.join(by_row, "row", "left"))
-    if texts:  # unchanged texts were not stored: they are read again
-        again = _without_spans(docs, id_col, text_col, keep)
+    if told.count() <= MAX_TOLD:
+        table = told.toArrow()
+        done = _applied(rows, dict(zip(table["term"].to_pylist(), table["disclosure"].to_pylist())), texts)
     else:
-        again = rows.where("text is null").select("id", "kept", "spans", "text")
-    return changed.unionByName(again).select(
+        revealing = _revealing(docs, told, text_col)
+        joined = rows.withColumn("text_hash", F.xxhash64("text")).join(revealing, "text_hash", "left")
+        done = _applied(joined.select("id", "kept", "text", "revealing"), None, texts)
+    return done.select(
         F.col("id").alias(id_col),
         "spans",
         F.col("text").alias("sanitised"),
         *[F.col("kept")[c].alias(c) for c in keep if c not in (id_col, "spans", "sanitised")],
     )
-
-
-def _without_spans(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...]) -> DataFrame:
-    rows = docs.select(
-        F.col(id_col).alias("id"),
-        F.struct(*[F.col(f"`{c}`") for c in keep] or [F.lit(0).alias("none")]).alias("kept"),
-        F.array().cast(SPANS).alias("spans"),
-        text_of(text_col).alias("text"),
-    )
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array([not base_spans(t) for t in batch.column(3).to_pylist()], pa.bool_()))
-
-    return rows.mapInArrow(work, rows.schema)

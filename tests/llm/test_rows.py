@@ -112,6 +112,17 @@ def test_terms_of_an_entity_in_a_single_text_are_replaced(spark):
     assert out[1].sanitised == "the day he wrote to n0"
 
 
+def test_disclosing_terms_are_replaced_in_texts_without_the_entity(spark, monkeypatch):
+    docs = [(i, f"Zorblax wrote{i} to eve@example.com") for i in range(4)] + [(9, "ask Zorblax the day"), (9, "ask Zorblax the day"), (None, None)]
+    docs += [(10 + i, f"the day to ask n{i}") for i in range(400)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    once = sorted(map(str, sanitise.sanitise(df).collect()))
+    clean = [r.sanitised for r in sanitise.sanitise(df).collect() if r.doc_id == 9]
+    assert clean == ["ask [NAME] the day"] * 2  # 4 of its 6 texts hold the entity: 1 - log 1.5 / log (407 / 4)
+    monkeypatch.setattr(sanitise, "MAX_TOLD", 0)
+    assert sorted(map(str, sanitise.sanitise(df).collect())) == once  # joined, not broadcast
+
+
 def test_chat_parts_become_placeholders_and_read_back(spark):
     null = None
     part = lambda kind, text=null, ref=null, w=null, h=null, s=null, p=null: (kind, text, ref, w, h, s, p)
