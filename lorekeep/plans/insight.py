@@ -57,6 +57,16 @@ def _(spark, sf_dir):
     return learning.merge_candidates(v.where("id % 20 = 0"), v, 0.2).withColumn("sim", F.round("sim", 6))
 
 
+@query(
+    "v2_j21_all_merge_candidates",
+    f"""with {VECTORS}, s as (select a.id as new_id, b.id as old_id, list_cosine_similarity(a.e, b.e) as sim from v a join v b on a.scope is not distinct from b.scope and a.id <> b.id)
+    select new_id, old_id, round(sim, 6) as sim from s where sim >= 0.2 qualify row_number() over (partition by new_id order by sim desc, old_id) = 1""",
+)
+def _(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    return learning.merge_candidates(v, v, 0.2).withColumn("sim", F.round("sim", 6))
+
+
 @query(
     "v27_contrast_partners",
     f"""with {VECTORS}, p as (select *, id % 3 = 0 as ok from v), s as (select a.id, b.id as partner, list_cosine_similarity(a.e, b.e) as sim from p a join p b on a.scope = b.scope and a.ok <> b.ok where a.id % 20 = 0)

@@ -113,6 +113,32 @@ def _(spark, sf_dir):
     return lowest.withColumn("nth", F.row_number().over(Window.orderBy("density", "query")))
 
 
+#: Every vector is a query: pair joins and statistics over all rows.
+VEC_ALL = VEC.replace(" where q.vec_id % 20 = 0", "")
+
+
+@query(
+    "v10_all_neighbour_pairs",
+    f"""with {VEC_ALL}, r as (select query, doc, sim, row_number() over (partition by query order by sim desc, doc) as rank from knn)
+    select least(query, doc) as a, greatest(query, doc) as b, round(max(sim), 6) as sim from r where rank <= 6 and sim >= 0.2 group by 1, 2""",
+)
+def _(spark, sf_dir):
+    return vectors.neighbour_pairs(_knn(spark, sf_dir, 6, step=1), 0.2).withColumn("sim", F.round("sim", 6))
+
+
+@query(
+    "g15_v7_all_density_outliers",
+    f"""with {VEC_ALL}, r as (select query, sim, row_number() over (partition by query order by sim desc, doc) as rank from knn), d as (select query, round(avg(sim), 6) as density from r where rank <= 8 group by query)
+    select query, density, row_number() over (order by density, query)::int as nth from d qualify nth <= greatest(1, (select count(*) from d) // 10)""",
+)
+def _(spark, sf_dir):
+    d = vectors.density(_knn(spark, sf_dir, 8, step=1)).withColumn("density", F.round("density", 6)).persist()
+    cut = max(1, d.count() // 10)
+    # numbered over a range sort: the lowest tenth grows with the table, so it is no single task
+    numbered = d.orderBy("density", "query").rdd.zipWithIndex().filter(lambda r: r[1] < cut).map(lambda r: (*r[0], r[1] + 1))
+    return spark.createDataFrame(numbered, f"query {dict(d.dtypes)['query']}, density double, nth int")
+
+
 MENTIONS = "mentions as (select l_partkey as entity, l_orderkey as memory from lineitem)"
 
 

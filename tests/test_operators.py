@@ -168,3 +168,14 @@ def test_seed_clusters_are_greedy_and_exclusive(spark):
     order = spark.createDataFrame([("s", i, i) for i in range(1, 7)], "scope string, id int, nth int")
     got = sorted((r.seed, r.member) for r in seed_clusters(pairs, order).collect())
     assert got == [(1, 1), (1, 2), (1, 3)]
+
+
+def test_pairs_outliers_and_merges_take_every_row(spark, tmp_path):
+    from lorekeep.plans import insight, registry, retrieval  # noqa: F401
+
+    rows = [(i, 0, [1.0 + i, float(i * i)]) for i in range(1, 41)]
+    spark.createDataFrame(rows, "vec_id long, label long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {n: registry.queries()[n](spark, str(tmp_path)).collect() for n in ("v10_all_neighbour_pairs", "g15_v7_all_density_outliers", "v2_j21_all_merge_candidates")}
+    assert any(r.a % 20 and r.b % 20 for r in got["v10_all_neighbour_pairs"])
+    assert [r.nth for r in got["g15_v7_all_density_outliers"]] == [1, 2, 3, 4]
+    assert {r.new_id for r in got["v2_j21_all_merge_candidates"]} == set(range(1, 41))
