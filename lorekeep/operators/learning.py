@@ -86,6 +86,40 @@ def seed_clusters(pairs: DataFrame, order: DataFrame, least: int = 3) -> DataFra
     )
 
 
+def vector_clusters(rows: DataFrame, threshold: float, least: int = 3) -> DataFrame:
+    """``seed_clusters`` of all rows (id, scope, v), seeds by id, at a cosine threshold, without a table of pairs.
+
+    Candidates are compared only with seeds and members, so memory is that of a scope's vectors; the
+    assignment is sequential, so a scope is one Arrow group (vectors of other lengths are never similar)."""
+
+    def assign(key, group):
+        import numpy as np
+        import pandas as pd
+
+        group = group.sort_values("id", kind="stable")
+        ids, v = group["id"].to_numpy(), np.array(group["v"].tolist(), dtype=np.float64)
+        length = np.linalg.norm(v, axis=1, keepdims=True)
+        v = v / np.where(length > 0, length, 1)
+        free, out = np.ones(len(ids), dtype=bool), []
+        for seed in range(len(ids)):
+            if not free[seed]:
+                continue
+            fits, members, at = free & (v @ v[seed] >= threshold), [seed], -1
+            fits[seed] = False
+            while (later := np.flatnonzero(fits[at + 1 :])).size:
+                at += 1 + int(later[0])
+                members.append(at)
+                fits &= v @ v[at] >= threshold
+            if len(members) >= least:
+                free[members] = False
+                out += [(key[0], ids[seed], ids[m]) for m in members]
+        return pd.DataFrame(out, columns=["scope", "seed", "member"])
+
+    kinds = dict(rows.dtypes)
+    known = rows.select("id", "scope", "v").where("id is not null and scope is not null and v is not null")
+    return known.groupBy("scope", F.size("v")).applyInPandas(assign, f"scope {kinds['scope']}, seed {kinds['id']}, member {kinds['id']}")
+
+
 def contrast_partners(asked: DataFrame, pool: DataFrame, threshold: float = 0.72) -> DataFrame:
     """Each asked row's most similar row of the opposite verdict within its scope: id, partner, sim."""
     a = asked.select("id", "scope", "ok", "v")

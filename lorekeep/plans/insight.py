@@ -79,13 +79,8 @@ def _(spark, sf_dir):
 
 @query("v5_v6_w10_seed_clusters")
 def _(spark, sf_dir):
-    """Greedy clusters of each scope's 200 first candidates."""
-    nth = F.row_number().over(Window.partitionBy("scope").orderBy("id"))
-    pool = _vectors(spark, sf_dir).withColumn("nth", nth).where("nth <= 200")
-    other = pool.select("scope", F.col("id").alias("b"), F.col("v").alias("w"))
-    near = pool.select("scope", F.col("id").alias("a"), "v").join(other, "scope").where("a < b")
-    pairs = near.where(vectors.cosine(F.col("v"), F.col("w")) >= 0.2).select("scope", "a", "b")
-    return learning.seed_clusters(pairs, pool.select("scope", "id", "nth"))
+    """Greedy clusters of all rows of each scope, in the order of their ids."""
+    return learning.vector_clusters(_vectors(spark, sf_dir), 0.2)
 
 
 @query("v23_leg_weight_fit")
