@@ -72,3 +72,37 @@ def personal_pagerank(edges: DataFrame, seeds: DataFrame, *, damping: float = DA
         rank, f"query {kinds['query']}, node {kinds['a']}, score double"
     )
     return ranked.where("score > 0")
+
+
+def mention_pagerank(mentions: DataFrame, seeds: DataFrame, *, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+    """``personal_pagerank`` over all co-mentions of (query, entity, memory), none left out.
+
+    No edge is made: a memory gets from each of its entities the sum of all its memories' flow but its own.
+    A query is one Arrow group, of the size of its mentions; queries run in parallel."""
+
+    def rank(key, rows, starts):
+        import numpy as np
+        import pandas as pd
+
+        entity = pd.factorize(rows["entity"])[0]
+        memory, nodes = pd.factorize(pd.concat([rows["memory"], starts["node"]]), sort=True)
+        memory, first = memory[: len(rows)], memory[len(rows) :]
+        start = np.zeros(len(nodes))
+        start[first] = 1
+        start /= max(start.sum(), 1)
+        degree = np.bincount(entity) - 1
+        out = np.bincount(memory, degree[entity], len(nodes))
+        share = start.copy()
+        for _ in range(rounds):
+            flow = np.where(out > 0, share / np.where(out > 0, out, 1), 0)
+            own = np.where(degree[entity] > 0, np.bincount(entity, flow[memory])[entity] - flow[memory], 0)
+            share = (1 - damping) * start + damping * np.bincount(memory, np.maximum(own, 0), len(nodes))
+        return pd.DataFrame({"query": key[0], "node": nodes, "score": share})[start == 0]
+
+    kinds = dict(mentions.dtypes)
+    rows = mentions.select("query", "entity", "memory").dropna().distinct()
+    starts = seeds.select(F.col("query").alias("of"), F.col("node").alias("node"))
+    ranked = rows.groupBy("query").cogroup(starts.groupBy("of")).applyInPandas(
+        rank, f"query {kinds['query']}, node {kinds['memory']}, score double"
+    )
+    return ranked.where("score > 0")

@@ -167,18 +167,16 @@ def _(spark, sf_dir):
 
 @query("r9_pagerank_leg")
 def _(spark, sf_dir):
-    """For each supplier, its orders linked by shared parts; its smallest orders are the seeds."""
+    """For each supplier, all its orders linked by shared parts; its smallest orders are the seeds."""
     from pyspark.sql import Window
 
     sold = table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("query"), F.col("l_partkey").alias("entity"), F.col("l_orderkey").alias("memory")
     )
     nth = F.row_number().over(Window.partitionBy("query").orderBy("memory"))
-    nodes = sold.select("query", "memory").distinct().withColumn("nth", nth).where(F.col("nth") <= graph.MAX_NODES)
-    m = sold.join(nodes, ["query", "memory"]).select(F.struct("query", "entity").alias("entity"), "memory")
-    own = graph.co_mentions(m, by=F.col("entity.query"))
-    seeds = nodes.where("nth <= 5").select("query", F.col("memory").alias("node"))
-    return graph.personal_pagerank(own, seeds).withColumn("score", F.round("score", 9))
+    seeds = sold.select("query", "memory").distinct().withColumn("nth", nth).where("nth <= 5")
+    ranked = graph.mention_pagerank(sold, seeds.select("query", F.col("memory").alias("node")))
+    return ranked.withColumn("score", F.round("score", 9))
 
 
 @query(

@@ -208,3 +208,24 @@ def test_registered_clusters_take_all_rows(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, label long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = registry.queries()["v5_v6_w10_seed_clusters"](spark, str(tmp_path)).collect()
     assert {r.member for r in got} == set(range(260))
+
+
+def test_pagerank_over_mentions_equals_that_over_all_edges(spark):
+    rows = [(1, e, 7 * e % 5 + 5 * m) for e in range(9) for m in range(0, 90, 1 + e)] + [(1, 99, m) for m in range(450)] + [(2, 1, 3), (2, 1, 4)]
+    df = spark.createDataFrame(rows, "query int, entity int, memory long")
+    seeds = spark.createDataFrame([(1, 0), (1, 7), (2, 3)], "query int, node long")
+    by = F.struct("query", "entity").alias("entity")
+    edges = graph.co_mentions(df.select(by, "memory"), per_entity=10**6, by=F.col("entity.query"))
+    want = {(r.query, r.node): r.score for r in graph.personal_pagerank(edges, seeds).collect()}
+    got = {(r.query, r.node): r.score for r in graph.mention_pagerank(df, seeds).collect()}
+    assert set(got) == set(want) and len(got) > 400
+    assert all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
+
+
+def test_registered_pagerank_takes_all_orders(spark, tmp_path):
+    from lorekeep.plans import registry, retrieval  # noqa: F401
+
+    rows = [(1, 1, m) for m in range(450)]
+    spark.createDataFrame(rows, "l_suppkey long, l_partkey long, l_orderkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = registry.queries()["r9_pagerank_leg"](spark, str(tmp_path)).collect()
+    assert {r.node for r in got} == set(range(5, 450))
