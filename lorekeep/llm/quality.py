@@ -4,9 +4,10 @@ A logistic model over shape features of a text (classes of characters, repetitio
 lengths) is fitted by minimising the non-negative unbiased risk of trusted positives P against unlabelled
 texts U with the class prior pi: pi E_P[loss(+)] + max(0, E_U[loss(-)] - pi E_P[loss(-)]). Where the second
 term falls below zero its gradient is reversed, so the fit does not chase it. The prior is estimated as
-the share of positives among the labelled rows. The score is shifted so that the share of U above ``CUT``
-is the prior, which makes ``CUT`` the decision that the prior implies. Both samples are bounded: at most
-``MAX_ROWS`` labelled rows and as many unlabelled ones, by the hash of the id; scoring covers all texts.
+the share of positives among the labelled rows. The score is shifted so that the share of all training texts
+above ``CUT`` is the prior, which makes ``CUT`` the decision that the prior implies. Both samples of the
+gradient are bounded: at most ``MAX_ROWS`` labelled rows and as many unlabelled ones, by the hash of the id;
+the shift (a mergeable quantile, within a ``RANKS``-th of the texts) and scoring cover all texts.
 
 Defined cases: null and empty texts have all counts 0 and are scored as such. Rows are independent: null
 or repeated ids stay, one result for each row. Labels without an id or value, or without a document, are
@@ -17,7 +18,7 @@ columns are read, and of these only the text is an input of a score.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,7 @@ from .common import text_of
 MAX_ROWS = 10_000
 CUT = 0.7
 ROUNDS = 1500
+RANKS = 1_000_000
 RIDGE = 1e-3
 SLICE_BYTES = 4_000_000
 
@@ -181,7 +183,24 @@ def train(
     x, y = _shapes(texts.join(F.broadcast(chosen.unionByName(web)), "id"))
     labelled = y >= 0
     prior = float(y[labelled].mean()) if labelled.any() else 0.5
-    return fit(x[y == 1], x[y == -1], prior)
+    return _shifted(fit(x[y == 1], x[y == -1], prior), texts, prior)
+
+
+def _shifted(model: QualityModel, texts: DataFrame, prior: float) -> QualityModel:
+    """The model whose share of all ``texts`` above ``CUT`` is the prior."""
+    if not model.weights.any():
+        return model
+    sent = texts.sparkSession.sparkContext.broadcast(replace(model, bias=0.0))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 512):
+                margins = sent.value.margins(shape(batch.column(0).slice(first, 512).to_pylist()))
+                yield pa.RecordBatch.from_arrays([pa.array(margins)], ["margin"])
+
+    margins = texts.select("text").mapInArrow(work, "margin double")
+    cut = margins.agg(F.percentile_approx("margin", 1 - prior, RANKS)).first()[0]
+    return model if cut is None else replace(model, bias=float(np.log(CUT / (1 - CUT)) - cut))
 
 
 def score(docs: DataFrame, model: QualityModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

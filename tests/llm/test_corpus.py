@@ -207,6 +207,15 @@ def test_quality_separates_held_out_labels(spark):
     assert [r.score for r in quality.score(empty, quality.train(empty, labels)).collect()] == [0.5, 0.5]
 
 
+def test_quality_decides_by_the_prior_over_all_documents(spark, monkeypatch):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    priors, fit = [], quality.fit
+    monkeypatch.setattr(quality, "MAX_ROWS", 80)
+    monkeypatch.setattr(quality, "fit", lambda p, u, prior: priors.append(prior) or fit(p, u, prior))
+    share = quality.score(docs, quality.train(docs, labels)).agg(F.avg("predicted")).first()[0]
+    assert abs(share - priors[0]) <= 0.005
+
+
 def test_toxicity_on_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.train(docs, labels.where("doc_id % 3 <> 0"))
