@@ -89,6 +89,19 @@ def _(spark, sf_dir):
     return rows.join(F.broadcast(first)).select("vec_id", F.round(vectors.cosine(F.col("b"), F.col("first")), 6).alias("sim"))
 
 
+@query(
+    "r7_r8_quantised_knn",
+    f"""with b as (select vec_id, list_transform(embedding, lambda x: greatest(-127, least(127, round_even(x::double * 127, 0)))::double) as b from embeddings),
+    s as (select q.vec_id as query, d.vec_id as doc, list_cosine_similarity(q.b, d.b) as sim from b q join b d on q.vec_id <> d.vec_id where q.vec_id % 20 = 0),
+    r as (select query, doc, round(sim, 6) as sim, row_number() over (partition by query order by sim desc, doc)::int as rank from s) select * from r where rank <= {K}""",
+)
+def _(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", vectors.quantised(F.col("embedding")).alias("b"))
+    queries = rows.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query"), F.col("b").alias("q"))
+    found = vectors.nearest(rows.select(F.col("vec_id").alias("doc"), F.col("b").alias("v")), queries, K)
+    return found.select("query", "doc", F.round("sim", 6).alias("sim"), "rank")
+
+
 @query(
     "v10_neighbour_pairs",
     f"""with {VEC}, r as (select query, doc, sim, row_number() over (partition by query order by sim desc, doc) as rank from knn)
