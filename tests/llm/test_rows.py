@@ -50,11 +50,26 @@ def test_bpe_equals_tiktoken_and_round_trips(spark, odd):
     assert plain == [judge.decode_bytes([1]), b""]
 
 
-def test_bpe_blocks_may_end_anywhere(spark, odd, monkeypatch):
+def test_bpe_blocks_may_end_anywhere(spark, odd):
+    import tiktoken
+
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    judge = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(11)
+    long = "".join(rng.choice(["word", "Ünï", " ", "  ", "\n", "\u00a0", "\x1c", " 12", "!?", "\u3000x", "日本"]) for _ in range(60_000))
+    rows = odd.select("doc_id", "text").unionByName(spark.createDataFrame([(77, long), (78, long), (79, "z" * 200_000)], "doc_id long, text string"))
+    want = sorted((r.doc_id is None, r.doc_id or 0, judge.encode_ordinary(r.text or "")) for r in rows.collect())
+    for size in (1, 40, 4000, 10**9):
+        out = bpe.encode(rows.coalesce(2), ranks, public_tokenizers.PATTERN, block_bytes=size).collect()
+        assert sorted((r.doc_id is None, r.doc_id or 0, list(r.ids)) for r in out) == want
+
+
+def test_bpe_reads_the_texts_once(spark, odd):
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    whole = sorted(map(str, bpe.encode(odd, ranks, public_tokenizers.PATTERN).collect()))
-    parts = [bpe._blocks(iter(odd.where(f"row = {n}").select("doc_id", F.coalesce("text", F.lit(""))).toArrow().to_batches()), public_tokenizers.PATTERN, True) for n in (1, 2, 3)]
-    assert sum(len(lengths) for blocks in parts for _, _, chunks in blocks for _, lengths, _ in chunks) == len(whole)
+    out = bpe.encode(odd, ranks, public_tokenizers.PATTERN)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan.split("== Initial Plan ==")[0]
 
 
 PATTERNS = {
