@@ -2,6 +2,7 @@
 
 import itertools
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -108,15 +109,65 @@ def test_components_of_paths_and_stars(spark):
     assert all(root[bytes([i])] == b"\x01" for i in range(2, 41)) and all(root[bytes([0x91 + i])] == b"\x90" for i in range(20))
 
 
-def test_masks_hit_every_window_with_three_substitutions():
-    for bad in itertools.combinations(range(decontam.WINDOW), 3):
+@pytest.mark.parametrize("width", range(1, 16))
+def test_masks_hit_every_window_with_its_substitutions(width):
+    _, need = decontam.needed(width)
+    assert need == -(-4 * width // 5)
+    for bad in itertools.combinations(range(width), width - need):
         assert any(
             all(at + i not in bad for i, c in enumerate(m) if c == "1")
-            for m in decontam.MASKS
-            for at in range(decontam.WINDOW - len(m) + 1)
+            for m in decontam.masks_of(width)
+            for at in range(width - len(m) + 1)
         )
 
 
+def brute_leak(item: list, text: list) -> bool:
+    """A window of 15 words of the item, or all of it, of which four fifths stand in the text at one offset."""
+    width = min(15, len(item))
+    if not width or len(text) < width:
+        return False
+    same = np.array(item)[:, None] == np.array(text)[None, :]
+    rows, columns = len(item) - width + 1, len(text) - width + 1
+    return bool((5 * sum(same[i : i + rows, i : i + columns].astype(int) for i in range(width)) >= 4 * width).any())
+
+
+def test_leaks_of_items_of_all_lengths_equal_brute_force(spark):
+    rng = np.random.default_rng(8)
+    items = [[f"w{rng.integers(40)}" for _ in range(n)] for n in range(0, 41)]
+    texts = []
+    for item in items:
+        for bad in range(0, 9):
+            own = list(item)
+            for p in rng.permutation(len(own))[:bad]:
+                own[p] = f"s{rng.integers(5)}"
+            texts.append([f"w{rng.integers(40)}" for _ in range(rng.integers(9))] + own + ["w1"] * int(rng.integers(4)))
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")
+    for r in decontam.decontaminate(docs, bench).collect():
+        assert {x.item_id for x in r.leaks} == {i for i, item in enumerate(items) if brute_leak(item, texts[r.doc_id])}
+
+
+def test_repeated_words_cost_linear_work():
+    started = time.perf_counter()
+    for period, n_item, n_text in ((1, 5000, 20_000), (2, 5000, 20_000), (7, 5000, 20_000)):
+        words = lambda n: bagminhash._mix(np.arange(n, dtype=np.uint64) % np.uint64(period) + np.uint64(5))  # noqa: B023, E731
+        index, text = decontam.SeedIndex([words(n_item)]), words(n_text)
+        hits = index.hits(text, np.array([0]))
+        assert len(hits) <= 3 * (n_item + n_text)
+        assert [x[1:] for x in index.leaks(0, hits[:, 2].tolist(), text)][0] == (n_item, n_item)
+    assert time.perf_counter() - started < 20
+
+
+def test_leaks_of_repeated_rows_and_texts(spark):
+    line = " ".join(f"b{i}" for i in range(20))
+    bench = spark.createDataFrame([(1, line), (1, line), (2, line), (3, "la la la la la la")], "item_id long, text string")
+    docs = spark.createDataFrame([(7, f"{line} and {line}"), (7, f"{line} and {line}"), (8, "la " * 30_000)], "doc_id long, text string")
+    out = sorted((r.doc_id, [(x.item_id, x.first_word, x.n_words) for x in r.leaks]) for r in decontam.decontaminate(docs, bench).collect())
+    twice = [(1, 0, 20), (1, 21, 20), (2, 0, 20), (2, 21, 20)]
+    assert out[:2] == [(7, twice), (7, twice)] and out[2][0] == 8
+    assert [x for x in out[2][1]] == [(3, 6 * i, 6) for i in range(5000)]
+
+
 def test_leaks_survive_substitutions_and_clean_texts_pass(spark):
     rng = np.random.default_rng(2)
     item = [f"b{i}" for i in range(30)]
@@ -130,12 +181,12 @@ def test_leaks_survive_substitutions_and_clean_texts_pass(spark):
         same = [own[i] == item[i] for i in range(30)]
         want[d] = any(sum(same[i : i + 15]) >= 12 for i in range(16))
         docs.append((d, " ".join(filler(d) + own + filler(7)), "c"))
-    docs += [(100, None, None), (101, "", "c"), (102, "b0 b1 b2 b3", "c"), (103, "x short item y", "c"), (None, " ".join(item), "c")]
-    bench = spark.createDataFrame([(1, " ".join(item)), (2, "Short item!"), (3, ""), (None, None)], "item_id long, text string")
+    docs += [(100, None, None), (101, "", "c"), (102, "b0 b1 b2 b3", "c"), (103, "x short item y", "c"), (104, "one two three FOUR other six", "c"), (None, " ".join(item), "c")]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, "Short item!"), (3, ""), (None, None), (5, "one two three four five six")], "item_id long, text string")
     df = spark.createDataFrame(docs, "doc_id long, text string, leaks string")
     out = {r.doc_id: r for r in decontam.decontaminate(df, bench).collect()}
     assert {d: out[d].contaminated for d in want} == want
-    assert [out[d].contaminated for d in (100, 101, 102, 103, None)] == [False, False, False, True, True]
+    assert [out[d].contaminated for d in (100, 101, 102, 103, 104, None)] == [False, False, False, True, True, True]
     assert [tuple(x) for x in out[0].leaks] == [(1, 0, 30, 30)]
     assert decontam.decontaminate(df, bench.where("false")).where("contaminated").count() == 0
     assert decontam.decontaminate(df.where("false"), bench).count() == 0
