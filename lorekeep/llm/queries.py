@@ -145,13 +145,13 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = """
 with v as (
-  select distinct vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as e from embeddings
+  select row_number() over () as n, vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as e from embeddings
   where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), scored as (
-  select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint as score
-  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0
+  select q.n, q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint as score
+  from v q join v c on q.n <> c.n where q.vec_id % 20 = 0
 ), ranked as (
-  select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from scored
+  select query_id, row_number() over (partition by n order by score desc, vec_id)::int as rank, vec_id, score from scored
 )
 select query_id, rank, vec_id, score from ranked where rank <= 20
 """

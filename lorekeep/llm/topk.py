@@ -1,18 +1,22 @@
 """Exact top-k inner products over an impact-ordered, score-at-a-time index.
 
-Integer vectors are dealt into blocks of about ``BLOCK`` vectors. The index of a block keeps its postings
-(dimension, vector, value) in segments by quantised impact, the power of two below the value's size. A
-batch of queries meets every block: segments are processed by descending impact, each adding what its
-postings give to the scores so far. After a segment the rest of a score is at most the product of the
-lengths of the query and of the vector's unprocessed values (Cauchy-Schwarz), so every score has a lower
-and an upper bound. A query stops only when at most ``RESCORE`` vectors of the block still may belong to
-its k best, which the bounds prove of all others, or when the segments are used up; the possible members
-are then rescored in exact integers. The k best of each block are merged by a window.
+Integer vectors are dealt into blocks of about ``BLOCK`` vectors. A block's index holds one posting
+(vector, dimension, value) for each component that is not 0, dealt into segments by quantised impact, the
+power of two that bounds the value's size; inside a segment postings lie by dimension. A query processes
+the segments by descending impact, and each adds what its postings give to the scores so far. After a
+segment the rest of a score is at most the product of the lengths of the query and of the vector's unread
+values (Cauchy-Schwarz), so every score has a lower and an upper bound. A query stops reading only when
+the bounds prove that at most ``RESCORE`` vectors of the block may still belong to its k best, or when the
+segments are used up; postings of vectors that the bounds have ruled out are passed over before that. The
+possible members are then rescored in exact integers from their own components. The k best of each block
+are merged by a window.
+
+Rows are the unit: every row but the query's own is a candidate, and every query row has its own list,
+so rows that repeat id and vector count as often as they stand. They are stored once, with their number.
 
 Defined cases: vectors that are null, empty, or hold null or non-finite components, and rows without an
-id, take no part. Rows that repeat id and vector count once. Of vectors of different lengths the missing
-components count as 0. Equal scores go to the smaller id. Only the named columns are read. Scores must
-stay below 2**53 in size, which is checked.
+id, take no part. Of vectors of different lengths the missing components count as 0. Equal scores go to
+the smaller id. Only the named columns are read. Scores must stay below 2**53 in size, which is checked.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ BLOCK = 4096
 BATCH = 512
 RESCORE = 256
 
-PAIRS = "query_id long, vec_id long, score long"
+PAIRS = "batch long, nth long, n long, query_id long, vec_id long, score long"
 
 
 def quantised(embedding: str, scale: int = 64):
@@ -39,80 +43,109 @@ def quantised(embedding: str, scale: int = 64):
 
 
 class ImpactIndex:
-    """The posting segments of one block, by descending quantised impact."""
-
-    def __init__(self, vectors: np.ndarray):
-        self.vectors = vectors
-        level = np.frexp(np.abs(vectors).astype(np.float64))[1]  # 0 for the value 0
+    """The posting segments of one block, by descending quantised impact.
+
+    ``flat`` and ``ends`` are the components of all vectors and where each ends; ``ids`` and ``copies`` belong
+    to the vectors."""
+
+    def __init__(self, ids: np.ndarray, copies: np.ndarray, flat: np.ndarray, ends: np.ndarray):
+        self.ids, self.copies = ids, copies
+        self.n = len(ids)
+        size = np.diff(ends)
+        vector = np.repeat(np.arange(self.n), size)
+        dimension = np.arange(len(flat)) - np.repeat(ends[:-1], size)
+        has = np.flatnonzero(flat)
+        self.vector, self.dimension, self.value = vector[has], dimension[has], flat[has]  # by vector, for rescoring
+        self.starts = np.searchsorted(self.vector, np.arange(self.n + 1))
+        impact = np.frexp(np.abs(self.value).astype(np.float64))[1]
+        order = np.lexsort((self.dimension, -impact))
+        cut = np.flatnonzero(np.diff(impact[order], prepend=np.iinfo(np.int32).max, append=np.iinfo(np.int32).min))
         self.segments, self.rest = [], []
-        for impact in sorted(set(np.unique(level)) - {0}, reverse=True):
-            self.segments.append(np.where(level == impact, vectors, 0).astype(np.float64))
-            rest = np.where(level < impact, vectors, 0).astype(np.float64)
-            self.rest.append(np.sqrt((rest * rest).sum(axis=1)) * (1 + 1e-12))
-
-    def candidates(self, queries: np.ndarray, k: int, own: list[np.ndarray]) -> list[np.ndarray]:
-        """For each query the vectors that may be among its k best; ``own`` are never candidates."""
-        n = len(self.vectors)
-        found: list[np.ndarray] = [np.arange(n)] * len(queries)
-        open_ = np.arange(len(queries))
-        scores = np.zeros((len(queries), n))
-        length = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1)) * (1 + 1e-12)
-        for segment, rest in zip(self.segments, self.rest):
-            scores += queries[open_].astype(np.float64) @ segment.T
-            if n <= k:
-                continue
-            slack = length[open_, None] * rest[None, :]
-            low = scores - slack
-            for row, q in enumerate(open_):
-                low[row, own[q]] = -np.inf
-            kth = np.partition(low, n - k, axis=1)[:, n - k]
-            possible = scores + slack >= kth[:, None]
-            counts = possible.sum(axis=1)
-            for row in np.flatnonzero(counts <= RESCORE):
-                found[open_[row]] = np.flatnonzero(possible[row])
-            going = counts > RESCORE
-            if segment is self.segments[-1]:
-                for row in np.flatnonzero(going):
-                    found[open_[row]] = np.flatnonzero(possible[row])
-            open_, scores = open_[going], scores[going]
-            if not len(open_):
+        weight = self.value.astype(np.float64)
+        for a, b in zip(cut[:-1], cut[1:]):
+            own = order[a:b]
+            self.segments.append((self.vector[own], self.dimension[own], weight[own]))
+            unread = order[b:]
+            squares = np.bincount(self.vector[unread], weights=weight[unread] ** 2, minlength=self.n)
+            self.rest.append(np.sqrt(squares) * (1 + 1e-12))
+
+    def candidates(self, query: np.ndarray, k: int, own: int = -1) -> tuple[np.ndarray, int]:
+        """The vectors that may be among the query's k best, and how many postings were read; ``own``: the
+        vector of which one copy is the query itself."""
+        scores = np.zeros(self.n)
+        alive = np.ones(self.n, dtype=bool)
+        if own >= 0 and self.copies[own] == 1:
+            alive[own] = False
+        length = float(np.sqrt((query.astype(np.float64) ** 2).sum())) * (1 + 1e-12)
+        by_dimension = query.astype(np.float64)
+        n_read, left = 0, int(alive.sum())
+        for (vector, dimension, weight), rest in zip(self.segments, self.rest):
+            if left <= max(k, RESCORE):
                 break
-        return found
-
-    def search(self, queries: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple]:
-        own = [np.flatnonzero(ids == q) for q in query_ids]
-        for at, members in enumerate(self.candidates(queries, k, own)):
-            members = members[ids[members] != query_ids[at]]
-            exact = self.vectors[members] @ queries[at]
-            best = np.lexsort((ids[members], -exact))[:k]
-            yield np.full(len(best), query_ids[at]), ids[members[best]], exact[best]
-
-
-def _matrix(rows: pa.ListScalar | list, width: int) -> np.ndarray:
-    out = np.zeros((len(rows), width), dtype=np.int64)
-    for i, row in enumerate(rows):
-        out[i, : len(row)] = row
-    return out
+            if 4 * left < self.n:  # most vectors are ruled out: pass their postings over
+                kept = np.flatnonzero(alive[vector])
+                vector, dimension, weight = vector[kept], dimension[kept], weight[kept]
+            scores += np.bincount(vector, weights=by_dimension[dimension] * weight, minlength=self.n)
+            n_read += len(vector)
+            slack = length * rest
+            low = (scores - slack)[alive]
+            kth = np.partition(low, left - k)[left - k]
+            alive &= scores + slack >= kth
+            left = int(alive.sum())
+        return np.flatnonzero(alive), n_read
+
+    def search(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and exact scores of the k best rows, without one row that is the query itself."""
+        width = max(int(self.dimension.max(initial=-1)) + 1, len(query))
+        wide = np.zeros(width, dtype=np.int64)
+        wide[: len(query)] = query
+        own = self._own(query_id, query)
+        members, _ = self.candidates(wide, k, own)
+        size = self.starts[members + 1] - self.starts[members]
+        at = _gathered(np.arange(len(self.value)), self.starts[members], size)
+        parts = np.append(self.value[at] * wide[self.dimension[at]], 0)
+        total = np.concatenate([[0], np.cumsum(parts)])
+        stops = np.cumsum(size)
+        exact = total[stops] - total[stops - size]
+        best = np.lexsort((self.ids[members], -exact))
+        copies = self.copies[members[best]] - (members[best] == own)
+        best = np.repeat(best, np.minimum(copies, k))[:k]
+        return self.ids[members[best]], exact[best]
+
+    def _own(self, query_id: int, query: np.ndarray) -> int:
+        """The vector that has the query's id and components, or -1."""
+        for at in np.flatnonzero(self.ids == query_id):
+            mine = slice(self.starts[at], self.starts[at + 1])
+            has = np.flatnonzero(query)
+            if np.array_equal(self.dimension[mine], has) and np.array_equal(self.value[mine], query[has]):
+                return int(at)
+        return -1
+
+
+def _gathered(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    stops = np.cumsum(sizes)
+    return pool[np.repeat(starts - (stops - sizes), sizes) + np.arange(int(stops[-1]) if len(stops) else 0)]
 
 
 def _blocks(vectors: DataFrame, n: int, name: str) -> DataFrame:
-    """About equal blocks, one row each: ids and vectors in one order."""
+    """About equal blocks, one row each: ids, copies and vectors in one order."""
     return (
         vectors.withColumn(name, F.pmod(F.xxhash64("id", "vector"), F.lit(n)))
         .groupBy(name)
-        .agg(F.collect_list(F.struct("id", "vector")).alias("rows"))
-        .select(name, F.col("rows.id").alias(f"{name}_ids"), F.col("rows.vector").alias(f"{name}_vectors"))
+        .agg(F.sort_array(F.collect_list(F.struct("id", "vector", "n"))).alias("rows"))
+        .select(name, *[F.col(f"rows.{c}").alias(f"{name}_{c}") for c in ("id", "n", "vector")])
     )
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 20) -> DataFrame:
-    """The ``k`` best vectors of every query: query_id, rank, vec_id, score.
+    """The ``k`` best rows of ``vectors`` for every row of ``queries``: query_id, rank, vec_id, score.
 
-    Both inputs have the columns ``id`` and ``vector`` (array of long, null: takes no part); a vector
-    with the query's own id is not its candidate. Query batches are copied once for each block."""
+    Both inputs have the columns ``id`` and ``vector`` (array of long, null: takes no part); of the rows with a
+    query's own id and vector one is the query's own. Query batches are copied once for each block."""
     def clean(df: DataFrame) -> DataFrame:
         whole = F.col("id").isNotNull() & (F.size("vector") > 0) & ~F.exists("vector", lambda x: x.isNull())
-        return df.select(F.col("id").cast("long").alias("id"), "vector").where(whole).distinct()
+        rows = df.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<long>").alias("vector")).where(whole)
+        return rows.groupBy("id", "vector").agg(F.count(F.lit(1)).alias("n"))
 
     vectors, queries = clean(vectors), clean(queries)
     size = F.struct(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("width"), F.max(F.array_max(F.transform("vector", lambda x: F.abs(x)))).alias("top"))
@@ -120,32 +153,41 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 20) -> DataFrame:
     if v.n and q.n and max(v.width, q.width) * v.top * q.top >= 2**53:
         raise ValueError("scores may not be exact: the components are too large")
     n_blocks, n_batches = -(-max(v.n, 1) // BLOCK), -(-max(q.n, 1) // BATCH)
-    width = max(v.width or 0, q.width or 0)
     blocks = _blocks(vectors, n_blocks, "block")
     batches = _blocks(queries, n_batches, "batch").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)).cast("array<long>")))
-    pairs = batches.join(blocks.hint("shuffle_merge"), "block").select("block_ids", "block_vectors", "batch_ids", "batch_vectors")
+    pairs = batches.join(blocks.hint("shuffle_merge"), "block").select(
+        "block_id", "block_n", "block_vector", "batch", "batch_id", "batch_n", "batch_vector"
+    )
 
     def score(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, last = None, None
         for table in tables:
             for i in range(table.num_rows):
-                ids, rows, query_ids, query_rows = (c[i] for c in table.columns)
+                ids, copies, rows, batch, query_ids, query_copies, query_rows = (c[i] for c in table.columns)
                 if last is None or not ids.equals(last):
-                    last, index = ids, ImpactIndex(_matrix(_lists(rows), width))
-                ids, query_ids = ids.values.to_numpy(), query_ids.values.to_numpy()
-                found = list(index.search(_matrix(_lists(query_rows), width), query_ids, ids, k))
-                columns = [np.concatenate(c) for c in zip(*found)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
-
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+                    last = ids
+                    index = ImpactIndex(ids.values.to_numpy(), copies.values.to_numpy(), *_flat(rows))
+                flat, ends = _flat(query_rows)
+                out = [
+                    (nth, int(n), int(query), *index.search(int(query), flat[ends[nth] : ends[nth + 1]], k))
+                    for nth, (query, n) in enumerate(zip(query_ids.values.to_numpy(), query_copies.values.to_numpy()))
+                ]
+                found = [len(x[3]) for x in out]
+                columns = [np.full(sum(found), batch.as_py()), *(np.repeat([x[c] for x in out], found) for c in range(3))]
+                columns += [np.concatenate([x[c] for x in out]) for c in (3, 4)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["batch", "nth", "n", "query_id", "vec_id", "score"])
+
+    best = Window.partitionBy("batch", "nth").orderBy(F.desc("score"), "vec_id")
     return (
         pairs.mapInArrow(score, PAIRS)
         .withColumn("rank", F.row_number().over(best))
         .where(F.col("rank") <= k)
+        .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n")))  # query rows that are the same
         .select("query_id", "rank", "vec_id", "score")
     )
 
 
-def _lists(rows: pa.ListScalar) -> list[np.ndarray]:
-    flat, ends = rows.values.values.to_numpy(), rows.values.offsets.to_numpy()
-    return [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
+def _flat(rows: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
+    """All components of a list of vectors, and where each vector ends."""
+    ends = rows.values.offsets.to_numpy().astype(np.int64)
+    return rows.values.values.to_numpy()[ends[0] : ends[-1]], ends - ends[0]

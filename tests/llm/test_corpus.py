@@ -201,27 +201,46 @@ def test_leaks_do_not_depend_on_benchmark_blocks(spark, monkeypatch):
 
 def test_top_k_edge_cases(spark):
     rows = [(i, [i % 3, -i % 5, 7]) for i in range(60)] + [(100, None), (101, []), (None, [1, 1, 1]), (3, [0, 2, 7]), (102, [1, None, 2]), (103, [1])]
-    df = spark.createDataFrame(rows, "id long, vector array<long>")
+    rows += [(20, [2, 0, 7])] * 2 + [(20, [5, 5, 5]), (40, [9, 9, 9])] + [(104, [8, 8, 8])] * 9  # repeated rows, one of them a query's
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "id long, vector array<long>, score string")
     out = topk.top_k(df, df.where("id % 20 = 0 or id = 103"), k=7).collect()
-    clean = {(i, tuple(v)) for i, v in rows if i is not None and v and None not in v}
-    for q, v in clean:
+    clean = [(i, tuple(v)) for i, v in rows if i is not None and v and None not in v]
+    want = []
+    for at, (q, v) in enumerate(clean):
         if q % 20 and q != 103:
             continue
         score = lambda a: sum(x * y for x, y in zip(v, a))  # noqa: B023, E731
-        want = sorted(((-score(a), i) for i, a in clean if i != q))[:7]
-        got = sorted((r.rank, -r.score, r.vec_id) for r in out if r.query_id == q)
-        assert [(s, i) for _, s, i in got] == want
+        best = sorted((-score(a), i) for other, (i, a) in enumerate(clean) if other != at)[:7]
+        want += [(q, rank, i, -s) for rank, (s, i) in enumerate(best, 1)]
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in out) == sorted(want)
     assert topk.top_k(df.where("false"), df.where("false")).count() == 0
+    assert topk.top_k(df, df.where("false")).count() == 0 and topk.top_k(df.where("false"), df).count() == 0
+
+
+def index_of(vectors: np.ndarray) -> topk.ImpactIndex:
+    n, width = vectors.shape
+    return topk.ImpactIndex(np.arange(n), np.ones(n, np.int64), vectors.ravel(), np.arange(n + 1) * width)
 
 
 def test_top_k_stops_only_on_proof():
     rng = np.random.default_rng(4)
     vectors = rng.integers(-64, 64, (900, 16))
     vectors[:40] *= 3
-    index, asked = topk.ImpactIndex(vectors), rng.integers(-64, 64, (25, 16))
-    for q, members in zip(asked, index.candidates(asked, 10, [np.zeros(0, np.int64)] * 25)):
+    index = index_of(vectors)
+    for q in rng.integers(-64, 64, (25, 16)):
         exact = vectors @ q
-        assert set(np.flatnonzero(exact >= np.sort(exact)[-10])) <= set(members)
+        assert set(np.flatnonzero(exact >= np.sort(exact)[-10])) <= set(index.candidates(q, 10)[0])
+
+
+def test_top_k_leaves_segments_unread():
+    rng = np.random.default_rng(6)
+    vectors = rng.integers(-3, 4, (4000, 32))
+    vectors[:50] += rng.integers(100, 200, (50, 32))  # a few vectors of high impact decide
+    index, q = index_of(vectors), np.abs(rng.integers(1, 60, 32))
+    members, n_read = index.candidates(q, 10)
+    assert n_read < 0.1 * np.count_nonzero(vectors)
+    exact = vectors @ q
+    assert set(np.flatnonzero(exact >= np.sort(exact)[-10])) <= set(members)
 
 
 def test_url_rules_equal_brute_force(spark):
