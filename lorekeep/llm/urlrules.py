@@ -3,17 +3,19 @@
 A rule is a host and a path; it fits its host and all subdomains where the url's path starts with the
 rule's path. A canonical key is the pair (path prefix, host labels reversed). Among the keys of one
 path prefix the urls that a rule fits form one interval that starts at the rule's own key, and any two
-intervals are nested or apart. Urls become one probe for each length that a rule's path has; probes
-and rules are sorted together by range, and the sweep carries the rule that began last together with
-the stack of rules that were open where it began. The open rules at a probe are those of the stack
-whose interval still holds the probe's key, because an older rule that reaches the probe also covers
-the start of the newest one. A range of the sort takes the stack it starts with from the ranges before.
+intervals are nested or apart. Urls become one probe for each length that a rule's path has and theirs
+reaches; probes and rules are sorted together by range and swept. The sweep keeps a stack of active rules
+with a place for each number of host labels that rules have: a rule that begins takes its place from the
+rule before it there. At a probe a place's rule is active if its interval still holds the probe's key;
+if a rule of so many labels fits at all, it is the one in the place, as no other can begin between its key and the
+probe's. A range of the sort takes the stack it starts with from the ranges before.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path and no rule. Null or
 repeated ids and repeated rows are kept, one result for each row. Rules with a null host or path are
 ignored; of equal rules the smallest action stands. Of the rules that fit, the one with the longest
 ``host + path`` wins, ties go to the smaller string. Only the named columns are read, so others may
-have any name. Rule paths longer than ``MAX_RULE_PATH`` are refused, which bounds the probes of a url.
+have any name. Urls and rule paths may have any length: a url has at most as many probes as its path has
+characters and rules have lengths.
 """
 
 from __future__ import annotations
@@ -25,9 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import shuffles, written
 
-MAX_RULE_PATH = 2048
-
-STACK = "array<struct<prefix:string,key:string,rule:string,action:string>>"
+OPEN = "struct<prefix:string,key:string,rule:string,action:string>"
 
 #: The rules of the registered query.
 RULES = [
@@ -54,31 +54,16 @@ def reversed_host(host: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit("."))
 
 
-def rule_stacks(rules: DataFrame) -> DataFrame:
-    """Each distinct rule with the stack of rules open where it begins, itself included.
-
-    A rule is joined with those whose key is one of its own host suffixes, so a rule meets no more
-    rules than its host has labels."""
-    clean = (
+def distinct_rules(rules: DataFrame) -> DataFrame:
+    """Each distinct rule with its key, its number of host labels and what the stack holds of it."""
+    return (
         rules.where(F.col("host").isNotNull() & F.col("path").isNotNull())
         .groupBy(F.col("host").cast("string").alias("host"), F.col("path").cast("string").alias("prefix"))
         .agg(F.min("action").alias("action"))
         .withColumn("key", reversed_host(F.col("host")))
+        .withColumn("labels", F.size(F.split("key", r"\.")) - 1)
         .withColumn("rule", F.concat("host", "prefix"))
-    )
-    labels = F.split(F.col("key"), r"\.")
-    above = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))),
-        lambda n: F.concat(F.array_join(F.slice(labels, F.lit(1), n), "."), F.lit(".")),
-    )
-    opened = clean.select(
-        "prefix", F.col("key").alias("up"), F.struct("prefix", "key", "rule", "action").alias("open")
-    )
-    return (
-        clean.select("prefix", "key", F.explode(F.array_distinct(above)).alias("up"))
-        .join(opened, ["prefix", "up"])
-        .groupBy("prefix", "key")
-        .agg(F.collect_list("open").alias("stack"))
+        .select("prefix", "key", "labels", F.struct("prefix", "key", "rule", "action").alias("open"))
     )
 
 
@@ -93,9 +78,9 @@ def judge_urls(
     """One row for each row of ``urls``: id, host, path, the rule that decides (null: none), verdict."""
     spark = urls.sparkSession
     host, path = url_parts(F.col("url"))
-    lengths = sorted(r[0] for r in rules.select(F.length("path")).distinct().collect() if r[0] is not None)
-    if lengths and lengths[-1] > MAX_RULE_PATH:
-        raise ValueError(f"a rule's path has {lengths[-1]} characters, more than {MAX_RULE_PATH}")
+    begun = distinct_rules(rules)
+    shapes = begun.agg(F.collect_set("labels"), F.collect_set(F.length("prefix"))).first()  # one number for each label count and length
+    places, lengths = sorted(shapes[0]), sorted(shapes[1])
     cuts = F.filter(F.array(*[F.lit(n) for n in lengths or [0]]), lambda n: n <= F.length("path"))
     probes = (
         urls.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"))
@@ -108,31 +93,36 @@ def judge_urls(
         .withColumn("is_probe", F.lit(1))
     )
     columns = ["prefix", "key", "is_probe", "id", "url", "host", "path", "n_cuts"]
-    both = probes.select(*columns, F.lit(None).cast(STACK).alias("stack")).unionByName(
-        rule_stacks(rules)
-        .withColumn("is_probe", F.lit(0))
-        .select("prefix", "key", "is_probe", "stack"),
-        allowMissingColumns=True,
+    both = probes.select(*columns, F.lit(None).cast("int").alias("labels"), F.lit(None).cast(OPEN).alias("open")).unionByName(
+        begun.withColumn("is_probe", F.lit(0)), allowMissingColumns=True
     )
     order = ["prefix", "key", "is_probe", "id", "url"]
     n = shuffles(spark)
     ranged = both.repartitionByRange(n, *order).withColumn("range", F.spark_partition_id())
     ranged = written(ranged, "url-ranges")
     bounds = spark.range(n).select(F.col("id").cast("int").alias("range"))
-    last = ranged.where("is_probe = 0").groupBy("range").agg(F.max_by("stack", F.struct("prefix", "key")).alias("last"))
-    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+
+    def stack(of) -> Column:
+        """The places of the stack, each filled by ``of`` its number of labels."""
+        return F.array(*[of(p) for p in places]) if places else F.array().cast(f"array<{OPEN}>")
+
+    held = lambda p: F.when(F.col("labels") == p, F.col("open"))
+    last = ranged.where("is_probe = 0").groupBy("range").agg(
+        stack(lambda p: F.max_by(held(p), F.when(held(p).isNotNull(), F.struct("prefix", "key")))).alias("last")
+    )
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
     carried = bounds.join(last, "range", "left").select(
-        "range", F.last("last", ignorenulls=True).over(earlier).alias("carried")
+        "range", stack(lambda p: F.last(F.col("last")[places.index(p)], ignorenulls=True).over(earlier)).alias("carried")
     )
     sweep = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     swept = (
-        ranged.withColumn("began", F.last("stack", ignorenulls=True).over(sweep))
+        ranged.withColumn("stack", stack(lambda p: F.last(held(p), ignorenulls=True).over(sweep)))
         .where("is_probe = 1")
         .join(F.broadcast(carried), "range", "left")  # one row for each range
-        .withColumn("began", F.coalesce("began", "carried", F.array().cast(STACK)))
+        .withColumn("began", F.zip_with("stack", "carried", lambda here, before: F.coalesce(here, before)))
     )
     fits = F.transform(
-        F.filter("began", lambda o: (o["prefix"] == F.col("prefix")) & F.col("key").startswith(o["key"])),
+        F.filter("began", lambda o: o.isNotNull() & (o["prefix"] == F.col("prefix")) & F.col("key").startswith(o["key"])),
         lambda o: F.struct((-F.length(o["rule"])).alias("shorter"), o["rule"].alias("rule"), o["action"].alias("action")),
     )
     judged = (

@@ -248,7 +248,9 @@ def test_url_rules_equal_brute_force(spark):
     paths = ["", "/", "/en/", "/en", "/es/x?q", "/fr/#h", "?q", "/enx/"]
     urls = [(i, f"http://{h}{p}") for i, (h, p) in enumerate(itertools.product(hosts, paths))]
     urls += [(900, None), (901, "no scheme"), (None, "http://com/"), (902, "x://com/"), (902, "x://com/")]
-    rules = [*urlrules.RULES, ("example.com", "/", "block"), ("a.example.com", "/en/", "block"), (None, "/", "block"), ("com", None, "block"), ("com", "/", "block")]
+    long = "/" + "p" * 5000 + "/"
+    urls += [(903, f"http://x.net{long}end"), (904, f"http://net{long[:-1]}"), (905, "http://" + "s." * 3000 + "com/en/")]
+    rules = [*urlrules.RULES, ("net", long, "block"), ("x.net", long[:40], "allow"), ("example.com", "/", "block"), ("a.example.com", "/en/", "block"), (None, "/", "block"), ("com", None, "block"), ("com", "/", "block")]
     df = spark.createDataFrame(urls, "page_id long, url string").withColumn("host", F.lit("clash"))
     out = urlrules.judge_urls(df, spark.createDataFrame(rules, "host string, path string, action string"))
     got = sorted(map(str, [tuple(r) for r in out.collect()]))
@@ -266,6 +268,24 @@ def test_url_rules_equal_brute_force(spark):
         best = min(fits, default=None)
         want.append(str((i, host, path, best and best[1], best[2] if best else "allow")))
     assert got == sorted(want)
+    none = spark.createDataFrame([], "host string, path string, action string")
+    assert {r.verdict for r in urlrules.judge_urls(df, none).collect()} == {"allow"}
+    assert urlrules.judge_urls(df.where("false"), none).count() == 0
+
+
+def test_url_rules_carry_the_stack_over_ranges(spark, monkeypatch):
+    monkeypatch.setattr(urlrules, "shuffles", lambda spark: 23)  # few rows a range, so most stacks began in another
+    rng = np.random.default_rng(12)
+    host = lambda n: ".".join(rng.choice(list("abc"), n))
+    rules = [(host(rng.integers(1, 6)), "/" * int(rng.integers(1, 3)), str(rng.choice(["allow", "block"]))) for _ in range(60)]
+    urls = [(i, f"http://{host(rng.integers(1, 8))}{'/' * int(rng.integers(0, 4))}") for i in range(400)]
+    out = urlrules.judge_urls(spark.createDataFrame(urls, "page_id long, url string"), spark.createDataFrame(rules, "host string, path string, action string"))
+    got = {r.page_id: (r.rule, r.verdict) for r in out.collect()}
+    for i, url in urls:
+        own, slash, path = url[7:].partition("/")
+        fits = [(-len(h + p), h + p, a) for h, p, a in rules if (own == h or own.endswith("." + h)) and (slash + path).startswith(p)]
+        best = min(fits, default=(0, None, "allow"))
+        assert got[i] == best[1:], url
 
 
 def test_quality_separates_held_out_labels(spark):
