@@ -8,14 +8,14 @@ probability of the weighted Jaccard similarity. A process is followed only while
 last time that the text's registers still need.
 
 Texts with equal multisets are one node. Signatures are cut into ``BANDS`` bands of ``ROWS`` registers;
-nodes that agree in a band meet in a bucket, and no two nodes of a bucket end in different components
-uncompared. First every node is compared with its buckets' leaders (their smallest nodes), and what links
-is joined; only buckets that still hold several components go on. Of those with at most ``SMALL`` nodes,
-pairs from different components are compared. Larger ones are dealt into blocks of ``BLOCK`` nodes; each
-two blocks meet in one group of bounded size, which counts all overlaps at once and returns only links
-that join components, so no group emits its pairs. A comparison of a pair first estimates the similarity
-from the signatures (dropped below ``ESTIMATE``, five standard deviations under the threshold) and then
-counts the overlap of the multisets exactly; blocks count exactly at once.
+nodes that agree in a band meet in a bucket. Two nodes are linked if the exact overlap of their multisets is at
+least the threshold; there is no other rule. In buckets of at most ``SMALL`` nodes all pairs are counted. Larger
+ones are dealt into blocks of bounded size: every block is first counted against the bucket's leader (its
+smallest node), and in buckets that still hold several components every two blocks are counted. A block
+counts all overlaps at once and returns only links that join components, so no group emits its pairs. When
+the components, the classes, are known, the links of each node are counted over all pairs of its class, in
+blocks again, which sum up links and emit none. So nothing that a bucket holds is left uncounted, and a pair
+that no bucket holds is still counted if its nodes are of one class.
 A pair at the threshold misses all bands with a probability of 3e-5, less for more similar ones.
 
 Defined cases: texts of 1 to 4 words are one shingle; null texts and texts without words resemble
@@ -33,16 +33,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, word_hashes, written
+from .common import discard, text_of, word_hashes, written
 from .components import components
 
 SHINGLE = 5
 BANDS, ROWS = 26, 5
 REGISTERS = BANDS * ROWS
 SIMILARITY = 0.8
-ESTIMATE = 0.62
 SLICE_WORDS = 400_000
-SMALL, BLOCK = 8, 384
+SMALL = 8
+#: A block has about so many nodes at most, and about so many elements (8 bytes each) unless one node has more.
+BLOCK, BLOCK_ELEMENTS = 384, 1_000_000
 #: Elements of at least so many sets of a block are counted by a matrix product.
 COMMON = 8
 
@@ -144,7 +145,7 @@ def _slices(words: pa.ListArray) -> Iterator[tuple[int, int, np.ndarray, np.ndar
 
 
 def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, text_hash, node (digest of the multiset), bands and signature (a byte a register) of each row."""
+    """id, text_hash, node (digest of the multiset), bands and n_elements (the multiset's size) of each row."""
     rows = docs.select(
         F.col(id_col).alias("id"),
         F.xxhash64(text_of(text_col)).alias("text_hash"),
@@ -162,7 +163,7 @@ def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 keys = np.zeros((n, BANDS), dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
                 for r in range(ROWS):
                     keys = _mix(keys * _GOLD + bits[:, r::ROWS])
-                small = (_mix(bits) >> np.uint64(56)).astype(np.uint8)
+                size = np.bincount(text, weights=weight, minlength=n).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, n),
@@ -171,12 +172,12 @@ def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                         pa.ListArray.from_arrays(
                             pa.array(np.arange(n + 1) * BANDS, pa.int32()), pa.array(keys.view(np.int64).ravel())
                         ),
-                        pa.array([row.tobytes() for row in small], pa.binary()),
+                        pa.array(size),
                     ],
-                    ["id", "text_hash", "node", "bands", "signature"],
+                    ["id", "text_hash", "node", "bands", "n_elements"],
                 )
 
-    return rows.mapInArrow(work, f"id {kind}, text_hash long, node binary, bands array<long>, signature binary")
+    return rows.mapInArrow(work, f"id {kind}, text_hash long, node binary, bands array<long>, n_elements long")
 
 
 def _elements(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -202,39 +203,27 @@ def _elements(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
     return found.select(word_hashes(F.col("text")).alias("words")).mapInArrow(work, "node binary, elements array<long>")
 
 
-def _alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Those of the pairs whose signatures agree in at least ``ESTIMATE`` of the registers."""
-    signed = nodes.select("node", "signature")
-    both = (
-        pairs.join(signed.toDF("a", "sig_a"), "a").join(signed.toDF("b", "sig_b"), "b").select("a", "b", "sig_a", "sig_b")
-    )
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(c.to_pylist()), dtype=np.uint8).reshape(-1, REGISTERS) for c in batch.columns[2:])
-            close = pa.array((x == y).mean(axis=1) >= ESTIMATE)
-            yield pa.RecordBatch.from_arrays([c.filter(close) for c in batch.columns[:2]], ["a", "b"])
-
-    return both.mapInArrow(work, _EDGES)
-
-
-def _verified(pairs: DataFrame, nodes: DataFrame, elements: DataFrame, similarity: float) -> DataFrame:
-    """The pairs of nodes whose multisets overlap by at least ``similarity``, counted exactly; written."""
-    close = written(_alike(pairs, nodes), "pairs")
-    both = close.join(elements.toDF("a", "elements_a"), "a").join(elements.toDF("b", "elements_b"), "b")
+def _pair_links(rows: DataFrame, elements: DataFrame, similarity: float) -> DataFrame:
+    """Links inside small buckets; ``rows`` has (bucket, node). A node has few partners here, so it is no hot key."""
+    one, two = (rows.select("bucket", F.col("node").alias(x)) for x in "ab")
+    pairs = written(one.join(two, "bucket").where("a < b").select("a", "b").distinct(), "pairs")
+    both = pairs.join(elements.toDF("a", "elements_a"), "a").join(elements.toDF("b", "elements_b"), "b")
     shared = F.size(F.array_intersect("elements_a", "elements_b"))
     union = F.size("elements_a") + F.size("elements_b") - F.col("shared")
     kept = both.withColumn("shared", shared).where(F.col("shared") >= union * similarity - 1e-9)
-    return written(kept.select("a", "b"), "links")
+    links = written(kept.select("a", "b"), "links")
+    discard(pairs)
+    return links
 
 
-def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """The number of shared elements of every two sets: elements of many sets by a matrix product, those of
-    few sets by their own pairs."""
+def overlaps(sets: list[np.ndarray], split: int | None = None) -> np.ndarray:
+    """The number of shared elements of every two sets, or of those before ``split`` with the others: elements
+    of many sets by a matrix product, those of few sets by their own pairs."""
     n = len(sets)
+    rows, columns = (n, 0) if split is None else (split, split)
     owner = np.repeat(np.arange(n), [len(s) for s in sets])
     _, element, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    out = np.zeros((n, n), dtype=np.float32)
+    out = np.zeros((rows, n - columns), dtype=np.float32)
     common = np.flatnonzero(seen >= COMMON)
     place = np.full(len(seen), -1)
     for first in range(0, len(common), 4096):
@@ -244,7 +233,7 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
         has = place[element] >= 0
         table = np.zeros((n, len(part)), dtype=np.float32)
         table[owner[has], place[element[has]]] = 1
-        out += table @ table.T
+        out += table[:rows] @ table[columns:].T
     order = np.argsort(element, kind="stable")
     starts = np.cumsum(seen) - seen
     for count in range(2, COMMON):
@@ -253,8 +242,22 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
         for i in range(count):
             for j in range(count):
                 if i != j:
-                    np.add.at(out, (members[:, i], members[:, j]), 1)
-    np.fill_diagonal(out, [len(s) for s in sets])
+                    x, y = members[:, i], members[:, j]
+                    fits = (x < rows) & (y >= columns)
+                    np.add.at(out, (x[fits], y[fits] - columns), 1)
+    if split is None:
+        np.fill_diagonal(out, [len(s) for s in sets])
+    return out.astype(np.float64)
+
+
+def linked(sets: list[np.ndarray], similarity: float, split: int | None = None) -> np.ndarray:
+    """Which two sets overlap by at least ``similarity``, as in ``overlaps``; a set is not linked with itself."""
+    shared = overlaps(sets, split)
+    size = np.array([len(s) for s in sets], dtype=np.float64)
+    one, two = (size, size) if split is None else (size[:split], size[split:])
+    out = shared >= (one[:, None] + two[None, :] - shared) * similarity - 1e-9
+    if split is None:
+        np.fill_diagonal(out, False)
     return out
 
 
@@ -275,37 +278,97 @@ def forest(linked: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
                 label[label == old] = new
 
 
-def _block_links(rows: DataFrame, elements: DataFrame, similarity: float) -> DataFrame:
-    """Links inside large buckets; ``rows`` has (bucket, node, root, n) with the bucket's size ``n``.
+def _blocks(n, elements):
+    """Into how many blocks a group of so many nodes and elements is dealt."""
+    return F.ceil(F.greatest(n / BLOCK, elements / BLOCK_ELEMENTS)).cast("long")
 
-    A bucket is dealt into blocks of about ``BLOCK`` nodes, and every two blocks meet once in a group of
-    bounded size, which counts all overlaps and returns only the links that join components."""
-    blocks = F.ceil(F.col("n") / BLOCK)
-    dealt = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+
+def _sets(group: pa.Table) -> list[np.ndarray]:
+    return [np.asarray(x.values) for x in group["elements"]]
+
+
+def _edges(pairs: list[tuple[bytes, bytes]]) -> pa.Table:
+    return pa.table([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+
+def _leader_links(rows: DataFrame, elements: DataFrame, similarity: float) -> DataFrame:
+    """Links of large buckets with their leaders; ``rows`` has (bucket, node, leader, blocks)."""
+    dealt = rows.where("node <> leader").select("bucket", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("i"), "node", F.lit(False).alias("leads"))
+    leaders = rows.where("node = leader").select(
+        "bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("i"), "node", F.lit(True).alias("leads")
+    )
+    full = dealt.unionByName(leaders).join(elements, "node")
+
+    def work(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("leads", "descending")])
+        names = group["node"].to_pylist()
+        if len(names) < 2:
+            return _edges([])
+        return _edges([(names[0], names[1 + i]) for i in np.flatnonzero(linked(_sets(group), similarity, 1)[0])])
+
+    return written(full.groupBy("bucket", "i").applyInArrow(work, _EDGES), "links")
+
+
+def _met(rows: DataFrame, key: str) -> DataFrame:
+    """Every two blocks of a group (``key``, ``blocks``) as one group (``key``, i, j), each node with its own block."""
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    met = met.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "root")
-    full = met.join(elements, "node")
+    return met.select(key, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root")
+
+
+def _block_links(rows: DataFrame, elements: DataFrame, similarity: float) -> DataFrame:
+    """Links inside large buckets that hold several components; ``rows`` has (bucket, node, root, blocks).
+
+    Every two blocks meet once in a group, which counts all overlaps and returns only the links that join components."""
+    full = _met(rows, "bucket").join(elements, "node")
 
     def work(group: pa.Table) -> pa.Table:
         names = group["node"].to_pylist()
         roots = {r: k for k, r in enumerate(sorted(set(group["root"].to_pylist())))}
         label = np.array([roots[r] for r in group["root"].to_pylist()], dtype=np.int64)
         if len(roots) < 2:
-            return pa.table([pa.array([], pa.binary())] * 2, ["a", "b"])
-        sets = [np.asarray(x.values) for x in group["elements"]]
-        shared = overlaps(sets)
-        size = shared.diagonal()
-        linked = shared >= (size[:, None] + size[None, :] - shared) * similarity - 1e-6
-        found = forest(linked, label)
-        return pa.table([pa.array([names[x[k]] for x in found], pa.binary()) for k in (0, 1)], ["a", "b"])
+            return _edges([])
+        return _edges([(names[i], names[j]) for i, j in forest(linked(_sets(group), similarity), label)])
 
     return written(full.groupBy("bucket", "i", "j").applyInArrow(work, _EDGES), "links")
 
 
+def _link_counts(rows: DataFrame, elements: DataFrame, similarity: float) -> DataFrame:
+    """node and n_links, over all pairs of a class; ``rows`` has (node, root, n_elements) of every node that has a link.
+
+    Classes that fit a block are packed, some to a group; of larger ones every two blocks meet once."""
+    classes = rows.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("n_elements").alias("total"))
+    classes = classes.withColumn("blocks", _blocks(F.col("m"), F.col("total")))
+    packs = classes.where("blocks = 1").agg(_blocks(F.sum("m"), F.sum("total"))).first()[0] or 1
+    pack = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(packs)).cast("string")).otherwise(F.concat(F.lit("root "), F.hex("root")))
+    named = rows.drop("n_elements").join(classes.where("m > 2"), "root").withColumn("pack", pack)
+    full = _met(named, "pack").join(elements, "node")
+
+    def work(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("root", "ascending"), ("own", "ascending")])
+        names, sets = group["node"].to_pylist(), _sets(group)
+        root, own = group["root"].to_pylist(), group["own"].to_numpy()
+        cut = [0, *(k for k in range(1, len(root)) if root[k] != root[k - 1]), len(root)]
+        n = np.zeros(len(names), dtype=np.int64)
+        for a, b in zip(cut, cut[1:]):
+            split = int((own[a:b] == own[a]).sum())
+            if group["i"][0] == group["j"][0]:
+                n[a:b] = linked(sets[a:b], similarity).sum(axis=1)
+            elif split < b - a:
+                both = linked(sets[a:b], similarity, split)
+                n[a:b] = np.concatenate([both.sum(axis=1), both.sum(axis=0)])
+        return pa.table([pa.array(names, pa.binary()), pa.array(n)], ["node", "n_links"])
+
+    counted = full.groupBy("pack", "i", "j").applyInArrow(work, "node binary, n_links long")
+    pairs = rows.join(classes.where("m = 2"), "root").select("node", F.lit(1).cast("long").alias("n_links"))
+    return counted.groupBy("node").agg(F.sum("n_links").alias("n_links")).unionByName(pairs)
+
+
 def near_duplicates(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY
 ) -> DataFrame:
-    """One row for each row of ``docs``: id, ``class_id`` and ``is_kept`` (the class's first document).
+    """One row for each row of ``docs``: id, ``class_id``, ``is_kept`` (the class's first document) and
+    ``n_links``, with how many other multisets of its class the document's own overlaps by ``similarity``.
 
     ``text_hash`` (xxhash64 of the text) tells rows apart that share an id."""
     signed = written(sign(docs, id_col, text_col), "signed")
@@ -313,31 +376,35 @@ def near_duplicates(
     nodes = written(
         signed.where("node is not null")
         .groupBy("node")
-        .agg(first.alias("first"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
-        .select("node", "first.id", "first.text_hash", "bands", "signature"),
+        .agg(first.alias("first"), F.first("bands").alias("bands"), F.first("n_elements").alias("n_elements"))
+        .select("node", "first.id", "first.text_hash", "bands", "n_elements"),
         "nodes",
     )
-    banded = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader")).where("n > 1")
-    buckets = written(banded.join(shared, "bucket"), "buckets")
+    banded = nodes.select("node", "n_elements", F.explode("bands").alias("bucket"))
+    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader"), F.sum("n_elements").alias("total"))
+    shared = shared.where("n > 1").select("bucket", "n", "leader", _blocks(F.col("n"), F.col("total")).alias("blocks"))
+    buckets = written(banded.drop("n_elements").join(shared, "bucket"), "buckets")
     wanted = buckets.select("node").distinct().join(nodes.select("node", "id", "text_hash"), "node")
     elements = written(_elements(docs, wanted, id_col, text_col).dropDuplicates(["node"]), "elements")
-    stars = buckets.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    found = _verified(stars, nodes, elements, similarity)
+    large = buckets.where(F.col("n") > SMALL)
+    of_pairs = _pair_links(buckets.where(F.col("n") <= SMALL), elements, similarity)
+    of_leaders = _leader_links(large, elements, similarity)
+    found = of_pairs.unionByName(of_leaders)
     roots = components(found)
-    named = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     split = named.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
-    open_ = written(named.join(split.select("bucket"), "bucket").select("bucket", "node", "root", "n"), "open")
-    small = open_.where(F.col("n") <= SMALL)
-    one, two = (small.select("bucket", F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
-    pairs = one.join(two, "bucket").where("a < b and root_a <> root_b").select("a", "b").distinct()
-    pairs = pairs.join(stars, ["a", "b"], "left_anti")
-    found = found.unionByName(_verified(pairs, nodes, elements, similarity))
-    found = found.unionByName(_block_links(open_.where(F.col("n") > SMALL), elements, similarity))
-    roots = components(found)
+    of_blocks = _block_links(named.join(split.select("bucket"), "bucket"), elements, similarity)
+    discard(roots, buckets)
+    roots = components(found.unionByName(of_blocks))
+    discard(of_pairs, of_leaders, of_blocks)
+    members = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    counts = _link_counts(members.join(nodes.select("node", "n_elements"), "node"), elements, similarity)
     named = nodes.select("node", "id", "text_hash").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named_class = named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")).alias("head"))
-    classes = named.join(named_class, "root").select("node", "head")
+    classes = written(
+        named.join(named_class, "root").select("node", "head").join(counts, "node", "left").na.fill(0, ["n_links"]), "classes"
+    )
+    discard(roots, nodes, elements)
     own = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")
     return (
         signed.select("id", "text_hash", "node")
@@ -347,6 +414,7 @@ def near_duplicates(
             F.col("id").alias(id_col),
             F.col("head.id").alias("class_id"),
             (F.col("id").eqNullSafe(F.col("head.id")) & (F.col("text_hash") == F.col("head.text_hash"))).alias("is_kept"),
+            F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
             "text_hash",
         )
     )

@@ -40,6 +40,7 @@ def test_overlaps_and_forest_equal_brute_force():
     shared = bagminhash.overlaps(sets)
     for i, j in itertools.product(range(40), repeat=2):
         assert shared[i, j] == len(np.intersect1d(sets[i], sets[j]))
+    assert (bagminhash.overlaps(sets, 13) == shared[:13, 13:]).all()
     linked = shared >= 40
     links = bagminhash.forest(linked, np.arange(40))
     root = list(range(40))
@@ -57,11 +58,12 @@ def test_overlaps_and_forest_equal_brute_force():
 
 
 def brute_classes(texts: dict) -> dict:
+    """Class and number of linked other multisets of each document."""
     bags = {}
     for d, t in texts.items():
         w = [x for x in re.split(r"[\W_]+", (t or "").lower()) if x]
         bags[d] = Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
-    root = {d: d for d in texts}
+    root, links = {d: d for d in texts}, {d: set() for d in texts}
 
     def find(x):
         while root[x] != x:
@@ -69,14 +71,20 @@ def brute_classes(texts: dict) -> dict:
         return x
 
     for a, b in itertools.combinations(texts, 2):
-        shared = sum((bags[a] & bags[b]).values())
-        if shared and shared >= 0.8 * (sum(bags[a].values()) + sum(bags[b].values()) - shared) - 1e-9:
+        small, large = sorted((bags[a], bags[b]), key=len)
+        shared = sum(min(n, large[k]) for k, n in small.items())
+        if shared and shared >= 0.8 * (sum(small.values()) + sum(large.values()) - shared) - 1e-9:
             x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
-    return {d: find(d) for d in texts}
+            if bags[a] != bags[b]:
+                links[a].add(frozenset(bags[b].items()))
+                links[b].add(frozenset(bags[a].items()))
+    return {d: (find(d), len(links[d])) for d in texts}
 
 
-def test_near_duplicates_equal_brute_force(spark):
+@pytest.mark.parametrize("block", [384, 7])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(bagminhash, "BLOCK", block)
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     rng = np.random.default_rng(5)
     words = [f"w{i}" for i in range(500)]
@@ -88,10 +96,13 @@ def test_near_duplicates_equal_brute_force(spark):
             own[p] = f"x{i}_{p}"
         copies.append((100_000 + i, " ".join(own)))
     extra = [(200_000, "same short"), (200_001, "Same, SHORT"), (200_002, ""), (200_003, None), (200_004, "a " * 300), (200_005, "a " * 310)]
+    extra += [(200_006, " ".join(f"l{i}" for i in range(60_000))), (200_007, " ".join(f"l{i}" for i in range(58_000)))]
     both = docs.select("doc_id", "text").unionByName(spark.createDataFrame(copies + extra, "doc_id long, text string"))
-    got = {r.doc_id: r.class_id for r in bagminhash.near_duplicates(both).collect()}
+    both = both.withColumn("class_id", F.lit("clash")).withColumn("n_links", F.lit("clash"))
+    got = {r.doc_id: (r.class_id, r.n_links) for r in bagminhash.near_duplicates(both).collect()}
     want = brute_classes({r.doc_id: r.text for r in both.collect()})
     assert got == want
+    assert sum(n for _, n in got.values()) > 100
 
 
 def test_near_duplicates_of_repeated_and_null_rows(spark):
