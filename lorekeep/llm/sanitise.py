@@ -13,9 +13,13 @@ missing ones count as texts with t alone, each as often as the texts seen: entit
 estimated too, with caution, and copies of one text prove no more than it does. Base spans are replaced by
 their kind.
 
-Only the terms of texts with base spans are stored. Each disclosing term, with its highest disclosure, then
-goes to all texts: broadcast up to ``MAX_TOLD`` terms, else joined with the terms of each text. Terms are runs of letters and digits, lower-cased, outside base spans;
-counts are aggregated before they are shuffled, so a frequent term or entity is no group of its own.
+Only the terms of texts with base spans are stored, once for each distinct text. A term can only reach
+``GENERALISE`` if it is rare enough for the most frequent entity of its text (``_reach``), so the others are dropped before they
+are shuffled: those in very many texts by a broadcast of at most ``MAX_FREQUENT`` terms, the rest where they meet
+their counts. Entities meet their counts in ``SALTS`` tasks each; all other groups are bounded by a text or by
+the share of texts that a term not broadcast can have. Each disclosing term, with its highest
+disclosure, then goes to all texts: broadcast up to ``MAX_TOLD`` terms, else joined with the terms of each
+text, which gives the same result. Terms are runs of letters and digits, lower-cased, outside base spans.
 
 Defined cases: null and empty texts have no spans. Rows are independent: null or repeated ids stay, one
 result for each row. Texts without a base span or disclosing term are unchanged. Extra columns pass only if named in ``keep``.
@@ -27,11 +31,11 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import text_of, written
+from .common import discard, text_of, written
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -40,6 +44,9 @@ GENERALISE = 0.75
 REMOVE = 0.95
 #: At most so many disclosing terms are broadcast; beyond it they meet the terms of each text in a join.
 MAX_TOLD = 300_000
+#: Terms of so many texts that no more of them exist are told apart by a broadcast.
+MAX_FREQUENT = 100_000
+SALTS = 16
 
 SPANS = "array<struct<kind:string,start:int,end:int,value:string>>"
 
@@ -157,38 +164,72 @@ def _found(docs: DataFrame, text_col: str) -> DataFrame:
     return rows.mapInArrow(work, "text_hash long, entities array<string>, terms array<string>")
 
 
-def disclosures(docs: DataFrame, found: DataFrame, text_col: str = "text", support: int = SUPPORT) -> DataFrame:
-    """entity, term, disclosure and the counts behind it, of all pairs that share a text.
+def _reach(n_entity: Column, total: Column, least: float) -> Column:
+    """The most texts that a term may be in and still disclose ``least`` of an entity of so many texts: of
+    n_both <= n_entity in PMI / IC >= least follows n_term <= n_entity (total / n_entity) ** (1 - least)."""
+    return n_entity * F.pow(total / n_entity, F.lit(1 - least)) * (1 + 1e-9) + 1e-6
 
-    ``found`` has entities and terms of the texts with base spans (see ``_found``)."""
-    entities = (
-        found.select("text_hash", F.explode("entities").alias("entity"))
-        .groupBy("entity")
-        .agg(F.count(F.lit(1)).alias("n_entity"))
-    )
+
+def _salted(rows: DataFrame, key: str, by: Column, table: DataFrame) -> DataFrame:
+    """``rows`` joined with ``table`` on ``key``, the rows of a key dealt over ``SALTS`` tasks."""
+    copies = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(by, F.lit(SALTS)).cast("int")).join(copies, [key, "salt"]).drop("salt")
+
+
+def term_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """term and the number of rows that have it."""
+    words = F.array_distinct(F.filter(F.split(F.lower(text_of(text_col)), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+    return docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+
+
+def disclosures(
+    docs: DataFrame, found: DataFrame, counts: DataFrame, frequent: DataFrame, *, support: int = SUPPORT, least: float = GENERALISE
+) -> DataFrame:
+    """entity, term, disclosure and the counts behind it, of all pairs that share a text and disclose ``least`` or more.
+
+    ``found`` has entities and terms of the texts with base spans (see ``_found``), ``counts`` the terms' counts
+    and ``frequent`` the part of them that may be broadcast (see ``frequent_terms``)."""
+    n_rows = float(docs.count())
+    total = F.lit(n_rows)
+    texts = found.groupBy("text_hash").agg(
+        F.count(F.lit(1)).alias("n"), F.first("entities").alias("entities"), F.first("terms").alias("terms")
+    )  # equal texts have equal lists
+    texts = written(texts, "texts")
+    named = texts.select("text_hash", "n", F.explode("entities").alias("entity"))
+    sizes = named.groupBy("entity").agg(F.sum("n").alias("n_entity"))
+    named = written(_salted(named, "entity", F.col("text_hash"), sizes), "entities")
+    reach = named.groupBy("text_hash").agg(F.max(_reach(F.col("n_entity"), total, least)).alias("reach"))
+    terms = texts.join(reach, "text_hash").select("text_hash", "reach", F.explode("terms").alias("term"))
+    known = terms.join(F.broadcast(frequent), "term", "left").where(F.col("n_frequent").isNull() | (F.col("n_frequent") <= F.col("reach")))
+    rare = known.where("n_frequent is null").drop("n_frequent").join(counts, "term", "left")
+    # a term that the two ways to split words tell apart is at least as frequent as its pairs
+    near = known.where("n_frequent is not null").withColumnRenamed("n_frequent", "n_term").unionByName(rare)
+    near = near.where(F.coalesce("n_term", F.lit(0)) <= F.col("reach")).select("text_hash", "term", "n_term")
     pairs = (
-        found.select("text_hash", F.explode("entities").alias("entity"), "terms")
-        .groupBy("entity", "text_hash")
-        .agg(F.count(F.lit(1)).alias("n"), F.first("terms").alias("terms"))  # one text, one term list
-        .select("entity", "n", F.explode("terms").alias("term"))
+        near.join(named, "text_hash")
         .groupBy("entity", "term")
-        .agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("n_texts"))
+        .agg(
+            F.sum("n").alias("n_both"),
+            F.count(F.lit(1)).alias("n_texts"),
+            F.first("n_entity").alias("n_entity"),
+            F.first("n_term").alias("n_term"),
+        )
+        .withColumn("n_term", F.greatest(F.coalesce("n_term", "n_both"), F.col("n_both")))
     )
-    words = F.array_distinct(F.filter(F.split(F.lower(text_of(text_col)), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
-    counts = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    total = F.lit(float(docs.count()))
-    # a term that the two ways to split words tell apart is at least as frequent as its pairs
-    n_term = F.greatest(F.coalesce("n_term", "n_both"), F.col("n_both"))
     missing = F.greatest(F.lit(support) - F.col("n_texts"), F.lit(0)) * F.col("n_both") / F.col("n_texts")
-    pmi = F.log(F.col("n_both") * total / (F.col("n_entity") * (n_term + missing)))
-    return (
-        pairs.join(entities, "entity")
-        .join(counts, "term", "left")
-        .withColumn("disclosure", F.when(F.col("n_entity") < total, pmi / F.log(total / F.col("n_entity"))).otherwise(0.0))
-        .select("entity", "term", "disclosure", "n_entity", "n_both", n_term.alias("n_term"))
+    pmi = F.log(F.col("n_both") * total / (F.col("n_entity") * (F.col("n_term") + missing)))
+    told = F.when(F.col("n_entity") < total, pmi / F.log(total / F.col("n_entity"))).otherwise(0.0)
+    return pairs.withColumn("disclosure", told).where(F.col("disclosure") >= least).select(
+        "entity", "term", "disclosure", "n_entity", "n_both", "n_term"
     )
 
 
+def frequent_terms(counts: DataFrame, most: int = MAX_FREQUENT) -> DataFrame:
+    """term and ``n_frequent`` of the terms in more texts than all counts divided by ``most``: at most ``most`` terms."""
+    whole = counts.agg(F.coalesce(F.sum("n_term"), F.lit(0))).first()[0]
+    return counts.where(F.col("n_term") > whole / most).withColumnRenamed("n_term", "n_frequent")
+
+
 def _replaced(text: str, terms: dict[str, float]) -> tuple[list[dict], str]:
     """All spans of a text, and the text with every span replaced."""
     spans = _base(text)
@@ -232,8 +273,8 @@ def _applied(rows: DataFrame, told: dict[str, float] | None, texts: bool) -> Dat
     return rows.mapInArrow(work, StructType([*schema]))
 
 
-def _revealing(docs: DataFrame, told: DataFrame, text_col: str) -> DataFrame:
-    """text_hash and the told terms of each text that has some. Words are split as by ``_terms``; texts of one
+def _revealing(docs: DataFrame, told: DataFrame, frequent: DataFrame, text_col: str) -> DataFrame:
+    """text_hash and the told terms of each text that has some. Frequent terms are looked up before the shuffle. Words are split as by ``_terms``; texts of one
     hash share their list, which is harmless, as a text only takes the terms that it has."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,8 +284,11 @@ def _revealing(docs: DataFrame, told: DataFrame, text_col: str) -> DataFrame:
 
     texts = docs.select(text_of(text_col).alias("text")).select(F.xxhash64("text").alias("text_hash"), "text")
     words = texts.mapInArrow(work, "text_hash long, terms array<string>").select("text_hash", F.explode("terms").alias("term"))
+    often = frequent.join(told, "term", "left").select("term", "disclosure", F.lit(True).alias("often"))
+    words = words.join(F.broadcast(often), "term", "left")  # at most MAX_FREQUENT terms
+    rare = words.where("often is null").select("text_hash", "term").join(told, "term")
     return (
-        words.join(told, "term")
+        words.where("disclosure is not null").select("text_hash", "term", "disclosure").unionByName(rare.select("text_hash", "term", "disclosure"))
         .groupBy("text_hash", "term")
         .agg(F.first("disclosure").alias("disclosure"))
         .groupBy("text_hash")
@@ -267,7 +311,9 @@ def sanitise(
     """One row for each row of ``docs``: id, ``spans`` (base and term spans, with values), ``sanitised``
     (with ``texts``; else null where nothing changed) and the columns ``keep``."""
     found = written(_found(docs, text_col), "terms")
-    told = disclosures(docs, found, text_col).where(F.col("disclosure") >= GENERALISE)
+    counts = written(term_counts(docs, text_col), "counts")
+    frequent = frequent_terms(counts)
+    told = disclosures(docs, found, counts, frequent)
     told = written(told.groupBy("term").agg(F.max("disclosure").alias("disclosure")), "told")
     rows = docs.select(
         F.col(id_col).alias("id"),
@@ -277,10 +323,15 @@ def sanitise(
     if told.count() <= MAX_TOLD:
         table = told.toArrow()
         done = _applied(rows, dict(zip(table["term"].to_pylist(), table["disclosure"].to_pylist())), texts)
+        discard(counts, told)
     else:
-        revealing = _revealing(docs, told, text_col)
-        joined = rows.withColumn("text_hash", F.xxhash64("text")).join(revealing, "text_hash", "left")
+        revealing = written(_revealing(docs, told, frequent, text_col), "revealing")
+        hashed = rows.withColumn("text_hash", F.xxhash64("text"))
+        copies = revealing.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # copies of a text are no hot key
+        joined = hashed.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(copies, ["text_hash", "salt"], "left")
         done = _applied(joined.select("id", "kept", "text", "revealing"), None, texts)
+        discard(counts, told)
+    discard(found)
     return done.select(
         F.col("id").alias(id_col),
         "spans",
