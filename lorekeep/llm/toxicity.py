@@ -6,7 +6,8 @@ P(grade > k). Features are the presence of a text's words and of their first let
 64-bit hashes, so that no two share a weight. Features of the training rows that are seen in at least
 ``MIN_TEXTS`` of them and stand out between grades are kept, and an L1 penalty empties most weights
 (accelerated proximal gradient on the driver). The training rows are a bounded sample: of each grade at
-most ``MAX_ROWS`` labelled rows, by the hash of their id. Only nonzero weights are sent to the executors.
+most ``MAX_ROWS`` labelled rows, by the hash of their id, with at most ``MAX_FEATURES`` features each (scoring
+uses all). Only nonzero weights are sent to the executors.
 
 Defined cases: null and empty texts have no features and get the severity of an empty text. Rows are
 independent: null or repeated ids stay, one result for each row. Labels without a grade or id, or without
@@ -21,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of
@@ -29,6 +30,8 @@ from .common import text_of
 PREFIXES = (4, 5, 7)
 MIN_TEXTS = 5
 MAX_ROWS = 3000
+MAX_FEATURES = 8192
+MAX_GRADES = 16
 STANDS_OUT = 4.0
 L1 = 0.0001
 
@@ -71,6 +74,32 @@ def _frequent(lists: pa.ListArray, least: int = MIN_TEXTS) -> tuple[np.ndarray,
     return row[kept], flat[kept]
 
 
+def loss(row: np.ndarray, column: np.ndarray, grades: np.ndarray, weight: np.ndarray, w: np.ndarray, theta: np.ndarray) -> float:
+    """-sum of weight * log P(grade), where row i has the features ``column[row == i]``."""
+    a, b = _edges(row, column, grades, w, theta)
+    return float(-(weight * np.log(np.maximum(a - b, 1e-12))).sum())
+
+
+def _edges(row, column, grades, w, theta) -> tuple[np.ndarray, np.ndarray]:
+    """P(grade <= own) and P(grade < own) of each row."""
+    s, top = np.bincount(row, weights=w[column], minlength=len(grades)), len(theta)
+    lower, upper = np.maximum(grades - 1, 0), np.minimum(grades, top - 1)
+    a = np.where(grades == top, 1.0, 1 / (1 + np.exp(np.clip(s - theta[upper], -60, 60))))
+    b = np.where(grades == 0, 0.0, 1 / (1 + np.exp(np.clip(s - theta[lower], -60, 60))))
+    return a, b
+
+
+def slopes(row, column, grades, weight, w, theta) -> tuple[np.ndarray, np.ndarray]:
+    """The gradient of ``loss`` by the weights and by the thresholds."""
+    a, b = _edges(row, column, grades, w, theta)
+    p, top = np.maximum(a - b, 1e-12), len(theta)
+    by_score = weight * (1 - a - b)
+    by_theta = np.zeros(top)
+    np.add.at(by_theta, np.minimum(grades, top - 1), np.where(grades < top, -weight * a * (1 - a) / p, 0))
+    np.add.at(by_theta, np.maximum(grades - 1, 0), np.where(grades > 0, weight * b * (1 - b) / p, 0))
+    return np.bincount(column, weights=by_score[row], minlength=len(w)), by_theta
+
+
 def fit(lists: pa.ListArray, grades: np.ndarray, weight: np.ndarray | None = None, rounds: int = 400) -> OrdinalModel:
     """Fit on one feature list and grade for each training row; ``weight``: how many rows a row stands for."""
     empty = OrdinalModel(np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
@@ -96,22 +125,9 @@ def fit(lists: pa.ListArray, grades: np.ndarray, weight: np.ndarray | None = Non
     rows_of = np.maximum(np.bincount(row, minlength=n), 1)
     # a bound of the curvature along each weight and of all thresholds gives each its own step
     step = 4.0 / np.maximum(1e-9, np.bincount(column, weights=(weight * (rows_of + 1))[row], minlength=len(kept)))
-    lower, upper = np.maximum(grades - 1, 0), np.minimum(grades, levels - 2)
-
-    def slope(w, theta):
-        s = np.bincount(row, weights=w[column], minlength=n)
-        a = np.where(grades == levels - 1, 1.0, 1 / (1 + np.exp(np.clip(s - theta[upper], -60, 60))))
-        b = np.where(grades == 0, 0.0, 1 / (1 + np.exp(np.clip(s - theta[lower], -60, 60))))
-        p = np.maximum(a - b, 1e-12)
-        by_score = weight * (1 - a - b)
-        by_theta = np.zeros(levels - 1)
-        np.add.at(by_theta, upper, np.where(grades < levels - 1, -weight * a * (1 - a) / p, 0))
-        np.add.at(by_theta, lower, np.where(grades > 0, weight * b * (1 - b) / p, 0))
-        return np.bincount(column, weights=by_score[row], minlength=len(kept)), by_theta
-
     look_w, look_t, momentum = w, theta, 1.0
     for _ in range(rounds):
-        by_w, by_t = slope(look_w, look_t)
+        by_w, by_t = slopes(row, column, grades, weight, look_w, look_t)
         new_w = look_w - step * by_w
         new_w = np.sign(new_w) * np.maximum(np.abs(new_w) - step * L1, 0)
         new_t = np.maximum.accumulate(look_t - by_t + 1e-6 * np.arange(levels - 1))
@@ -138,20 +154,26 @@ def severity_grades(lists: pa.ListArray, toxic: np.ndarray) -> np.ndarray:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text") -> pa.Table:
-    """features, label and weight of at most ``MAX_ROWS`` labelled documents of each label value."""
-    rank = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
+    """features, label and weight of at most ``MAX_ROWS`` labelled documents of each label value.
+
+    Each value's rows are the first by the hash of their id, which every task finds among its own before they meet.
+    Of documents that share an id one is learned from, and of its features the ``MAX_FEATURES`` of the smallest hashes."""
     named = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).dropna().distinct()
-    sizes = named.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    chosen = (
-        named.withColumn("nth", F.row_number().over(rank))
-        .where(F.col("nth") <= MAX_ROWS)
-        .join(F.broadcast(sizes), "label")  # one row for each grade
-        .select("id", "label", (F.col("n") / F.least("n", F.lit(MAX_ROWS))).alias("weight"))
-    )
+    sizes = named.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy("label").limit(MAX_GRADES + 1).collect()
+    if len(sizes) > MAX_GRADES:
+        raise ValueError(f"more than {MAX_GRADES} values of {label_col}")
+    chosen = named.select("id", "label", F.lit(1.0).alias("weight")).where("false")
+    for size in sizes:
+        first = named.where(F.col("label") == size.label).orderBy(F.xxhash64("id"), "id").limit(MAX_ROWS)
+        chosen = chosen.unionByName(first.withColumn("weight", F.lit(size.n / min(size.n, MAX_ROWS))))
     texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    return (
+    one = (
         texts.join(F.broadcast(chosen), "id")  # at most MAX_ROWS for each grade
-        .select("id", features(F.col("text")).alias("features"), "label", "weight")
+        .groupBy("id", "label", "weight")
+        .agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("first"))
+    )
+    return (
+        one.select("id", F.slice(F.array_sort(features(F.col("first.text"))), 1, MAX_FEATURES).alias("features"), "label", "weight")
         .toArrow()
         .combine_chunks()
         .sort_by([("label", "ascending"), ("id", "ascending")])
