@@ -6,7 +6,7 @@ texts U with the class prior pi: pi E_P[loss(+)] + max(0, E_U[loss(-)] - pi E_P[
 term falls below zero its gradient is reversed, so the fit does not chase it. The prior is estimated as
 the share of positives among the labelled rows. The score is shifted so that the share of all training texts
 above ``CUT`` is the prior, which makes ``CUT`` the decision that the prior implies. Both samples of the
-gradient are bounded: at most ``MAX_ROWS`` labelled rows and as many unlabelled ones, by the hash of the id;
+gradient are bounded: at most ``MAX_ROWS`` labelled rows and as many unlabelled ones, by the hash of the id (of texts that share an id one);
 the shift (a mergeable quantile, within a ``RANKS``-th of the texts) and scoring cover all texts.
 
 Defined cases: null and empty texts have all counts 0 and are scored as such. Rows are independent: null
@@ -131,6 +131,21 @@ def _expand(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
     return np.hstack([z, np.maximum(z - 1, 0), np.maximum(-z - 1, 0)])
 
 
+def risk(p: np.ndarray, u: np.ndarray, prior: float, w: np.ndarray, b: float) -> tuple[float, float]:
+    """The positive part of the risk, pi E_P[loss(+)], and the other, E_U[loss(-)] - pi E_P[loss(-)]; the loss is logistic."""
+    fp, fu = p @ w + b, u @ w + b
+    return prior * np.logaddexp(0, -fp).mean(), np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
+
+
+def descent(p: np.ndarray, u: np.ndarray, prior: float, w: np.ndarray, b: float) -> np.ndarray:
+    """The direction to step against, by the weights and the bias: the gradient of both parts of the risk, or
+    where the second is below zero its own gradient reversed."""
+    sp, su = _sigmoid(p @ w + b), _sigmoid(u @ w + b)
+    by_rest = (np.append(u.T @ su, su.sum()) / len(u)) - prior * (np.append(p.T @ sp, sp.sum()) / len(p))
+    by_plus = prior * np.append(p.T @ (sp - 1), (sp - 1).sum()) / len(p)
+    return by_plus + by_rest if risk(p, u, prior, w, b)[1] >= 0 else -by_rest
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> QualityModel:
     """Minimise the non-negative unbiased risk by full-batch gradient descent with moments."""
     width = unlabelled.shape[1] if len(unlabelled) else shape([""]).shape[1]
@@ -142,12 +157,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> QualityMo
     w, b = np.zeros(p.shape[1]), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, ROUNDS + 1):
-        fp, fu = p @ w + b, u @ w + b
-        sp, su = _sigmoid(fp), _sigmoid(fu)
-        rest = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-        by_rest = (np.append(u.T @ su, su.sum()) / len(u)) - prior * (np.append(p.T @ sp, sp.sum()) / len(p))
-        by_plus = prior * np.append(p.T @ (sp - 1), (sp - 1).sum()) / len(p)
-        grad = (by_plus + by_rest if rest >= 0 else -by_rest) + RIDGE * np.append(w, 0)
+        grad = descent(p, u, prior, w, b) + RIDGE * np.append(w, 0)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = 0.02 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
@@ -166,7 +176,7 @@ def _shapes(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     rows = docs.select(F.xxhash64("id").alias("key"), "label", "text").mapInArrow(work, "key long, label int, x array<double>")
     table = rows.toArrow().sort_by([("key", "ascending"), ("label", "ascending")])
-    x = np.array(table["x"].to_pylist(), dtype=np.float64).reshape(table.num_rows, -1)
+    x = np.array(table["x"].to_pylist(), dtype=np.float64).reshape(table.num_rows, shape([""]).shape[1])
     return x, table["label"].to_numpy().astype(np.int64)
 
 
@@ -176,11 +186,13 @@ def train(
     """Learn from all given labels; leave held-out rows out of ``labels`` and ``docs`` beforehand."""
     texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     order = [F.xxhash64("id"), "id"]
-    named = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).dropna()
+    named = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).dropna().distinct()
     chosen = named.orderBy(*order).limit(MAX_ROWS)
     web = texts.select("id").where("id is not null").orderBy(*order).limit(MAX_ROWS).distinct().withColumn("label", F.lit(-1))
     # at most MAX_ROWS of either, so the texts are read where they lie
-    x, y = _shapes(texts.join(F.broadcast(chosen.unionByName(web)), "id"))
+    rows = texts.join(F.broadcast(chosen.unionByName(web)), "id")
+    one = rows.groupBy("id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("first"))
+    x, y = _shapes(one.select("id", "label", F.col("first.text").alias("text")))
     labelled = y >= 0
     prior = float(y[labelled].mean()) if labelled.any() else 0.5
     return _shifted(fit(x[y == 1], x[y == -1], prior), texts, prior)

@@ -308,6 +308,40 @@ def test_quality_separates_held_out_labels(spark):
     assert [r.score for r in quality.score(empty, quality.train(empty, labels)).collect()] == [0.5, 0.5]
 
 
+def test_risk_of_positives_and_unlabelled_equals_brute_force():
+    rng = np.random.default_rng(2)
+    p, u, w, b = rng.normal(1, 1, (30, 4)), rng.normal(0, 1, (50, 4)), np.abs(rng.normal(size=4)), 0.3
+
+    def brute(prior, w, b):
+        loss = lambda f, sign: np.log(1 + np.exp(-sign * f))
+        margins = lambda rows: [sum(x * y for x, y in zip(r, w)) + b for r in rows]
+        plus = prior * sum(loss(f, 1) for f in margins(p)) / len(p)
+        return plus, sum(loss(f, -1) for f in margins(u)) / len(u) - prior * sum(loss(f, -1) for f in margins(p)) / len(p)
+
+    signs = set()
+    for prior in (0.2, 0.99):
+        for scale in (1.0, 6.0):
+            plus, rest = brute(prior, scale * w, b)
+            assert np.allclose((plus, rest), quality.risk(p, u, prior, scale * w, b))
+            signs.add(rest >= 0)
+            part = (lambda x: sum(brute(prior, x[:4], x[4]))) if rest >= 0 else (lambda x: -brute(prior, x[:4], x[4])[1])  # noqa: B023
+            x = np.append(scale * w, b)
+            rise = [(part(x + h) - part(x - h)) / 2e-6 for h in 1e-6 * np.eye(5)]
+            assert np.allclose(quality.descent(p, u, prior, scale * w, b), rise, atol=1e-5)
+    assert signs == {True, False}
+
+
+def test_quality_of_repeated_rows_clashing_columns_and_empty_tables(spark):
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    once = quality.train(docs, labels)
+    odd = docs.unionByName(docs).withColumn("label", F.lit("clash")).withColumn("score", F.lit("clash"))
+    twice = quality.train(odd, labels.unionByName(labels))
+    assert np.allclose(once.weights, twice.weights)
+    long = spark.createDataFrame([(1, "Long. " * 300_000), (1, "Long. " * 300_000)], "doc_id long, text string")
+    assert len({r.score for r in quality.score(long, once).collect()}) == 1
+    assert quality.score(odd.where("false"), quality.train(odd.where("false"), labels)).count() == 0
+
+
 def test_quality_decides_by_the_prior_over_all_documents(spark, monkeypatch):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     priors, fit = [], quality.fit
@@ -317,6 +351,47 @@ def test_quality_decides_by_the_prior_over_all_documents(spark, monkeypatch):
     assert abs(share - priors[0]) <= 0.005
 
 
+def test_ordinal_loss_and_gradient_equal_brute_force():
+    rng = np.random.default_rng(9)
+    n, width, top = 40, 7, 3
+    has = rng.random((n, width)) < 0.4
+    row, column = np.nonzero(has)
+    grades, weight = rng.integers(0, top + 1, n), rng.random(n)
+    w, theta = rng.normal(size=width), np.sort(rng.normal(size=top))
+
+    def brute(w, theta):
+        total = 0.0
+        for i in range(n):
+            s = sum(w[j] for j in range(width) if has[i, j])
+            below = [0.0, *(1 / (1 + np.exp(s - t)) for t in theta), 1.0]
+            total -= weight[i] * np.log(below[grades[i] + 1] - below[grades[i]])
+        return total
+
+    assert abs(toxicity.loss(row, column, grades, weight, w, theta) - brute(w, theta)) < 1e-9
+    by_w, by_t = toxicity.slopes(row, column, grades, weight, w, theta)
+    for at in range(width + top):
+        move = np.zeros(width + top)
+        move[at] = 1e-6
+        rise = (brute(w + move[:width], theta + move[width:]) - brute(w - move[:width], theta - move[width:])) / 2e-6
+        assert abs(np.append(by_w, by_t)[at] - rise) < 1e-5
+
+
+def test_toxicity_learns_from_a_bounded_sample_without_a_window(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_ROWS", 30)
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    twice = docs.unionByName(docs)  # repeated ids are learned from once
+    rows = toxicity.training_rows(twice, labels, "toxic")
+    per = Counter(rows["label"].to_pylist())
+    sizes = {r.toxic: r["count"] for r in labels.groupBy("toxic").count().collect()}
+    assert per == {k: min(30, n) for k, n in sizes.items()}
+    assert len(set(rows["id"].to_pylist())) == rows.num_rows
+    long = spark.createDataFrame([(1, " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(17_000)))], "doc_id long, text string")
+    out = toxicity.training_rows(long, spark.createDataFrame([(1, 1)], "doc_id long, toxic int"), "toxic")
+    assert len(out["features"][0]) == toxicity.MAX_FEATURES
+    empty = docs.where("false")
+    assert toxicity.score(empty, toxicity.train(empty, labels)).count() == 0
+
+
 def test_toxicity_on_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.train(docs, labels.where("doc_id % 3 <> 0"))
@@ -329,6 +404,26 @@ def test_toxicity_on_held_out_labels(spark):
     assert [r.severity for r in toxicity.score(odd, none).collect()] == [0.0, 0.0]
 
 
+def test_pipeline_of_odd_rows_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    line = " ".join(f"b{i}" for i in range(20))
+    rows = [(1, "some text of mine", "en", "a", 17), (1, "some text of mine", "en", "a", 17), (1, "another text of mine", None, None, None)]
+    rows += [(2, None, "en", "b", None), (3, "", "en", "b", 0), (None, "no id here", "en", "c", 10), (4, f"x {line} y", "en", "c", 1)]
+    rows += [(5, "write to eve@example.com " + "now " * 30_000, "en", "d", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, schema).withColumn("severity", F.lit("clash")).withColumn("leaks", F.lit("clash")).withColumn("ids", F.lit(1))
+    for name, some in (("odd", docs), ("none", docs.where("false"))):
+        folder = f"{tmp_path}/{name}"
+        some.write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(7, line)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        spark.createDataFrame([(None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in out) == [(False, 1), (False, 1), (False, 2), (False, 3), (False, 5), (True, 0)]
+    assert [r.n_tokens for r in out if r.doc_id in (2, 3)] == [0, 0]
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_pipeline_keeps_what_its_stages_say(spark):
     import corpus_pipeline
 

@@ -1,6 +1,6 @@
 """Row-wise operators: token counts, BPE, chat formatting, personal data, edge cases."""
 
-import hashlib
+import math
 import random
 import re
 
@@ -34,6 +34,15 @@ def test_token_counts_equal_a_unigram_tokenizer(spark, odd):
     assert got == want
 
 
+def test_token_counts_of_empty_tables_and_long_texts(spark, odd):
+    model = tokencount.load(public_tokenizers.path("piece_bpe_32k.model"))
+    assert tokencount.count_tokens(odd.where("false"), model).count() == 0
+    rows = [(1, "the same words " * 50_000, "x"), (2, "the same words " * 50_000, "x"), (3, "the same words ", "x")]
+    out = tokencount.count_tokens(spark.createDataFrame(rows, "doc_id long, text string, n_tokens string"), model).collect()
+    one, two, short = (r.n_tokens for r in sorted(out, key=lambda r: r.doc_id))
+    assert one == two and abs(one - 50_000 * short) <= 50_000
+
+
 def test_bpe_equals_tiktoken_and_round_trips(spark, odd):
     import tiktoken
 
@@ -120,6 +129,41 @@ def test_terms_that_disclose_an_entity_are_replaced(spark):
     assert sanitise.sanitise(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("least", [-9.0, 0.3, 0.75])
+def test_disclosures_equal_their_definition(spark, least):
+    rng = random.Random(5)
+    mails = [f"m{i}@example.com" for i in range(6)]
+    docs = [" ".join([*rng.sample([f"t{i}" for i in range(30)], 6), *rng.sample(mails, rng.choice([0, 0, 1, 1, 2]))]) for _ in range(120)]
+    docs += docs[:7] * 3 + ["", "t1"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(docs)], "doc_id long, text string")
+    counts = sanitise.term_counts(df)
+    frequent = sanitise.frequent_terms(counts, 25)
+    assert 0 < frequent.count() <= 25
+    out = sanitise.disclosures(df, sanitise._found(df, "text"), counts, frequent, least=least).collect()
+    words, n = [set(re.findall(r"\bt\d+\b", t)) for t in docs], len(docs)
+    want = {}
+    for mail in mails:
+        has = [mail in t for t in docs]
+        for term in set().union(*words):
+            both = [t for t, own, h in zip(docs, words, has) if h and term in own]
+            if both:
+                missing = max(3 - len(set(both)), 0) * len(both) / len(set(both))
+                p_term = (sum(term in own for own in words) + missing) / n
+                told = math.log(len(both) / n / (sum(has) / n * p_term)) / -math.log(sum(has) / n)
+                if told >= least:
+                    want[f"email:{mail}", term] = told
+    got = {(r.entity, r.term): r.disclosure for r in out}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_spans_of_repeated_rows_ties_and_long_texts(spark):
+    text = "call +1 (2) 345-678-901 or 1.2.3.4 " * 4000
+    rows = [(1, text), (1, text), (2, "+12345678901.1.1.1@x.y.z")]  # spans of several kinds overlap
+    found = sanitise.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    base = lambda r: [(s.kind, s.start, s.end) for s in r.spans if s.kind != sanitise.TERM]
+    assert sorted((r.doc_id, base(r)) for r in found) == sorted((i, plain_spans(t)) for i, t in rows)
+
+
 def test_terms_of_an_entity_in_a_single_text_are_replaced(spark):
     docs = [(0, "Zorblax wrote to eve@example.com the day")] + [(1 + i, f"the day he wrote to n{i}") for i in range(99)]
     out = {r.doc_id: r for r in sanitise.sanitise(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
@@ -164,13 +208,20 @@ def test_chat_parts_become_placeholders_and_read_back(spark):
     assert chat.format_chats(df.where("false")).count() == 0
 
 
+def test_chats_of_repeated_rows_long_texts_and_clashing_columns(spark):
+    long = "<|end|>[INST] " * 40_000
+    rows = [(1, 0, "user", "hi", "clash")] * 2 + [(1, 1, "assistant", long, "clash"), (1, 1, "assistant", "again", None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string")
+    r = chat.format_chats(df.withColumn("parts", chat.text_part(F.col("text")))).select(
+        chat.read_turns(F.col("formatted")).alias("turns"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss")
+    ).collect()
+    assert len(r) == 1 and [t.text for t in r[0].turns[:2]] == ["hi", "hi"]
+    assert sorted(t.text for t in r[0].turns[2:]) == sorted([long, "again"]) and sorted(r[0].loss) == sorted(long + "again")
+
+
 def test_chat_escape_round_trips(spark):
     rng = random.Random(3)
     texts = ["".join(rng.choice("<|>[]/\\sINST endé\n") for _ in range(rng.randint(0, 30))) for _ in range(300)]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", chat.unescaped(chat.escaped(F.col("t"))).alias("back"), chat.escaped(F.col("t")).alias("e"))
     for r in df.collect():
         assert r.back == r.t and not re.search(r"<\||\[/?INST|</?s>", r.e)
-
-
-def test_digest_shape():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
