@@ -1,33 +1,40 @@
 """Keyword retrieval: postings, BM25 over weighted fields, and a substring fallback.
 
-Postings and statistics are built with map-side aggregation. A query table is broadcast only through its
-distinct terms, whose number the caller's queries bound; Spark chooses the join otherwise."""
+Texts are split once into token arrays; of these only tokens that some query asks for leave their row, so
+what is shuffled grows with the matches and not with the texts."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions.text import tokens
 
 K1, B = 1.2, 0.75
+#: Up to so many distinct terms of queries are looked for inside the token arrays; more meet the tokens in a join.
+MAX_TERMS = 10_000
 
 
-def weighted_terms(docs: DataFrame, id_col: str, fields: dict[str, float]) -> DataFrame:
-    """doc, terms (term and field weight of every token) and dl (weighted length).
+def field_tokens(docs: DataFrame, id_col: str, fields: dict[str, float]) -> DataFrame:
+    """doc, the tokens of each field, and dl, the number of tokens weighted by field."""
+    split = docs.select(F.col(id_col).alias("doc"), *[tokens(F.coalesce(F.col(f), F.lit(""))).alias(f"in_{f}") for f in fields])
+    length = sum((F.size(f"in_{f}") * F.lit(float(w)) for f, w in fields.items()), F.lit(0.0))
+    return split.withColumn("dl", length)
 
-    Tokens are taken before anything is exploded, so a text is split once and not once for each token."""
-    parts = [
-        F.transform(tokens(F.coalesce(F.col(f), F.lit(""))), lambda t: F.struct(t.alias("term"), F.lit(float(w)).alias("w")))
-        for f, w in fields.items()
-    ]
-    split = docs.select(F.col(id_col).alias("doc"), F.concat(*parts).alias("terms"))
-    return split.withColumn("dl", F.aggregate("terms", F.lit(0.0), lambda s, t: s + t["w"]))
+
+def term_weights(fields: dict[str, float], wanted: list[str] | None = None) -> Column:
+    """Term and field weight of every token, or of the wanted ones, of ``field_tokens``."""
+    def of(field: str, weight: float) -> Column:
+        own = F.col(f"in_{field}")
+        own = own if wanted is None else F.filter(own, lambda t: t.isin(wanted))
+        return F.transform(own, lambda t: F.struct(t.alias("term"), F.lit(float(weight)).alias("w")))
+
+    return F.concat(*[of(f, w) for f, w in fields.items()])
 
 
 def postings(docs: DataFrame, id_col: str, fields: dict[str, float]) -> DataFrame:
     """doc, term, tf (weighted over the fields) and dl (weighted length) of every term of every document."""
-    each = weighted_terms(docs, id_col, fields).select("doc", "dl", F.explode("terms").alias("t"))
+    each = field_tokens(docs, id_col, fields).select("doc", "dl", F.explode(term_weights(fields)).alias("t"))
     return each.groupBy("doc", "dl", F.col("t.term").alias("term")).agg(F.sum("t.w").alias("tf"))
 
 
@@ -39,11 +46,14 @@ def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, *, id_col: str, fields: dict[str, float]) -> DataFrame:
     """query, doc, score by the published BM25 formula (k1 1.2, b 0.75) of all documents that share a term.
 
-    ``queries`` has (query, term). Only terms of a query survive the join, before tf is aggregated by
-    document; the document frequency is a count over the same few rows."""
+    ``queries`` has (query, term). Only terms of a query survive, before tf is aggregated by document; the
+    document frequency is a count over the same few rows."""
+    split = field_tokens(docs, id_col, fields)
     wanted = queries.select("term").distinct()
-    split = weighted_terms(docs, id_col, fields)
-    each = split.select("doc", "dl", F.explode("terms").alias("t")).select("doc", "dl", "t.term", "t.w").join(wanted, "term")
+    named = [r.term for r in wanted.limit(MAX_TERMS + 1).collect()]
+    few = len(named) <= MAX_TERMS
+    each = split.select("doc", "dl", F.explode(term_weights(fields, named if few else None)).alias("t")).select("doc", "dl", "t.term", "t.w")
+    each = each if few else each.join(wanted, "term")
     own = each.groupBy("doc", "dl", "term").agg(F.sum("w").alias("tf"))
     frequency = own.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     stats = F.broadcast(split.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("mean_dl")))  # one row

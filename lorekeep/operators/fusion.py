@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 RRF_K = 60
 BAND_FLOOR = 0.2
+EPISODE_FACTOR = 0.6
 LEG_ORDER = ("fts", "vec", "graph", "facts")
 
 

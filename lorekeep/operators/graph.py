@@ -9,11 +9,17 @@ PER_ENTITY, MAX_NODES = 60, 400
 DAMPING, ROUNDS = 0.5, 25
 
 
+def first_mentions(mentions: DataFrame, per_entity: int = PER_ENTITY) -> DataFrame:
+    """entity, memory: each entity with its ``per_entity`` smallest memories, the bound of the retrieval leg."""
+    order = Window.partitionBy("entity").orderBy("memory")
+    rows = mentions.select("entity", "memory").distinct()
+    return rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_entity).drop("nth")
+
+
 def co_mentions(mentions: DataFrame, per_entity: int = PER_ENTITY, by: Column | None = None) -> DataFrame:
     """a < b, weight: how many entities two memories share; each entity counts its ``per_entity`` smallest
     memories, as the retrieval leg does, which bounds its pairs. ``by`` keeps apart what it names ``query``."""
-    order = Window.partitionBy("entity").orderBy("memory")
-    kept = mentions.select("entity", "memory").distinct().withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_entity)
+    kept = first_mentions(mentions, per_entity)
     a, b = kept.select("entity", F.col("memory").alias("a")), kept.select("entity", F.col("memory").alias("b"))
     pairs = a.join(b, "entity").where("a < b")
     keys = ["a", "b"] if by is None else [by.alias("query"), "a", "b"]

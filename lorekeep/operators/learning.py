@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekeep.operators.vectors import cosine
+from lorekeep.operators.vectors import nearest
 
 # Fixed word lists of the polarity test.
 NEGATION = (
@@ -44,11 +44,10 @@ def merge_candidates(new: DataFrame, old: DataFrame, threshold: float = 0.95) ->
     """The nearest old row of each new row within its scope, where its cosine reaches the threshold.
 
     Both have (id, scope, v); rows meet only in their scope (nulls are one scope)."""
-    a = new.select(F.col("id").alias("new_id"), F.col("scope").alias("s"), F.col("v").alias("nv"))
-    both = a.join(old, F.col("s").eqNullSafe(F.col("scope"))).where(F.col("new_id") != F.col("id"))
-    sim = both.select("new_id", F.col("id").alias("old_id"), cosine(F.col("nv"), F.col("v")).alias("sim")).where(F.col("sim") >= threshold)
-    best = sim.groupBy("new_id").agg(F.max(F.struct("sim", (-F.col("old_id")).alias("o"))).alias("m"))
-    return best.select("new_id", (-F.col("m.o")).alias("old_id"), F.col("m.sim").alias("sim"))
+    found = nearest(
+        old.select(F.col("id").alias("doc"), "v", "scope"), new.select(F.col("id").alias("query"), F.col("v").alias("q"), "scope"), 1, key="scope"
+    )
+    return found.where(F.col("sim") >= threshold).select(F.col("query").alias("new_id"), F.col("doc").alias("old_id"), "sim")
 
 
 def seed_clusters(pairs: DataFrame, order: DataFrame, least: int = 3) -> DataFrame:
@@ -122,11 +121,15 @@ def vector_clusters(rows: DataFrame, threshold: float, least: int = 3) -> DataFr
 
 def contrast_partners(asked: DataFrame, pool: DataFrame, threshold: float = 0.72) -> DataFrame:
     """Each asked row's most similar row of the opposite verdict within its scope: id, partner, sim."""
-    a = asked.select("id", "scope", "ok", "v")
-    b = pool.select(F.col("id").alias("partner"), "scope", F.col("ok").alias("ok_b"), F.col("v").alias("w"))
-    sim = a.join(b, "scope").where("ok <> ok_b").select("id", "partner", cosine(F.col("v"), F.col("w")).alias("sim")).where(F.col("sim") >= threshold)
-    best = sim.groupBy("id").agg(F.max(F.struct("sim", (-F.col("partner")).alias("p"))).alias("m"))
-    return best.select("id", (-F.col("m.p")).alias("partner"), F.col("m.sim").alias("sim"))
+    side = lambda ok: F.concat_ws(" ", ok.cast("string"), F.col("scope").cast("string"))
+    known = F.col("scope").isNotNull()
+    found = nearest(
+        pool.where(known).select(F.col("id").alias("doc"), "v", side(F.col("ok")).alias("side")),
+        asked.where(known).select(F.col("id").alias("query"), F.col("v").alias("q"), side(~F.col("ok")).alias("side")),
+        1,
+        key="side",
+    )
+    return found.where(F.col("sim") >= threshold).select(F.col("query").alias("id"), F.col("doc").alias("partner"), "sim")
 
 
 def fit_leg_weights(rows: DataFrame, legs: tuple[str, ...], *, rounds: int = 800, rate: float = 0.5, l2: float = 1e-3, least: int = 500) -> dict | None:

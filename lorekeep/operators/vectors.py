@@ -1,15 +1,18 @@
 """Vector operators: quantised vectors, cosine, nearest neighbours and similarity joins.
 
-Nearest neighbours of a bounded query set broadcast the queries behind a size check; beyond it both sides
-meet in blocks. Similarity joins of a table with itself block on random hyperplane signatures."""
+Nearest neighbours meet in blocks: vectors are dealt into blocks of about ``BLOCK`` rows, queries into batches
+of about ``BATCH``, and each batch meets every block of its key in one matrix product that returns at
+most k rows a query. So nothing is broadcast, and neither side needs a bound."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: At most so many query rows are broadcast.
-BROADCAST_QUERIES = 10_000
+BLOCK, BATCH = 4096, 1024
 
 
 def quantised(vector: Column) -> Column:
@@ -31,22 +34,63 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (norm(a) * norm(b))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, *, blocks: int = 64) -> DataFrame:
-    """query, doc, sim: the k nearest vectors of each query by cosine, ties to the smaller id.
-
-    ``vectors`` has (doc, v), ``queries`` (query, q). Candidates are cut to k in each block before the
-    final k are chosen, so no query's candidates meet in one task at full size."""
-    a = vectors.select("doc", "v", norm(F.col("v")).alias("nv"))
-    b = queries.select("query", "q", norm(F.col("q")).alias("nq"))
-    if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
-        pairs = a.join(F.broadcast(b), F.col("query") != F.col("doc"))
-    else:
-        pairs = (
-            b.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
-            .join(a.withColumn("block", F.pmod(F.xxhash64("doc"), F.lit(blocks))), "block")
-            .where(F.col("query") != F.col("doc"))
-        )
-    scored = pairs.select("query", "doc", (dot(F.col("v"), F.col("q")) / (F.col("nv") * F.col("nq"))).alias("sim"))
+def _dealt(rows: DataFrame, most: int, name: str) -> DataFrame:
+    """Rows (id, v, key) as one row for each block of a key, of about ``most`` rows."""
+    clean = rows.where(F.col("id").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull()))
+    sizes = clean.groupBy("key", F.size("v").alias("width")).agg(F.ceil(F.count(F.lit(1)) / most).alias("blocks"))
+    return (
+        clean.withColumn("width", F.size("v"))
+        .join(sizes, ["key", "width"])
+        .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+        .groupBy("key", "width", "block", "blocks")
+        .agg(F.collect_list(F.struct("id", F.col("v").cast("array<double>").alias("v"))).alias("rows"))
+        .select("key", "width", F.col("block").alias(name), F.col("blocks").alias(f"{name}s"), F.col("rows.id").alias(f"{name}_ids"), F.col("rows.v").alias(f"{name}_v"))
+    )
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, *, key: str | None = None) -> DataFrame:
+    """query, doc, sim, rank: the k nearest vectors of each query by cosine, ties to the smaller id.
+
+    ``vectors`` has (doc, v), ``queries`` (query, q), each id once; a query is not its own neighbour. With ``key`` both have
+    that column, and a query meets the vectors of its key only (nulls are one key). Vectors that are null, empty or
+    hold nulls, or have another length than the query, are no neighbours."""
+    own = F.col(key).cast("string") if key else F.lit("")
+    tagged = F.when(own.isNull(), "none").otherwise(F.concat(F.lit("key "), own))
+    kinds = dict(vectors.dtypes)["doc"], dict(queries.dtypes)["query"]
+    blocks = _dealt(vectors.select(F.col("doc").alias("id"), "v", tagged.alias("key")), BLOCK, "block")
+    batches = _dealt(queries.select(F.col("query").alias("id"), F.col("q").alias("v"), tagged.alias("key")), BATCH, "batch")
+    counts = blocks.groupBy("key", "width").agg(F.first("blocks").alias("blocks"))
+    copies = batches.join(counts, ["key", "width"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    pairs = copies.join(blocks.drop("blocks"), ["key", "width", "block"]).select("block_ids", "block_v", "batch_ids", "batch_v")
+
+    def best(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        def matrix(rows):
+            flat = rows.values.values.to_numpy(zero_copy_only=False)[rows.values.offsets[0].as_py() : rows.values.offsets[-1].as_py()]
+            m = flat.reshape(len(rows.values), -1)
+            length = np.sqrt(np.einsum("ij,ij->i", m, m))
+            return m, np.where(length > 0, length, 1)
+
+        for table in tables:
+            for i in range(table.num_rows):
+                ids, v, query_ids, q = (c[i] for c in table.columns)
+                (v, length), (q, query_length) = matrix(v), matrix(q)
+                ids, query_ids = np.asarray(ids.values), np.asarray(query_ids.values)
+                sims = (q @ v.T) / (query_length[:, None] * length[None, :])
+                sims[query_ids[:, None] == ids[None, :]] = -np.inf
+                n = min(k, len(ids))
+                least = np.partition(sims, len(ids) - n, axis=1)[:, len(ids) - n] - 1e-9
+                out = []
+                for at in range(len(query_ids)):
+                    near = np.flatnonzero((sims[at] >= least[at]) & np.isfinite(sims[at]))
+                    # once more, in one order of summation, so that equal vectors are equally near
+                    exact = np.einsum("ij,j->i", v[near], q[at]) / (query_length[at] * length[near])
+                    order = np.lexsort((ids[near], -exact))[:k]
+                    out.append((np.full(len(order), query_ids[at]), ids[near[order]], exact[order]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["query", "doc", "sim"])
+
+    scored = pairs.mapInArrow(best, f"query {kinds[1]}, doc {kinds[0]}, sim double")
     order = Window.partitionBy("query").orderBy(F.desc("sim"), "doc")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lorekeep.functions import scoring, text
 from lorekeep.operators import fts, fusion, learning, predicates, vectors
 from lorekeep.plans.registry import query
-from lorekeep.plans.retrieval import CURRENT, LEGS, _docs, _fused, _intent_sql
+from lorekeep.plans.retrieval import HYBRID, LEGS, _docs, _fused, _intent_sql, _queries, hybrid
 from lorekeep.session import table
 from lorekeep.sources.store import CURRENT_SQL, MEMORIES_SQL, NOW_SQL, OUTCOMES_SQL, memories, now, outcomes
 
@@ -133,29 +133,35 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", legs[0].alias("fts"), legs[1].alias("vec"))
 
 
-@query("r23_blend", f"""with {CURRENT}, legs as (select doc as key, row_number() over (order by helpful desc, valid_from desc, doc) as rank from docs qualify rank <= 20),
-  rec as (select doc as key, row_number() over (order by valid_from desc, doc) as rank from docs where valid_from >= {NOW_SQL} - interval 45 day qualify rank <= 20)
-  select key, round(sum(1.0 / (60 + rank)), 8)::double as score from (select * from legs union all select * from rec) group by key""")
+@query("r23_blend", f"""with {HYBRID}, asked as (select distinct query from q), strong as (select 'm:' || doc as key, row_number() over (order by helpful desc, valid_from desc, doc) as rank from docs qualify rank <= 20),
+  fresh as (select 'm:' || doc as key, row_number() over (order by valid_from desc, doc) as rank from docs where valid_from >= {NOW_SQL} - interval 45 day qualify rank <= 20)
+  select query, key, round(sum(1.0 / (60 + rank)), 8)::double as score from (select query, key, rank from hits where key like 'm:%' union all select query, key, rank from asked, strong union all select query, key, rank from asked, fresh) group by all""")
 def _(spark, sf_dir):
-    docs = _docs(spark, sf_dir).withColumn("query", F.lit(0))
-    # the blend asks for twenty of each leg, so each is cut before it is ranked
-    best = docs.orderBy(F.desc("helpful"), F.desc("valid_from"), "doc").limit(20)
-    new = docs.where(predicates.recent(45, now())).orderBy(F.desc("valid_from"), "doc").limit(20)
-    first = best.select("query", F.col("doc").alias("key"), F.lit("fts").alias("leg"), F.row_number().over(Window.partitionBy("query").orderBy(F.desc("helpful"), F.desc("valid_from"), "doc")).alias("rank"))
-    second = new.select("query", F.col("doc").alias("key"), F.lit("vec").alias("leg"), F.row_number().over(Window.partitionBy("query").orderBy(F.desc("valid_from"), "doc")).alias("rank"))
-    return fusion.rrf([first, second]).select("key", F.round("score", 8).alias("score"))
+    """The semantic hits of each query blended with the most reinforced and the newest memories."""
+    docs = _docs(spark, sf_dir).withColumn("key", F.concat(F.lit("m:"), F.col("doc").cast("string")))
+    asked = _queries(spark, sf_dir).select("query").distinct()
 
+    def leg(rows, name, *order):
+        """Twenty rows, cut before they are ranked and handed to every query of the stated set."""
+        best = rows.orderBy(*order).limit(20).withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
+        return asked.join(F.broadcast(best.select("key", F.lit(name).alias("leg"), "rank")))
 
-@query("r24_federated", f"""with {LEGS}, p as (select query, key, key % 3 as profile, score, row_number() over (partition by query, key % 3 order by round(score, 8) desc, key) as rank from fused),
-  r as (select query, profile, key, sum(case when profile = 0 then 1.0 else 0.85 end / (60 + rank))::double as score from p group by query, profile, key)
-  select query, profile, key, round(score, 8) as score from r""")
+    found = hybrid(spark, sf_dir).where(F.col("key").startswith("m:")).select("query", "key", F.lit("fts").alias("leg"), "rank")
+    strong = leg(docs, "vec", F.desc("helpful"), F.desc("valid_from"), "doc")
+    fresh = leg(docs.where(predicates.recent(45, now())), "graph", F.desc("valid_from"), "doc")
+    return fusion.rrf([found, strong, fresh]).select("query", "key", F.round("score", 8).alias("score"))
+
+
+@query("r24_federated", f"""with {LEGS}, p as (select query, key, coalesce(lang, '-') as profile, row_number() over (partition by query, coalesce(lang, '-') order by round(score, 8) desc, key) as rank from fused join docs on key = 'm:' || doc)
+  select query, profile, key, round(case when profile = 'en' then 1.0 else 0.85 end / (60 + rank), 8)::double as score from p""")
 def _(spark, sf_dir):
-    rows = _fused(spark, sf_dir).withColumn("profile", F.col("key") % 3)
+    """Memories of each language as a store of its own; the local one is English, linked ones weigh less."""
+    own = _docs(spark, sf_dir).select(F.concat(F.lit("m:"), F.col("doc").cast("string")).alias("key"), F.coalesce("lang", F.lit("-")).alias("profile"))
+    rows = _fused(spark, sf_dir).join(own, "key")
     order = Window.partitionBy("query", "profile").orderBy(F.desc(F.round("score", 8)), "key")
+    weight = F.when(F.col("profile") == "en", 1.0).otherwise(0.85)
     ranked = rows.withColumn("rank", F.row_number().over(order))
-    weight = F.when(F.col("profile") == 0, 1.0).otherwise(0.85)
-    scored = ranked.groupBy("query", "profile", "key").agg(F.sum(weight / (F.lit(60.0) + F.col("rank"))).alias("score"))
-    return scored.withColumn("score", F.round("score", 8))
+    return ranked.select("query", "profile", "key", F.round(weight / (F.lit(60.0) + F.col("rank")), 8).alias("score"))
 
 
 @query("r26_task_like", r"select item_id, len(list_filter(w[1:least(4, greatest(len(w) - 1, 0))], lambda x: x in ('the', 'fix', 'write'))) > 0 as task_like from (select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from benchmark)")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
+_FLAGSHIP: list[Query] = []
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -33,6 +34,11 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Registered once the retrieval plans exist."""
-    raise NotImplementedError
+def flagship(function: Query) -> Query:
+    """Mark the query that stands for the whole engine."""
+    _FLAGSHIP.append(function)
+    return function
+
+
+def run_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _FLAGSHIP[-1](spark, sf_dir)

@@ -14,14 +14,27 @@ from lorekeep.sources.store import CURRENT_SQL, FACTS_SQL, MEMORIES_SQL, NOW_SQL
 K = 10
 TOK = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
 
-CURRENT = f"{MEMORIES_SQL}, docs as (select id as doc, uid, content, kind, pinned, valid_from, half_life_days, helpful, harmful, outcome from memories where {CURRENT_SQL})"
+CURRENT = f"{MEMORIES_SQL}, docs as (select id as doc, uid, content, summary, symbols, tags, lang, kind, pinned, valid_from, half_life_days, helpful, harmful, outcome from memories where {CURRENT_SQL})"
 #: Queries: every benchmark item whose id is divisible by 20, all its words.
 QUERIES = rf"q as (select item_id as query, unnest(list_distinct({TOK.format('text')})) as term from benchmark where item_id % 20 = 0)"
-BM25 = rf"""{CURRENT}, {QUERIES}, split as materialized (select doc, {TOK.format('content')} as toks from docs), own as materialized (select doc, unnest(toks) as term, len(toks)::double as dl from split),
-  tf as materialized (select doc, dl, term, count(*)::double as tf from own where term in (select term from q) group by all), df as materialized (select term, count(*) as df from tf group by term),
-  stats as (select count(*) as n, avg(len(toks)::double) as m from split),
-  bm25 as materialized (select query, doc, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / m))) as score
-    from tf join df using (term) join q using (term), stats group by query, doc)"""
+#: Weights of the fields of memories and of episodes.
+FIELDS = {"content": 1.0, "summary": 2.0, "symbols": 3.0, "tags": 2.0}
+EPISODE_FIELDS = {"user_text": 1.0, "assistant_text": 0.8, "symbols": 3.0}
+
+
+def bm25_sql(name: str, rows: str, key: str, fields: dict[str, float]) -> str:
+    """CTEs that score ``rows`` (``key`` and the fields) for the queries ``q``, the last one called ``name``."""
+    split = ", ".join(f"{TOK.format(f"coalesce({f}, '')")} as {f}" for f in fields)
+    length = " + ".join(f"{w} * len({f})" for f, w in fields.items())
+    each = " union all ".join(f"select doc, {length} as dl, unnest({f}) as term, {w} as w from {name}_split" for f, w in fields.items())
+    return f"""{name}_split as materialized (select {key} as doc, {split} from {rows}), {name}_own as materialized ({each}),
+  {name}_tf as materialized (select doc, dl::double as dl, term, sum(w)::double as tf from {name}_own where term in (select term from q) group by all),
+  {name}_df as materialized (select term, count(*) as df from {name}_tf group by term), {name}_stats as (select count(*) as n, avg(({length})::double) as m from {name}_split),
+  {name} as materialized (select query, doc, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / m))) as score
+    from {name}_tf join {name}_df using (term) join q using (term), {name}_stats group by query, doc)"""
+
+
+BM25 = f"{CURRENT}, {QUERIES}, {bm25_sql('bm25', 'docs', 'doc', FIELDS)}"
 
 
 def _docs(spark, sf_dir):
@@ -35,23 +48,21 @@ def _queries(spark, sf_dir):
 
 
 def _bm25(spark, sf_dir):
-    return fts.bm25(_docs(spark, sf_dir), _queries(spark, sf_dir), id_col="doc", fields={"content": 1.0})
+    return fts.bm25(_docs(spark, sf_dir), _queries(spark, sf_dir), id_col="doc", fields=FIELDS)
 
 
+@registry.flagship
 @query(
     "r3_bm25_top_k",
     f"""with {BM25}, ranked as (select query, doc, round(score, 6) as score, row_number() over (partition by query order by round(score, 6) desc, doc)::int as rank from bm25)
     select query, doc, score, rank from ranked where rank <= {K}""",
 )
 def bm25_top_k(spark, sf_dir):
-    """The flagship minimum: the best current documents for each text query."""
+    """The best current documents for each text query, over weighted fields."""
     scored = _bm25(spark, sf_dir).withColumn("score", F.round("score", 6))
     return fts.top_k(scored, K).select("query", "doc", "score", "rank")
 
 
-registry.flagship = bm25_top_k
-
-
 @query(
     "r5_substring_leg",
     f"with {CURRENT} select doc, ((contains(lower(content), 'tion')::int + contains(lower(content), 'schaft')::int + contains(lower(content), 'license')::int) / 3.0)::double as score from docs where score > 0",
@@ -152,6 +163,24 @@ def _(spark, sf_dir):
     return spark.createDataFrame(numbered, f"query {dict(d.dtypes)['query']}, density double, nth int")
 
 
+def pagerank_sql(rounds: int = graph.ROUNDS, damping: float = graph.DAMPING) -> str:
+    """CTEs of a personal PageRank over ``g`` (query, entity, memory) from ``seeds`` (query, node): ``ppr``."""
+    steps = f"""deg as materialized (select *, count(*) over (partition by query, entity) - 1 as d from g),
+  nodes as materialized (select n.query, n.node, case when s.node is not null then 1.0 / s.n else 0.0 end::double as start, coalesce(o.out, 0)::double as out
+    from (select query, memory as node from g union select query, node from seeds) n
+    left join (select *, count(*) over (partition by query) as n from seeds) s on n.query = s.query and n.node = s.node
+    left join (select query, memory, sum(d) as out from deg group by query, memory) o on n.query = o.query and n.node = o.memory),
+  p0 as materialized (select query, node, start as share from nodes)"""
+    for i in range(rounds):
+        steps += f""",
+  f{i} as materialized (select query, memory, greatest(sum(flow) over (partition by query, entity) - flow, 0) as own, d from
+    (select deg.query, entity, memory, d, case when out > 0 then share / out else 0 end as flow from deg join p{i} p on p.query = deg.query and p.node = memory join nodes n on n.query = deg.query and n.node = memory)),
+  p{i + 1} as materialized (select n.query, n.node, {1 - damping} * start + {damping} * coalesce(s, 0) as share from nodes n
+    left join (select query, memory, sum(own) as s from f{i} where d > 0 group by query, memory) x on x.query = n.query and x.memory = n.node)"""
+    return steps + f""",
+  ppr as (select p.query, p.node, round(share, 9) as score from p{rounds} p join nodes n on n.query = p.query and n.node = p.node where start = 0 and share > 0)"""
+
+
 MENTIONS = "mentions as (select l_partkey as entity, l_orderkey as memory from lineitem)"
 
 
@@ -178,7 +207,12 @@ def _(spark, sf_dir):
     return graph.co_mentioned(m, m.where("memory % 97 = 0").select(F.col("memory").alias("node")).distinct(), 50)
 
 
-@query("r9_pagerank_leg")
+@query(
+    "r9_pagerank_leg",
+    f"""with g as materialized (select distinct l_suppkey as query, l_partkey as entity, l_orderkey as memory from lineitem),
+    seeds as materialized (select query, memory as node from (select distinct query, memory from g) qualify row_number() over (partition by query order by memory) <= 5), {pagerank_sql()}
+    select query, node, score from ppr""",
+)
 def _(spark, sf_dir):
     """For each supplier, all its orders linked by shared parts; its smallest orders are the seeds."""
     from pyspark.sql import Window
@@ -207,19 +241,94 @@ def _(spark, sf_dir):
     return cur.where(hit).groupBy(F.col("subject").alias("key")).agg(F.round(F.max(F.col("confidence") * fresh), 6).alias("score"))
 
 
-LEGS = f"""{BM25}, fts as (select query, doc as key, 'fts' as leg, row_number() over (partition by query order by round(score, 6) desc, doc) as rank from bm25 qualify rank <= 30),
-  vec as (select query, key, 'vec' as leg, row_number() over (partition by query order by score desc, key) as rank from
-    (select distinct q.query, d.doc as key, round(d.helpful * 1.0, 6)::double as score from docs d join (select distinct query from q) q on d.doc % 20 = q.query % 20) qualify rank <= 30),
-  every as (select *, 1.0 as w from fts union all select *, 0.8 from vec),
-  fused as (select query, key, sum(w / (60 + rank))::double as score, concat_ws('+', max(case leg when 'fts' then 'fts' end), max(case leg when 'vec' then 'vec' end)) as via from every group by query, key)"""
+ENTITY = "[A-Z][a-z]{6,}"
+LEG, SEEDS = 30, 30
+WEIGHTS = {"vec": 0.8, "graph": 0.6, "facts": 0.5}
+
+
+TURNS_SQL = """turns as (select conv_id, concat('c', conv_id) as symbols, string_agg(text, ' ' order by turn) filter (where role = 'user') as user_text,
+  string_agg(text, ' ' order by turn) filter (where role = 'assistant') as assistant_text from conversations group by conv_id)"""
+
+LEGS = f"""{BM25}, {TURNS_SQL}, {bm25_sql('ebm25', 'turns', 'conv_id', EPISODE_FIELDS)},
+  fts as (select query, doc, row_number() over (partition by query order by round(score, 6) desc, doc) as rank from bm25 qualify rank <= {LEG}),
+  efts as (select query, doc, row_number() over (partition by query order by round(score, 6) desc, doc) as rank from ebm25 qualify rank <= {LEG}),
+  vec as (select a.vec_id as query, b.vec_id as doc, row_number() over (partition by a.vec_id order by list_cosine_similarity(a.embedding::double[], b.embedding::double[]) desc, b.vec_id) as rank
+    from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id in (select query from q) and b.vec_id in (select doc from docs) qualify rank <= {LEG}),
+  seeds as materialized (select distinct query, doc as node from (select * from fts union all select * from vec) where rank <= {SEEDS}),
+  mentions as materialized (select entity, doc as memory from (select distinct doc, unnest(regexp_extract_all(content, '{ENTITY}')) as entity from docs) qualify row_number() over (partition by entity order by doc) <= {graph.PER_ENTITY}),
+  g as materialized (select distinct x.query, m.entity, m.memory from (select distinct query, entity from seeds join mentions on memory = node) x join mentions m on m.entity = x.entity),
+  {pagerank_sql()},
+  grph as (select query, node as doc, row_number() over (partition by query order by score desc, node) as rank from ppr qualify rank <= {LEG}),
+  {FACTS_SQL}, cur as (select * from facts qualify row_number() over (partition by subject, predicate order by valid_from desc, fact_id desc) = 1),
+  fct as (select query, doc, row_number() over (partition by query order by round(score, 6) desc, doc) as rank from (
+    select query, fact_id as doc, max(confidence * greatest(0.3, pow(0.5, greatest(0.0, (epoch_us({NOW_SQL}) - epoch_us(cur.valid_from)) / 86400e6) / 90))) as score
+    from cur join docs on doc = fact_id join q on contains(lower(object), term) or contains(lower(subject), term) group by all) qualify rank <= {LEG}),
+  every as (select query, 'm:' || doc as key, 'fts' as leg, rank, 1.0 as w from fts union all select query, 'e:' || doc, 'fts', rank, 1.0 from efts union all select query, 'm:' || doc, 'vec', rank, {WEIGHTS['vec']} from vec
+    union all select query, 'm:' || doc, 'graph', rank, {WEIGHTS['graph']} from grph union all select query, 'm:' || doc, 'facts', rank, {WEIGHTS['facts']} from fct),
+  fused as materialized (select query, key, sum(w / (60 + rank))::double as score, concat_ws('+', max(case leg when 'fts' then 'fts' end), max(case leg when 'vec' then 'vec' end), max(case leg when 'graph' then 'graph' end), max(case leg when 'facts' then 'facts' end)) as via
+    from every group by query, key)"""
+
+
+def _turns(spark, sf_dir):
+    said = lambda role: F.array_join(
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("turn", "text")))), lambda t: t["text"]), " "
+    )
+    both = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(said("user").alias("user_text"), said("assistant").alias("assistant_text"))
+    return both.withColumn("symbols", F.concat(F.lit("c"), F.col("conv_id").cast("string")))
+
+
+def _keyed(rows, mark, name):
+    """A leg of ranked rows (query, doc, rank)."""
+    return rows.select("query", F.concat(F.lit(f"{mark}:"), F.col("doc").cast("string")).alias("key"), F.lit(name).alias("leg"), "rank")
+
+
+def _best(scored):
+    return fts.top_k(scored.withColumn("score", F.round("score", 6)), LEG)
+
+
+def _facts_leg(spark, sf_dir, docs):
+    """Current facts whose subject or object holds a word of the query, for the memory each is an index of."""
+    from lorekeep.operators.temporal import current_facts
+
+    asked = _queries(spark, sf_dir).groupBy("query").agg(F.collect_set("term").alias("terms"))  # the stated query set
+    fresh = F.greatest(F.lit(0.3), F.pow(F.lit(0.5), scoring.age_days(F.col("valid_from"), now()) / 90))
+    own = current_facts(facts(spark, sf_dir)).withColumn("strength", F.col("confidence") * fresh)
+    own = own.join(docs.select(F.col("doc").alias("fact_id")), "fact_id")
+    said = F.concat_ws("\n", F.lower("subject"), F.lower("object"))
+    hit = own.select(F.col("fact_id").alias("doc"), "strength", said.alias("said")).join(
+        F.broadcast(asked), F.exists("terms", lambda t: F.contains(F.col("said"), t))
+    )
+    return hit.groupBy("query", "doc").agg(F.max("strength").alias("score"))
+
+
+def _graph_leg(docs, seeds):
+    """PageRank from the memories of the other legs, over the entities that they and their neighbours mention."""
+    named = F.array_distinct(F.regexp_extract_all("content", F.lit(ENTITY), F.lit(0)))
+    mentions = graph.first_mentions(docs.select(F.col("doc").alias("memory"), F.explode(named).alias("entity")))
+    reached = seeds.join(mentions, seeds.node == mentions.memory).select("query", "entity").distinct()
+    ranked = graph.mention_pagerank(reached.join(mentions, "entity"), seeds)
+    return ranked.select("query", F.col("node").alias("doc"), F.round("score", 9).alias("score"))
+
+
+def _legs(spark, sf_dir):
+    """The ranked legs of memories (fts, vec, graph, facts) and of episodes (fts)."""
+    docs, asked = _docs(spark, sf_dir), _queries(spark, sf_dir).select("query").distinct()
+    words = _best(_bm25(spark, sf_dir))
+    episodes = _best(fts.bm25(_turns(spark, sf_dir), _queries(spark, sf_dir), id_col="conv_id", fields=EPISODE_FIELDS))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc"), F.col("embedding").alias("v"))
+    current = rows.join(docs.select("doc"), "doc", "left_semi")
+    near = vectors.nearest(current, rows.withColumnsRenamed({"doc": "query", "v": "q"}).join(asked, "query", "left_semi"), LEG)
+    seeds = words.select("query", F.col("doc").alias("node")).union(near.select("query", "doc")).distinct()
+    linked, told = fts.top_k(_graph_leg(docs, seeds), LEG), _best(_facts_leg(spark, sf_dir, docs))
+    return [_keyed(words, "m", "fts"), _keyed(episodes, "e", "fts"), _keyed(near, "m", "vec"), _keyed(linked, "m", "graph"), _keyed(told, "m", "facts")]
 
 
 def _fused(spark, sf_dir):
-    scored = _bm25(spark, sf_dir).withColumn("score", F.round("score", 6)).withColumnRenamed("doc", "key")
-    asked = _queries(spark, sf_dir).select("query").distinct()
-    useful = _docs(spark, sf_dir).select(F.col("doc").alias("key"), F.round(F.col("helpful").cast("double"), 6).alias("score"), (F.col("doc") % 20).alias("m"))
-    other = useful.join(asked.withColumn("m", F.col("query") % 20), "m").select("query", "key", "score")
-    return fusion.rrf([fusion.ranked(scored, "fts", 30), fusion.ranked(other, "vec", 30)], {"vec": 0.8})
+    return fusion.rrf(_legs(spark, sf_dir), WEIGHTS)
+
+
+def _memory_rows(spark, sf_dir):
+    return _docs(spark, sf_dir).withColumn("key", F.concat(F.lit("m:"), F.col("doc").cast("string")))
 
 
 @query("r11_u1_u2_rrf", f"with {LEGS} select query, key, round(score, 8) as score, via from fused")
@@ -227,27 +336,42 @@ def _(spark, sf_dir):
     return _fused(spark, sf_dir).withColumn("score", F.round("score", 8))
 
 
-@query(
-    "r22_hybrid_search",
-    f"""with {LEGS}, band as (select *, min(score) over (partition by query) as lo, max(score) over (partition by query) as hi from fused),
+HYBRID = f"""{LEGS}, band as (select *, min(score) over (partition by query) as lo, max(score) over (partition by query) as hi from fused),
     b as (select query, key, via, case when hi - lo < 1e-12 then 1.0 else 0.2 + 0.8 * (score - lo) / (hi - lo) end as base from band),
-    m as (select query, key, via, kind, round((base * case when half_life_days > 0 then greatest(0.3, pow(0.5, greatest(0.0, (epoch_us({NOW_SQL}) - epoch_us(valid_from)) / 86400e6) / half_life_days)) else 1.0 end
+    m as (select query, key, via, false as episode, round((base * case when half_life_days > 0 then greatest(0.3, pow(0.5, greatest(0.0, (epoch_us({NOW_SQL}) - epoch_us(valid_from)) / 86400e6) / half_life_days)) else 1.0 end
       * case when outcome = 'failed' then 1.5 else 1.0 end * case when kind = 'warning' then 1.2 else 1.0 end
-      * least(2.0, greatest(0.2, 1.0 + 0.1 * least(helpful, 5) - 0.15 * least(harmful, 5))) * case when pinned then 1.3 else 1.0 end)::double, 6) as score from b join docs on key = doc),
-    c as (select * from m qualify row_number() over (partition by query, kind order by score desc, key) <= 3)
-    select query, key, via, score, row_number() over (partition by query order by score desc, key)::int as rank from c qualify rank <= {K}""",
-)
+      * least(2.0, greatest(0.2, 1.0 + 0.1 * least(helpful, 5) - 0.15 * least(harmful, 5))) * case when pinned then 1.3 else 1.0 end)::double, 6) as score from b join docs on key = 'm:' || doc
+      union all select query, key, via, true, round((base * 0.6)::double, 6) from b where key like 'e:%' qualify row_number() over (partition by query order by base desc, key) <= 3),
+    hits as materialized (select query, key, via, score, row_number() over (partition by query order by score desc, key)::int as rank from m qualify rank <= {K})"""
+
+
+@query("r22_hybrid_search", f"with {HYBRID} select query, key, via, score, rank from hits")
 def hybrid(spark, sf_dir):
-    """Legs, weighted reciprocal ranks, bands, lifecycle modulation, per-kind caps and the final top k."""
-    rows = fusion.banded(_fused(spark, sf_dir)).join(_docs(spark, sf_dir).withColumnRenamed("doc", "key"), "key")
-    scored = rows.withColumn("score", F.round(scoring.modulated(F.col("score"), now()), 6))
-    best = fts.top_k(fusion.capped(scored, "kind", 3), K, tie="key")
+    """Four legs over memories and one over episodes, weighted reciprocal ranks, bands, lifecycle modulation of
+    memories, a factor and a cap for episodes, and the final top k."""
+    rows = fusion.banded(_fused(spark, sf_dir))
+    own = rows.join(_memory_rows(spark, sf_dir), "key").withColumn("score", scoring.modulated(F.col("score"), now())).select("query", "key", "via", "score")
+    said = rows.where(F.col("key").startswith("e:")).withColumn("kind", F.lit("episode"))
+    said = fusion.capped(said, "kind", 3).withColumn("score", F.col("score") * fusion.EPISODE_FACTOR).select("query", "key", "via", "score")
+    best = fts.top_k(own.unionByName(said).withColumn("score", F.round("score", 6)), K, tie="key")
     return best.select("query", "key", "via", "score", "rank")
 
 
-@query("r21_mmr")
+#: Greedy choice by recursion: each step takes, of the hits not yet taken, the one of the greatest gain.
+MMR_SQL = rf"""with recursive {HYBRID}, own as materialized (select query, key, score, rank, list_distinct(regexp_split_to_array(content, '\s+')) as words from hits join docs on key = 'm:' || doc),
+  nth as materialized (select *, row_number() over (partition by query order by score desc, key) as place, count(*) over (partition by query) as n from own),
+  alike as materialized (select a.query, a.key as a, b.key as b, len(list_intersect(a.words, b.words))::double / greatest(1, len(a.words) + len(b.words) - len(list_intersect(a.words, b.words))) as s from nth a join nth b using (query)),
+  picked as (select distinct query, 0 as step, []::varchar[] as keys from nth where n >= 3
+    union all select query, step, list_append(keys, key) from (
+      select p.query, p.step + 1 as step, p.keys, h.key, row_number() over (partition by p.query order by 0.7 * h.score - (1 - 0.7) * coalesce((select max(s) from alike where alike.query = h.query and a = h.key and list_contains(p.keys, b)), 0) desc, h.place) as best
+      from picked p join nth h on h.query = p.query and not list_contains(p.keys, h.key)) where best = 1),
+  whole as (select query, unnest(keys) as key, generate_subscripts(keys, 1) as position from picked qualify row_number() over (partition by query, step order by step) >= 1 and step = max(step) over (partition by query))
+select query, key, position::bigint as position from whole union all select query, key, place::bigint from nth where n < 3"""
+
+
+@query("r21_mmr", MMR_SQL)
 def _(spark, sf_dir):
-    hits = hybrid(spark, sf_dir).join(_docs(spark, sf_dir).select(F.col("doc").alias("key"), "content"), "key")
+    hits = hybrid(spark, sf_dir).join(_memory_rows(spark, sf_dir).select("key", "content"), "key")
     return fusion.mmr(hits.select("query", "key", "score", F.array_distinct(F.split("content", r"\s+")).alias("words")), K)
 
 
@@ -255,28 +379,28 @@ def _(spark, sf_dir):
     "r17_r18_rerank",
     f"""with {LEGS}, words as (select query, list_distinct(list(term)) as terms from q group by query),
     s as (select f.query, key, score, row_number() over (partition by f.query order by score desc, key) as nth, len(list_intersect(terms, {TOK.format('content')}))::double as hits
-      from (select query, key, round(score, 8) as score from fused) f join words using (query) join docs on key = doc),
+      from (select query, key, round(score, 8) as score from fused) f join words using (query) join docs on key = 'm:' || doc),
     b as (select *, min(case when nth <= 5 then hits end) over (partition by query) as lo, max(case when nth <= 5 then hits end) over (partition by query) as hi, max(nth) over (partition by query) as n from s)
     select query, key, round(case when n < 2 then score when nth > 5 then score * 0.1 when hi - lo < 1e-12 then 1.0 else 0.2 + 0.8 * (hits - lo) / (hi - lo) end, 6)::double as score from b""",
 )
 def _(spark, sf_dir):
     words = _queries(spark, sf_dir).groupBy("query").agg(F.collect_set("term").alias("terms"))
     rows = _fused(spark, sf_dir).withColumn("score", F.round("score", 8)).join(F.broadcast(words), "query")  # one row a query
-    rows = rows.join(_docs(spark, sf_dir).select(F.col("doc").alias("key"), "content"), "key")
+    rows = rows.join(_memory_rows(spark, sf_dir).select("key", "content"), "key")
     again = fusion.rerank(rows, fusion.stub_rerank(F.col("terms"), text.tokens(F.col("content"))), top=5)
     return again.select("query", "key", F.round("score", 6).alias("score"))
 
 
 @query(
     "o16_reserved_slots",
-    f"""with {LEGS}, r as (select query, key, round(score, 8) as score, key % 7 = 0 as linked from fused),
+    f"""with {LEGS}, r as (select query, key, round(score, 8) as score, ends_with(key, '7') as linked from fused),
     n as (select *, row_number() over (partition by query order by score desc, key) as rank, row_number() over (partition by query, linked order by score desc, key) as nth from r),
     w as (select *, max((linked and rank <= 5)::int) over (partition by query) as has, least(sum(linked::int) over (partition by query), 1) as n_linked from n)
     select query, key, linked from w where case when has = 1 or n_linked = 0 then rank <= 5 when linked then nth <= n_linked else nth <= 5 - n_linked end""",
 )
 def _(spark, sf_dir):
     rows = _fused(spark, sf_dir).withColumn("score", F.round("score", 8))
-    return fusion.reserve_slots(rows, 5, F.col("key") % 7 == 0).select("query", "key", "linked")
+    return fusion.reserve_slots(rows, 5, F.endswith(F.col("key"), F.lit("7"))).select("query", "key", "linked")
 
 
 @query(

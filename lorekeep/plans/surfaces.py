@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lorekeep.functions import text
 from lorekeep.operators import capture, fts, predicates, sessions
 from lorekeep.plans.registry import query
-from lorekeep.plans.retrieval import QUERIES, TOK, _queries
+from lorekeep.plans.retrieval import EPISODE_FIELDS, QUERIES, TURNS_SQL, _queries, _turns, bm25_sql
 from lorekeep.session import table
 from lorekeep.sources import readers
 from lorekeep.sources.store import MEMORIES_SQL, OUTCOMES_SQL, memories, outcomes
@@ -18,21 +18,11 @@ O = f"with {OUTCOMES_SQL}"  # noqa: E741
 
 @query(
     "r4_r33_episode_search",
-    f"""with turns as (select conv_id, string_agg(text, ' ' order by turn) filter (where role = 'user') as u, string_agg(text, ' ' order by turn) filter (where role = 'assistant') as a from conversations group by conv_id),
-    {QUERIES}, split as materialized (select conv_id as doc, {TOK.format("coalesce(u, '')")} as ut, {TOK.format("coalesce(a, '')")} as am from turns),
-    own as materialized (select doc, unnest(ut) as term, 1.0 as w, len(ut) + 0.8 * len(am) as dl from split union all select doc, unnest(am), 0.8, len(ut) + 0.8 * len(am) from split),
-    tf as materialized (select doc, dl, term, sum(w)::double as tf from own where term in (select term from q) group by all), df as materialized (select term, count(*) as df from tf group by term),
-    stats as (select count(*) as n, avg(len(ut) + 0.8 * len(am)) as m from split),
-    s as (select query, doc, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / m))), 6)::double as score from tf join df using (term) join q using (term), stats group by query, doc)
-    select query, doc, score from s qualify row_number() over (partition by query order by score desc, doc) <= 5""",
+    f"""with {TURNS_SQL}, {QUERIES}, {bm25_sql('found', 'turns', 'conv_id', EPISODE_FIELDS)}
+    select query, doc, round(score, 6) as score from found qualify row_number() over (partition by query order by round(score, 6) desc, doc) <= 5""",
 )
 def _(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations")
-    said = lambda role: F.array_join(
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("turn", "text")))), lambda t: t["text"]), " "
-    )
-    turns = rows.groupBy("conv_id").agg(said("user").alias("user_text"), said("assistant").alias("assistant_text"))
-    found = fts.bm25(turns, _queries(spark, sf_dir), id_col="conv_id", fields={"user_text": 1.0, "assistant_text": 0.8})
+    found = fts.bm25(_turns(spark, sf_dir), _queries(spark, sf_dir), id_col="conv_id", fields=EPISODE_FIELDS)
     return fts.top_k(found.withColumn("score", F.round("score", 6)), 5).select("query", "doc", "score")
 
 

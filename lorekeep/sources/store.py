@@ -19,6 +19,9 @@ MEMORY_COLUMNS = {
     "id": "doc_id",
     "uid": "concat('M', lpad(cast(doc_id as varchar(20)), 12, '0'))",
     "content": "text",
+    "summary": "substr(text, 1, 80)",
+    "symbols": "source",
+    "tags": "lang",
     "lang": "lang",
     "source": "source",
     "kind": "case doc_id % 9 when 1 then 'fact' when 2 then 'decision' when 3 then 'preference' when 4 then 'warning' when 5 then 'insight' when 6 then 'profile' when 7 then 'strategy' when 8 then 'case' end",
