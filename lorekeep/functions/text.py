@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,6 +46,9 @@ INTENTS = {
         r"(?i)\b(monday|tuesday|wednesday|thursday|friday|saturday|sunday)\b",
         r"(?i)\b(january|february|march|april|may|june|july|august|september|october|november|december)\b",
         r"\b\d{4}-\d{2}-\d{2}\b",
+        r"\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b",
+        r"(?i)\b(this|next|last)\s+(week|month|year|monday|tuesday|wednesday|thursday|friday|saturday|sunday)\b",
+        r"(?i)\b\d+\s+(day|week|month|year|hour|minute)s?\s+(ago|from now|later|earlier)\b",
     ),
     "factual": (
         r"(?i)\bwhat\s+is\b", r"(?i)\bwho\s+is\b", r"(?i)\bwhere\s+is\b",
@@ -68,7 +72,27 @@ INTENT_LEGS = {
     "temporal": (1.5, 0.6), "factual": (1.2, 1.0), "entity": (1.0, 1.1), "preference": (0.8, 0.9), "procedural": (0.9, 1.3),
     "general": (1.0, 1.0),
 }
-ABSTENTION = ("don't know", "do not know", "no information", "not enough information", "cannot find", "could not find")
+#: Fixed marks of an answer that abstains.
+ABSTENTION = (
+    "i don't know", "i do not know", "dont know", "don't have", "cannot determine", "can't determine", "could not determine",
+    "no evidence", "not enough", "insufficient", "unable to", "no information", "no record", "nothing in memory", "unknown",
+)
+#: Fixed patterns of text that reads like an instruction: of what a tool is told, and of imports.
+INSTRUCTION = (
+    r"(?is)\b(ignore|disregard|override|bypass)\b.{0,40}\b(instruction|instructions|rule|rules|policy|policies|prompt|guardrail)"
+    r"|\bfrom now on\b|\byou (must|should|will) (always|never)\b|\bsystem prompt\b|\balways (approve|allow|run|execute|trust)\b"
+)
+IMPORTED_INSTRUCTION = (
+    r"(?i)\b(?:ignore|disregard|forget|override)\b.{0,40}\b(?:previous|prior|all|above|earlier)\b.{0,40}\b(?:instructions?|rules?|prompts?|memor(?:y|ies))\b"
+    r"|\byou\s+(?:must|should|will)\s+(?:always|never)\b|\bsystem\s+prompt\b|\bfrom\s+now\s+on\b"
+)
+#: Fixed verbs of a task.
+TASK_VERBS = (
+    "add", "build", "change", "check", "clean", "configure", "connect", "create", "debug", "delete", "deploy", "diagnose", "edit",
+    "enable", "disable", "fix", "generate", "implement", "import", "install", "integrate", "make", "migrate", "move", "optimize",
+    "patch", "publish", "refactor", "release", "remove", "rename", "replace", "resolve", "run", "set", "setup", "ship", "test",
+    "update", "upgrade", "write",
+)
 
 
 def tokens(text: Column) -> Column:
@@ -76,9 +100,25 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
+def _folded(text: Column) -> Column:
+    """NFC, full case folding and white space of all scripts, for texts that are not ASCII; Spark has no
+    function for the first two, so these texts pass through one Arrow batch function."""
+    @F.pandas_udf("string")
+    def fold(texts: pd.Series) -> pd.Series:
+        import unicodedata
+
+        return texts.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFC", t).casefold().split()))
+
+    return fold(text)
+
+
 def normalised(text: Column) -> Column:
-    """Lower case, white space collapsed and trimmed: what content hashes are taken of."""
-    return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+    """Canonical composition, folded case, white space collapsed and trimmed: what content hashes are taken of.
+
+    ASCII texts stay in the JVM; the others are folded in Arrow batches."""
+    plain = ~text.rlike(r"[^\x00-\x7f]")
+    own = F.regexp_replace(F.regexp_replace(F.lower(text), r"[\s\x1c-\x1f]+", " "), r"^ | $", "")
+    return F.when(plain, own).otherwise(_folded(F.when(~plain, text)))
 
 
 def content_hash(text: Column) -> Column:
@@ -156,9 +196,9 @@ def intent(query: Column) -> Column:
     return best
 
 
-def task_like(query: Column, verbs: list[str]) -> Column:
+def task_like(query: Column, verbs: tuple[str, ...] = TASK_VERBS) -> Column:
     """An imperative verb among the first four words, but not as the last word."""
-    words = tokens(query)
+    words = F.regexp_extract_all(F.lower(query), F.lit("[a-z]+"), F.lit(0))
     first = F.slice(words, F.lit(1), F.least(F.lit(4), F.greatest(F.size(words) - 1, F.lit(0))))
     return F.exists(first, lambda w: w.isin(*verbs))
 
@@ -180,8 +220,15 @@ def read_cursor(cursor: Column) -> Column:
     return F.struct(F.split_part(plain, F.lit("|"), F.lit(1)).alias("ts"), F.split_part(plain, F.lit("|"), F.lit(2)).alias("event_id"))
 
 
-def slug(name: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(name), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
+def topic_filename(tag: Column) -> Column:
+    """The file of a topic; tags without a usable character share one."""
+    name = F.regexp_replace(F.regexp_replace(tag, r"[^A-Za-z0-9_-]+", "-"), r"^-+|-+$", "")
+    return F.concat(F.when(name == "", "untagged").otherwise(name), F.lit(".md"))
+
+
+def skill_slug(name: Column) -> Column:
+    """A skill's folder name, at most 40 characters."""
+    return F.substring(F.regexp_replace(F.regexp_replace(F.lower(F.trim(name)), r"[^a-z0-9._-]+", "-"), r"^[-._]+|[-._]+$", ""), 1, 40)
 
 
 def tag_list(raw: Column) -> Column:
@@ -189,25 +236,34 @@ def tag_list(raw: Column) -> Column:
     parsed = F.from_json(raw, "array<string>")
     cut = F.filter(F.transform(F.split(raw, ","), lambda t: F.trim(t)), lambda t: t != "")
     return F.when(raw.isNull() | (F.trim(raw) == ""), F.array().cast("array<string>")).when(
-        F.trim(raw).startswith("["), F.coalesce(parsed, F.array().cast("array<string>"))
+        F.trim(raw).startswith("[") & (F.size(F.coalesce(parsed, F.array().cast("array<string>"))) > 0), parsed
     ).otherwise(cut)
 
 
 def flattened_parts(raw: Column) -> Column:
-    """Message content that may be a JSON list of typed parts behind a marker, as text."""
+    """Message content that may be JSON behind a marker, as text: texts in lines, ``[image]`` for other parts; of what
+    is no JSON the first 4000 characters."""
     body = F.substring(raw, 7, 2**31 - 1)
-    parts = F.from_json(body, "array<struct<type:string,text:string>>")
-    said = F.transform(parts, lambda p: F.when(p["type"] == "text", F.coalesce(p["text"], F.lit(""))).otherwise(F.lit("[image]")))
-    return F.when(raw.startswith("\x00json:"), F.coalesce(F.array_join(said, "\n"), F.substring(body, 1, 4000))).otherwise(raw)
+    whole = F.try_parse_json(body)
+    get = lambda v, path, kind: F.try_variant_get(v, path, kind)
+    parts = F.coalesce(get(whole, "$", "array<variant>"), F.array(whole))
+    said = F.transform(
+        parts,
+        lambda p: F.when(F.schema_of_variant(p) == "STRING", get(p, "$", "string"))
+        .when(get(p, "$.type", "string") == "text", F.coalesce(get(p, "$.text", "string"), F.lit("")))
+        .when(F.schema_of_variant(p).startswith("OBJECT"), F.lit("[image]")),
+    )
+    joined = F.regexp_replace(F.array_join(F.filter(said, lambda t: t != ""), "\n"), r"^\s+|\s+$", "")
+    return F.when(raw.startswith("\x00json:"), F.when(whole.isNull(), F.substring(body, 1, 4000)).otherwise(joined)).otherwise(raw)
 
 
 def abstains(answer: Column) -> Column:
     return F.exists(F.array(*[F.lit(m) for m in ABSTENTION]), lambda m: F.contains(F.lower(answer), m))
 
 
-def instruction_shaped(text: Column) -> Column:
+def instruction_shaped(text: Column, imported: bool = False) -> Column:
     """Text that reads like an instruction to the model rather than a memory."""
-    return text.rlike(r"(?is)\b(ignore|disregard)\b.{0,40}\b(previous|prior|above)\b|\byou must\b|\bsystem prompt\b|^\s*(always|never)\b")
+    return text.rlike(IMPORTED_INSTRUCTION if imported else INSTRUCTION)
 
 
 #: Fixed alphabet of sortable ids.
@@ -229,21 +285,33 @@ def sortable_id(at: Column, key: Column) -> Column:
 
 
 def archive_ref(ref: Column) -> Column:
-    """A month and a uid, or null for anything else, such as a path out of the archive."""
-    return F.when(ref.rlike(r"^[0-9]{4}-?[0-9]{2}[/#:][A-Za-z0-9_-]+$"), ref)
+    """struct(file, uid) of ``file:uid``; null for anything else, such as a file in another folder."""
+    part = lambda i: F.regexp_extract(ref, r"^(.*):([^:]*)$", i)
+    fine = F.contains(ref, F.lit(":")) & ~part(1).rlike(r"[/\\]|\.\.")
+    return F.when(fine, F.struct(part(1).alias("file"), part(2).alias("uid")))
 
 
 def without_id_prefix(line: Column) -> Column:
     """A rendered line without its ``[id]``."""
-    return F.regexp_replace(line, r"^\s*\[[0-9A-Z]{6,26}\]\s*", "")
+    return F.regexp_replace(line, r"(?s)^\[[\p{L}\p{N}]+\]\s*(.*?)\s*$", "$1")
 
 
 def frontmatter(document: Column) -> Column:
-    """The ``key: value`` lines between the dashes at the head of a document, as a map; empty without a head."""
-    head = F.regexp_extract(document, r"(?s)\A---\r?\n(.*?)\r?\n---", 1)
-    lines = F.filter(F.split(head, r"\r?\n"), lambda x: x.rlike(r"^[^:#]+:"))
-    part = lambda x, i: F.regexp_extract(x, r"^([^:]+):\s*(.*?)\s*$", i)
-    return F.map_from_entries(F.transform(lines, lambda x: F.struct(F.trim(part(x, 1)), part(x, 2))))
+    """The ``key: value`` lines between the dashes at the head of a document, as a map, quotes taken off; empty
+    without a head. Of equal keys the last one stands."""
+    cut = F.split(document, r"\r?\n")
+    lines = F.slice(cut, F.lit(2), F.size(cut))
+    end = F.array_position(F.transform(lines, lambda x: F.trim(x)), "---")
+    head = F.when(end > 0, F.slice(lines, F.lit(1), (end - 1).cast("int"))).otherwise(lines)
+    bare = lambda v: F.regexp_replace(F.regexp_replace(F.trim(v), r'^"+|"+$', ""), r"^'+|'+$", "")
+    pairs = F.transform(
+        F.filter(head, lambda x: F.contains(x, F.lit(":"))),
+        lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("key"), bare(F.regexp_replace(x, r"^[^:]*:", "")).alias("value")),
+    )
+    keys = F.transform(pairs, lambda p: p["key"])
+    last = F.filter(pairs, lambda p, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), p["key"]))
+    none = F.array().cast("array<struct<key:string,value:string>>")
+    return F.map_from_entries(F.when(document.startswith("---"), last).otherwise(none))
 
 
 def replaced_section(document: Column, heading: str, body: str) -> Column:
@@ -254,9 +322,10 @@ def replaced_section(document: Column, heading: str, body: str) -> Column:
     return F.regexp_replace(document, pattern, "$1" + body.replace("\\", "\\\\").replace("$", "\\$") + "\n")
 
 
-def search_aids(aids: Column, limit: int = 4) -> Column:
-    """Cleaned search aids: 2 to 80 characters, each once whatever its case, at most ``limit``."""
+def search_aids(aids: Column, content: Column, limit: int = 4) -> Column:
+    """Cleaned search aids: 2 to 80 characters, not the content itself, each once whatever its case, at most ``limit``."""
     clean = F.filter(F.transform(aids, lambda a: F.trim(F.regexp_replace(a, r"\s+", " "))), lambda a: F.length(a).between(2, 80))
+    clean = F.filter(clean, lambda a: F.lower(a) != F.lower(content))
     low = F.transform(clean, lambda a: F.lower(a))
     return F.slice(F.filter(clean, lambda a, i: F.array_position(low, F.lower(a)) == i + 1), 1, limit)
 
@@ -277,9 +346,96 @@ def billed_by(model: Column) -> Column:
 
 
 def json_span(answer: Column) -> Column:
-    """The JSON list or object inside an answer: what a fence holds, else from the first bracket to its last
-    partner; null where that is no JSON."""
-    fenced = F.nullif(F.regexp_extract(answer, r"(?s)```(?:json)?\s*(.*?)```", 1), F.lit(""))
-    body = F.coalesce(fenced, answer)
-    wide = F.nullif(F.regexp_extract(body, r"(?s)(\[.*\]|\{.*\})", 1), F.lit(""))
-    return F.when(F.try_parse_json(wide).isNotNull(), wide)
+    """The first JSON list or object of an answer: of what a fence holds if that has one, else of the whole. A
+    span begins at a bracket and ends where its brackets are even, strings aside; spans that are no JSON are
+    passed over, and null is given if none is left."""
+    @F.pandas_udf("string")
+    def first_span(answers: pd.Series) -> pd.Series:
+        return answers.map(lambda t: None if t is None else _json_span(t))
+
+    return first_span(answer)
+
+
+def _json_span(answer: str) -> str | None:
+    import json
+    import re
+
+    fences = re.findall(r"```(?:json)?\s*(.*?)```", answer, re.DOTALL)
+    for body in (*fences, answer):
+        at = 0
+        while (start := min((i for i in (body.find("[", at), body.find("{", at)) if i >= 0), default=-1)) >= 0:
+            end = _closing(body, start)
+            if end:
+                try:
+                    json.loads(body[start:end])
+                    return body[start:end]
+                except ValueError:
+                    pass
+            at = start + 1
+    return None
+
+
+def _closing(body: str, start: int) -> int:
+    """Where the bracket at ``start`` closes, or 0."""
+    open_, quoted, skip = 0, False, False
+    for i in range(start, len(body)):
+        c = body[i]
+        if skip:
+            skip = False
+        elif quoted:
+            skip, quoted = c == "\\", c != '"'
+        elif c == '"':
+            quoted = True
+        elif c in "[{":
+            open_ += 1
+        elif c in "]}":
+            open_ -= 1
+            if not open_:
+                return i + 1
+    return 0
+
+
+def iso(at: Column) -> Column:
+    """A time as text in UTC, in milliseconds; null for null."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def epoch_of(text: Column) -> Column:
+    """Seconds of a time given as text, milliseconds cut off; null for what is no time."""
+    return F.unix_timestamp(F.try_to_timestamp(text))
+
+
+def import_iso(raw: Column) -> Column:
+    """The time of an import as text in UTC; null, which keeps the time of the import, where it has no known form."""
+    text = F.trim(raw)
+    at = lambda i: F.substring(text, i + 1, 1)
+    long = (F.length(text) >= 19) & (at(4) == "-") & at(10).isin(" ", "T")
+    return (
+        F.when(F.contains(text, F.lit("T")) & text.endswith("Z"), text)
+        .when(long, F.concat(F.substring(text, 1, 10), F.lit("T"), F.substring(text, 12, 8), F.lit(".000Z")))
+        .when((F.length(text) == 10) & (at(4) == "-"), F.concat(text, F.lit("T00:00:00.000Z")))
+    )
+
+
+def later(at: Column, *, days: float = 0, hours: float = 0, seconds: float = 0) -> Column:
+    """A time moved on."""
+    return F.timestamp_micros(F.unix_micros(at) + F.lit(int((days * 86400 + hours * 3600 + seconds) * 1_000_000)))
+
+
+def virtual_path(raw: Column) -> Column:
+    """struct(view, tag) of a path below ``/memories``: root, profile, index, topics, or one topic with its tag; null for
+    all others, such as a path that climbs."""
+    cut = F.split(F.replace(F.trim(raw), F.lit("\\"), F.lit("/")), "/")
+    parts = F.filter(cut, lambda p: ~p.isin("", "."))
+    n, part = F.size(parts), lambda i: F.get(parts, F.lit(i))
+    tag = F.lower(F.trim(F.regexp_replace(part(2), r"\.md$", "")))
+    topic = (n == 3) & (part(1) == "topics") & part(2).endswith(".md") & (tag != "")
+    view = (
+        F.when(n == 1, "root")
+        .when((n == 2) & (part(1) == "profile.md"), "profile")
+        .when((n == 2) & (part(1) == "index.md"), "index")
+        .when((n == 2) & (part(1) == "topics"), "topics")
+        .when(topic, "topic")
+    )
+    inside = (part(0) == "memories") & ~F.array_contains(cut, "..")
+    return F.when(inside & view.isNotNull(), F.struct(view.alias("view"), F.when(topic, tag).otherwise("").alias("tag")))

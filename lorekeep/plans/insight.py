@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lorekeep.functions import scoring, text
 from lorekeep.operators import fts, fusion, learning, predicates, vectors
 from lorekeep.plans.registry import query
-from lorekeep.plans.retrieval import HYBRID, LEGS, _docs, _fused, _intent_sql, _queries, hybrid
+from lorekeep.plans.retrieval import HYBRID, LEGS, _docs, _fused, _queries, hybrid
 from lorekeep.session import table
 from lorekeep.sources.store import CURRENT_SQL, MEMORIES_SQL, NOW_SQL, OUTCOMES_SQL, memories, now, outcomes
 
@@ -119,20 +119,6 @@ def _(spark, sf_dir):
     return rows.select("session_id", ((n >= 5) & (F.col("hurt") > F.col("helped")) & (low >= 0.2)).alias("harmful"))
 
 
-def _legs(at: int) -> str:
-    return " ".join(f"when '{k}' then {v[at]}" for k, v in text.INTENT_LEGS.items())
-
-
-@query(
-    "r15_r16_intent_legs",
-    f"with i as ({_intent_sql()}) select item_id, (case intent {_legs(0)} end)::double as fts, (case intent {_legs(1)} end)::double as vec from i",
-)
-def _(spark, sf_dir):
-    own = text.intent(F.col("text"))
-    legs = [scoring.by_key(own, {k: v[i] for k, v in text.INTENT_LEGS.items()}, 1.0) for i in (0, 1)]
-    return table(spark, sf_dir, "benchmark").select("item_id", legs[0].alias("fts"), legs[1].alias("vec"))
-
-
 @query("r23_blend", f"""with {HYBRID}, asked as (select distinct query from q), strong as (select 'm:' || doc as key, row_number() over (order by helpful desc, valid_from desc, doc) as rank from docs qualify rank <= 20),
   fresh as (select 'm:' || doc as key, row_number() over (order by valid_from desc, doc) as rank from docs where valid_from >= {NOW_SQL} - interval 45 day qualify rank <= 20)
   select query, key, round(sum(1.0 / (60 + rank)), 8)::double as score from (select query, key, rank from hits where key like 'm:%' union all select query, key, rank from asked, strong union all select query, key, rank from asked, fresh) group by all""")
@@ -164,11 +150,6 @@ def _(spark, sf_dir):
     return ranked.select("query", "profile", "key", F.round(weight / (F.lit(60.0) + F.col("rank")), 8).alias("score"))
 
 
-@query("r26_task_like", r"select item_id, len(list_filter(w[1:least(4, greatest(len(w) - 1, 0))], lambda x: x in ('the', 'fix', 'write'))) > 0 as task_like from (select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from benchmark)")
-def _(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", text.task_like(F.col("text"), ["the", "fix", "write"]).alias("task_like"))
-
-
 @query("r36_index_lines", f"{M} select id, concat_ws(' | ', uid, coalesce(kind, '-'), substr(trim(regexp_replace(content, '\\s+', ' ', 'g')), 1, 60)) as line from memories where {CURRENT_SQL}")
 def _(spark, sf_dir):
     rows = memories(spark, sf_dir).where(predicates.current_truth(now()))

@@ -427,19 +427,3 @@ def _(spark, sf_dir):
     best = bm25_top_k(spark, sf_dir).join(_docs(spark, sf_dir).select("doc", "content"), "doc")
     kept = sessions.budget_prefix(best, ["query"], ["rank"], text.approx_tokens(F.col("content")), 3000)
     return kept.select("query", "doc", F.col("used").cast("long").alias("used"))
-
-
-def _intent_sql() -> str:
-    counts = ", ".join(
-        " + ".join(f"len(regexp_extract_all(text, '{p.replace('(?i)', '')}', 0, 'i'))" for p in patterns) + f" as n_{name}"
-        for name, patterns in text.INTENTS.items()
-    )
-    own = ", ".join(f"case when n_{name} > 0 then least(1.0, 0.3 + 0.15 * n_{name}) else 0 end as s_{name}" for name in text.INTENTS)
-    best = "greatest(" + ", ".join(f"s_{name}" for name in text.INTENTS) + ")"
-    pick = " ".join(f"when s_{name} = {best} then '{name}'" for name in text.INTENTS)
-    return f"with c as (select item_id, {counts} from benchmark), s as (select item_id, {own} from c) select item_id, case when {best} = 0 then 'general' {pick} end as intent from s"
-
-
-@query("r14_intent", _intent_sql())
-def _(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", text.intent(F.col("text")).alias("intent"))

@@ -219,7 +219,7 @@ def _(spark, sf_dir):
     return rows.groupBy("profile", "uid").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("v1_exact_dedup", r"select sha256(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) as content_hash, min(doc_id) as first_id, count(*) as copies from documents group by 1")
+@query("v1_exact_dedup", r"select sha256(trim(regexp_replace(replace(lower(nfc_normalize(text)), 'ß', 'ss'), '\s+', ' ', 'g'))) as content_hash, min(doc_id) as first_id, count(*) as copies from documents group by 1")
 def _(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", text.content_hash(F.col("text")).alias("content_hash"))
     return rows.groupBy("content_hash").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))

@@ -170,18 +170,6 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(text.tokens(F.col("text"))).alias("n_tokens"))
 
 
-@query(
-    "f1_f2_f3_hashes",
-    r"""select doc_id, sha256(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) as content_hash, greatest(1, length(text) // 4)::bigint as approx_tokens,
-    substr(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 80) as clipped from documents""",
-)
-def _(spark, sf_dir):
-    body = F.col("text")
-    return table(spark, sf_dir, "documents").select(
-        "doc_id", text.content_hash(body).alias("content_hash"), text.approx_tokens(body).alias("approx_tokens"), text.clip(body, 80).alias("clipped")
-    )
-
-
 _HTML_SYMBOLS = " ".join(
     f"|| list_filter(regexp_extract_all(html, '{p}', 1), lambda s: length(s) >= {n} and lower(s) not in ({', '.join(repr(w) for w in text.PROSE)}))"
     for p, n in text.SYMBOLS[1:]
@@ -197,33 +185,6 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.array_join(text.code_symbols(F.col("html")), " ").alias("symbols"))
 
 
-_FAMILY = {n: p.replace("(?i)", "").replace("'", "''") for n, (p, _) in text.SALIENCE.items()}
-
-
-@query(
-    "f12_salience",
-    f"""with s as (select conv_id, turn, text, {', '.join(f"case when regexp_matches(text, '{p}', 'i') then {text.SALIENCE[n][1]} else 0 end as {n}" for n, p in _FAMILY.items())} from conversations)
-    select conv_id, turn, round(case when error + decision + correction + preference + remember = 0 and length(trim(text, chr(10) || ' ')) <= 40 then 0.05
-    else least(1.0, 0.1 + error + decision + correction + preference + remember) end::double, 6) as salience from s""",
-)
-def _(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations")
-    return rows.select("conv_id", "turn", F.round(text.salience(F.col("text"), F.lit("")), 6).alias("salience"))
-
-
-# RE2 knows ASCII word boundaries only, so the oracle spells them out
-_BOUND = r"[^\p{L}\p{N}_]"
-_OPERATIONAL = text.OPERATIONAL.replace("(?i)\\b", f"(^|{_BOUND})").removesuffix("\\b") + f"($|{_BOUND})"
-
-
-@query(
-    "f18_retention",
-    f"""{WITH} select id, case when kind in ('preference', 'warning', 'profile', 'decision') then 'durable'
-    when regexp_matches(content, '{_OPERATIONAL}', 'i') then 'temporary' else 'durable' end as retention from memories""",
-)
-def _(spark, sf_dir):
-    kept = text.retention(F.col("content"), F.col("kind"), now())
-    return memories(spark, sf_dir).select("id", kept["retention"].alias("retention"))
 
 
 @query(
@@ -235,14 +196,6 @@ def _(spark, sf_dir):
     return made.select("event_id", "cursor", text.read_cursor(F.col("cursor"))["event_id"].alias("back"))
 
 
-@query(
-    "f26_slugs",
-    "select p_partkey, regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') as slug from part",
-)
-def _(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", text.slug(F.col("p_name")).alias("slug"))
-
-
 @query(
     "p22_why_not",
     rf"""{WITH} select id, array_to_string(list_filter([case when valid_to is not null then 'superseded' end, case when status <> 'active' then 'status:' || status end,

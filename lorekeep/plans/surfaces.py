@@ -47,7 +47,7 @@ def _(spark, sf_dir):
 
 @query(
     "k20_remembered",
-    r"""with h as (select distinct sha256(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) as h from documents) select count(*) as n_new from (select distinct sha256(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) as h from conversations) where h not in (select h from h)""",
+    r"""with h as (select distinct sha256(trim(regexp_replace(replace(lower(nfc_normalize(text)), 'ß', 'ss'), '\s+', ' ', 'g'))) as h from documents) select count(*) as n_new from (select distinct sha256(trim(regexp_replace(replace(lower(nfc_normalize(text)), 'ß', 'ss'), '\s+', ' ', 'g'))) as h from conversations) where h not in (select h from h)""",
 )
 def _(spark, sf_dir):
     null = F.lit(None).cast("string")
@@ -132,7 +132,7 @@ def _(spark, sf_dir):
     return rows.where((F.col("newest") < cut) & (F.col("ended") == 0)).select("session_id")
 
 
-@query("f8_entities", r"select p_partkey, substr(trim(regexp_replace(lower(p_name), '\s+', ' ', 'g')), 1, 120) as entity from part")
+@query("f8_entities", r"select p_partkey, substr(trim(regexp_replace(replace(lower(nfc_normalize(p_name)), 'ß', 'ss'), '\s+', ' ', 'g')), 1, 120) as entity from part")
 def _(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", text.canonical_entity(F.col("p_name")).alias("entity"))
 
@@ -141,9 +141,3 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     tags = text.tag_list(F.concat_ws(", ", "event_type", F.col("user_id").cast("string")))
     return table(spark, sf_dir, "events").select("event_id", F.element_at(tags, 1).alias("tag"))
-
-
-@query("f33_abstentions", "select conv_id, turn, false as abstains from conversations where not regexp_matches(text, 'know|information|find', 'i')")
-def _(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").where(~F.col("text").rlike("(?i)know|information|find"))
-    return rows.select("conv_id", "turn", text.abstains(F.col("text")).alias("abstains"))

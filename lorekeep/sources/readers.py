@@ -51,13 +51,34 @@ def validate_link(spark: SparkSession, own: str, target: str, version: int) -> s
 
 
 def delimited_entries(spark: SparkSession, path: str, delimiter: str = "\n§\n") -> DataFrame:
-    """position, entry of a text file cut at ``delimiter``, stripped, each distinct entry once in order."""
-    whole = spark.read.text(path, wholetext=True)
-    cut = whole.select(F.posexplode(F.split("value", delimiter)).alias("position", "entry"))
-    entries = cut.select("position", F.regexp_replace("entry", r"^\s+|\s+$", "").alias("entry")).where("entry <> ''")
+    """position, entry of text files cut at ``delimiter``, stripped, each distinct entry once; positions rise along a file.
+
+    The reader cuts the files itself, so no file is ever one row."""
+    rows = spark.read.text(path, lineSep=delimiter).withColumn("position", F.monotonically_increasing_id())
+    entries = rows.select("position", F.regexp_replace("value", r"^\s+|\s+$", "").alias("entry")).where("entry <> ''")
     return entries.groupBy("entry").agg(F.min("position").alias("position")).select("position", "entry")
 
 
+#: Adapters of foreign stores by provider.
+PROVIDERS = ("jsonl", "facts", "predecessor")
+
+
+def import_provider(provider: str, rows: DataFrame, existing: DataFrame, write=None, kinds: dict[str, str] | None = None) -> dict[str, int]:
+    """Rows of a foreign store that are new to ``existing`` (by content hash): how many were read and how many are new.
+
+    Without ``write`` it is a dry run that writes nothing; with it, it is given the new rows."""
+    from lorekeep.functions.text import content_hash
+
+    if provider not in PROVIDERS:
+        raise ValueError(f"{provider} is not supported, only {', '.join(PROVIDERS)}")
+    own = {"jsonl": lambda: rows.where("not malformed"), "facts": lambda: provider_facts(rows, kinds or {}), "predecessor": lambda: predecessor_rows(rows)}[provider]()
+    hashed = own.withColumn("content_hash", content_hash(F.col("content")))
+    new = import_new(existing.select("content_hash"), hashed, ["content_hash"])
+    if write:
+        write(new)
+    return {"read": rows.count(), "new": new.count()}
+
+
 def json_lines(spark: SparkSession, path: str) -> DataFrame:
     """content, kind, tags, created_at, pinned of JSON lines with alias columns; ``malformed`` marks bad lines."""
     schema = "content string, text string, memory string, kind string, tags string, created_at string, timestamp string, pinned boolean, _bad string"
@@ -102,7 +123,7 @@ def hardened(rows: DataFrame) -> DataFrame:
         {
             "trust_tier": F.when(F.col("trust_tier").isin("owner", "agent"), "known_user").otherwise(F.col("trust_tier")),
             "pinned": F.lit(False),
-            "status": F.when(instruction_shaped(F.col("content")), "quarantined").otherwise(F.col("status")),
+            "status": F.when(instruction_shaped(F.col("content"), imported=True), "quarantined").otherwise(F.col("status")),
         }
     )
 
