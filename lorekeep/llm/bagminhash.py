@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, text_of, word_hashes, written
+from .common import discard, text_of, tidy, word_hashes, written
 from .components import components
 
 SHINGLE = 5
@@ -177,7 +177,7 @@ def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                     ["id", "text_hash", "node", "bands", "n_elements"],
                 )
 
-    return rows.mapInArrow(work, f"id {kind}, text_hash long, node binary, bands array<long>, n_elements long")
+    return rows.mapInArrow(tidy(work), f"id {kind}, text_hash long, node binary, bands array<long>, n_elements long")
 
 
 def _elements(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -200,7 +200,7 @@ def _elements(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
                     ["node", "elements"],
                 )
 
-    return found.select(word_hashes(F.col("text")).alias("words")).mapInArrow(work, "node binary, elements array<long>")
+    return found.select(word_hashes(F.col("text")).alias("words")).mapInArrow(tidy(work), "node binary, elements array<long>")
 
 
 def _pair_links(rows: DataFrame, elements: DataFrame, similarity: float) -> DataFrame:

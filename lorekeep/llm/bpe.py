@@ -35,12 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import released, shuffles, text_of
+from .common import release_memory, shuffles, text_of, tidy
 
 MAX_VOCAB = 1_000_000
 BLOCK_BYTES = 16_000_000
 BLOCK_DISTINCT = 500_000
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_000_000
 CUTS = 300_000
 CHUNK = 256
 PARTS = 2048
@@ -230,19 +230,22 @@ def encode(
     *,
     id_col: str = "doc_id",
     text_col: str = "text",
+    decoded_col: str | None = None,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """One row for each row of ``docs``: its id and ``ids``, the token ids of its whole text. The result
-    does not depend on ``block_bytes``, after which a block of texts ends."""
+    """One row for each row of ``docs``: its id and ``ids``, the token ids of its whole text. With ``decoded_col`` the ids
+    are decoded where they are laid out, which spares a second Python worker a task; it is what ``decode`` gives. The
+    result does not depend on ``block_bytes``, after which a block of texts ends."""
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     kind = rows.schema["id"].dataType
     vocabulary = docs.sparkSession.sparkContext.broadcast(ranks)  # at most MAX_VOCAB tokens
+    tokens = docs.sparkSession.sparkContext.broadcast(token_table(ranks)) if decoded_col else None
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         from pyspark.sql.pandas.types import to_arrow_type
 
-        yield from released(_blocks(batches, pattern, to_arrow_type(kind), TaskContext.get().partitionId(), block_bytes))
+        yield from _blocks(batches, pattern, to_arrow_type(kind), TaskContext.get().partitionId(), block_bytes)
 
     def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
@@ -295,10 +298,18 @@ def encode(
             taken = _gathered(flat, begins[places], size)
             stops = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(lengths)])]
             out.append(pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(taken, pa.int32())))
-        return pa.table([pa.array(out_ids, to_arrow_type(kind)), pa.chunked_array(out, pa.list_(pa.int32()))], ["id", "ids"])
+        columns = [pa.array(out_ids, to_arrow_type(kind)), pa.chunked_array(out, pa.list_(pa.int32()))]
+        if tokens is not None:
+            token_bytes = pa.array(tokens.value, pa.large_binary())
+            parts = [bytes_of(x.slice(at, CHUNK), token_bytes) for x in out for at in range(0, len(x), CHUNK)]
+            columns.append(pa.chunked_array(parts, pa.binary()))
+        done = pa.table(columns, ["id", "ids", "decoded"][: len(columns)])
+        del out, columns, rows, flat, sizes, begins
+        release_memory()
+        return done
 
     n = shuffles(docs.sparkSession)
-    dealt = rows.mapInArrow(split, f"{_PASS}, row_ids array<{kind.simpleString()}>").repartition(n, "key")
+    dealt = rows.mapInArrow(tidy(split), f"{_PASS}, row_ids array<{kind.simpleString()}>").repartition(n, "key")
 
     def of(condition) -> DataFrame:
         """Some of the dealt rows. The condition counts as not deterministic, so it stays above the shuffle, which both uses share."""
@@ -307,43 +318,50 @@ def encode(
     encoded = (
         of(F.col("key").between(0, PARTS - 1))
         .sortWithinPartitions("key")
-        .mapInArrow(encode_words, "block long, first int, n int, sizes binary, ids binary, n_ids long")
+        .mapInArrow(tidy(encode_words), "block long, first int, n int, sizes binary, ids binary, n_ids long")
     )
     laid = (
         of(~F.col("key").between(0, PARTS - 1))
         .groupBy("key")
         .cogroup(encoded.groupBy("block"))
-        .applyInArrow(lay_out, f"id {kind.simpleString()}, ids array<int>")
+        .applyInArrow(lay_out, f"id {kind.simpleString()}, ids array<int>" + ", decoded binary" * bool(decoded_col))
     )
-    return laid.withColumnRenamed("id", id_col)
+    return laid.toDF(id_col, "ids", *[decoded_col] * bool(decoded_col))
 
 
-def decode(encoded: DataFrame, ranks: dict[bytes, int], *, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """``encoded`` with the bytes that its ids stand for."""
-    table = [b""] * (max(ranks.values(), default=-1) + 2)  # the last one is for ids outside the table
+def token_table(ranks: dict[bytes, int]) -> list[bytes]:
+    """The bytes of each id, and none at the end for ids outside the table."""
+    table = [b""] * (max(ranks.values(), default=-1) + 2)
     for token, rank in ranks.items():
         table[rank] = token
-    tokens = encoded.sparkSession.sparkContext.broadcast(table)
+    return table
+
+
+def bytes_of(lists: pa.ListArray, token_bytes: pa.LargeBinaryArray) -> pa.BinaryArray:
+    """Lists of ids joined with the token-byte table (see ``token_table``), as the bytes of each list."""
+    outside = len(token_bytes) - 1
+    flat = np.asarray(lists.flatten().fill_null(outside), dtype=np.int64)
+    ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    joined = token_bytes.take(pa.array(np.where((flat < 0) | (flat > outside), outside, flat)))
+    stops = np.concatenate([[0], np.cumsum(pc.binary_length(joined).to_numpy())])[np.concatenate([[0], ends])]
+    data = joined.buffers()[2].to_pybytes() if stops[-1] else b""  # the bytes of all tokens, in order
+    return pa.array([data[a:b] for a, b in zip(stops[:-1], stops[1:])], pa.binary())
+
+
+def decode(encoded: DataFrame, ranks: dict[bytes, int], *, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+    """``encoded`` with the bytes that its ids stand for."""
+    tokens = encoded.sparkSession.sparkContext.broadcast(token_table(ranks))
     fields = [f for f in encoded.schema.fields if f.name != out_col]
     names = [f.name for f in fields]
     at = names.index(ids_col)
 
     def join_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token_bytes = pa.array(tokens.value, pa.large_binary())
-        outside = len(token_bytes) - 1
         for whole in batches:
             for first in range(0, whole.num_rows, CHUNK):
                 batch = whole.slice(first, CHUNK)
-                lists = batch.column(at)
-                flat = np.asarray(lists.flatten().fill_null(outside), dtype=np.int64)
-                ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-                flat = np.where((flat < 0) | (flat > outside), outside, flat)
-                joined = token_bytes.take(pa.array(flat))
-                stops = np.concatenate([[0], np.cumsum(pc.binary_length(joined).to_numpy())])[np.concatenate([[0], ends])]
-                data = joined.buffers()[2].to_pybytes() if stops[-1] else b""  # the bytes of all tokens, in order
-                texts = [data[a:b] for a, b in zip(stops[:-1], stops[1:])]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], [*names, out_col])
+                yield pa.RecordBatch.from_arrays([*batch.columns, bytes_of(batch.column(at), token_bytes)], [*names, out_col])
 
     return encoded.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(
-        join_bytes, StructType([*fields, StructField(out_col, BinaryType())])
+        tidy(join_bytes), StructType([*fields, StructField(out_col, BinaryType())])
     )

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import text_of, word_hashes
+from .common import text_of, tidy, word_hashes
 
 #: Fixed masks by the substitutions that a window may hold: 3 in 15 words, 2 in 10 to 14, 1 in 5 to 9. An item
 #: of fewer words has none to spare, and its mask is as long as itself.
@@ -236,4 +236,4 @@ def _find(rows: DataFrame, items: list[tuple], last: bool) -> DataFrame:
             columns = [batch.column(n) for n in names[:-1]]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(out, kind)], names)
 
-    return rows.mapInArrow(find, StructType([schema[n] for n in names]))
+    return rows.mapInArrow(tidy(find), StructType([schema[n] for n in names]))

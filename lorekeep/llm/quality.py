@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import text_of, tidy
 
 MAX_ROWS = 10_000
 CUT = 0.7
@@ -174,7 +174,7 @@ def _shapes(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             rows = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), rows], ["key", "label", "x"])
 
-    rows = docs.select(F.xxhash64("id").alias("key"), "label", "text").mapInArrow(work, "key long, label int, x array<double>")
+    rows = docs.select(F.xxhash64("id").alias("key"), "label", "text").mapInArrow(tidy(work), "key long, label int, x array<double>")
     table = rows.toArrow().sort_by([("key", "ascending"), ("label", "ascending")])
     x = np.array(table["x"].to_pylist(), dtype=np.float64).reshape(table.num_rows, shape([""]).shape[1])
     return x, table["label"].to_numpy().astype(np.int64)
@@ -210,7 +210,7 @@ def _shifted(model: QualityModel, texts: DataFrame, prior: float) -> QualityMode
                 margins = sent.value.margins(shape(batch.column(0).slice(first, 512).to_pylist()))
                 yield pa.RecordBatch.from_arrays([pa.array(margins)], ["margin"])
 
-    margins = texts.select("text").mapInArrow(work, "margin double")
+    margins = texts.select("text").mapInArrow(tidy(work), "margin double")
     cut = margins.agg(F.percentile_approx("margin", 1 - prior, RANKS)).first()[0]
     return model if cut is None else replace(model, bias=float(np.log(CUT / (1 - CUT)) - cut))
 
@@ -228,7 +228,7 @@ def score(docs: DataFrame, model: QualityModel, *, id_col: str = "doc_id", text_
                 out.append(sent.value.scores(shape(batch.column(1).slice(first, 512).to_pylist())))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out))], ["id", "score"])
 
-    scored = rows.mapInArrow(work, f"id {kind}, score double")
+    scored = rows.mapInArrow(tidy(work), f"id {kind}, score double")
     return scored.select(
         F.col("id").alias(id_col), "score", F.when(F.col("score") >= CUT, 1).otherwise(0).alias("predicted")
     )

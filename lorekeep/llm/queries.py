@@ -65,8 +65,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.load_ranks(tokenizer_file("byte_bpe_50k.tiktoken"))
-    ids = bpe.encode(_read(spark, sf_dir, "documents"), ranks, tokenizer_pattern())
-    return bpe.decode(ids, ranks).select(
+    return bpe.encode(_read(spark, sf_dir, "documents"), ranks, tokenizer_pattern(), decoded_col="decoded").select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         sha256(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"),

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import discard, text_of, written
+from .common import discard, text_of, tidy, written
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -161,7 +161,7 @@ def _found(docs: DataFrame, text_col: str) -> DataFrame:
             )
 
     rows = docs.select(text_of(text_col).alias("text")).select(F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(work, "text_hash long, entities array<string>, terms array<string>")
+    return rows.mapInArrow(tidy(work), "text_hash long, entities array<string>, terms array<string>")
 
 
 def _reach(n_entity: Column, total: Column, least: float) -> Column:
@@ -270,7 +270,7 @@ def _applied(rows: DataFrame, told: dict[str, float] | None, texts: bool) -> Dat
                 [*batch.columns[:2], pa.array(found, to_arrow_type(schema["spans"].dataType)), pa.array(out, pa.string())], names
             )
 
-    return rows.mapInArrow(work, StructType([*schema]))
+    return rows.mapInArrow(tidy(work), StructType([*schema]))
 
 
 def _revealing(docs: DataFrame, told: DataFrame, frequent: DataFrame, text_col: str) -> DataFrame:
@@ -283,7 +283,7 @@ def _revealing(docs: DataFrame, told: DataFrame, frequent: DataFrame, text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(terms, pa.list_(pa.string()))], ["text_hash", "terms"])
 
     texts = docs.select(text_of(text_col).alias("text")).select(F.xxhash64("text").alias("text_hash"), "text")
-    words = texts.mapInArrow(work, "text_hash long, terms array<string>").select("text_hash", F.explode("terms").alias("term"))
+    words = texts.mapInArrow(tidy(work), "text_hash long, terms array<string>").select("text_hash", F.explode("terms").alias("term"))
     often = frequent.join(told, "term", "left").select("term", "disclosure", F.lit(True).alias("often"))
     words = words.join(F.broadcast(often), "term", "left")  # at most MAX_FREQUENT terms
     rare = words.where("often is null").select("text_hash", "term").join(told, "term")

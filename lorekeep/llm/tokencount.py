@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import text_of, tidy
 
 SPACE = "▁"
 UNITS = 300_000
@@ -136,4 +136,4 @@ def count_tokens(docs: DataFrame, model: Unigram, *, id_col: str = "doc_id", tex
 
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(count, f"id {kind}, n_tokens long").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidy(count), f"id {kind}, n_tokens long").withColumnRenamed("id", id_col)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import text_of, tidy
 
 PREFIXES = (4, 5, 7)
 MIN_TEXTS = 5
@@ -220,7 +220,7 @@ def score(docs: DataFrame, model: OrdinalModel, *, id_col: str = "doc_id", text_
             columns = [pa.array(above.sum(axis=1)), pa.array((above > 0.5).sum(axis=1), pa.int32())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["id", "kept", "severity", "grade"])
 
-    return rows.mapInArrow(work, schema).select(
+    return rows.mapInArrow(tidy(work), schema).select(
         F.col("id").alias(id_col),
         "severity",
         "grade",

@@ -52,6 +52,8 @@ def test_bpe_equals_tiktoken_and_round_trips(spark, odd):
     got = sorted((r.doc_id is None, r.doc_id or 0, list(r.ids), bytes(r.decoded)) for r in out)
     want = sorted((r.doc_id is None, r.doc_id or 0, judge.encode_ordinary(r.text or ""), (r.text or "").encode()) for r in odd.collect())
     assert got == want
+    fused = bpe.encode(odd, ranks, public_tokenizers.PATTERN, decoded_col="raw").collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, list(r.ids), bytes(r.raw)) for r in fused) == want
     empty = odd.where("false")
     assert bpe.decode(bpe.encode(empty, ranks, public_tokenizers.PATTERN), ranks).count() == 0
     unknown = spark.createDataFrame([([1, -5, 10**8, None],), (None,)], "ids array<int>")
