@@ -60,7 +60,7 @@ def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """The token ids of each document, and a digest of their decoding, which is that of the text."""
     ship(spark)
     ranks = bpe.load_ranks(tokenizer_file("byte_bpe_50k.tiktoken"))
-    ids = bpe.decode(bpe.encode(docs, ranks, tokenizer_pattern()), ranks)
+    ids = bpe.encode(docs, ranks, tokenizer_pattern(), decoded_col="decoded")
     return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", sha256(F.col("decoded")).alias("decoded_sha256"))
 
 
