@@ -39,3 +39,10 @@ def remapped(rows: DataFrame, ids: DataFrame, columns: list[str]) -> DataFrame:
         out = out.join(ids.select(F.col("old_id").alias(c), F.col("new_id").alias(f"new_{c}")), c, "left")
         out = out.withColumn(c, F.col(f"new_{c}")).drop(f"new_{c}")
     return out.select(*rows.columns)
+
+
+def fingerprint(rows: DataFrame, order: str, text: str) -> DataFrame:
+    """One digest of all texts in order: each text is hashed where it lies, so that the one row that meets holds 64 characters
+    for each, of a bounded set such as evaluation queries."""
+    each = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.sha2(F.col(text), 256).alias("h"))))
+    return rows.agg(F.sha2(F.array_join(F.transform(each, lambda e: e["h"]), ""), 256).alias("fingerprint"), F.count(F.lit(1)).alias("n"))

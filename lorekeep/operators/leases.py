@@ -1,0 +1,48 @@
+"""Leases, due checks and preemption as transforms of their tables.
+
+Who may run is decided by a compare-and-set on one row of a lease, so requests for a lease are folded in order."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+TTL_SECONDS, RENEW_SECONDS, MIN_INTERVAL_HOURS, UNITS = 120, 30, 6, 8
+
+
+def decided(requests: DataFrame, ttl: int = TTL_SECONDS) -> DataFrame:
+    """Whether each request (name, at in seconds, id, holder, op) gets the lease.
+
+    ``acquire`` succeeds where nobody holds it, it is over, or the holder asks again (which moves nothing on); ``renew``
+    only for the holder, and moves the end on; ``release`` by the holder frees it. A lease's requests are one row."""
+    ordered = requests.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("at", "id", "holder", "op"))).alias("asked"))
+    start = F.struct(F.lit(None).cast("string").alias("holder"), F.lit(None).cast("long").alias("end"), F.array().cast("array<boolean>").alias("granted"))
+
+    def step(s: Column, r: Column) -> Column:
+        own = F.coalesce(s["holder"] == r["holder"], F.lit(False))
+        free = s["holder"].isNull() | s["end"].isNull() | (s["end"] < r["at"])
+        taken, kept, left = (r["op"] == "acquire") & free, (r["op"] == "renew") & own, (r["op"] == "release") & own
+        granted = F.when(r["op"] == "acquire", free | own).otherwise(own)
+        end = F.when(taken | kept, r["at"] + ttl).when(left, F.lit(None)).otherwise(s["end"])
+        holder = F.when(taken, r["holder"]).when(left, F.lit(None)).otherwise(s["holder"])
+        return F.struct(holder.alias("holder"), end.alias("end"), F.concat(s["granted"], F.array(granted)).alias("granted"))
+
+    done = ordered.select("name", "asked", F.aggregate("asked", start, step)["granted"].alias("granted"))
+    each = done.select("name", F.explode(F.arrays_zip("asked", "granted")).alias("r"))
+    return each.select("name", "r.asked.id", F.col("r.granted").alias("granted"))
+
+
+def due(runs: DataFrame, now: Column, hours: float = MIN_INTERVAL_HOURS) -> DataFrame:
+    """name and ``due``: no run (name, finished_at) has finished, or the last one longer ago than the interval."""
+    last = runs.groupBy("name").agg(F.max("finished_at").alias("last"))
+    over = F.unix_micros("last") + F.lit(int(hours * 3600e6)) < F.unix_micros(now)
+    return last.select("name", F.coalesce(over, F.lit(True)).alias("due"))
+
+
+def preempted_at(units: DataFrame, stop: DataFrame, every: int = UNITS) -> DataFrame:
+    """name and how many units (name, nth from 1, at) a run does before it sees a stop (name, at), which it looks for
+    after each ``every`` units."""
+    seen = units.where(F.col("nth") % every == 0).join(stop.select("name", F.col("at").alias("stop")), "name")
+    first = seen.where(F.col("at") >= F.col("stop")).groupBy("name").agg(F.min("nth").alias("seen"))
+    whole = units.groupBy("name").agg(F.max("nth").alias("n"))
+    return whole.join(first, "name", "left").select("name", F.coalesce("seen", "n").alias("done"))

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from lorekeep.functions import scoring
 from lorekeep.operators import cdc, evalkit, lifecycle, sessions, temporal
 from lorekeep.plans.registry import query
-from lorekeep.plans.retrieval import BM25, bm25_top_k
 from lorekeep.session import table
 from lorekeep.sources.store import CURRENT_SQL, FACTS_SQL, MEMORIES_SQL, NOW_SQL, OUTCOMES_SQL, facts, memories, now, outcomes
 
@@ -271,33 +270,6 @@ def _(spark, sf_dir):
     return cdc.remapped(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), ids, ["o_custkey"])
 
 
-GOLD = "gold as (select query, doc as key from docs d join (select distinct query from q) q on d.doc % 100 = q.query % 100)"
-SCORES = f"""{BM25}, {GOLD}, r as (select query, doc as key, row_number() over (partition by query order by round(score, 6) desc, doc) as rank from bm25 qualify rank <= 10),
-  hits as (select query, count(*) as n, min(rank) as first from r join gold using (query, key) group by query),
-  scores as (select query, coalesce(n, 0) / 10.0 as p_at_k, coalesce(1.0 / first, 0.0) as rr from (select distinct query from gold) left join hits using (query))"""
-
-
-def _gold(spark, sf_dir):
-    from lorekeep.plans.retrieval import _docs, _queries
-
-    asked = _queries(spark, sf_dir).select("query").distinct().withColumn("m", F.col("query") % 100)
-    return _docs(spark, sf_dir).select(F.col("doc").alias("key"), (F.col("doc") % 100).alias("m")).join(asked, "m").select("query", "key")
-
-
-@query("g20_v35_evaluation", f"with {SCORES} select round(avg(p_at_k), 6)::double as p_at_k, round(avg(rr), 6)::double as mrr, count(*) as n from scores")
-def _(spark, sf_dir):
-    results = bm25_top_k(spark, sf_dir).withColumnRenamed("doc", "key")
-    out = evalkit.summary(evalkit.per_query(results, _gold(spark, sf_dir), 10))
-    return out.select(F.round("p_at_k", 6).alias("p_at_k"), F.round("mrr", 6).alias("mrr"), "n")
-
-
-@query("g20_paired", f"with {SCORES} select count(*) filter (where 0.1 > rr) as win, count(*) filter (where 0.1 < rr) as loss, count(*) filter (where 0.1 = rr) as tie from scores")
-def _(spark, sf_dir):
-    results = bm25_top_k(spark, sf_dir).withColumnRenamed("doc", "key")
-    base = evalkit.per_query(results, _gold(spark, sf_dir), 10)
-    return evalkit.paired(base, base.withColumn("rr", F.lit(0.1)))
-
-
 WILSON = "({p} + 3.8414588206941236 / (2 * {n}) {sign} 1.959963984540054 * sqrt({p} * (1 - {p}) / {n} + 3.8414588206941236 / (4 * {n} * {n}))) / (1 + 3.8414588206941236 / {n})"
 _LOW = WILSON.format(p="(sw::double / nw)", n="nw::double", sign="-")
 _HIGH = WILSON.format(p="(so::double / no_)", n="no_::double", sign="+")

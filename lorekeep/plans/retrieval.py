@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions import scoring, text
 from lorekeep.operators import fts, fusion, graph, predicates, sessions, vectors
+from lorekeep.operators.ranking import numbered
 from lorekeep.plans import registry
 from lorekeep.plans.registry import query
 from lorekeep.session import table
@@ -128,13 +129,14 @@ def _(spark, sf_dir):
     select query, density, row_number() over (order by density, query)::int as nth from d qualify nth <= greatest(1, (select count(*) from d) // 10)""",
 )
 def _(spark, sf_dir):
-    from pyspark.sql import Window
+    return _outliers(vectors.density(_knn(spark, sf_dir, 8)))
+
 
-    d = vectors.density(_knn(spark, sf_dir, 8)).withColumn("density", F.round("density", 6))
-    cut = max(1, d.count() // 10)
-    # the report is the lowest tenth of a query set, cut before the single ordered numbering
-    lowest = d.orderBy("density", "query").limit(cut)
-    return lowest.withColumn("nth", F.row_number().over(Window.orderBy("density", "query")))
+def _outliers(density):
+    """The lowest tenth by density, numbered over ranges: it grows with the table, so it is no single task."""
+    rows = numbered(density.withColumn("density", F.round("density", 6)), "density", "query")
+    cut = F.broadcast(rows.agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / 10)).alias("cut")))  # one row
+    return rows.join(cut, F.col("nth") <= F.col("cut")).select("query", "density", F.col("nth").cast("int").alias("nth"))
 
 
 #: Every vector is a query: pair joins and statistics over all rows.
@@ -156,11 +158,7 @@ def _(spark, sf_dir):
     select query, density, row_number() over (order by density, query)::int as nth from d qualify nth <= greatest(1, (select count(*) from d) // 10)""",
 )
 def _(spark, sf_dir):
-    d = vectors.density(_knn(spark, sf_dir, 8, step=1)).withColumn("density", F.round("density", 6)).persist()
-    cut = max(1, d.count() // 10)
-    # numbered over a range sort: the lowest tenth grows with the table, so it is no single task
-    numbered = d.orderBy("density", "query").rdd.zipWithIndex().filter(lambda r: r[1] < cut).map(lambda r: (*r[0], r[1] + 1))
-    return spark.createDataFrame(numbered, f"query {dict(d.dtypes)['query']}, density double, nth int")
+    return _outliers(vectors.density(_knn(spark, sf_dir, 8, step=1)))
 
 
 def pagerank_sql(rounds: int = graph.ROUNDS, damping: float = graph.DAMPING) -> str:

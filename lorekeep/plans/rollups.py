@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions import scoring, text
+from lorekeep.operators.ranking import numbered
 from lorekeep.operators import predicates
 from lorekeep.plans.registry import query
 from lorekeep.session import table
@@ -105,14 +106,6 @@ def _(spark, sf_dir):
     return seen.groupBy("entity").agg(F.count(F.lit(1)).alias("mentions"))
 
 
-@query("g27_queryset_fingerprint", "select sha256(string_agg(text, chr(10) order by item_id)) as fingerprint, count(*) as n from benchmark")
-def _(spark, sf_dir):
-    # a query set is small by its nature; its digest needs it in order
-    listed = F.array_sort(F.collect_list(F.struct("item_id", "text")))
-    rows = table(spark, sf_dir, "benchmark").agg(listed.alias("q"), F.count(F.lit(1)).alias("n"))
-    return rows.select(F.sha2(F.array_join(F.transform("q", lambda q: q["text"]), "\n"), 256).alias("fingerprint"), "n")
-
-
 @query("j4_facts_left_memories", f"with {FACTS_SQL}, {MEMORIES_SQL} select fact_id, uid from facts left join memories on fact_id = id where id is null or {CURRENT_SQL.replace('valid_to', 'memories.valid_to')}")
 def _(spark, sf_dir):
     f = facts(spark, sf_dir).select("fact_id", "subject")
@@ -171,9 +164,9 @@ def _(spark, sf_dir):
 
 @query("o11_top_decile", f"{M}, r as (select id, surprise, row_number() over (order by surprise desc, id)::int as nth from memories where surprise > 0) select id, nth from r where nth <= greatest(1, (select count(*) from r) // 10)")
 def _(spark, sf_dir):
-    rows = memories(spark, sf_dir).where("surprise > 0")
-    best = rows.orderBy(F.desc("surprise"), "id").limit(max(1, rows.count() // 10))
-    return best.select("id", F.row_number().over(Window.orderBy(F.desc("surprise"), "id")).alias("nth"))
+    rows = numbered(memories(spark, sf_dir).where("surprise > 0").select("id", "surprise"), F.desc("surprise"), "id")
+    cut = F.broadcast(rows.agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / 10)).alias("cut")))  # one row
+    return rows.join(cut, F.col("nth") <= F.col("cut")).select("id", F.col("nth").cast("int").alias("nth"))
 
 
 @query("o13_guidance", f"""{M}, g as (select *, row_number() over (partition by kind order by helpful desc, id) as nth from memories where {CURRENT_SQL} and kind in ('strategy', 'case', 'profile'))

@@ -39,3 +39,9 @@ def next_version(rows: DataFrame, path: str, version: int) -> str:
 def bucketed(rows: DataFrame, name: str, keys: list[str], buckets: int) -> None:
     """A table bucketed and sorted by its join keys, so that joins on them need no exchange."""
     rows.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
+
+
+def append_events(rows: DataFrame, path: str, enabled: bool = True) -> None:
+    """Add rows to a log; nothing where logging is off. Appends of several writers never rewrite each other's files."""
+    if enabled:
+        rows.write.mode("append").parquet(path)

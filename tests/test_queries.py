@@ -2,7 +2,7 @@
 
 import pytest
 
-from lorekeep.plans import functions, history, insight, registry, retrieval, rollups, rows, surfaces  # noqa: F401
+from lorekeep.plans import agents, functions, history, insight, registry, retrieval, rollups, rows, stores, surfaces  # noqa: F401
 from tests.conftest import SMALL
 from tests.oracle import assert_same, connect
 
