@@ -349,52 +349,47 @@ def json_span(answer: Column) -> Column:
     """The first JSON list or object of an answer: of what a fence holds if that has one, else of the whole. A
     span begins at a bracket and ends where its brackets are even, strings aside; spans that are no JSON are
     passed over, and null is given if none is left."""
+    def closing(body: str, start: int) -> int:
+        """Where the bracket at ``start`` closes, or 0."""
+        open_, quoted, skip = 0, False, False
+        for i in range(start, len(body)):
+            c = body[i]
+            if skip:
+                skip = False
+            elif quoted:
+                skip, quoted = c == "\\", c != '"'
+            elif c == '"':
+                quoted = True
+            elif c in "[{":
+                open_ += 1
+            elif c in "]}":
+                open_ -= 1
+                if not open_:
+                    return i + 1
+        return 0
+
+    def span(answer: str) -> str | None:
+        import json
+        import re
+
+        for body in (*re.findall(r"```(?:json)?\s*(.*?)```", answer, re.DOTALL), answer):
+            for start in (i for i, c in enumerate(body) if c in "[{"):
+                end = closing(body, start)
+                if end:
+                    try:
+                        json.loads(body[start:end])
+                        return body[start:end]
+                    except ValueError:
+                        pass
+        return None
+
     @F.pandas_udf("string")
     def first_span(answers: pd.Series) -> pd.Series:
-        return answers.map(lambda t: None if t is None else _json_span(t))
+        return answers.map(lambda t: None if t is None else span(t))
 
     return first_span(answer)
 
 
-def _json_span(answer: str) -> str | None:
-    import json
-    import re
-
-    fences = re.findall(r"```(?:json)?\s*(.*?)```", answer, re.DOTALL)
-    for body in (*fences, answer):
-        at = 0
-        while (start := min((i for i in (body.find("[", at), body.find("{", at)) if i >= 0), default=-1)) >= 0:
-            end = _closing(body, start)
-            if end:
-                try:
-                    json.loads(body[start:end])
-                    return body[start:end]
-                except ValueError:
-                    pass
-            at = start + 1
-    return None
-
-
-def _closing(body: str, start: int) -> int:
-    """Where the bracket at ``start`` closes, or 0."""
-    open_, quoted, skip = 0, False, False
-    for i in range(start, len(body)):
-        c = body[i]
-        if skip:
-            skip = False
-        elif quoted:
-            skip, quoted = c == "\\", c != '"'
-        elif c == '"':
-            quoted = True
-        elif c in "[{":
-            open_ += 1
-        elif c in "]}":
-            open_ -= 1
-            if not open_:
-                return i + 1
-    return 0
-
-
 def iso(at: Column) -> Column:
     """A time as text in UTC, in milliseconds; null for null."""
     return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")

@@ -159,9 +159,15 @@ def fit_leg_weights(rows: DataFrame, legs: tuple[str, ...], *, rounds: int = 800
     return {leg: float(min(LEG_BAND[1], max(LEG_BAND[0], v))) for leg, v in zip(legs, raw)}
 
 
+#: Fixed kinds of a peer card's lines.
+CARD_KINDS = ("IDENTITY:", "ATTRIBUTE:", "RELATIONSHIP:", "INSTRUCTION:")
+
+
 def peer_card_lines(card: Column, limit: int = 40) -> Column:
-    """The typed lines of a card (``KIND: text``), at most ``limit``."""
-    return F.slice(F.filter(F.split(card, "\n"), lambda x: x.rlike(r"^[A-Z]+: \S")), 1, limit)
+    """The typed lines of a card, at most ``limit``; all its lines, if none is typed."""
+    lines = F.filter(F.transform(F.split(card, "\r?\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    typed = F.filter(lines, lambda x: x.rlike("^(" + "|".join(CARD_KINDS) + ")"))
+    return F.slice(F.when(F.size(typed) > 0, typed).otherwise(lines), 1, limit)
 
 
 def probes(memories: DataFrame) -> DataFrame:

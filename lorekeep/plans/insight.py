@@ -83,17 +83,6 @@ def _(spark, sf_dir):
     return learning.vector_clusters(_vectors(spark, sf_dir), 0.2)
 
 
-@query("v23_leg_weight_fit")
-def _(spark, sf_dir):
-    rows = outcomes(spark, sf_dir).select(
-        F.when(F.col("skill").isin("click", "view"), "fts").otherwise("vec").alias("leg"),
-        (F.col("turn_id") % 10 + 1).alias("rank"),
-        (F.coalesce(F.col("feedback") == "positive", F.lit(False))).cast("int").alias("helpful"),
-    )
-    found = learning.fit_leg_weights(rows, ("fts", "vec"), least=100) or {}
-    return spark.createDataFrame([(k, round(v, 6)) for k, v in sorted(found.items())], "leg string, weight double")
-
-
 @query("v32_probes", f"""{M} select * from (select 'tombstone_open' as probe, count(*) filter (where status = 'tombstone' and valid_to is null) as failures from memories
   union all select 'superseded_open', count(*) filter (where status = 'summarized' and valid_to is null) from memories union all select 'quarantine_pinned', count(*) filter (where status = 'quarantined' and pinned) from memories)""")
 def _(spark, sf_dir):
@@ -187,10 +176,3 @@ def _(spark, sf_dir):
 @query("s17_topic_views", "select unnest([lang, source]) as topic, count(*) as n from documents group by 1")
 def _(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.explode(F.array("lang", "source")).alias("topic")).groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("m6_provenance", f"{M} select a.id, b.id as previous, a.kind is not distinct from b.kind as same_kind from memories a join memories b on a.id = b.id + 1")
-def _(spark, sf_dir):
-    rows = memories(spark, sf_dir).select("id", "kind")
-    before = rows.select((F.col("id") + 1).alias("id"), F.col("id").alias("previous"), F.col("kind").alias("k"))
-    return rows.join(before, "id").select("id", "previous", F.col("kind").eqNullSafe(F.col("k")).alias("same_kind"))

@@ -45,17 +45,6 @@ def _(spark, sf_dir):
     return capture.pre_compress(table(spark, sf_dir, "conversations"), "conv_id", "turn", 3, 900).select("conv_id", "turn")
 
 
-@query(
-    "k20_remembered",
-    r"""with h as (select distinct sha256(trim(regexp_replace(replace(lower(nfc_normalize(text)), 'ß', 'ss'), '\s+', ' ', 'g'))) as h from documents) select count(*) as n_new from (select distinct sha256(trim(regexp_replace(replace(lower(nfc_normalize(text)), 'ß', 'ss'), '\s+', ' ', 'g'))) as h from conversations) where h not in (select h from h)""",
-)
-def _(spark, sf_dir):
-    null = F.lit(None).cast("string")
-    have = table(spark, sf_dir, "documents").select(F.col("text").alias("content"), null.alias("scope_user"))
-    new = table(spark, sf_dir, "conversations").select(F.col("text").alias("content"), null.alias("scope_user"))
-    return capture.remembered(have, new).agg(F.count(F.lit(1)).alias("n_new"))
-
-
 @query("k21_k22_stamped", f"{M} select id, case when toxic = 1 then 'failed' when toxic = 0 then 'success' else outcome end as outcome from memories left join labels on id = doc_id")
 def _(spark, sf_dir):
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.when(F.col("toxic") == 1, "failed").otherwise("success").alias("value"))
@@ -105,13 +94,6 @@ def _(spark, sf_dir):
     return readers.hardened(memories(spark, sf_dir)).select("id", "trust_tier")
 
 
-@query("s18_sample", r"""with c as (select 0 as part, text as content from documents where length(text) >= 80 union all select 1, text from conversations where length(text) >= 200) select part::int as part, least(count(*), 100000)::bigint as n from c group by part""")
-def _(spark, sf_dir):
-    own = table(spark, sf_dir, "documents").select(F.col("text").alias("content"))
-    rest = table(spark, sf_dir, "conversations").select(F.col("text").alias("content"))
-    return readers.sample_sources(own, rest, 100_000).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(
     "t6_gap_sessions",
     f"""{O}, g as (select *, coalesce(epoch_us(created_at) - epoch_us(lag(created_at) over s) >= 7200000000, true)::int as brk from outcomes window s as (partition by session_id order by created_at)),

@@ -141,7 +141,7 @@ def sample_sources(memories: DataFrame, episodes: DataFrame, limit: int, seed: i
     """A seeded random sample of texts that are long enough: memories first, filled up with episodes."""
     own = memories.where(F.length("content") >= 80).select(F.lit(0).alias("part"), "content")
     rest = episodes.where(F.length("content") >= 200).select(F.lit(1).alias("part"), "content")
-    return own.unionByName(rest).orderBy("part", F.xxhash64("content", F.lit(seed)), "content").limit(limit)
+    return own.unionByName(rest).orderBy("part", F.md5(F.concat(F.lit(str(seed)), F.col("content"))), "content").limit(limit)
 
 
 def read_snapshot(spark: SparkSession, path: str) -> dict[str, DataFrame]:

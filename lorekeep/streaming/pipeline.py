@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import SparkSession
 
 MODES = ("off", "shadow", "dry_run", "active")
+COOLDOWN_SECONDS = 3600
 
 
 @dataclass
@@ -19,6 +20,13 @@ class Run:
     done: list[str] = field(default_factory=list)
     spent: int = 0
     failed: dict[str, str] = field(default_factory=dict)
+    failed_at: dict[str, float] = field(default_factory=dict)
+
+    def cooling(self, name: str, now: float) -> bool:
+        return name in self.failed and 0 < now - self.failed_at.get(name, now) < COOLDOWN_SECONDS
+
+    def state(self, name: str, now: float) -> str:
+        return "done" if name in self.done else "cooling" if self.cooling(name, now) else "failed" if name in self.failed else "left"
 
     def to_json(self) -> str:
         return json.dumps(self.__dict__)
@@ -31,16 +39,16 @@ class Run:
 Stage = Callable[[SparkSession, str], int]
 
 
-def run_stages(spark: SparkSession, stages: list[tuple[str, Stage]], run: Run, modes: dict[str, str] | None = None) -> Run:
+def run_stages(spark: SparkSession, stages: list[tuple[str, Stage]], run: Run, modes: dict[str, str] | None = None, now: float = 0.0) -> Run:
     """Run the stages that a run has not done, in order, until its budget is spent.
 
-    A stage gets the mode to write in and returns its cost. A failed stage is logged and tried again by the
-    next run; the others go on."""
+    A stage gets the mode to write in and returns its cost. A failed stage is logged and tried again by a
+    run after its cooldown (times are seconds, ``now`` is this run's); the others go on."""
     for name, stage in stages:
         mode = (modes or {}).get(name, "active")
         if mode not in MODES:
             raise ValueError(f"unknown mode {mode}")
-        if name in run.done or mode == "off":
+        if name in run.done or mode == "off" or run.cooling(name, now):
             continue
         if run.spent >= run.budget:
             break
@@ -50,4 +58,5 @@ def run_stages(spark: SparkSession, stages: list[tuple[str, Stage]], run: Run, m
             run.failed.pop(name, None)
         except Exception as error:  # noqa: BLE001 - any stage may fail without stopping the night
             run.failed[name] = str(error)[:200]
+            run.failed_at[name] = now
     return run
