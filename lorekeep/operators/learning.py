@@ -189,3 +189,19 @@ def surprising(rows: DataFrame, share: int = 10, cap: int = 5) -> DataFrame:
     n = F.count(F.lit(1)).over(Window.partitionBy("scope"))
     ranked = rows.withColumn("nth", F.row_number().over(order)).withColumn("n", n)
     return ranked.where((F.col("nth") <= F.greatest(F.lit(1), F.floor(F.col("n") / share))) & (F.col("nth") <= cap)).drop("n")
+
+
+SKILL_MEMBERS, SKILL_SUCCESSES, COVERED = 3, 2, 0.80
+
+
+def skill_clusters(clusters: DataFrame, members: DataFrame, skills: DataFrame) -> DataFrame:
+    """seed, its successes and ``is_gold`` of the clusters (seed, member) that can become a skill: enough members (id, success,
+    gold, v) and successes among them, and no existing skill (id, v) as near to the seed as ``COVERED``."""
+    own = members.select(F.col("id").alias("member"), "success", "gold")
+    found = clusters.join(own, "member").groupBy("seed").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("success").alias("n_success"), F.max("gold").alias("is_gold")
+    )
+    fine = found.where((F.col("n") >= SKILL_MEMBERS) & (F.col("n_success") >= SKILL_SUCCESSES))
+    seeds = members.join(fine.select(F.col("seed").alias("id")), "id", "left_semi").select(F.col("id").alias("query"), F.col("v").alias("q"))
+    near = nearest(skills.select((-1 - F.col("id")).alias("doc"), "v"), seeds, 1).where(F.col("sim") >= COVERED)
+    return fine.join(near.select(F.col("query").alias("seed")), "seed", "left_anti").select("seed", "n_success", "is_gold")

@@ -95,6 +95,37 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, *, key: str | None =
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def similar_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
+    """a < b, sim of all pairs of ``vectors`` (doc, v) whose cosine reaches the threshold: every two blocks meet in one
+    matrix product, and only pairs that reach it leave it. Vectors of other lengths are never similar."""
+    kind = dict(vectors.dtypes)["doc"]
+    blocks = _dealt(vectors.select(F.col("doc").alias("id"), "v", F.lit("").alias("key")), BATCH, "block")
+    other = blocks.select("width", F.col("block").alias("far"), F.col("block_ids").alias("far_ids"), F.col("block_v").alias("far_v"))
+    copies = blocks.withColumn("far", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)))
+    pairs = copies.join(other, ["width", "far"]).select("block_ids", "block_v", "far_ids", "far_v")
+
+    def close(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        def unit(rows):
+            flat = rows.values.values.to_numpy(zero_copy_only=False)[rows.values.offsets[0].as_py() : rows.values.offsets[-1].as_py()]
+            m = flat.reshape(len(rows.values), -1)
+            length = np.sqrt(np.einsum("ij,ij->i", m, m))
+            return m / np.where(length > 0, length, 1)[:, None]
+
+        for table in tables:
+            for i in range(table.num_rows):
+                ids, v, far_ids, far = (c[i] for c in table.columns)
+                ids, far_ids, v, far = np.asarray(ids.values), np.asarray(far_ids.values), unit(v), unit(far)
+                x, y = np.nonzero(v @ far.T >= threshold)
+                sim = np.einsum("ij,ij->i", v[x], far[y])
+                a, b = np.minimum(ids[x], far_ids[y]), np.maximum(ids[x], far_ids[y])
+                one = (a < b) if not np.array_equal(ids, far_ids) else (ids[x] < far_ids[y])
+                yield pa.RecordBatch.from_arrays([pa.array(c[one]) for c in (a, b, sim)], ["a", "b", "sim"])
+
+    return pairs.mapInArrow(close, f"a {kind}, b {kind}, sim double")
+
+
 def neighbour_pairs(knn: DataFrame, threshold: float) -> DataFrame:
     """Unordered pairs a < b of a neighbour table whose similarity reaches the threshold."""
     return (

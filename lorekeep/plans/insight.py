@@ -176,3 +176,23 @@ def _(spark, sf_dir):
 @query("s17_topic_views", "select unnest([lang, source]) as topic, count(*) as n from documents group by 1")
 def _(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.explode(F.array("lang", "source")).alias("topic")).groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("j22_similar_pairs", f"with {VECTORS} select a.id as a, b.id as b, round(list_cosine_similarity(a.e, b.e), 6) as sim from v a join v b on a.id < b.id where list_cosine_similarity(a.e, b.e) >= 0.4")
+def _(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc"), F.col("embedding").alias("v"))
+    return vectors.similar_pairs(rows, 0.4).withColumn("sim", F.round("sim", 6))
+
+
+@query(
+    "v6_skill_clusters",
+    f"""with {VECTORS}, m as (select id, id - id % 5 as seed, id % 3 = 0 as success, id % 11 = 0 as gold, e from v where id % 5 <> 4 or id % 2 = 0),
+    c as (select seed, count(*) as n, count(*) filter (where success) as n_success, bool_or(gold) as is_gold from m group by seed having count(*) >= 3 and count(*) filter (where success) >= 2)
+    select seed, n_success, is_gold from c where seed not in (select a.id from v a join v b on b.id % 25 = 1 where list_cosine_similarity(a.e, b.e) >= 0.8)""",
+)
+def _(spark, sf_dir):
+    """Clusters of five rows with at least two successes that no skill covers; every 25th row is a skill."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    members = rows.withColumns({"success": F.col("id") % 3 == 0, "gold": F.col("id") % 11 == 0})
+    clusters = rows.where("id % 5 <> 4 or id % 2 = 0").select((F.col("id") - F.col("id") % 5).alias("seed"), F.col("id").alias("member"))
+    return learning.skill_clusters(clusters, members, rows.where("id % 25 = 1"))
