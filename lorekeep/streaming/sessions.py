@@ -21,6 +21,7 @@ def closed_runs(rows: DataFrame, *, gap_s: int = GAP_SECONDS, max_turns: int = M
     """Closed runs of a stream with (session_id, created_at, outcome), in append mode."""
 
     def step(key: tuple, batches: Iterator, state: GroupState) -> Iterator:
+        import numpy as np
         import pandas as pd
 
         out = []
@@ -35,17 +36,24 @@ def closed_runs(rows: DataFrame, *, gap_s: int = GAP_SECONDS, max_turns: int = M
         if state.hasTimedOut:
             close()
         for rows in batches:
-            for row in rows.sort_values("created_at").itertuples():
-                at = row.created_at.timestamp()
-                if n and (at - end > gap_s or n >= max_turns):
-                    close()
-                if not n:
-                    start = at
-                end, n, last = max(at, end) if n else at, n + 1, row.outcome
-                if last in TERMINAL:
+            rows = rows.sort_values("created_at")
+            at, outcome = rows["created_at"].astype("datetime64[us]").astype("int64").to_numpy() / 1e6, rows["outcome"].to_numpy()
+            over = np.isin(outcome.astype(str), list(TERMINAL))
+            if n and len(at) and at[0] - end > gap_s:
+                close()
+            breaks = np.flatnonzero((np.diff(at) > gap_s) | over[:-1]) + 1
+            for first, stop in zip([0, *breaks], [*breaks, len(at)]):  # no gap and no terminal row inside
+                while first < stop:
+                    if n >= max_turns:
+                        close()
+                    taken = min(stop - first, max_turns - n)
+                    start = at[first] if not n else start
+                    end = max(at[first + taken - 1], end) if n else at[first + taken - 1]
+                    first, n, last = first + taken, n + taken, outcome[first + taken - 1]
+                if stop < len(at) or stop and over[stop - 1]:
                     close()
         if n:
-            state.update((start, end, n, last))
+            state.update((float(start), float(end), int(n), last))
             state.setTimeoutTimestamp(max(int((end + gap_s) * 1000), state.getCurrentWatermarkMs() + 1))
         elif state.exists:
             state.remove()
