@@ -2,7 +2,8 @@
 
 Integer vectors are dealt into blocks of about ``BLOCK`` vectors. A block's index holds one posting
 (vector, dimension, value) for each component that is not 0, dealt into segments by quantised impact, the
-power of two that bounds the value's size; inside a segment postings lie by dimension. A query processes
+power of two that bounds the value's size. Inside a segment postings lie in lists by dimension, or in a matrix
+where they fill at least ``DENSE`` of its cells. A query processes
 the segments by descending impact, and each adds what its postings give to the scores so far. After a
 segment the rest of a score is at most the product of the lengths of the query and of the vector's unread
 values (Cauchy-Schwarz), so every score has a lower and an upper bound. A query stops reading only when
@@ -31,6 +32,10 @@ from pyspark.sql import functions as F
 BLOCK = 4096
 BATCH = 512
 RESCORE = 256
+#: From this share of filled cells on a segment is a matrix.
+DENSE = 0.125
+#: Queries that read a segment together.
+TOGETHER = 64
 
 PAIRS = "batch long, nth long, n long, query_id long, vec_id long, score long"
 
@@ -42,6 +47,47 @@ def quantised(embedding: str, scale: int = 64):
     return F.when(fine, F.transform(e, lambda x: F.floor(x * scale).cast("long")))
 
 
+class Lists:
+    """A segment as posting lists, one for each dimension."""
+
+    def __init__(self, vector: np.ndarray, dimension: np.ndarray, weight: np.ndarray):
+        self.lists = [(int(dimension[x]), vector[x:y], weight[x:y, None]) for x, y in _runs(dimension)]
+        self.narrow = [(d, v, w.astype(np.float32)) for d, v, w in self.lists]
+
+    def add(self, scores: np.ndarray, by_dimension: np.ndarray, passed: np.ndarray | None) -> int:
+        """Add what the postings give to the scores, but for vectors that are ``passed``; the number of postings read."""
+        n_read = 0
+        for dimension, vector, weight in self.narrow if scores.dtype == np.float32 else self.lists:
+            row = by_dimension[dimension]
+            if not row.any():
+                continue
+            if passed is not None:
+                kept = np.flatnonzero(~passed[vector])
+                vector, weight = vector[kept], weight[kept]
+            scores[vector] += weight * row
+            n_read += len(vector)
+        return n_read
+
+
+class Matrix:
+    """A segment that fills much of its cells as a matrix of its postings, which costs less than lists then."""
+
+    def __init__(self, vector: np.ndarray, dimension: np.ndarray, weight: np.ndarray, shape: tuple[int, int]):
+        self.table = np.zeros(shape)
+        self.table[vector, dimension] = weight
+        self.narrow = self.table.astype(np.float32)
+        self.n = np.bincount(vector, minlength=shape[0])
+
+    def add(self, scores: np.ndarray, by_dimension: np.ndarray, passed: np.ndarray | None) -> int:
+        table = self.narrow if scores.dtype == np.float32 else self.table
+        by_dimension = by_dimension[: table.shape[1]]
+        if passed is None:
+            scores += table @ by_dimension
+            return int(self.n.sum())
+        scores[~passed] += table[~passed] @ by_dimension
+        return int(self.n[~passed].sum())
+
+
 class ImpactIndex:
     """The posting segments of one block, by descending quantised impact.
 
@@ -59,53 +105,80 @@ class ImpactIndex:
         self.starts = np.searchsorted(self.vector, np.arange(self.n + 1))
         impact = np.frexp(np.abs(self.value).astype(np.float64))[1]
         order = np.lexsort((self.dimension, -impact))
-        cut = np.flatnonzero(np.diff(impact[order], prepend=np.iinfo(np.int32).max, append=np.iinfo(np.int32).min))
-        self.segments, self.rest = [], []
         weight = self.value.astype(np.float64)
-        for a, b in zip(cut[:-1], cut[1:]):
+        width = int(self.dimension.max(initial=-1)) + 1
+        self.segments, self.rest = [], []
+        for a, b in _runs(impact[order]):
             own = order[a:b]
-            self.segments.append((self.vector[own], self.dimension[own], weight[own]))
+            if len(own) >= DENSE * self.n * width:
+                self.segments.append(Matrix(self.vector[own], self.dimension[own], weight[own], (self.n, width)))
+            else:
+                self.segments.append(Lists(self.vector[own], self.dimension[own], weight[own]))
             unread = order[b:]
             squares = np.bincount(self.vector[unread], weights=weight[unread] ** 2, minlength=self.n)
             self.rest.append(np.sqrt(squares) * (1 + 1e-12))
 
-    def candidates(self, query: np.ndarray, k: int, own: int = -1) -> tuple[np.ndarray, int]:
-        """The vectors that may be among the query's k best, and how many postings were read; ``own``: the
-        vector of which one copy is the query itself."""
-        scores = np.zeros(self.n)
-        alive = np.ones(self.n, dtype=bool)
-        if own >= 0 and self.copies[own] == 1:
-            alive[own] = False
-        length = float(np.sqrt((query.astype(np.float64) ** 2).sum())) * (1 + 1e-12)
-        by_dimension = query.astype(np.float64)
-        n_read, left = 0, int(alive.sum())
-        for (vector, dimension, weight), rest in zip(self.segments, self.rest):
-            if left <= max(k, RESCORE):
+    def candidates(self, queries: np.ndarray, k: int, own: list[int]) -> list[tuple[np.ndarray, int]]:
+        """For each query (a row) the vectors that may be among its k best, and how many postings were read for it;
+        ``own``: the vector of which one copy is the query itself, or -1."""
+        every = np.arange(self.n)
+        out = [(np.delete(every, at) if at >= 0 and self.copies[at] == 1 else every, 0) for at in own]
+        if self.n <= max(k, RESCORE):
+            return out
+        going = np.arange(len(queries))
+        length = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1)) * (1 + 1e-12)
+        most = queries.shape[1] * int(np.abs(queries).max(initial=0)) * int(np.abs(self.value).max(initial=0))
+        kind = np.float32 if most < 2**24 else np.float64  # sums of whole numbers are exact below that
+        by_dimension = np.ascontiguousarray(queries.T.astype(kind))
+        scores = np.zeros((self.n, len(queries)), dtype=kind)
+        passed = np.zeros(self.n, dtype=bool)  # ruled out for all queries that go on
+        for segment, rest in zip(self.segments, self.rest):
+            n_read = segment.add(scores, by_dimension, passed if 4 * np.count_nonzero(passed) > 3 * self.n else None)
+            for at in going:
+                out[at] = out[at][0], out[at][1] + n_read
+            last = segment is self.segments[-1]
+            if not last and (2 * rest.min() * length >= np.ptp(scores, axis=0)).all():
+                continue  # no bound can rule out any vector yet
+            slack = rest[:, None] * length[None, :]
+            low = scores - slack
+            for column, at in enumerate(going):
+                if own[at] >= 0 and self.copies[own[at]] == 1:
+                    low[own[at], column] = -np.inf
+            kth = np.partition(np.ascontiguousarray(low.T), self.n - k, axis=1)[:, self.n - k]
+            possible = scores + slack >= kth[None, :]
+            counts = possible.sum(axis=0)
+            done = (counts <= RESCORE) | last
+            for column in np.flatnonzero(done):
+                at = going[column]
+                members = np.flatnonzero(possible[:, column])
+                out[at] = members[members != own[at]] if own[at] >= 0 and self.copies[own[at]] == 1 else members, out[at][1]
+            if done.all():
                 break
-            if 4 * left < self.n:  # most vectors are ruled out: pass their postings over
-                kept = np.flatnonzero(alive[vector])
-                vector, dimension, weight = vector[kept], dimension[kept], weight[kept]
-            scores += np.bincount(vector, weights=by_dimension[dimension] * weight, minlength=self.n)
-            n_read += len(vector)
-            slack = length * rest
-            low = (scores - slack)[alive]
-            kth = np.partition(low, left - k)[left - k]
-            alive &= scores + slack >= kth
-            left = int(alive.sum())
-        return np.flatnonzero(alive), n_read
-
-    def search(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and exact scores of the k best rows, without one row that is the query itself."""
-        width = max(int(self.dimension.max(initial=-1)) + 1, len(query))
-        wide = np.zeros(width, dtype=np.int64)
-        wide[: len(query)] = query
-        own = self._own(query_id, query)
-        members, _ = self.candidates(wide, k, own)
+            left = ~done
+            going, length = going[left], length[left]
+            scores, by_dimension = np.ascontiguousarray(scores[:, left]), np.ascontiguousarray(by_dimension[:, left])
+            passed = ~possible[:, left].any(axis=1)
+        return out
+
+    def search_all(self, query_ids: np.ndarray, queries: list[np.ndarray], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query the ids and exact scores of its k best rows, without one row that is the query itself."""
+        width = max(int(self.dimension.max(initial=-1)) + 1, max(map(len, queries), default=0))
+        for first in range(0, len(queries), TOGETHER):
+            part = queries[first : first + TOGETHER]
+            wide = np.zeros((len(part), width), dtype=np.int64)
+            for row, query in zip(wide, part):
+                row[: len(query)] = query
+            own = [self._own(i, query) for i, query in zip(query_ids[first : first + TOGETHER], part)]
+            for row, at, (members, _) in zip(wide, own, self.candidates(wide, k, own)):
+                yield self._exact(row, members, at, k)
+
+    def _exact(self, wide: np.ndarray, members: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best of the members by their exact scores."""
         size = self.starts[members + 1] - self.starts[members]
-        at = _gathered(np.arange(len(self.value)), self.starts[members], size)
-        parts = np.append(self.value[at] * wide[self.dimension[at]], 0)
-        total = np.concatenate([[0], np.cumsum(parts)])
         stops = np.cumsum(size)
+        at = np.repeat(self.starts[members] - (stops - size), size) + np.arange(int(stops[-1]) if len(stops) else 0)
+        parts = self.value[at] * wide[self.dimension[at]]
+        total = np.concatenate([[0], np.cumsum(parts)])
         exact = total[stops] - total[stops - size]
         best = np.lexsort((self.ids[members], -exact))
         copies = self.copies[members[best]] - (members[best] == own)
@@ -122,9 +195,10 @@ class ImpactIndex:
         return -1
 
 
-def _gathered(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    stops = np.cumsum(sizes)
-    return pool[np.repeat(starts - (stops - sizes), sizes) + np.arange(int(stops[-1]) if len(stops) else 0)]
+def _runs(keys: np.ndarray) -> list[tuple[int, int]]:
+    """Where each run of equal keys begins and ends."""
+    cut = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+    return list(zip(cut, cut[1:])) if len(keys) else []
 
 
 def _blocks(vectors: DataFrame, n: int, name: str) -> DataFrame:
@@ -168,9 +242,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 20) -> DataFrame:
                     last = ids
                     index = ImpactIndex(ids.values.to_numpy(), copies.values.to_numpy(), *_flat(rows))
                 flat, ends = _flat(query_rows)
+                asked = [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
+                named = query_ids.values.to_numpy()
                 out = [
-                    (nth, int(n), int(query), *index.search(int(query), flat[ends[nth] : ends[nth + 1]], k))
-                    for nth, (query, n) in enumerate(zip(query_ids.values.to_numpy(), query_copies.values.to_numpy()))
+                    (nth, int(n), int(query), *best)
+                    for nth, (query, n, best) in enumerate(zip(named, query_copies.values.to_numpy(), index.search_all(named, asked, k)))
                 ]
                 found = [len(x[3]) for x in out]
                 columns = [np.full(sum(found), batch.as_py()), *(np.repeat([x[c] for x in out], found) for c in range(3))]
