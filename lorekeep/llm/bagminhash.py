@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, text_of, tidy, word_hashes, written
+from .common import discard, salted_join, text_of, tidy, word_hashes, written
 from .components import components
 
 SHINGLE = 5
@@ -341,7 +341,7 @@ def _link_counts(rows: DataFrame, elements: DataFrame, similarity: float) -> Dat
     classes = classes.withColumn("blocks", _blocks(F.col("m"), F.col("total")))
     packs = classes.where("blocks = 1").agg(_blocks(F.sum("m"), F.sum("total"))).first()[0] or 1
     pack = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(packs)).cast("string")).otherwise(F.concat(F.lit("root "), F.hex("root")))
-    named = rows.drop("n_elements").join(classes.where("m > 2"), "root").withColumn("pack", pack)
+    named = salted_join(rows.drop("n_elements"), classes.where("m > 2"), "root", "node").withColumn("pack", pack)
     full = _met(named, "pack").join(elements, "node")
 
     def work(group: pa.Table) -> pa.Table:
@@ -383,7 +383,7 @@ def near_duplicates(
     banded = nodes.select("node", "n_elements", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader"), F.sum("n_elements").alias("total"))
     shared = shared.where("n > 1").select("bucket", "n", "leader", _blocks(F.col("n"), F.col("total")).alias("blocks"))
-    buckets = written(banded.drop("n_elements").join(shared, "bucket"), "buckets")
+    buckets = written(salted_join(banded.drop("n_elements"), shared, "bucket", "node"), "buckets")
     wanted = buckets.select("node").distinct().join(nodes.select("node", "id", "text_hash"), "node")
     elements = written(_elements(docs, wanted, id_col, text_col).dropDuplicates(["node"]), "elements")
     large = buckets.where(F.col("n") > SMALL)
@@ -393,7 +393,7 @@ def near_duplicates(
     roots = components(found)
     named = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     split = named.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
-    of_blocks = _block_links(named.join(split.select("bucket"), "bucket"), elements, similarity)
+    of_blocks = _block_links(salted_join(named, split.select("bucket"), "bucket", "node"), elements, similarity)
     discard(roots, buckets)
     roots = components(found.unionByName(of_blocks))
     discard(of_pairs, of_leaders, of_blocks)
@@ -402,7 +402,7 @@ def near_duplicates(
     named = nodes.select("node", "id", "text_hash").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named_class = named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")).alias("head"))
     classes = written(
-        named.join(named_class, "root").select("node", "head").join(counts, "node", "left").na.fill(0, ["n_links"]), "classes"
+        salted_join(named, named_class, "root", "node").select("node", "head").join(counts, "node", "left").na.fill(0, ["n_links"]), "classes"
     )
     discard(roots, nodes, elements)
     own = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")

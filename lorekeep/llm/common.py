@@ -116,5 +116,17 @@ def sha256(column: Column) -> Column:
     return F.sha2(column, 256)
 
 
+#: A key's rows are dealt over so many tasks where they meet the one row of their key.
+SALTS = 16
+
+
+def salted_join(rows: DataFrame, table: DataFrame, key: str, by: str | Column, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table``, which has one row for each ``key``: the rows of a key are dealt by a hash of ``by`` over
+    ``SALTS`` tasks, and its row is copied to each, so a key with very many rows is no single task."""
+    copies = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    return dealt.join(copies, [key, "salt"], how).drop("salt")
+
+
 def shuffles(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -5,29 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, written
-
-#: A node's links are dealt over so many tasks where they meet its minimum.
-SALTS = 16
-
+from .common import discard, salted_join, written
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def _with_least(links: DataFrame, least: DataFrame) -> DataFrame:
-    """``links`` with the minimum ``m`` of their node ``a``, which is copied to each of the node's salts."""
-    salted = links.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
-    copies = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, ["a", "salt"]).drop("salt")
-
-
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``root`` (the smallest node of its component) for every node but the roots.
 
     ``edges`` has the columns ``a`` and ``b``. Each round hangs every node's neighbours on the smallest
     node it sees; the rounds grow with the logarithm of the longest path. Minima are aggregated before they
-    are shuffled, and a node's links meet its minimum in ``SALTS`` tasks, as a root has as many as its component."""
+    are shuffled, and a node's links meet its minimum in several tasks, as a root has as many as its component."""
     stars = written(
         edges.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).where("a <> b").distinct(), "edges"
     )
@@ -35,10 +24,10 @@ def components(edges: DataFrame) -> DataFrame:
     while state[0]:
         both = stars.select("a", "b").unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = _with_least(both, least).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = salted_join(both, least, "a", "b").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = written(large, "stars")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = _with_least(large, least).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = salted_join(large, least, "a", "b").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         after = written(small.unionByName(least.withColumnRenamed("m", "b")).where("a <> b").distinct(), "stars")
         discard(stars, large)
         stars, before, state = after, state, _state(after)

@@ -16,7 +16,7 @@ their kind.
 Only the terms of texts with base spans are stored, once for each distinct text. A term can only reach
 ``GENERALISE`` if it is rare enough for the most frequent entity of its text (``_reach``), so the others are dropped before they
 are shuffled: those in very many texts by a broadcast of at most ``MAX_FREQUENT`` terms, the rest where they meet
-their counts. Entities meet their counts in ``SALTS`` tasks each; all other groups are bounded by a text or by
+their counts. Entities meet their counts in several tasks each; all other groups are bounded by a text or by
 the share of texts that a term not broadcast can have. Each disclosing term, with its highest
 disclosure, then goes to all texts: broadcast up to ``MAX_TOLD`` terms, else joined with the terms of each
 text, which gives the same result. Terms are runs of letters and digits, lower-cased, outside base spans.
@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import discard, text_of, tidy, written
+from .common import discard, salted_join, text_of, tidy, written
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -46,7 +46,6 @@ REMOVE = 0.95
 MAX_TOLD = 300_000
 #: Terms of so many texts that no more of them exist are told apart by a broadcast.
 MAX_FREQUENT = 100_000
-SALTS = 16
 
 SPANS = "array<struct<kind:string,start:int,end:int,value:string>>"
 
@@ -170,12 +169,6 @@ def _reach(n_entity: Column, total: Column, least: float) -> Column:
     return n_entity * F.pow(total / n_entity, F.lit(1 - least)) * (1 + 1e-9) + 1e-6
 
 
-def _salted(rows: DataFrame, key: str, by: Column, table: DataFrame) -> DataFrame:
-    """``rows`` joined with ``table`` on ``key``, the rows of a key dealt over ``SALTS`` tasks."""
-    copies = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("salt", F.pmod(by, F.lit(SALTS)).cast("int")).join(copies, [key, "salt"]).drop("salt")
-
-
 def term_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """term and the number of rows that have it."""
     words = F.array_distinct(F.filter(F.split(F.lower(text_of(text_col)), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
@@ -197,7 +190,7 @@ def disclosures(
     texts = written(texts, "texts")
     named = texts.select("text_hash", "n", F.explode("entities").alias("entity"))
     sizes = named.groupBy("entity").agg(F.sum("n").alias("n_entity"))
-    named = written(_salted(named, "entity", F.col("text_hash"), sizes), "entities")
+    named = written(salted_join(named, sizes, "entity", "text_hash"), "entities")
     reach = named.groupBy("text_hash").agg(F.max(_reach(F.col("n_entity"), total, least)).alias("reach"))
     terms = texts.join(reach, "text_hash").select("text_hash", "reach", F.explode("terms").alias("term"))
     known = terms.join(F.broadcast(frequent), "term", "left").where(F.col("n_frequent").isNull() | (F.col("n_frequent") <= F.col("reach")))
@@ -327,8 +320,7 @@ def sanitise(
     else:
         revealing = written(_revealing(docs, told, frequent, text_col), "revealing")
         hashed = rows.withColumn("text_hash", F.xxhash64("text"))
-        copies = revealing.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # copies of a text are no hot key
-        joined = hashed.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(copies, ["text_hash", "salt"], "left")
+        joined = salted_join(hashed, revealing, "text_hash", "id", "left")  # copies of a text are no hot key
         done = _applied(joined.select("id", "kept", "text", "revealing"), None, texts)
         discard(counts, told)
     discard(found)
