@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, bpe, chat, decontam, quality, sanitise, tokencount, topk, toxicity, urlrules
+from . import bagminhash, bpe, chat, decontam, manifest, quality, resample, sanitise, simhash, tokencount, topk, toxicity, urlrules
 from .common import sha256, ship
 
 
@@ -160,6 +160,71 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+#: The CRC of a text is the exclusive or of what its length and each of its bytes, by distance from the end, add to it.
+OP12_SQL = """
+with recursive bytes as (
+  select v, list_reduce([v::ubigint] || range(8)::ubigint[], (c, k) -> case when c & 1 = 1 then xor(c >> 1, 3988292384::ubigint) else c >> 1 end) as c
+  from range(256) r(v)
+), zeros(p, v, c) as (
+  select 0, v, c from bytes
+  union all
+  select p + 1, z.v, xor(z.c >> 8, b.c) from zeros z join bytes b on b.v = z.c & 255 where p < (select max(octet_length(encode(f))) from found)
+), ends(p, c) as (
+  select 0, 4294967295::ubigint
+  union all
+  select p + 1, xor(e.c >> 8, b.c) from ends e join bytes b on b.v = e.c & 255 where p < (select max(octet_length(encode(f))) from found)
+), texts as (
+  select 0 as kind, row_number() over () as d, doc_id, coalesce(text, '') as text from documents
+  union all
+  select 1, row_number() over (), null, coalesce(text, '') from benchmark
+), words as (
+  select kind, d, doc_id, string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from texts
+), kept as (select kind, d, doc_id, list_filter(w, x -> x <> '') as w from words
+), found as (
+  select kind, d, list_aggregate(w[i:i + k], 'string_agg', ' ') as f
+  from kept, range(1, 4) lens(n), unnest(range(1, len(w) - n + 2)) places(i), (select 0) one(k0), lateral (select n - 1 as k) as reach
+), grams as (select f, count(*) as n from found group by f
+), hexed as (select f, hex(encode(f)) as h, octet_length(encode(f)) as size from grams
+), hashed as (
+  select f, xor(4294967295::ubigint, xor(any_value(e.c), bit_xor(z.c))) % 10000 as b
+  from hexed, unnest(range(0, size)) places(i)
+  join zeros z on z.p = size - 1 - i and z.v = ('0x' || substr(h, 2 * i + 1, 2))::int
+  join ends e on e.p = size
+  group by f
+), counted as (select kind, d, b, count(*) as n from found join hashed using (f) group by all
+), sums as (
+  select b, coalesce(sum(n) filter (where kind = 0), 0) as s, coalesce(sum(n) filter (where kind = 1), 0) as t from counted group by b
+), gains as (
+  select b, floor(1000 * ln((t + 1)::double * (select sum(s) + 10000 from sums) / ((s + 1)::double * (select sum(t) + 10000 from sums))))::bigint as gain from sums
+), weighed as (
+  select d, sum(n)::bigint as n_features, sum(n * gain)::bigint as weight from counted join gains using (b) where kind = 0 group by d
+), scored as (
+  select doc_id, d, len(w) as n_words, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint + 0.5) / 4294967296)))::bigint as score
+  from kept left join weighed using (d) where kind = 0
+), ranked as (
+  select *, case when n_words >= 20 then row_number() over (partition by n_words >= 20 order by score desc, doc_id) end as place from scored
+)
+select doc_id, n_features, weight, score, case when place <= (select 5 * count(*) // 100 from scored where n_words >= 20) then place end as rank from ranked
+"""
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    altered = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.lit(False))
+    found = manifest.manifest(docs, F.when(altered, manifest.leaf_of(text=F.translate("text", "\n", ""))).otherwise(manifest.leaf_of()))
+    return found.select("doc_id", "leaf", "subroot", "root", manifest.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", "verified")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -172,6 +237,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_rules": op8_url_rules,
         "op9_top_k": op9_top_k,
         "op10_decontaminate": op10_decontaminate,
+        "op11_simhash": op11_simhash,
+        "op12_resample": op12_resample,
+        "op13_manifest": op13_manifest,
     }
 
 
