@@ -170,33 +170,32 @@ def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The CRC of a text is the exclusive or of what its length and each of its bytes, by distance from the end, add to it.
 OP12_SQL = """
-with recursive bytes as (
-  select v, list_reduce([v::ubigint] || range(8)::ubigint[], (c, k) -> case when c & 1 = 1 then xor(c >> 1, 3988292384::ubigint) else c >> 1 end) as c
+with recursive texts as (
+  select 0 as kind, row_number() over () as d, doc_id, coalesce(text, '') as text from documents
+  union all
+  select 1, row_number() over (), null, coalesce(text, '') from benchmark
+), kept as (
+  select kind, d, doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as w from texts
+), found as (
+  select kind, d, array_to_string(w[i:i + n - 1], ' ') as f from kept, range(1, 4) lens(n), unnest(range(1, len(w) - n + 2)) places(i)
+), grams as (
+  select f, hex(encode(f)) as h, octet_length(encode(f)) as size from (select distinct f from found)
+), bytes as (
+  select v, list_reduce([v::ubigint] || range(8)::ubigint[], lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384::ubigint) else c >> 1 end) as c
   from range(256) r(v)
+), longest as (select max(size) as size from grams
 ), zeros(p, v, c) as (
   select 0, v, c from bytes
   union all
-  select p + 1, z.v, xor(z.c >> 8, b.c) from zeros z join bytes b on b.v = z.c & 255 where p < (select max(octet_length(encode(f))) from found)
+  select p + 1, z.v, xor(z.c >> 8, b.c) from zeros z join bytes b on b.v = z.c & 255 where p < (select size from longest)
 ), ends(p, c) as (
   select 0, 4294967295::ubigint
   union all
-  select p + 1, xor(e.c >> 8, b.c) from ends e join bytes b on b.v = e.c & 255 where p < (select max(octet_length(encode(f))) from found)
-), texts as (
-  select 0 as kind, row_number() over () as d, doc_id, coalesce(text, '') as text from documents
-  union all
-  select 1, row_number() over (), null, coalesce(text, '') from benchmark
-), words as (
-  select kind, d, doc_id, string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from texts
-), kept as (select kind, d, doc_id, list_filter(w, x -> x <> '') as w from words
-), found as (
-  select kind, d, list_aggregate(w[i:i + k], 'string_agg', ' ') as f
-  from kept, range(1, 4) lens(n), unnest(range(1, len(w) - n + 2)) places(i), (select 0) one(k0), lateral (select n - 1 as k) as reach
-), grams as (select f, count(*) as n from found group by f
-), hexed as (select f, hex(encode(f)) as h, octet_length(encode(f)) as size from grams
+  select p + 1, xor(e.c >> 8, b.c) from ends e join bytes b on b.v = e.c & 255 where p < (select size from longest)
 ), hashed as (
   select f, xor(4294967295::ubigint, xor(any_value(e.c), bit_xor(z.c))) % 10000 as b
-  from hexed, unnest(range(0, size)) places(i)
+  from grams, unnest(range(0, size)) places(i)
   join zeros z on z.p = size - 1 - i and z.v = ('0x' || substr(h, 2 * i + 1, 2))::int
   join ends e on e.p = size
   group by f
