@@ -224,6 +224,50 @@ def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "leaf", "subroot", "root", manifest.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", "verified")
 
 
+def _framed(*values: str) -> str:
+    return "sha256(concat(" + ", ".join(f"case when {v} is null then '-' else octet_length(encode({v}::varchar)) || ':' || {v} end" for v in values) + "))"
+
+
+#: The two trees level by level; a path has the nodes before and after at each level, those of the sources after those of the source.
+OP13_SQL = f"""
+with recursive marked as (
+  select *, xor(list_reduce([4294967295::bigint] || flatten(list_transform(range(1, length(doc_id::varchar) + 1), lambda i: [ascii(substr(doc_id::varchar, i, 1))::bigint] || repeat([-1::bigint], 8))),
+    lambda c, x: case when x >= 0 then xor(c, x) when c & 1 = 1 then xor(c >> 1, 3988292384::bigint) else c >> 1 end), 4294967295::bigint) % 2 = 0 as altered from documents
+), hashed as (
+  select row_number() over () as n, doc_id, source, {_framed("doc_id", "source", "lang", "n_chars", "text")} as leaf,
+    {_framed("doc_id", "source", "lang", "n_chars", "(case when coalesce(altered, false) then replace(text, chr(10), '') else text end)")} as found from marked
+), placed as (
+  select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as pos, count(*) over (partition by source) as cnt from hashed
+), tree(source, lvl, idx, digest, cnt) as (
+  select source, 0, pos, leaf, cnt from placed
+  union all
+  select source, lvl + 1, idx // 3, sha256(string_agg(digest, '' order by idx)), (max(cnt) + 2) // 3 from tree where cnt > 1 group by source, lvl, idx // 3
+), tops as (
+  select source, digest as subroot, lvl as depth, row_number() over (order by source nulls first) - 1 as pos, count(*) over () as cnt from tree where cnt = 1
+), upper(lvl, idx, digest, cnt) as (
+  select 0, pos, subroot, cnt from tops
+  union all
+  select lvl + 1, idx // 3, sha256(string_agg(digest, '' order by idx)), (max(cnt) + 2) // 3 from upper where cnt > 1 group by lvl, idx // 3
+), paths as materialized (
+  select n, t.lvl, coalesce(string_agg(digest, '' order by idx) filter (where idx < pos // (3 ** t.lvl)::bigint), '') as before,
+    coalesce(string_agg(digest, '' order by idx) filter (where idx > pos // (3 ** t.lvl)::bigint), '') as after
+  from placed p join tree t on t.source is not distinct from p.source and t.cnt > 1 and t.idx // 3 = p.pos // (3 ** (t.lvl + 1))::bigint group by n, t.lvl
+  union all
+  select n, o.depth + u.lvl, coalesce(string_agg(digest, '' order by idx) filter (where idx < o.pos // (3 ** u.lvl)::bigint), ''),
+    coalesce(string_agg(digest, '' order by idx) filter (where idx > o.pos // (3 ** u.lvl)::bigint), '')
+  from placed p join tops o on o.source is not distinct from p.source join upper u on u.cnt > 1 and u.idx // 3 = o.pos // (3 ** (u.lvl + 1))::bigint group by n, o.depth + u.lvl
+), folds(n, lvl, digest) as (
+  select n, 0, found from hashed
+  union all
+  select f.n, f.lvl + 1, sha256(before || digest || after) from folds f join paths p on p.n = f.n and p.lvl = f.lvl
+), ends as (select n, arg_max(digest, lvl) as folded_root from folds group by n
+), proofs as (select n, string_agg(before || after, '' order by lvl) as proof from paths group by n)
+select doc_id, leaf, subroot, (select digest from upper where cnt = 1) as root, sha256(coalesce(proof, '')) as proof_sha256, folded_root,
+  folded_root = (select digest from upper where cnt = 1) as verified
+from placed p join tops o on o.source is not distinct from p.source join ends using (n) left join proofs using (n)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -243,4 +287,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat": OP7_SQL, "op8_url_rules": OP8_SQL, "op9_top_k": OP9_SQL}
+    return {"op7_chat": OP7_SQL, "op8_url_rules": OP8_SQL, "op9_top_k": OP9_SQL, "op12_resample": OP12_SQL, "op13_manifest": OP13_SQL}
