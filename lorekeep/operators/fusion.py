@@ -117,27 +117,3 @@ def mmr(hits: DataFrame, k: int, lambda_: float = 0.7) -> DataFrame:
 
     kinds = dict(hits.dtypes)
     return hits.groupBy("query").applyInPandas(pick, f"query {kinds['query']}, key {kinds['key']}, position long")
-
-
-#: Fixed band of approved leg weights.
-WEIGHT_BAND = (0.1, 3.0)
-
-
-def approved_weights(proposed: dict) -> dict[str, float] | None:
-    """A weight for every leg, 1 where none is proposed; None if any named leg's weight is no number in the band."""
-    known = {leg: proposed[leg] for leg in LEG_ORDER if leg in proposed} if isinstance(proposed, dict) else {}
-    numbers = [v for v in known.values() if isinstance(v, (int, float)) and WEIGHT_BAND[0] <= v <= WEIGHT_BAND[1]]
-    if not proposed or len(numbers) < len(known):
-        return None
-    return dict.fromkeys(LEG_ORDER, 1.0) | {leg: float(v) for leg, v in known.items()}
-
-
-def weights_of_fit(fitted: dict[str, float]) -> dict[str, float] | None:
-    """Fitted weights as approved ones: the graph leg under its role's name, scaled to mean 1, kept in the band."""
-    own = {("graph" if leg == "ppr" else leg): float(v) for leg, v in fitted.items()}
-    own = {leg: v for leg, v in own.items() if leg in LEG_ORDER}
-    total = sum(own.values())
-    if not own or total <= 0:
-        return None
-    low, high = WEIGHT_BAND
-    return approved_weights({leg: min(high, max(low, round(v * len(own) / total, 4))) for leg, v in own.items()})

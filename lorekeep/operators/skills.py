@@ -27,25 +27,3 @@ def promoted(spark: SparkSession, skills: DataFrame, path: str) -> DataFrame:
 def merged_usage(old: DataFrame, new: DataFrame) -> DataFrame:
     """Usage records (name, uses, failures, last_used) of two writers: counts add up, the later use stands."""
     return old.unionByName(new).groupBy("name").agg(F.sum("uses").alias("uses"), F.sum("failures").alias("failures"), F.max("last_used").alias("last_used"))
-
-
-def read_config(text: str, defaults: dict) -> dict:
-    """Flat ``key: value`` lines over typed defaults; unknown keys and values of another type are passed over."""
-    out = dict(defaults)
-    for line in map(str.strip, text.splitlines()):
-        key, colon, value = line.partition(":")
-        key, value = key.strip(), value.strip().strip('"').strip("'")
-        if not colon or line.startswith("#") or key not in defaults:
-            continue
-        kind = type(defaults[key])
-        try:
-            out[key] = value.lower() in ("1", "true", "yes", "on") if kind is bool else kind(value)
-        except ValueError:
-            continue
-    return out
-
-
-def written_config(values: dict, defaults: dict) -> str:
-    """The lines that ``read_config`` reads back: every known key, with its value or its default."""
-    known = {k: values.get(k, d) for k, d in defaults.items()}
-    return "".join(f"{k}: {str(v).lower() if isinstance(v, bool) else v}\n" for k, v in known.items())

@@ -1,15 +1,16 @@
-"""Queries of caches, context blocks, answers, leases, proposals and evaluation."""
+"""Queries of caches, context blocks, answers, due checks, proposals and evaluation."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lorekeep.functions import scoring, text
-from lorekeep.operators import evalkit, fts, fusion, leases, predicates, proposals, recall
+from lorekeep.functions import text
+from lorekeep.operators import due, evalkit, fts, fusion, grams, predicates, proposals, recall
 from lorekeep.plans.functions import NORMAL_SQL
 from lorekeep.plans.registry import query
-from lorekeep.plans.retrieval import FIELDS, TOK, WEIGHTS, _docs, bm25_sql, CURRENT
-from lorekeep.session import table
+from lorekeep.plans.retrieval import CURRENT, FIELDS, TOK, _docs, _index, bm25_sql
+from lorekeep.session import stored, table
+from lorekeep.sources.indexes import built
 from lorekeep.sources.store import CURRENT_SQL, FACTS_SQL, MEMORIES_SQL, NOW_SQL, facts, memories, now
 
 ASKED = "case item_id % 4 when 0 then text when 1 then concat(' ', upper(text), '  ') when 2 then concat(text, ' extra') else concat(reverse(text), ' q') end"
@@ -85,16 +86,6 @@ def _(spark, sf_dir):
     return recall.recalled_block(rows, 120).withColumn("used", F.col("used").cast("long"))
 
 
-CONFIGS = [({}, None), ({"context_budget_tokens": 500}, None), ({"context_budget_tokens": 500}, 100), ({"lane1_tokens": -5, "lane2_tokens": 900}, None), ({"context_budget_tokens": "x", "lane1_tokens": "50"}, 70)]
-
-
-@query("r30_lane_budgets", "select * from (values (0, 800, 400, 400, false), (1, 500, 400, 100, true), (2, 500, 400, 400, false), (3, 800, 0, 800, true), (4, 800, 50, 400, false)) t(nth, total, lane1, lane2, clamped)")
-def _(spark, sf_dir):
-    made = [recall.budgets(c, used) for c, used in CONFIGS]
-    rows = [(i, m["context_budget_tokens"], m["lane1_tokens"], m["lane2_tokens"], m["clamped"]) for i, m in enumerate(made)]
-    return spark.createDataFrame(rows, "nth int, total int, lane1 int, lane2 int, clamped boolean")
-
-
 SAID = "case query % 3 when 0 then concat('It is ', query) when 1 then 'There is no record of that' else '' end"
 
 
@@ -156,49 +147,10 @@ def _(spark, sf_dir):
     return full.unionByName(rest.where("nth <= 6").select("source", "id", F.lit(None).cast("long").alias("n_chars"), F.lit(True).alias("neighbour")))
 
 
-ALL = frozenset({"onnxruntime", "tokenizers", "model2vec"})
-TIERS = [("full", ALL, 1.0), ("AUTO ", ALL, 8.0), ("auto", ALL, 0.5), ("auto", ALL, None), ("lite", ALL, 8.0), ("odd", frozenset(), 8.0), ("stub", ALL, 8.0), ("full", frozenset({"model2vec"}), 8.0), (None, frozenset({"tokenizers"}), 8.0)]
-
-
-@query("r38_tiers", "select unnest(range(9))::int as nth, unnest(['full', 'full', 'lite', 'full', 'lite', 'fts-only', 'stub', 'lite', 'fts-only']) as tier")
-def _(spark, sf_dir):
-    return spark.createDataFrame([(i, recall.tier(*t)) for i, t in enumerate(TIERS)], "nth int, tier string")
-
-
-@query(
-    "t16_leases",
-    """with recursive r as (select user_id as name, epoch(ts)::bigint as moment, event_id as id, event_type as holder, case when event_id % 7 = 0 then 'release' when event_id % 5 = 0 then 'renew' else 'acquire' end as op, row_number() over (partition by user_id order by epoch(ts)::bigint, event_id) as nth from events),
-    s as (select name, 0::bigint as nth, null::varchar as holder, null::bigint as stop, null::bigint as id, null::boolean as granted from (select distinct name from r)
-      union all select r.name, r.nth, case when op = 'acquire' and (s.holder is null or stop is null or stop < moment) then r.holder when op = 'release' and s.holder = r.holder then null else s.holder end,
-        case when op = 'acquire' and (s.holder is null or stop is null or stop < moment) or op = 'renew' and coalesce(s.holder = r.holder, false) then moment + 5000 when op = 'release' and coalesce(s.holder = r.holder, false) then null else stop end,
-        r.id, case when op = 'acquire' then s.holder is null or stop is null or stop < moment or s.holder = r.holder else coalesce(s.holder = r.holder, false) end
-      from s join r on r.name = s.name and r.nth = s.nth + 1)
-    select name, id, granted from s where nth > 0""",
-)
-def _(spark, sf_dir):
-    op = F.when(F.col("event_id") % 7 == 0, "release").when(F.col("event_id") % 5 == 0, "renew").otherwise("acquire")
-    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("name"), F.floor(F.unix_micros("ts") / 1000000).alias("at"), F.col("event_id").alias("id"), F.col("event_type").alias("holder"), op.alias("op"))
-    return leases.decided(rows, ttl=5000)
-
-
 @query("t17_due", "select user_id as name, max(ts) filter (where event_type = 'purchase') is null or max(ts) filter (where event_type = 'purchase') + interval 6 hour < timestamp '2024-01-15' as due from events group by 1")
 def _(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("name"), F.when(F.col("event_type") == "purchase", F.col("ts")).alias("finished_at"))
-    return leases.due(rows, F.lit("2024-01-15").cast("timestamp"))
-
-
-@query(
-    "t19_preempted_runs",
-    """with u as (select user_id as name, ts as moment, row_number() over (partition by user_id order by ts, event_id) as nth from events), s as (select user_id as name, max(ts) as stop from events where event_type = 'signup' group by 1)
-    select name, coalesce(min(nth) filter (where nth % 8 = 0 and moment >= stop), max(nth)) as done from u left join s using (name) group by name""",
-)
-def _(spark, sf_dir):
-    from pyspark.sql import Window
-
-    rows = table(spark, sf_dir, "events")
-    units = rows.select(F.col("user_id").alias("name"), F.col("ts").alias("at"), F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("nth"))
-    stop = rows.where("event_type = 'signup'").groupBy(F.col("user_id").alias("name")).agg(F.max("ts").alias("at"))
-    return leases.preempted_at(units, stop).withColumn("done", F.col("done").cast("long"))
+    return due.due(rows, F.lit("2024-01-15").cast("timestamp"))
 
 
 @query(
@@ -292,17 +244,6 @@ def _(spark, sf_dir):
     return proposals.written_cases(rows)
 
 
-PROPOSED = [{"vec": 0.5, "ppr": 2.0}, {"fts": 0.0}, {"vec": 9.0, "fts": 0.2}]
-
-
-@query("r12_r13_m4_m5_weights", "select * from (values (0, true, 1.0::double, 0.4::double, 1.6::double), (1, false, null, null, null), (2, true, 0.1::double, 1.9565::double, 1.0::double)) t(nth, fits, fts, vec, graph)")
-def _(spark, sf_dir):
-    """Fitted weights as approved ones: renamed, scaled to mean 1 and kept in the band, or refused as a whole."""
-    made = [fusion.weights_of_fit(p) for p in PROPOSED]
-    rows = [(i, m is not None, *((m[x] for x in ("fts", "vec", "graph")) if m else (None,) * 3)) for i, m in enumerate(made)]
-    return spark.createDataFrame(rows, "nth int, fits boolean, fts double, vec double, graph double")
-
-
 #: Gold of a query: current memories that hold the first forty characters of its text.
 EVAL_SQL = f"""{CURRENT}, q as (select item_id as query, unnest(list_distinct({TOK.format('text')})) as term from benchmark), {bm25_sql('words', 'docs', 'doc', {'content': 1.0})}, {bm25_sql('fields', 'docs', 'doc', FIELDS)},
   gold as materialized (select item_id as query, doc as key from benchmark join docs on contains(content, substr(text, 1, 40))), n_gold as (select query, count(*) as n from gold group by query),
@@ -312,17 +253,25 @@ EVAL_SQL = f"""{CURRENT}, q as (select item_id as query, unnest(list_distinct({T
 
 def _evaluated(spark, sf_dir):
     """Precision and reciprocal rank of two configurations against gold that the texts themselves give."""
-    docs, items = _docs(spark, sf_dir), table(spark, sf_dir, "benchmark")
+    items = table(spark, sf_dir, "benchmark")
     asked = items.select(F.col("item_id").alias("query"), F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("term"))
-    starts = items.select(F.col("item_id").alias("query"), F.substring("text", 1, 40).alias("start"))  # the stated query set
-    gold = docs.select(F.col("doc").alias("key"), "content").join(F.broadcast(starts), F.contains("content", F.col("start"))).select("query", "key")
+    gold = _gold(spark, sf_dir, items)
     out = {}
     for name, fields in (("words", {"content": 1.0}), ("fields", FIELDS)):
-        found = fts.top_k(fts.bm25(docs, asked, id_col="doc", fields=fields).withColumn("score", F.round("score", 6)), 5)
+        found = _index(spark, sf_dir, name, fields).search(asked, 5)
         out[name] = evalkit.per_query(found.withColumnRenamed("doc", "key"), gold, 5)
     return out
 
 
+def _gold(spark, sf_dir, items):
+    """query and key of the current memories that hold the first forty characters of an item, found by their grams and then compared."""
+    rows = _docs(spark, sf_dir).select("doc", F.col("content").alias("text"))
+    index = built(spark, "grams", [rows], lambda path: grams.GramIndex(spark, path).create(rows))
+    starts = items.select(F.col("item_id").alias("query"), F.substring("text", 1, 40).alias("start"), F.lower(F.substring("text", 1, 40)).alias("string"))
+    hits = starts.join(index.find(rows, starts.select("string").distinct()), "string").join(rows, "doc")
+    return stored(hits.where(F.contains("text", F.col("start"))).select("query", F.col("doc").alias("key")))
+
+
 @query("g20_v35_m14_evaluation", f"with {EVAL_SQL} select config, round(avg(p_at_k), 6)::double as p_at_k, round(avg(rr), 6)::double as mrr, count(*) as n, null::varchar as skipped from scores group by config union all select 'late interaction', null, null, 0, 'no reranker for this tier'")
 def _(spark, sf_dir):
     scores, out = _evaluated(spark, sf_dir), None

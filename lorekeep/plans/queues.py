@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lorekeep.functions import text
 from lorekeep.operators import cdc, chains, learning, predicates, queues, skills, vectors
 from lorekeep.plans.registry import query
 from lorekeep.session import scratch, table
 from lorekeep.sources import readers
-from lorekeep.sources.store import CURRENT_SQL, FACTS_SQL, MEMORIES_SQL, NOW_SQL, facts, memories, now
-from lorekeep.streaming.pipeline import Run, run_stages
+from lorekeep.sources.store import CURRENT_SQL, FACTS_SQL, MEMORIES_SQL, facts, memories, now
 
 M = f"with {MEMORIES_SQL}"
 
@@ -78,23 +76,6 @@ def _(spark, sf_dir):
     return counts.join(F.broadcast(again.agg(F.count(F.lit(1)).alias("n_again"))))  # one row each
 
 
-@query("t18_t20_m16_staged_run", "select * from (values (1, 'count', 'done', 'active'), (1, 'fail', 'failed', 'active'), (1, 'shadowed', 'done', 'shadow'), (1, 'skipped', 'left', 'off'), (1, 'late', 'left', 'active'), (2, 'count', 'done', 'active'), (2, 'fail', 'cooling', 'active'), (2, 'shadowed', 'done', 'shadow'), (2, 'skipped', 'left', 'off'), (2, 'late', 'done', 'active')) t(run, stage, state, mode)")
-def _(spark, sf_dir):
-    """Two nights of one run: a budget ends the first, the second goes on where it stopped and lets a failed stage cool down."""
-    def boom(spark, mode):
-        raise RuntimeError("no")
-
-    rows = table(spark, sf_dir, "region")
-    stages = [("count", lambda s, m: rows.count()), ("fail", boom), ("shadowed", lambda s, m: 1), ("skipped", lambda s, m: 1), ("late", lambda s, m: 1)]
-    modes = {"shadowed": "shadow", "skipped": "off"}
-    run, out = Run(budget=6), []
-    for night, at in ((1, 0.0), (2, 1800.0)):
-        run = run_stages(spark, stages, Run.from_json(run.to_json()), modes, now=at)
-        run.budget = 100
-        out += [(night, n, run.state(n, at), modes.get(n, "active")) for n, _ in stages]
-    return spark.createDataFrame(out, "run int, stage string, state string, mode string")
-
-
 PARENT = "case when doc_id = 0 then null when doc_id % 97 = 0 then doc_id + 1 when doc_id % 97 = 1 then doc_id - 1 else doc_id // 2 end"
 
 
@@ -224,13 +205,6 @@ def _(spark, sf_dir):
 CONFIG = {"mode": "auto", "lane1_tokens": 400, "sync": False, "share": 0.5}
 
 
-@query("m19_config", "select * from (values ('mode', 'full'), ('lane1_tokens', '300'), ('sync', 'true'), ('share', '0.5')) t(key, value)")
-def _(spark, sf_dir):
-    read = skills.read_config("# flat\nmode: 'full'\nlane1_tokens: 300\nsync: Yes\nshare: half\nunknown: 1\nno pair", CONFIG)
-    back = skills.read_config(skills.written_config(read, CONFIG), CONFIG)
-    return spark.createDataFrame([(k, str(v).lower() if isinstance(v, bool) else str(v)) for k, v in back.items()], "key string, value string")
-
-
 @query("k20_remembered", r"""with h as (select distinct trim(regexp_replace(replace(lower(nfc_normalize(text)), 'ß', 'ss'), '\s+', ' ', 'g')) as t from documents), c as (select distinct sha256(trim(regexp_replace(replace(lower(nfc_normalize(text)), 'ß', 'ss'), '\s+', ' ', 'g'))) as h from conversations)
   select h as content_hash from c where h not in (select sha256(t) from h)""")
 def _(spark, sf_dir):

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lorekeep.functions import scoring, text
-from lorekeep.operators import fts, fusion, graph, predicates, sessions, vectors
+from lorekeep.operators import fts, fusion, graph, grams, predicates, sessions, vectors
+from lorekeep.operators.inverted import InvertedIndex
 from lorekeep.operators.ranking import numbered
 from lorekeep.plans import registry
 from lorekeep.plans.registry import query
-from lorekeep.session import table
+from lorekeep.session import scratch, stored, table
+from lorekeep.sources.indexes import built
 from lorekeep.sources.store import CURRENT_SQL, FACTS_SQL, MEMORIES_SQL, NOW_SQL, facts, memories, now
 
 K = 10
@@ -48,8 +50,15 @@ def _queries(spark, sf_dir):
     return items.select(F.col("item_id").alias("query"), F.explode(words).alias("term"))
 
 
-def _bm25(spark, sf_dir):
-    return fts.bm25(_docs(spark, sf_dir), _queries(spark, sf_dir), id_col="doc", fields=FIELDS)
+def _index(spark, sf_dir, name="fields", fields=FIELDS):
+    """The stored index of the current memories over some fields, built by the first search of the data."""
+    docs = _docs(spark, sf_dir)
+    return built(spark, f"memories {name}", [docs], lambda path: InvertedIndex(spark, path, "doc", fields).create(docs))
+
+
+def _turn_index(spark, sf_dir):
+    turns = _turns(spark, sf_dir)
+    return built(spark, "turns", [turns], lambda path: InvertedIndex(spark, path, "conv_id", EPISODE_FIELDS).create(turns))
 
 
 @registry.flagship
@@ -59,17 +68,37 @@ def _bm25(spark, sf_dir):
     select query, doc, score, rank from ranked where rank <= {K}""",
 )
 def bm25_top_k(spark, sf_dir):
-    """The best current documents for each text query, over weighted fields."""
-    scored = _bm25(spark, sf_dir).withColumn("score", F.round("score", 6))
-    return fts.top_k(scored, K).select("query", "doc", "score", "rank")
+    """The best current documents for each text query, over weighted fields, from the stored index."""
+    return _index(spark, sf_dir).search(_queries(spark, sf_dir), K).select("query", "doc", "score", "rank")
+
+
+SUBSTRINGS = f"""{CURRENT}, {QUERIES}, held as (select query, doc, count(*) as hits from docs, q where contains(lower(content), term) group by all),
+  sized as (select query, count(*) as n from q group by query)"""
+
+
+@query("r5_substring_leg", f"with {SUBSTRINGS} select query, doc, round(hits / n::double, 9) as score from held join sized using (query)")
+def _(spark, sf_dir):
+    """The share of each query's words that a memory holds as substrings, by the stored index of grams."""
+    rows = _docs(spark, sf_dir).select("doc", F.col("content").alias("text"))
+    index = built(spark, "grams", [rows], lambda path: grams.GramIndex(spark, path).create(rows))
+    return grams.matches(index, rows, _queries(spark, sf_dir)).withColumn("score", F.round("score", 9))
+
+
+#: Strings with characters that a pattern would take for more than they are, and short ones.
+ODD_STRINGS = "['li%', '_b', 'cense', 'ent', 'zzzz', '\\', 'schaft', 'a']"
 
 
 @query(
-    "r5_substring_leg",
-    f"with {CURRENT} select doc, ((contains(lower(content), 'tion')::int + contains(lower(content), 'schaft')::int + contains(lower(content), 'license')::int) / 3.0)::double as score from docs where score > 0",
+    "p12_j26_literal_substrings",
+    f"with {CURRENT}, s as (select distinct unnest(list_concat({ODD_STRINGS}, (select list(lower(p_name)) from part where p_partkey % 50 = 0))) as string) select string, doc from docs, s where contains(lower(content), string)",
 )
 def _(spark, sf_dir):
-    return fts.substring_match(_docs(spark, sf_dir), ["tion", "schaft", "license"], id_col="doc", text_col="content")
+    """Literal substrings: what a pattern escapes is looked for as it stands."""
+    rows = _docs(spark, sf_dir).select("doc", F.col("content").alias("text"))
+    index = built(spark, "grams", [rows], lambda path: grams.GramIndex(spark, path).create(rows))
+    fixed = spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in ("li%", "_b", "cense", "ent", "zzzz", "\\", "schaft", "a")])).alias("string"))
+    named = table(spark, sf_dir, "part").where("p_partkey % 50 = 0").select(F.lower("p_name").alias("string"))
+    return index.find(rows, fixed.unionByName(named).distinct())
 
 
 VEC = """v as (select vec_id, embedding::double[] as e, label from embeddings), knn as (
@@ -288,21 +317,22 @@ def _facts_leg(spark, sf_dir, docs):
     """Current facts whose subject or object holds a word of the query, for the memory each is an index of."""
     from lorekeep.operators.temporal import current_facts
 
-    asked = _queries(spark, sf_dir).groupBy("query").agg(F.collect_set("term").alias("terms"))  # the stated query set
     fresh = F.greatest(F.lit(0.3), F.pow(F.lit(0.5), scoring.age_days(F.col("valid_from"), now()) / 90))
     own = current_facts(facts(spark, sf_dir)).withColumn("strength", F.col("confidence") * fresh)
-    own = own.join(docs.select(F.col("doc").alias("fact_id")), "fact_id")
-    said = F.concat_ws("\n", F.lower("subject"), F.lower("object"))
-    hit = own.select(F.col("fact_id").alias("doc"), "strength", said.alias("said")).join(
-        F.broadcast(asked), F.exists("terms", lambda t: F.contains(F.col("said"), t))
-    )
-    return hit.groupBy("query", "doc").agg(F.max("strength").alias("score"))
+    own = own.join(docs.select(F.col("doc").alias("fact_id")), "fact_id").select(F.col("fact_id").alias("doc"), "strength", F.concat_ws("\n", "subject", "object").alias("text"))
+    hit = grams.held(own.select("doc", "text"), _queries(spark, sf_dir))
+    return hit.join(own.select("doc", "strength"), "doc").groupBy("query", "doc").agg(F.max("strength").alias("score"))
 
 
-def _graph_leg(docs, seeds):
-    """PageRank from the memories of the other legs, over the entities that they and their neighbours mention."""
+def _mention_rows(spark, sf_dir):
+    """memory and entity of the current memories, stored by the first search of the data."""
+    docs = _docs(spark, sf_dir)
     named = F.array_distinct(F.regexp_extract_all("content", F.lit(ENTITY), F.lit(0)))
-    mentions = graph.first_mentions(docs.select(F.col("doc").alias("memory"), F.explode(named).alias("entity")))
+    return built(spark, "mentions", [docs], lambda _: stored(graph.first_mentions(docs.select(F.col("doc").alias("memory"), F.explode(named).alias("entity")))))
+
+
+def _graph_leg(mentions, seeds):
+    """PageRank from the memories of the other legs, over the entities that they and their neighbours mention."""
     reached = seeds.join(mentions, seeds.node == mentions.memory).select("query", "entity").distinct()
     ranked = graph.mention_pagerank(reached.join(mentions, "entity"), seeds)
     return ranked.select("query", F.col("node").alias("doc"), F.round("score", 9).alias("score"))
@@ -311,13 +341,13 @@ def _graph_leg(docs, seeds):
 def _legs(spark, sf_dir):
     """The ranked legs of memories (fts, vec, graph, facts) and of episodes (fts)."""
     docs, asked = _docs(spark, sf_dir), _queries(spark, sf_dir).select("query").distinct()
-    words = _best(_bm25(spark, sf_dir))
-    episodes = _best(fts.bm25(_turns(spark, sf_dir), _queries(spark, sf_dir), id_col="conv_id", fields=EPISODE_FIELDS))
+    words = _index(spark, sf_dir).search(_queries(spark, sf_dir), LEG)
+    episodes = _turn_index(spark, sf_dir).search(_queries(spark, sf_dir), LEG)
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc"), F.col("embedding").alias("v"))
     current = rows.join(docs.select("doc"), "doc", "left_semi")
     near = vectors.nearest(current, rows.withColumnsRenamed({"doc": "query", "v": "q"}).join(asked, "query", "left_semi"), LEG)
     seeds = words.select("query", F.col("doc").alias("node")).union(near.select("query", "doc")).distinct()
-    linked, told = fts.top_k(_graph_leg(docs, seeds), LEG), _best(_facts_leg(spark, sf_dir, docs))
+    linked, told = fts.top_k(_graph_leg(_mention_rows(spark, sf_dir), seeds), LEG), _best(_facts_leg(spark, sf_dir, docs))
     return [_keyed(words, "m", "fts"), _keyed(episodes, "e", "fts"), _keyed(near, "m", "vec"), _keyed(linked, "m", "graph"), _keyed(told, "m", "facts")]
 
 
@@ -425,3 +455,59 @@ def _(spark, sf_dir):
     best = bm25_top_k(spark, sf_dir).join(_docs(spark, sf_dir).select("doc", "content"), "doc")
     kept = sessions.budget_prefix(best, ["query"], ["rank"], text.approx_tokens(F.col("content")), 3000)
     return kept.select("query", "doc", F.col("used").cast("long").alias("used"))
+
+
+#: What an index holds after its changes: it begins with some memories in old words, gets the new ones of some ids and ids that it had not, and loses others.
+OLD = "case when id % 7 = 0 then concat('alte fassung ', reverse(content)) else content end"
+UPKEEP = f"{CURRENT.replace(', docs as (', ', docs as (select * from (', 1)} where doc % 13 <> 0)"
+
+
+def _kept_up(spark, sf_dir):
+    """An index created over old texts and then changed in three batches; each batch is sent twice."""
+    rows = memories(spark, sf_dir).where(predicates.current_truth(now()))
+    old = rows.where("id % 10 <> 3").withColumn("content", F.expr(OLD))
+    index = InvertedIndex(spark, scratch(spark), "id", FIELDS).create(old)
+    for _ in range(2):
+        index.upsert(rows.where("id % 7 = 0"), 1)
+        index.upsert(rows.where("id % 10 = 3"), 2)
+        index.delete(rows.where("id % 13 = 0").select("id"), 3)
+    return index, rows
+
+
+@query(
+    "r1_r3_index_upkeep",
+    f"""with {UPKEEP}, {QUERIES}, {bm25_sql('bm25', 'docs', 'doc', FIELDS)}, ranked as (select query, doc, round(score, 6) as score, row_number() over (partition by query order by round(score, 6) desc, doc)::int as rank from bm25)
+    select compacted, query, doc, score, rank from ranked, (values (false), (true)) c(compacted) where rank <= {K}""",
+)
+def _(spark, sf_dir):
+    """Searches of an index after inserts, updates and deletes, before and after what stands is written as one segment."""
+    index, _ = _kept_up(spark, sf_dir)
+    before = index.search(_queries(spark, sf_dir), K)
+    index.compact(4)
+    after = index.search(_queries(spark, sf_dir), K)
+    return before.withColumn("compacted", F.lit(False)).unionByName(after.withColumn("compacted", F.lit(True))).select("compacted", "query", "doc", "score", "rank")
+
+
+@query("j1_postings", f"with {CURRENT}, {QUERIES}, {bm25_sql('bm25', 'docs', 'doc', FIELDS)} select doc, term, round(tf, 6) as tf, round(dl, 6) as dl from bm25_tf")
+def _(spark, sf_dir):
+    """The postings of the terms of the stated queries, met with their documents' lengths."""
+    rows = _index(spark, sf_dir).standing(_queries(spark, sf_dir))
+    each = rows.select("term", "block", F.explode(F.arrays_zip("places", "tf", "dl")).alias("e"))
+    width = _index(spark, sf_dir).width
+    return each.select((F.col("block") * width + F.col("e.places")).alias("doc"), "term", F.round("e.tf", 6).alias("tf"), F.round("e.dl", 6).alias("dl"))
+
+
+LENGTH_SQL = " + ".join(f"{w} * len({TOK.format(f"coalesce({f}, '')")})" for f, w in FIELDS.items())
+
+
+@query(
+    "m9_index_drift",
+    f"""with {CURRENT}, was as (select doc, {LENGTH_SQL.replace('coalesce(content', "coalesce((case when doc % 7 = 0 then concat('alte fassung ', reverse(content)) else content end)")} as dl from docs where doc % 10 <> 3),
+    is_ as (select doc, {LENGTH_SQL} as dl from docs where doc % 17 <> 5)
+    select coalesce(was.doc, is_.doc) as doc, case when was.doc is null then 'missing' when is_.doc is null then 'left' else 'stale' end as drift from was full join is_ on was.doc = is_.doc where was.dl is distinct from is_.dl""",
+)
+def _(spark, sf_dir):
+    """What a health check of the index finds: documents it lacks, has too many of, or has in other words."""
+    rows = memories(spark, sf_dir).where(predicates.current_truth(now()))
+    index = InvertedIndex(spark, scratch(spark), "id", FIELDS).create(rows.where("id % 10 <> 3").withColumn("content", F.expr(OLD)))
+    return index.drift(rows.where("id % 17 <> 5"))

@@ -29,16 +29,6 @@ def _(spark, sf_dir):
     return rows.select("profile", "doc_id", F.length("text").cast("long").alias("n"), F.col("author").isNull().alias("no_author"))
 
 
-@query("s5_m10_link_checks", "select * from (values ('self', 'a store can''t link to itself'), ('missing', 'no store there'), ('newer', 'its schema is newer'), ('fine', '')) t(target, reason)")
-def _(spark, sf_dir):
-    own, made = sf_dir.rstrip("/"), {}
-    for name, version in (("newer", 9), ("fine", 1)):
-        made[name] = scratch(spark)
-        spark.createDataFrame([(version,)], "schema_version long").write.json(f"{made[name]}/manifest.json")
-    targets = {"self": own, "missing": f"{own}/none", **made}
-    return spark.createDataFrame([(k, readers.validate_link(spark, own, t, 1)) for k, t in targets.items()], "target string, reason string")
-
-
 LOG = StructType([StructField("conv_id", LongType()), StructField("turn", LongType()), StructField("text", StringType()), StructField("started_at", DoubleType()), StructField("active", BooleanType())])
 
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lorekeep.functions import text
-from lorekeep.operators import capture, fts, predicates, sessions
+from lorekeep.operators import capture, predicates, sessions
 from lorekeep.plans.registry import query
-from lorekeep.plans.retrieval import EPISODE_FIELDS, QUERIES, TURNS_SQL, _queries, _turns, bm25_sql
+from lorekeep.plans.retrieval import EPISODE_FIELDS, QUERIES, TURNS_SQL, _queries, _turn_index, bm25_sql
 from lorekeep.session import table
 from lorekeep.sources import readers
 from lorekeep.sources.store import MEMORIES_SQL, OUTCOMES_SQL, memories, outcomes
@@ -22,8 +22,7 @@ O = f"with {OUTCOMES_SQL}"  # noqa: E741
     select query, doc, round(score, 6) as score from found qualify row_number() over (partition by query order by round(score, 6) desc, doc) <= 5""",
 )
 def _(spark, sf_dir):
-    found = fts.bm25(_turns(spark, sf_dir), _queries(spark, sf_dir), id_col="conv_id", fields=EPISODE_FIELDS)
-    return fts.top_k(found.withColumn("score", F.round("score", 6)), 5).select("query", "doc", "score")
+    return _turn_index(spark, sf_dir).search(_queries(spark, sf_dir), 5).select("query", "doc", "score")
 
 
 @query(

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lorekeep.operators import chains, leases, learning, queues, recall, skills, sync, vectors
+from lorekeep.operators import chains, learning, queues, recall, skills, sync, vectors
 from lorekeep.operators.ranking import numbered
 
 
@@ -49,13 +49,6 @@ def test_roots_of_long_chains_cycles_and_lost_parents(spark):
     assert chains.roots(df.where("false")).count() == 0
 
 
-def test_leases_are_taken_renewed_and_left(spark):
-    asked = [("a", 0, 1, "x", "acquire"), ("a", 5, 2, "y", "acquire"), ("a", 9, 3, "x", "renew"), ("a", 125, 4, "y", "acquire"), ("a", 126, 5, "x", "release"), ("a", 127, 6, "y", "acquire"), ("a", 300, 7, "x", "renew"), ("a", 400, 8, "x", "acquire")]
-    df = spark.createDataFrame(asked, "name string, at long, id long, holder string, op string")
-    got = {r.id: r.granted for r in leases.decided(df).collect()}
-    assert got == {1: True, 2: False, 3: True, 4: False, 5: True, 6: True, 7: False, 8: True}
-
-
 def test_envelopes_open_only_with_their_key_and_namespace(spark):
     key, other = b"k" * 16, b"x" * 16
     df = spark.createDataFrame([("n", "secret"), ("n", None)], "namespace string, text string")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lorekeep.functions import text
 from lorekeep.operators import fusion, graph, predicates, sessions, temporal, vectors
 from lorekeep.sources import readers, writers
-from lorekeep.streaming import pipeline, sessions as streams
+from lorekeep.streaming import sessions as streams
 
 
 def test_pagerank_matches_power_iteration(spark):
@@ -110,26 +110,6 @@ def test_stream_closes_runs_by_gap_and_outcome(spark, tmp_path):
     assert got == [("s", 1, "verified"), ("s", 2, "open"), ("t", 1, "failed"), ("z", 1, "verified")]
 
 
-def test_pipeline_resumes_after_failure(spark):
-    calls = []
-
-    def good(spark, mode):
-        calls.append(("good", mode))
-        return 1
-
-    def bad(spark, mode):
-        if "bad" not in dict(calls):
-            calls.append(("bad", mode))
-            raise ValueError("no")
-        return 1
-
-    stages = [("good", good), ("bad", bad), ("off", good)]
-    run = pipeline.run_stages(spark, stages, pipeline.Run(10), {"off": "off"})
-    assert run.done == ["good"] and "bad" in run.failed
-    run = pipeline.run_stages(spark, stages, pipeline.Run.from_json(run.to_json()), {"off": "off"})
-    assert run.done == ["good", "bad"] and not run.failed
-
-
 @pytest.mark.parametrize("at,expect", [("1997-01-01", [1]), ("1997-06-01", [2])])
 def test_as_of_is_half_open(spark, at, expect):
     rows = [(1, "s", "p", "1997-01-01"), (2, "s", "p", "1997-06-01")]
@@ -138,12 +118,6 @@ def test_as_of_is_half_open(spark, at, expect):
     assert [r.fact_id for r in spans.where(predicates.as_of(F.to_timestamp(F.lit(at)))).collect()] == expect
 
 
-def test_leg_weights_are_checked_and_scaled():
-    assert fusion.approved_weights({"fts": 2, "odd": "x"}) == {"fts": 2.0, "vec": 1.0, "graph": 1.0, "facts": 1.0}
-    assert fusion.approved_weights({"fts": 9}) is None and fusion.approved_weights({"vec": "a"}) is None and fusion.approved_weights({}) is None
-    assert fusion.weights_of_fit({"fts": 0.2, "ppr": 0.6}) == {"fts": 0.5, "vec": 1.0, "graph": 1.5, "facts": 1.0}
-
-
 def test_small_parsers(spark):
     one = spark.range(1)
     get = lambda c: one.select(c.alias("x")).first().x
