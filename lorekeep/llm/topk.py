@@ -17,7 +17,9 @@ so rows that repeat id and vector count as often as they stand. They are stored
 
 Defined cases: vectors that are null, empty, or hold null or non-finite components, and rows without an
 id, take no part. Of vectors of different lengths the missing components count as 0. Equal scores go to
-the smaller id. Only the named columns are read. Scores must stay below 2**53 in size, which is checked.
+the smaller id. Only the named columns are read. Components of any size take part (those beyond 64 bits as the
+nearest 64-bit number): where sums of a block may pass 2**53 its bounds allow for their rounding, and the rescoring
+adds unbounded integers. Ranks follow the exact scores; ``score`` is the nearest 64-bit number.
 """
 
 from __future__ import annotations
@@ -37,7 +39,10 @@ DENSE = 0.125
 #: Queries that read a segment together.
 TOGETHER = 64
 
-PAIRS = "batch long, nth long, n long, query_id long, vec_id long, score long"
+PAIRS = "batch long, nth long, n long, query_id long, vec_id long, score long, high long, middle long, low long"
+#: Sums of whole numbers below it are exact in 64-bit floats, and in 32-bit ones below the other.
+EXACT, NARROW = 2.0**53, 2.0**24
+_HALF = 48
 
 
 def quantised(embedding: str, scale: int = 64):
@@ -103,9 +108,11 @@ class ImpactIndex:
         has = np.flatnonzero(flat)
         self.vector, self.dimension, self.value = vector[has], dimension[has], flat[has]  # by vector, for rescoring
         self.starts = np.searchsorted(self.vector, np.arange(self.n + 1))
-        impact = np.frexp(np.abs(self.value).astype(np.float64))[1]
-        order = np.lexsort((self.dimension, -impact))
         weight = self.value.astype(np.float64)
+        impact = np.frexp(np.abs(weight))[1]
+        order = np.lexsort((self.dimension, -impact))
+        self.top = float(np.abs(weight).max(initial=0))
+        self.norm = np.sqrt(np.bincount(self.vector, weights=weight**2, minlength=self.n))
         width = int(self.dimension.max(initial=-1)) + 1
         self.segments, self.rest = [], []
         for a, b in _runs(impact[order]):
@@ -127,8 +134,10 @@ class ImpactIndex:
             return out
         going = np.arange(len(queries))
         length = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1)) * (1 + 1e-12)
-        most = queries.shape[1] * int(np.abs(queries).max(initial=0)) * int(np.abs(self.value).max(initial=0))
-        kind = np.float32 if most < 2**24 else np.float64  # sums of whole numbers are exact below that
+        most = self._most(queries)
+        kind = np.float32 if most < NARROW else np.float64
+        # what rounding may have moved a score by: an ulp of the sum of sizes for each addition
+        rounded = self.norm * (queries.shape[1] + 4) * 2.0**-52 if most >= EXACT else np.zeros(self.n)
         by_dimension = np.ascontiguousarray(queries.T.astype(kind))
         scores = np.zeros((self.n, len(queries)), dtype=kind)
         passed = np.zeros(self.n, dtype=bool)  # ruled out for all queries that go on
@@ -139,7 +148,7 @@ class ImpactIndex:
             last = segment is self.segments[-1]
             if not last and (2 * rest.min() * length >= np.ptp(scores, axis=0)).all():
                 continue  # no bound can rule out any vector yet
-            slack = rest[:, None] * length[None, :]
+            slack = (rest + rounded)[:, None] * length[None, :]
             low = scores - slack
             for column, at in enumerate(going):
                 if own[at] >= 0 and self.copies[own[at]] == 1:
@@ -160,6 +169,10 @@ class ImpactIndex:
             passed = ~possible[:, left].any(axis=1)
         return out
 
+    def _most(self, queries: np.ndarray) -> float:
+        """No score or part of one is larger."""
+        return queries.shape[-1] * float(np.abs(queries.astype(np.float64)).max(initial=0)) * self.top * (1 + 1e-9)
+
     def search_all(self, query_ids: np.ndarray, queries: list[np.ndarray], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each query the ids and exact scores of its k best rows, without one row that is the query itself."""
         width = max(int(self.dimension.max(initial=-1)) + 1, max(map(len, queries), default=0))
@@ -177,10 +190,14 @@ class ImpactIndex:
         size = self.starts[members + 1] - self.starts[members]
         stops = np.cumsum(size)
         at = np.repeat(self.starts[members] - (stops - size), size) + np.arange(int(stops[-1]) if len(stops) else 0)
-        parts = self.value[at] * wide[self.dimension[at]]
-        total = np.concatenate([[0], np.cumsum(parts)])
+        kind = np.int64 if self._most(wide) < EXACT else object
+        parts = self.value[at].astype(kind) * wide[self.dimension[at]].astype(kind)
+        total = np.concatenate([np.zeros(1, dtype=kind), np.cumsum(parts)])
         exact = total[stops] - total[stops - size]
-        best = np.lexsort((self.ids[members], -exact))
+        if kind is object:
+            best = np.array(sorted(range(len(members)), key=lambda i: (-exact[i], self.ids[members[i]])), dtype=np.int64)
+        else:
+            best = np.lexsort((self.ids[members], -exact))
         copies = self.copies[members[best]] - (members[best] == own)
         best = np.repeat(best, np.minimum(copies, k))[:k]
         return self.ids[members[best]], exact[best]
@@ -222,11 +239,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 20) -> DataFrame:
         return rows.groupBy("id", "vector").agg(F.count(F.lit(1)).alias("n"))
 
     vectors, queries = clean(vectors), clean(queries)
-    size = F.struct(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("width"), F.max(F.array_max(F.transform("vector", lambda x: F.abs(x)))).alias("top"))
-    v, q = (df.agg(size.alias("s")).first().s for df in (vectors, queries))
-    if v.n and q.n and max(v.width, q.width) * v.top * q.top >= 2**53:
-        raise ValueError("scores may not be exact: the components are too large")
-    n_blocks, n_batches = -(-max(v.n, 1) // BLOCK), -(-max(q.n, 1) // BATCH)
+    n_blocks, n_batches = (-(-max(df.count(), 1) // most) for df, most in ((vectors, BLOCK), (queries, BATCH)))
     blocks = _blocks(vectors, n_blocks, "block")
     batches = _blocks(queries, n_batches, "batch").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)).cast("array<long>")))
     pairs = batches.join(blocks.hint("shuffle_merge"), "block").select(
@@ -250,10 +263,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 20) -> DataFrame:
                 ]
                 found = [len(x[3]) for x in out]
                 columns = [np.full(sum(found), batch.as_py()), *(np.repeat([x[c] for x in out], found) for c in range(3))]
-                columns += [np.concatenate([x[c] for x in out]) for c in (3, 4)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["batch", "nth", "n", "query_id", "vec_id", "score"])
+                exact = np.concatenate([x[4] for x in out])
+                columns += [np.concatenate([x[3] for x in out]), *_digits(exact)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
-    best = Window.partitionBy("batch", "nth").orderBy(F.desc("score"), "vec_id")
+    names = [c.split()[0] for c in PAIRS.split(", ")]
+    best = Window.partitionBy("batch", "nth").orderBy(F.desc("high"), F.desc("middle"), F.desc("low"), "vec_id")
     return (
         pairs.mapInArrow(score, PAIRS)
         .withColumn("rank", F.row_number().over(best))
@@ -263,6 +278,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 20) -> DataFrame:
     )
 
 
+def _digits(exact: np.ndarray) -> list[np.ndarray]:
+    """Whole numbers of any size as the nearest 64-bit one, and in three digits by which they are ordered."""
+    if exact.dtype != object:
+        return [exact, exact >> 63, exact >> _HALF & (1 << _HALF) - 1, exact & (1 << _HALF) - 1]
+    near = [min(max(x, -(2**63)), 2**63 - 1) for x in exact]
+    high, middle, low = ([x >> 2 * _HALF for x in exact], [x >> _HALF & (1 << _HALF) - 1 for x in exact], [x & (1 << _HALF) - 1 for x in exact])
+    return [np.array(c, dtype=np.int64) for c in (near, high, middle, low)]
+
+
 def _flat(rows: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
     """All components of a list of vectors, and where each vector ends."""
     ends = rows.values.offsets.to_numpy().astype(np.int64)

@@ -1,6 +1,7 @@
 """Operators over whole tables: near-duplicates, leaks, search, url rules, classifiers, the pipeline."""
 
 import itertools
+import math
 import re
 import time
 from collections import Counter
@@ -228,6 +229,26 @@ def test_top_k_edge_cases(spark):
     assert topk.top_k(df, df.where("false")).count() == 0 and topk.top_k(df.where("false"), df).count() == 0
 
 
+@pytest.mark.parametrize("large", [1e9, 3e15, 1e300])
+def test_top_k_of_large_null_and_non_finite_components(spark, monkeypatch, large):
+    monkeypatch.setattr(topk, "BLOCK", 40)
+    monkeypatch.setattr(topk, "RESCORE", 8)
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(0, 1, 6).tolist()) for i in range(120)]
+    rows[7] = (7, [large, 1.0, 0.0, 0.0, 0.0, 0.5])
+    rows[20] = (20, [large, -large, 1.0, 2.0, 3.0, 4.0])
+    rows[33] = (33, [large, 1.0, 0.0, 0.0, 0.0, 0.25])
+    rows += [(200, [float("nan")] + [0.0] * 5), (201, [float("inf")] + [1.0] * 5), (202, [None] + [1.0] * 5), (203, None), (204, []), (205, [-float("inf")] * 6)]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>").select("id", topk.quantised("embedding").alias("vector"))
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_k(df, df.where("id % 20 = 0"), k=5).collect()}
+    ints = {i: [max(min(math.floor(64 * x) if math.isfinite(64 * x) else 2**63 if x > 0 else -(2**63), 2**63 - 1), -(2**63)) for x in v] for i, v in rows[:120]}
+    want = {}
+    for q in range(0, 120, 20):
+        scores = sorted((-sum(a * b for a, b in zip(ints[q], v)), i) for i, v in ints.items() if i != q)[:5]
+        want |= {(q, n): (i, max(min(-s, 2**63 - 1), -(2**63))) for n, (s, i) in enumerate(scores, 1)}
+    assert got == want
+
+
 def index_of(vectors: np.ndarray) -> topk.ImpactIndex:
     n, width = vectors.shape
     return topk.ImpactIndex(np.arange(n), np.ones(n, np.int64), vectors.ravel(), np.arange(n + 1) * width)
