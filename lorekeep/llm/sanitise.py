@@ -1,20 +1,21 @@
 """Information-theoretic sanitisation of personal data.
 
-Base spans are emails, ip addresses, payment cards and phone numbers, found in every whole text. The
-distinct values found are the protected entities. Over the whole corpus, a term t discloses an entity e
+Base spans are emails, ip addresses, payment cards and phone numbers, found in every whole text. The values found are
+the protected entities, and with each value the wider ones that it belongs to (see ``levels``): an email's domain and local part,
+an address block, a card's issuer, a phone's dialling code. Over the whole corpus, a term t discloses an entity e
 by the share of e's information that it gives away,
 
     PMI(e; t) / IC(e) = log(P(e, t) / (P(e) P(t))) / -log P(e),
 
-with document counts as estimates: 1 where t occurs only together with e, about 0 where t says nothing of
-e. In texts that hold e, terms at or above ``GENERALISE`` become a word that only tells their kind, and
-terms at or above ``REMOVE`` are removed. Where fewer than ``SUPPORT`` different texts have both e and t, the
-missing ones count as texts with t alone, each as often as the texts seen: entities of a single text are
-estimated too, with caution, and copies of one text prove no more than it does. Base spans are replaced by
-their kind.
+with document counts as estimates: 1 where t occurs only together with e, about 0 where t says nothing of e. An estimate
+counts only where the corpus supports it: at least ``SUPPORT`` different texts hold both e and t (copies of one text prove no more
+than it does; an entity of a single text is covered by its levels, if at all), and e is in at least ``CONFIDENCE`` of the texts
+that hold t, as otherwise most of them would be changed for an entity that they have nothing to do with. Then terms at or above
+``GENERALISE`` become a word that only tells their kind, and terms at or above ``REMOVE`` are removed, in every text
+that has them: where e itself is not named they are what gives it away. Base spans are replaced by their kind.
 
 Only the terms of texts with base spans are stored, once for each distinct text. A term can only reach
-``GENERALISE`` if it is rare enough for the most frequent entity of its text (``_reach``), so the others are dropped before they
+``GENERALISE`` if it is rare enough for the most frequent supported entity of its text (``_reach``), so the others are dropped before they
 are shuffled: those in very many texts by a broadcast of at most ``MAX_FREQUENT`` terms, the rest where they meet
 their counts. Entities meet their counts in several tasks each; all other groups are bounded by a text or by
 the share of texts that a term not broadcast can have. Each disclosing term, with its highest
@@ -40,6 +41,7 @@ from .common import discard, salted_join, text_of, tidy, written
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
 SUPPORT = 3
+CONFIDENCE = 0.5
 GENERALISE = 0.75
 REMOVE = 0.95
 #: At most so many disclosing terms are broadcast; beyond it they meet the terms of each text in a join.
@@ -127,6 +129,17 @@ def _entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind == 'email' else re.sub(r'[^0-9.]' if kind == 'ip' else r'[^0-9]', '', value)}"
 
 
+def levels(value: str) -> list[str]:
+    """An entity in the form in which it is counted, and the wider ones that it belongs to."""
+    kind, _, own = value.partition(":")
+    if kind == "email":
+        local, _, domain = own.partition("@")
+        return [value, f"domain:{domain}", f"local:{local}"]
+    if kind == "ip":
+        return [value, f"block:{own.rpartition('.')[0]}"]
+    return [value, f"issuer:{own[:6]}" if kind == "card" else f"code:{own[:5]}"]
+
+
 def _base(text: str) -> list[dict]:
     return [{"kind": k, "start": a, "end": b, "value": _entity(k, text[a:b])} for k, a, b in base_spans(text)]
 
@@ -152,7 +165,7 @@ def _found(docs: DataFrame, text_col: str) -> DataFrame:
                 spans = _base(text)
                 if spans:
                     hashes.append(text_hash)
-                    entities.append(sorted({s["value"] for s in spans}))
+                    entities.append(sorted({e for s in spans for e in levels(s["value"])}))
                     terms.append(sorted({m.group().lower() for m in _terms(text, spans)}))
             lists = pa.list_(pa.string())
             yield pa.RecordBatch.from_arrays(
@@ -163,22 +176,24 @@ def _found(docs: DataFrame, text_col: str) -> DataFrame:
     return rows.mapInArrow(tidy(work), "text_hash long, entities array<string>, terms array<string>")
 
 
-def _reach(n_entity: Column, total: Column, least: float) -> Column:
+def _reach(n_entity: Column, total: Column, least: float, confidence: float) -> Column:
     """The most texts that a term may be in and still disclose ``least`` of an entity of so many texts: of
-    n_both <= n_entity in PMI / IC >= least follows n_term <= n_entity (total / n_entity) ** (1 - least)."""
-    return n_entity * F.pow(total / n_entity, F.lit(1 - least)) * (1 + 1e-9) + 1e-6
+    n_both <= n_entity in PMI / IC >= least follows n_term <= n_entity (total / n_entity) ** (1 - least), and of
+    n_both >= confidence n_term that n_term <= n_entity / confidence."""
+    return F.least(n_entity * F.pow(total / n_entity, F.lit(1 - least)), n_entity / confidence) * (1 + 1e-9) + 1e-6
 
 
 def term_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """term and the number of rows that have it."""
-    words = F.array_distinct(F.filter(F.split(F.lower(text_of(text_col)), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+    split = F.filter(F.split(text_of(text_col), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    words = F.array_distinct(F.transform(split, lambda w: F.lower(w)))  # as in _terms: first split, then folded
     return docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
 
 
 def disclosures(
-    docs: DataFrame, found: DataFrame, counts: DataFrame, frequent: DataFrame, *, support: int = SUPPORT, least: float = GENERALISE
+    docs: DataFrame, found: DataFrame, counts: DataFrame, frequent: DataFrame, *, support: int = SUPPORT, least: float = GENERALISE, confidence: float = CONFIDENCE
 ) -> DataFrame:
-    """entity, term, disclosure and the counts behind it, of all pairs that share a text and disclose ``least`` or more.
+    """entity, term, disclosure and the counts behind it, of all pairs that the corpus supports and that disclose ``least`` or more.
 
     ``found`` has entities and terms of the texts with base spans (see ``_found``), ``counts`` the terms' counts
     and ``frequent`` the part of them that may be broadcast (see ``frequent_terms``)."""
@@ -189,15 +204,15 @@ def disclosures(
     )  # equal texts have equal lists
     texts = written(texts, "texts")
     named = texts.select("text_hash", "n", F.explode("entities").alias("entity"))
-    sizes = named.groupBy("entity").agg(F.sum("n").alias("n_entity"))
+    sizes = named.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count(F.lit(1)).alias("in_texts"))
+    sizes = sizes.where(F.col("in_texts") >= support).drop("in_texts")
     named = written(salted_join(named, sizes, "entity", "text_hash"), "entities")
-    reach = named.groupBy("text_hash").agg(F.max(_reach(F.col("n_entity"), total, least)).alias("reach"))
+    reach = named.groupBy("text_hash").agg(F.max(_reach(F.col("n_entity"), total, least, confidence)).alias("reach"))
     terms = texts.join(reach, "text_hash").select("text_hash", "reach", F.explode("terms").alias("term"))
     known = terms.join(F.broadcast(frequent), "term", "left").where(F.col("n_frequent").isNull() | (F.col("n_frequent") <= F.col("reach")))
-    rare = known.where("n_frequent is null").drop("n_frequent").join(counts, "term", "left")
-    # a term that the two ways to split words tell apart is at least as frequent as its pairs
+    rare = known.where("n_frequent is null").drop("n_frequent").join(counts, "term")
     near = known.where("n_frequent is not null").withColumnRenamed("n_frequent", "n_term").unionByName(rare)
-    near = near.where(F.coalesce("n_term", F.lit(0)) <= F.col("reach")).select("text_hash", "term", "n_term")
+    near = near.where(F.col("n_term") <= F.col("reach")).select("text_hash", "term", "n_term")
     pairs = (
         near.join(named, "text_hash")
         .groupBy("entity", "term")
@@ -207,10 +222,9 @@ def disclosures(
             F.first("n_entity").alias("n_entity"),
             F.first("n_term").alias("n_term"),
         )
-        .withColumn("n_term", F.greatest(F.coalesce("n_term", "n_both"), F.col("n_both")))
+        .where((F.col("n_texts") >= support) & (F.col("n_both") >= F.col("n_term") * confidence))
     )
-    missing = F.greatest(F.lit(support) - F.col("n_texts"), F.lit(0)) * F.col("n_both") / F.col("n_texts")
-    pmi = F.log(F.col("n_both") * total / (F.col("n_entity") * (F.col("n_term") + missing)))
+    pmi = F.log(F.col("n_both") * total / (F.col("n_entity") * F.col("n_term")))
     told = F.when(F.col("n_entity") < total, pmi / F.log(total / F.col("n_entity"))).otherwise(0.0)
     return pairs.withColumn("disclosure", told).where(F.col("disclosure") >= least).select(
         "entity", "term", "disclosure", "n_entity", "n_both", "n_term"

@@ -131,31 +131,34 @@ def test_terms_that_disclose_an_entity_are_replaced(spark):
     assert sanitise.sanitise(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("confidence", [0.05, 0.5])
 @pytest.mark.parametrize("least", [-9.0, 0.3, 0.75])
-def test_disclosures_equal_their_definition(spark, least):
+def test_disclosures_equal_their_definition(spark, least, confidence):
     rng = random.Random(5)
-    mails = [f"m{i}@example.com" for i in range(6)]
-    docs = [" ".join([*rng.sample([f"t{i}" for i in range(30)], 6), *rng.sample(mails, rng.choice([0, 0, 1, 1, 2]))]) for _ in range(120)]
-    docs += docs[:7] * 3 + ["", "t1"]
+    values = [f"m{i}@d{i % 3}.com" for i in range(6)] + [f"10.0.{i % 2}.{i}" for i in range(6)] + [f"+4930{i}23456{i}" for i in range(4)] + ["4111 1111 1111 1111"]
+    docs = [" , ".join([*rng.sample([f"t{i}" for i in range(30)], 6), *rng.sample(values, rng.choice([0, 0, 1, 1, 2]))]) for _ in range(300)]
+    docs += docs[:7] * 3 + ["", "t1"] + [f"k9 {values[0]} x{i}" for i in range(4)] + ["k9 alone"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(docs)], "doc_id long, text string")
     counts = sanitise.term_counts(df)
-    frequent = sanitise.frequent_terms(counts, 25)
-    assert 0 < frequent.count() <= 25
-    out = sanitise.disclosures(df, sanitise._found(df, "text"), counts, frequent, least=least).collect()
-    words, n = [set(re.findall(r"\bt\d+\b", t)) for t in docs], len(docs)
-    want = {}
-    for mail in mails:
-        has = [mail in t for t in docs]
+    frequent = sanitise.frequent_terms(counts, 60)
+    assert 0 < frequent.count() <= 60
+    out = sanitise.disclosures(df, sanitise._found(df, "text"), counts, frequent, least=least, confidence=confidence).collect()
+    wider = lambda v: {
+        f"email:{v}": "@" in v, f"domain:{v.rpartition('@')[2]}": "@" in v, f"local:{v.partition('@')[0]}": "@" in v, f"ip:{v}": v[:3] == "10.", f"block:{v.rpartition('.')[0]}": v[:3] == "10.",
+        f"phone:{v[1:]}": v[0] == "+", f"code:{v[1:6]}": v[0] == "+", "card:4111111111111111": v[0] == "4", "issuer:411111": v[0] == "4",
+    }
+    entities = [{e for v in values if v in t.split() or (v[0] == "4" and v in t) for e, own in wider(v).items() if own} for t in docs]
+    words, n, want = [set(re.findall(r"\b[tkx]\d+\b|alone", t)) for t in docs], len(docs), {}
+    for e in set().union(*entities):
         for term in set().union(*words):
-            both = [t for t, own, h in zip(docs, words, has) if h and term in own]
-            if both:
-                missing = max(3 - len(set(both)), 0) * len(both) / len(set(both))
-                p_term = (sum(term in own for own in words) + missing) / n
-                told = math.log(len(both) / n / (sum(has) / n * p_term)) / -math.log(sum(has) / n)
+            both = [t for t, own, es in zip(docs, words, entities) if e in es and term in own]
+            n_term, n_e = sum(term in own for own in words), sum(e in es for es in entities)
+            if len(set(both)) >= 3 and len(both) >= confidence * n_term:
+                told = math.log(len(both) * n / (n_e * n_term)) / math.log(n / n_e)
                 if told >= least:
-                    want[f"email:{mail}", term] = told
+                    want[e, term] = told
     got = {(r.entity, r.term): r.disclosure for r in out}
-    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert want and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
 def test_spans_of_repeated_rows_ties_and_long_texts(spark):
@@ -166,13 +169,22 @@ def test_spans_of_repeated_rows_ties_and_long_texts(spark):
     assert sorted((r.doc_id, base(r)) for r in found) == sorted((i, plain_spans(t)) for i, t in rows)
 
 
-def test_terms_of_an_entity_in_a_single_text_are_replaced(spark):
+def test_words_beside_an_entity_of_one_text_stay(spark):
     docs = [(0, "Zorblax wrote to eve@example.com the day")] + [(1 + i, f"the day he wrote to n{i}") for i in range(99)]
     out = {r.doc_id: r for r in sanitise.sanitise(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert out[0].sanitised == "[NAME] wrote to [EMAIL] the day"  # 1 - log 3 / log 100: told, but never removed on one text
+    assert out[0].sanitised == "Zorblax wrote to [EMAIL] the day"  # one text says nothing of the pair
     assert out[1].sanitised == "the day he wrote to n0"
 
 
+def test_terms_are_told_by_the_levels_of_single_values(spark):
+    docs = [(i, f"mail{i} from Quuxcorp: p{i}@quux.example") for i in range(5)] + [(10 + i, f"the host{i} Racknine answers at 192.0.2.{i}") for i in range(5)]
+    docs += [(50 + i, f"nothing at all, n{i} the answers from the mail at noon") for i in range(200)]
+    out = {r.doc_id: r.sanitised for r in sanitise.sanitise(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert out[0] == "mail0 from : [EMAIL]"  # every value is in one text, but the domain is in five
+    assert out[10] == "the host0  answers at [IP]"
+    assert all(out[50 + i] == docs[10 + i][1] for i in range(200))
+
+
 def test_disclosing_terms_are_replaced_in_texts_without_the_entity(spark, monkeypatch):
     docs = [(i, f"Zorblax wrote{i} to eve@example.com") for i in range(4)] + [(9, "ask Zorblax the day"), (9, "ask Zorblax the day"), (None, None)]
     docs += [(10 + i, f"the day to ask n{i}") for i in range(400)]
