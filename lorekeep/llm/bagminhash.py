@@ -365,10 +365,11 @@ def _link_counts(rows: DataFrame, elements: DataFrame, similarity: float) -> Dat
 
 
 def near_duplicates(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, count_links: bool = True
 ) -> DataFrame:
     """One row for each row of ``docs``: id, ``class_id``, ``is_kept`` (the class's first document) and
-    ``n_links``, with how many other multisets of its class the document's own overlaps by ``similarity``.
+    ``n_links``, with how many other multisets of its class the document's own overlaps by ``similarity`` (null without ``count_links``,
+    which spares the counts over all pairs of a class).
 
     ``text_hash`` (xxhash64 of the text) tells rows apart that share an id."""
     signed = written(sign(docs, id_col, text_col), "signed")
@@ -397,13 +398,16 @@ def near_duplicates(
     discard(roots, buckets)
     roots = components(found.unionByName(of_blocks))
     discard(of_pairs, of_leaders, of_blocks)
-    members = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    counts = _link_counts(members.join(nodes.select("node", "n_elements"), "node"), elements, similarity)
     named = nodes.select("node", "id", "text_hash").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named_class = named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")).alias("head"))
-    classes = written(
-        salted_join(named, named_class, "root", "node").select("node", "head").join(counts, "node", "left").na.fill(0, ["n_links"]), "classes"
-    )
+    classes = salted_join(named, named_class, "root", "node").select("node", "head")
+    if count_links:
+        members = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+        counts = _link_counts(members.join(nodes.select("node", "n_elements"), "node"), elements, similarity)
+        classes = classes.join(counts, "node", "left").na.fill(0, ["n_links"])
+    else:
+        classes = classes.withColumn("n_links", F.lit(None).cast("long"))
+    classes = written(classes, "classes")
     discard(roots, nodes, elements)
     own = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")
     return (
@@ -414,7 +418,7 @@ def near_duplicates(
             F.col("id").alias(id_col),
             F.col("head.id").alias("class_id"),
             (F.col("id").eqNullSafe(F.col("head.id")) & (F.col("text_hash") == F.col("head.text_hash"))).alias("is_kept"),
-            F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+            (F.coalesce("n_links", F.lit(0)) if count_links else F.col("n_links")).cast("long").alias("n_links"),
             "text_hash",
         )
     )

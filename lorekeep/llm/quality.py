@@ -4,10 +4,13 @@ A logistic model over shape features of a text (classes of characters, repetitio
 lengths) is fitted by minimising the non-negative unbiased risk of trusted positives P against unlabelled
 texts U with the class prior pi: pi E_P[loss(+)] + max(0, E_U[loss(-)] - pi E_P[loss(-)]). Where the second
 term falls below zero its gradient is reversed, so the fit does not chase it. The prior is estimated as
-the share of positives among the labelled rows. The score is shifted so that the share of all training texts
-above ``CUT`` is the prior, which makes ``CUT`` the decision that the prior implies. Both samples of the
-gradient are bounded: at most ``MAX_ROWS`` labelled rows and as many unlabelled ones, by the hash of the id (of texts that share an id one);
-the shift (a mergeable quantile, within a ``RANKS``-th of the texts) and scoring cover all texts.
+the share of positives among the labelled rows. P is at most ``MAX_ROWS`` labelled rows by the hash of the id (of texts that
+share an id one). U is every given text: its features are stored once, and each of ``PASSES`` passes over them adds
+up the loss and gradient of E_U in the tasks. Between passes the steps are those of a fixed sample of U of at most ``SAMPLE`` rows,
+corrected by what the sample's gradient differs from that of U at the last pass (a control variate), so the sample
+saves passes and the steps settle where the gradient over all of U does. The score is shifted so that the share of all
+training texts above ``CUT`` is the prior (a mergeable quantile, within a ``RANKS``-th of the texts), which makes ``CUT`` the
+decision that the prior implies.
 
 Defined cases: null and empty texts have all counts 0 and are scored as such. Rows are independent: null
 or repeated ids stay, one result for each row. Labels without an id or value, or without a document, are
@@ -17,7 +20,7 @@ columns are read, and of these only the text is an input of a score.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -25,11 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, tidy
+from .common import discard, text_of, tidy, written
 
 MAX_ROWS = 10_000
+#: Unlabelled rows of the control variate; passes over all of them correct it.
+SAMPLE = 10_000
 CUT = 0.7
-ROUNDS = 1500
+#: Passes over the features of all texts, and steps between two of them.
+PASSES, STEPS = 12, 150
 RANKS = 1_000_000
 RIDGE = 1e-3
 SLICE_BYTES = 4_000_000
@@ -137,80 +143,131 @@ def risk(p: np.ndarray, u: np.ndarray, prior: float, w: np.ndarray, b: float) ->
     return prior * np.logaddexp(0, -fp).mean(), np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
 
 
-def descent(p: np.ndarray, u: np.ndarray, prior: float, w: np.ndarray, b: float) -> np.ndarray:
+def descent(p: np.ndarray, u: np.ndarray, prior: float, w: np.ndarray, b: float, moved: np.ndarray | None = None) -> np.ndarray:
     """The direction to step against, by the weights and the bias: the gradient of both parts of the risk, or
-    where the second is below zero its own gradient reversed."""
+    where the second is below zero its own gradient reversed. ``moved`` is added to the gradient and loss of E_U."""
     sp, su = _sigmoid(p @ w + b), _sigmoid(u @ w + b)
-    by_rest = (np.append(u.T @ su, su.sum()) / len(u)) - prior * (np.append(p.T @ sp, sp.sum()) / len(p))
+    moved = np.zeros(len(w) + 2) if moved is None else moved
+    by_rest = np.append(u.T @ su, su.sum()) / len(u) + moved[:-1] - prior * (np.append(p.T @ sp, sp.sum()) / len(p))
     by_plus = prior * np.append(p.T @ (sp - 1), (sp - 1).sum()) / len(p)
-    return by_plus + by_rest if risk(p, u, prior, w, b)[1] >= 0 else -by_rest
+    return by_plus + by_rest if risk(p, u, prior, w, b)[1] + moved[-1] >= 0 else -by_rest
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> QualityModel:
-    """Minimise the non-negative unbiased risk by full-batch gradient descent with moments."""
-    width = unlabelled.shape[1] if len(unlabelled) else shape([""]).shape[1]
-    if not len(positive) or not len(unlabelled) or not 0 < prior < 1:
+def unlabelled_sums(u: np.ndarray, w: np.ndarray, b: float) -> np.ndarray:
+    """Sums over unlabelled rows: the gradient of loss(-) by weights and bias, the loss, and the number of rows."""
+    f = u @ w + b
+    s = _sigmoid(f)
+    return np.concatenate([u.T @ s, [s.sum(), np.logaddexp(0, f).sum(), len(u)]])
+
+
+Sums = Callable[[np.ndarray, np.ndarray, np.ndarray, float], np.ndarray]
+
+
+def fit(positive: np.ndarray, sample: np.ndarray, prior: float, sums: Sums | None = None) -> QualityModel:
+    """Minimise the non-negative unbiased risk by gradient descent with moments.
+
+    ``sums(mean, scale, w, b)`` gives ``unlabelled_sums`` over all unlabelled rows, which ``sample`` is a part of (all, without it)."""
+    width = shape([""]).shape[1] if not len(sample) else sample.shape[1]
+    if not len(positive) or not len(sample) or not 0 < prior < 1:
         prior = min(max(prior, 1e-6), 1 - 1e-6)
         return QualityModel(np.zeros(width), np.ones(width), np.zeros(3 * width), float(np.log(prior / (1 - prior))))
     mean, scale = positive.mean(axis=0), np.maximum(positive.std(axis=0), 1e-2)
-    p, u = _expand(positive, mean, scale), _expand(unlabelled, mean, scale)
+    p, u = _expand(positive, mean, scale), _expand(sample, mean, scale)
     w, b = np.zeros(p.shape[1]), float(np.log(prior / (1 - prior)))
-    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    for step in range(1, ROUNDS + 1):
-        grad = descent(p, u, prior, w, b) + RIDGE * np.append(w, 0)
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        move = 0.02 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        w, b = w - move[:-1], b - move[-1]
+    m, v, step = np.zeros(len(w) + 1), np.zeros(len(w) + 1), 0
+    for _ in range(PASSES):
+        whole = unlabelled_sums(u, w, b) if sums is None else sums(mean, scale, w, b)
+        own = unlabelled_sums(u, w, b)
+        moved = whole[:-1] / whole[-1] - own[:-1] / own[-1]  # of gradient and loss, from the sample's to those of all rows
+        for _ in range(STEPS):
+            step += 1
+            grad = descent(p, u, prior, w, b, moved) + RIDGE * np.append(w, 0)
+            m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
+            move = 0.02 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+            w, b = w - move[:-1], b - move[-1]
     cut = np.quantile(u @ w, 1 - prior)
     return QualityModel(mean, scale, w, float(np.log(CUT / (1 - CUT)) - cut))
 
 
-def _shapes(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels (column ``label``) of a bounded set of documents (``id``, ``text``), by id."""
+_ROW = "array<double>"
+
+
+def _shape_rows(texts: DataFrame) -> DataFrame:
+    """key (the hash of the id, null without one) and x, the features, of every text (id, text)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = shape(batch.column(2).to_pylist())
-            rows = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), rows], ["key", "label", "x"])
+            for first in range(0, batch.num_rows, 512):
+                part = batch.slice(first, 512)
+                x = shape(part.column(1).to_pylist())
+                rows = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0), rows], ["key", "x"])
+
+    key = F.when(F.col("id").isNotNull(), F.xxhash64("id"))
+    return texts.select(key.alias("key"), "text").mapInArrow(tidy(work), f"key long, x {_ROW}")
 
-    rows = docs.select(F.xxhash64("id").alias("key"), "label", "text").mapInArrow(tidy(work), "key long, label int, x array<double>")
-    table = rows.toArrow().sort_by([("key", "ascending"), ("label", "ascending")])
+
+def _matrix(column: pa.ListArray) -> np.ndarray:
+    width = shape([""]).shape[1]
+    ends = column.offsets.to_numpy()
+    return column.values.to_numpy()[ends[0] : ends[-1]].reshape(-1, width)
+
+
+def _collected(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of a bounded set of rows (key, label, x), in one order; of rows of one key and label one."""
+    one = rows.groupBy("key", "label").agg(F.min("x").alias("x"))
+    table = one.toArrow().sort_by([("key", "ascending"), ("label", "ascending")])
     x = np.array(table["x"].to_pylist(), dtype=np.float64).reshape(table.num_rows, shape([""]).shape[1])
     return x, table["label"].to_numpy().astype(np.int64)
 
 
+def _sums_over(shapes: DataFrame) -> Sums:
+    """``unlabelled_sums`` over all stored rows, added up in each task before they meet."""
+    def sums(mean: np.ndarray, scale: np.ndarray, w: np.ndarray, b: float) -> np.ndarray:
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(len(w) + 3)
+            for batch in batches:
+                total += unlabelled_sums(_expand(_matrix(batch.column(0)), mean, scale), w, b)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["k", "n"])
+
+        parts = shapes.select("x").mapInArrow(work, "k long, n double")
+        out = np.zeros(len(w) + 3)
+        for row in parts.groupBy("k").agg(F.sum("n").alias("n")).collect():  # one row for each weight
+            out[row.k] = row.n
+        return out
+
+    return sums
+
+
 def train(
     docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text"
 ) -> QualityModel:
     """Learn from all given labels; leave held-out rows out of ``labels`` and ``docs`` beforehand."""
     texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    order = [F.xxhash64("id"), "id"]
+    shapes = written(_shape_rows(texts), "shapes")
     named = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).dropna().distinct()
-    chosen = named.orderBy(*order).limit(MAX_ROWS)
-    web = texts.select("id").where("id is not null").orderBy(*order).limit(MAX_ROWS).distinct().withColumn("label", F.lit(-1))
-    # at most MAX_ROWS of either, so the texts are read where they lie
-    rows = texts.join(F.broadcast(chosen.unionByName(web)), "id")
-    one = rows.groupBy("id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("first"))
-    x, y = _shapes(one.select("id", "label", F.col("first.text").alias("text")))
+    chosen = named.select(F.xxhash64("id").alias("key"), "label").orderBy("key", "label").limit(MAX_ROWS)
+    web = shapes.select("key").where("key is not null").distinct().orderBy("key").limit(SAMPLE).withColumn("label", F.lit(-1))
+    # at most MAX_ROWS and SAMPLE rows, so the features are read where they lie
+    x, y = _collected(shapes.join(F.broadcast(chosen.unionByName(web)), "key"))
     labelled = y >= 0
     prior = float(y[labelled].mean()) if labelled.any() else 0.5
-    return _shifted(fit(x[y == 1], x[y == -1], prior), texts, prior)
+    model = _shifted(fit(x[y == 1], x[y == -1], prior, _sums_over(shapes)), shapes, prior)
+    discard(shapes)
+    return model
 
 
-def _shifted(model: QualityModel, texts: DataFrame, prior: float) -> QualityModel:
-    """The model whose share of all ``texts`` above ``CUT`` is the prior."""
+def _shifted(model: QualityModel, shapes: DataFrame, prior: float) -> QualityModel:
+    """The model whose share of all texts above ``CUT`` is the prior."""
     if not model.weights.any():
         return model
-    sent = texts.sparkSession.sparkContext.broadcast(replace(model, bias=0.0))
+    sent = shapes.sparkSession.sparkContext.broadcast(replace(model, bias=0.0))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, batch.num_rows, 512):
-                margins = sent.value.margins(shape(batch.column(0).slice(first, 512).to_pylist()))
-                yield pa.RecordBatch.from_arrays([pa.array(margins)], ["margin"])
+            yield pa.RecordBatch.from_arrays([pa.array(sent.value.margins(_matrix(batch.column(0))))], ["margin"])
 
-    margins = texts.select("text").mapInArrow(tidy(work), "margin double")
+    margins = shapes.select("x").mapInArrow(tidy(work), "margin double")
     cut = margins.agg(F.percentile_approx("margin", 1 - prior, RANKS)).first()[0]
     return model if cut is None else replace(model, bias=float(np.log(CUT / (1 - CUT)) - cut))
 

@@ -5,9 +5,10 @@ sigmoid(threshold_k - weights . x), with rising thresholds, so the expected seve
 P(grade > k). Features are the presence of a text's words and of their first letters, as many as ``PREFIXES`` says, known by
 64-bit hashes, so that no two share a weight. Features of the training rows that are seen in at least
 ``MIN_TEXTS`` of them and stand out between grades are kept, and an L1 penalty empties most weights
-(accelerated proximal gradient on the driver). The training rows are a bounded sample: of each grade at
-most ``MAX_ROWS`` labelled rows, by the hash of their id, with at most ``MAX_FEATURES`` features each (scoring
-uses all). Only nonzero weights are sent to the executors.
+(accelerated proximal gradient on the driver). The training rows are a bounded sample: of each label value at
+most ``MAX_ROWS`` labelled rows, by the hash of their id, and only so many of them that their features, those seen in at
+least ``MIN_TEXTS`` of all these rows, are at most ``MAX_ENTRIES`` (8 bytes each) over all values. A row is taken with its
+whole text or not at all. Only nonzero weights are sent to the executors.
 
 Defined cases: null and empty texts have no features and get the severity of an empty text. Rows are
 independent: null or repeated ids stay, one result for each row. Labels without a grade or id, or without
@@ -22,15 +23,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of, tidy
+from .common import discard, text_of, tidy, written
 
 PREFIXES = (4, 5, 7)
 MIN_TEXTS = 5
 MAX_ROWS = 3000
-MAX_FEATURES = 8192
+MAX_ENTRIES = 40_000_000
 MAX_GRADES = 16
 STANDS_OUT = 4.0
 L1 = 0.0001
@@ -154,30 +155,40 @@ def severity_grades(lists: pa.ListArray, toxic: np.ndarray) -> np.ndarray:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text") -> pa.Table:
-    """features, label and weight of at most ``MAX_ROWS`` labelled documents of each label value.
+    """features, label and weight of at most ``MAX_ROWS`` labelled documents of each label value, by the hash of their id.
 
-    Each value's rows are the first by the hash of their id, which every task finds among its own before they meet.
-    Of documents that share an id one is learned from, and of its features the ``MAX_FEATURES`` of the smallest hashes."""
+    Of documents that share an id one is learned from. Features of fewer than ``MIN_TEXTS`` rows are left out where they lie, as no
+    model keeps them; rows that would bring a value's features above its part of ``MAX_ENTRIES`` are not learned from."""
     named = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).dropna().distinct()
     sizes = named.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy("label").limit(MAX_GRADES + 1).collect()
     if len(sizes) > MAX_GRADES:
         raise ValueError(f"more than {MAX_GRADES} values of {label_col}")
-    chosen = named.select("id", "label", F.lit(1.0).alias("weight")).where("false")
+    chosen = named.select("id", "label").where("false")
     for size in sizes:
-        first = named.where(F.col("label") == size.label).orderBy(F.xxhash64("id"), "id").limit(MAX_ROWS)
-        chosen = chosen.unionByName(first.withColumn("weight", F.lit(size.n / min(size.n, MAX_ROWS))))
+        chosen = chosen.unionByName(named.where(F.col("label") == size.label).orderBy(F.xxhash64("id"), "id").limit(MAX_ROWS))
     texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     one = (
-        texts.join(F.broadcast(chosen), "id")  # at most MAX_ROWS for each grade
-        .groupBy("id", "label", "weight")
+        texts.join(F.broadcast(chosen), "id")  # at most MAX_ROWS for each value
+        .groupBy("id", "label")
         .agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("first"))
     )
-    return (
-        one.select("id", F.slice(F.array_sort(features(F.col("first.text"))), 1, MAX_FEATURES).alias("features"), "label", "weight")
-        .toArrow()
-        .combine_chunks()
-        .sort_by([("label", "ascending"), ("id", "ascending")])
-    )
+    rows = written(one.select("id", "label", features(F.col("first.text")).alias("features")), "training")
+    each = rows.select("id", "label", F.explode("features").alias("feature"))
+    common = each.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_TEXTS).select("feature")
+    few = each.join(common, "feature").groupBy("id", "label").agg(F.collect_list("feature").alias("features"))
+    none = F.array().cast("array<bigint>")
+    kept = written(rows.select("id", "label").join(few, ["id", "label"], "left").withColumn("features", F.coalesce("features", none)), "common")
+    discard(rows)
+    of = {s.label: s.n for s in sizes}
+    order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")  # at most MAX_ROWS narrow rows of a value
+    share = MAX_ENTRIES // max(1, len(sizes))
+    held = kept.select("id", "label", F.size("features").alias("n")).withColumn("nth", F.row_number().over(order)).withColumn("held", F.sum("n").over(order))
+    fits = held.where((F.col("held") <= share) | (F.col("nth") == 1)).select("id", "label")
+    table = kept.join(F.broadcast(fits), ["id", "label"]).toArrow().combine_chunks().sort_by([("label", "ascending"), ("id", "ascending")])
+    discard(kept)
+    seen = {v: n for v, n in zip(*np.unique(table["label"].to_numpy(), return_counts=True))}
+    weight = pa.array([of[v] / min(of[v], seen[v]) for v in table["label"].to_pylist()], pa.float64())
+    return table.append_column("weight", weight)
 
 
 def train(docs: DataFrame, labels: DataFrame, *, toxic_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel:

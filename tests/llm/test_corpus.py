@@ -104,6 +104,8 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, block):
     want = brute_classes({r.doc_id: r.text for r in both.collect()})
     assert got == want
     assert sum(n for _, n in got.values()) > 100
+    plain = bagminhash.near_duplicates(both, count_links=False).collect()
+    assert {r.doc_id: r.class_id for r in plain} == {d: c for d, (c, _) in want.items()} and {r.n_links for r in plain} == {None}
 
 
 def test_near_duplicates_of_repeated_and_null_rows(spark):
@@ -368,11 +370,27 @@ def test_quality_decides_by_the_prior_over_all_documents(spark, monkeypatch):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     priors, fit = [], quality.fit
     monkeypatch.setattr(quality, "MAX_ROWS", 80)
-    monkeypatch.setattr(quality, "fit", lambda p, u, prior: priors.append(prior) or fit(p, u, prior))
+    monkeypatch.setattr(quality, "SAMPLE", 80)
+    monkeypatch.setattr(quality, "fit", lambda p, u, prior, sums: priors.append(prior) or fit(p, u, prior, sums))
     share = quality.score(docs, quality.train(docs, labels)).agg(F.avg("predicted")).first()[0]
     assert abs(share - priors[0]) <= 0.005
 
 
+def test_quality_weighs_all_unlabelled_texts_whatever_the_sample(spark, monkeypatch):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    fits, fit = [], quality.fit
+    monkeypatch.setattr(quality, "fit", lambda p, u, prior, sums: fits.append((p, u, prior)) or fit(p, u, prior, sums))
+    whole = quality.train(docs, labels)
+    monkeypatch.setattr(quality, "SAMPLE", 150)
+    part = quality.train(docs, labels)
+    (p, u, prior), (_, few, _) = fits
+    assert len(u) == docs.count() and len(few) == 150
+    blind = fit(p, few, prior)  # what the sample alone would have given
+    x = [quality._expand(u, m.mean, m.scale) for m in (whole, part, blind)]
+    same = [np.corrcoef(x[0] @ whole.weights, own @ m.weights)[0, 1] for m, own in ((part, x[1]), (blind, x[2]))]
+    assert same[0] > 0.99 and same[0] > same[1], same
+
+
 def test_ordinal_loss_and_gradient_equal_brute_force():
     rng = np.random.default_rng(9)
     n, width, top = 40, 7, 3
@@ -407,9 +425,18 @@ def test_toxicity_learns_from_a_bounded_sample_without_a_window(spark, monkeypat
     sizes = {r.toxic: r["count"] for r in labels.groupBy("toxic").count().collect()}
     assert per == {k: min(30, n) for k, n in sizes.items()}
     assert len(set(rows["id"].to_pylist())) == rows.num_rows
-    long = spark.createDataFrame([(1, " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(17_000)))], "doc_id long, text string")
-    out = toxicity.training_rows(long, spark.createDataFrame([(1, 1)], "doc_id long, toxic int"), "toxic")
-    assert len(out["features"][0]) == toxicity.MAX_FEATURES
+    full = {r.doc_id: set(r.f) for r in docs.select("doc_id", toxicity.features(F.col("text")).alias("f")).collect()}
+    seen = Counter(f for i in rows["id"].to_pylist() for f in full[i])
+    assert all(set(own) == {f for f in full[i] if seen[f] >= toxicity.MIN_TEXTS} for i, own in zip(rows["id"].to_pylist(), rows["features"].to_pylist()))
+    bound = sum(map(len, rows["features"].to_pylist())) // 2
+    monkeypatch.setattr(toxicity, "MAX_ENTRIES", bound)  # fewer rows, each with all its features
+    fewer = toxicity.training_rows(twice, labels, "toxic")
+    own = dict(zip(rows["id"].to_pylist(), rows["features"].to_pylist()))
+    assert 0 < fewer.num_rows < rows.num_rows and sum(map(len, fewer["features"].to_pylist())) <= bound
+    assert all(sorted(f) == sorted(own[i]) for i, f in zip(fewer["id"].to_pylist(), fewer["features"].to_pylist()))
+    long = spark.createDataFrame([(i, " ".join(f"w{chr(97 + j % 26)}{chr(97 + j // 26 % 26)}{chr(97 + j // 676)}" for j in range(17_000))) for i in range(5)], "doc_id long, text string")
+    out = toxicity.training_rows(long, spark.createDataFrame([(i, 1) for i in range(5)], "doc_id long, toxic int"), "toxic")
+    assert out.num_rows == 1 and len(out["features"][0]) > 17_000  # the first row of a value is learned from at any length
     empty = docs.where("false")
     assert toxicity.score(empty, toxicity.train(empty, labels)).count() == 0
 
