@@ -35,7 +35,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each near-duplicate class."""
     ship(spark)
-    kept = bagminhash.near_duplicates(docs).where("is_kept").select(F.col("doc_id").alias("kept_id"), "text_hash").distinct()
+    kept = bagminhash.near_duplicates(docs, count_links=False).where("is_kept").select(F.col("doc_id").alias("kept_id"), "text_hash").distinct()
     rows = docs.select(*COLUMNS).withColumn("own_hash", F.xxhash64(text_of()))
     same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("own_hash") == F.col("text_hash"))
     return rows.join(kept, same).dropDuplicates(["doc_id", "own_hash"]).select(*COLUMNS)
