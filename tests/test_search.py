@@ -111,3 +111,65 @@ def test_substrings_equal_contains(spark, tmp_path, monkeypatch, granule):
     assert got == {(q, d) for q, terms in ((1, strings[:5]), (2, ["abc"])) for d, t in rows if d is not None and t and any(s in t.lower() for s in terms)}
     scores = {(r.query, r.doc): r.score for r in grams.matches(index, df, asked).collect()}
     assert scores == {(q, d): sum(s in t.lower() for s in terms) / len(terms) for q, terms in ((1, strings[:5]), (2, ["abc"])) for d, t in rows if d is not None and t and any(s in t.lower() for s in terms)}
+
+
+@pytest.mark.parametrize("spread", [1.0, 0.05])
+def test_pruned_neighbours_equal_brute_force(spark, tmp_path, spread):
+    from lorekeep.operators.ann import Int8Index
+
+    rng = np.random.default_rng(8)
+    heads = rng.normal(0, 0.5, (8, 12))
+    v = np.clip(heads[rng.integers(0, 8, 400)] + rng.normal(0, 0.5 * spread, (400, 12)), -1.2, 1.2)
+    v[50:60] = v[49]  # ties
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(900, None), (901, []), (902, [float("nan")] * 12), (903, [0.1] * 3), (904, [None] * 12)]
+    df = spark.createDataFrame(rows, "doc long, v array<double>")
+    index = Int8Index(spark, str(tmp_path / "ann"), centres=9, block=16).create(df)
+    asked = df.where("doc % 20 = 0 or doc > 890").select(F.col("doc").alias("query"), F.col("v").alias("q"))
+    b = np.clip(np.rint(v * 127), -127, 127).astype(int)
+    want = {}
+    for q in range(0, 400, 20):
+        dist = ((b - b[q]) ** 2).sum(axis=1)
+        best = sorted((int(d), i) for i, d in enumerate(dist) if i != q)[:7]
+        want |= {(q, n): (i, d) for n, (d, i) in enumerate(best, 1)}
+    assert {(r.query, r["rank"]): (r.doc, r.dist) for r in index.nearest(asked, 7).collect()} == want
+    share = index.share_read(asked, 7).first()
+    assert share.pairs == 20 * 400 and 0 < share.read <= share.pairs
+    if spread < 0.1:
+        assert share.read < 0.5 * share.pairs
+    assert Int8Index(spark, str(tmp_path / "none")).create(df.where("false")).nearest(asked, 3).count() == 0
+
+
+def brute_clusters(rows, threshold, k, least, successes=0, barred=()):
+    """One pass over the seeds in order of their ids; ``rows``: id, scope, vector, success."""
+    cos = lambda a, b: float(a @ b / ((np.linalg.norm(a) or 1) * (np.linalg.norm(b) or 1)))
+    v, won = {i: np.array(x) for i, _, x, _ in rows}, {i: w for i, _, _, w in rows}
+    taken, out = set(), set()
+    for i, scope, _, _ in sorted(rows, key=lambda r: r[0]):
+        if i in taken or i in barred:
+            continue
+        near = sorted((-round(cos(v[i], v[j]), 12), j) for j, s, _, _ in rows if j != i and s == scope)[:k]
+        members = [i]
+        for c, j in near:
+            if -c >= threshold - 1e-9 and j not in taken and all(cos(v[j], v[m]) >= threshold - 1e-12 for m in members):
+                members.append(j)
+        if len(members) >= least and sum(won[m] for m in members) >= successes:
+            taken |= set(members)
+            out |= {(scope, i, m) for m in members}
+    return out
+
+
+@pytest.mark.parametrize("threshold", [0.6, 0.9])
+@pytest.mark.parametrize("successes", [0, 2])
+def test_greedy_clusters_equal_the_pass_in_order(spark, threshold, successes):
+    from lorekeep.operators.clusters import greedy_clusters
+
+    rng = np.random.default_rng(11)
+    heads = rng.normal(size=(6, 5))
+    rows = [(int(i), ["a", "b", None][i % 3], (heads[rng.integers(0, 6)] + rng.normal(0, 0.4, 5)).tolist(), bool(rng.random() < 0.4)) for i in rng.permutation(150)]
+    df = spark.createDataFrame(rows, "id long, scope string, v array<double>, success boolean")
+    barred = list(range(0, 150, 11)) if successes else []
+    bars = spark.createDataFrame([(i,) for i in barred], "id long") if barred else None
+    got = greedy_clusters(df, threshold, neighbours=8, successes=successes, barred=bars).collect()
+    want = brute_clusters(rows, threshold, 8, 3, successes, barred)
+    assert want and {(r.scope, r.seed, r.member) for r in got} == want and len(got) == len(want)
+    assert greedy_clusters(df.where("false"), threshold).count() == 0
