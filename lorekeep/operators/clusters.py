@@ -5,7 +5,7 @@ members so far; a cluster that is large enough takes its members, a smaller one
 smaller seeds that share a free neighbour with it. So in each round every row is claimed by the smallest open seed that may take
 it, and a seed whose own row and free neighbours are all its own claims is decided at once, with the result that the pass in order
 would give. No scope, cluster or row that many have as a neighbour is one task: claims are minima, added up before they are shuffled.
-The rounds are the longest chain of seeds that wait for one another."""
+The rounds are the longest chain of seeds that wait for one another; what is left of at most ``FINISH`` rows is decided in one task."""
 
 from __future__ import annotations
 
@@ -16,6 +16,10 @@ from lorekeep.operators.vectors import nearest
 from lorekeep.session import stored
 
 
+#: Candidates of open seeds that one task decides in order.
+FINISH = 100_000
+
+
 def _similar(candidates: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
     """seed, nth, member and ``fits``: which of the seed's earlier candidates (by nth) each candidate is similar to.
 
@@ -49,6 +53,33 @@ def _gathered(c: Column) -> Column:
     return F.aggregate(F.slice(c, 2, F.size(c)), F.slice(c, 1, 1), lambda out, x: F.when(taken(out, x), F.concat(out, F.array(x))).otherwise(out))
 
 
+def _in_order(rows: DataFrame, least: int, successes: int) -> DataFrame:
+    """seed, member of a bounded number of candidates (seed, nth, member, fits, won): the pass in order."""
+    kind = dict(rows.dtypes)["seed"]
+
+    def work(batches):
+        import pyarrow as pa
+
+        own: dict = {}
+        for seed, nth, member, fits, won in sorted((r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns))), key=lambda r: r[:2]):
+            own.setdefault(seed, []).append((nth, member, set(fits), won))
+        taken, out = set(), []
+        for seed, c in own.items():
+            members = []
+            for nth, member, fits, won in c if seed not in taken else ():
+                if member not in taken and all(m[0] in fits for m in members):
+                    members.append((nth, member, won))
+            if len(members) >= least and sum(m[2] for m in members) >= successes:
+                taken.update(m[1] for m in members)
+                out += [(seed, m[1]) for m in members]
+        yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], named) for k in (0, 1)], ["seed", "member"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    named = to_arrow_type(rows.schema["seed"].dataType)
+    return rows.select("seed", "nth", "member", "fits", "won").repartition(1).mapInArrow(work, f"seed {kind}, member {kind}")
+
+
 def greedy_clusters(
     rows: DataFrame, threshold: float, *, neighbours: int = 8, least: int = 3, successes: int = 0, barred: DataFrame | None = None
 ) -> DataFrame:
@@ -67,7 +98,7 @@ def greedy_clusters(
         open_ = stored(open_.join(barred.select(F.col("id").alias("seed")), "seed", "left_anti"))
     sizes = open_.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("seed")
     open_, clusters = stored(open_.join(sizes, "seed")), None  # a seed of fewer candidates finds nothing
-    while not open_.isEmpty():
+    while (n_open := open_.count()) > FINISH:
         claims = open_.groupBy("member").agg(F.min("seed").alias("first"))
         met = open_.join(claims, "member")
         ready = met.groupBy("seed").agg(
@@ -83,6 +114,9 @@ def greedy_clusters(
         # of candidates that are gone the others don't care; a seed that has too few left is decided
         enough = left.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("seed")
         open_ = stored(left.join(enough, "seed"))
+    if n_open:
+        last = _in_order(open_, least, successes)
+        clusters = last if clusters is None else clusters.unionByName(last)
     scopes = known.select(F.col("id").alias("seed"), "scope")
     none = scopes.select("scope", "seed", F.col("seed").alias("member")).where("false")
     return none if clusters is None else clusters.join(scopes, "seed").select("scope", "seed", "member")

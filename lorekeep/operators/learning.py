@@ -50,75 +50,6 @@ def merge_candidates(new: DataFrame, old: DataFrame, threshold: float = 0.95) ->
     return found.where(F.col("sim") >= threshold).select(F.col("query").alias("new_id"), F.col("doc").alias("old_id"), "sim")
 
 
-def seed_clusters(pairs: DataFrame, order: DataFrame, least: int = 3) -> DataFrame:
-    """scope, seed, member: greedy clusters in seed order, each member in one cluster and similar to all others.
-
-    ``pairs`` (scope, a, b) are the similar pairs of a scope's bounded candidates and ``order`` (scope, id,
-    nth) their seed order. The assignment is sequential, so a scope is one Arrow group."""
-
-    def assign(key, similar, seeds):
-        import pandas as pd
-
-        near: dict = {}
-        for a, b in zip(similar["a"], similar["b"]):
-            near.setdefault(a, set()).add(b)
-            near.setdefault(b, set()).add(a)
-        taken, out = set(), []
-        rank = dict(zip(seeds["id"], seeds["nth"]))
-        for seed in seeds.sort_values("nth")["id"]:
-            if seed in taken:
-                continue
-            members = [seed]
-            for other in sorted(near.get(seed, ()), key=lambda x: rank.get(x, math.inf)):
-                if other not in taken and all(other in near.get(m, ()) for m in members):
-                    members.append(other)
-            if len(members) >= least:
-                taken.update(members)
-                out += [(key[0], seed, m) for m in members]
-        return pd.DataFrame(out, columns=["scope", "seed", "member"])
-
-    kinds = dict(order.dtypes)
-    seeds = order.select(F.col("scope").alias("of"), F.col("id").alias("id"), F.col("nth").alias("nth"))
-    similar = pairs.select(F.col("scope").alias("scope"), F.col("a").alias("a"), F.col("b").alias("b"))
-    return similar.groupBy("scope").cogroup(seeds.groupBy("of")).applyInPandas(
-        assign, f"scope {kinds['scope']}, seed {kinds['id']}, member {kinds['id']}"
-    )
-
-
-def vector_clusters(rows: DataFrame, threshold: float, least: int = 3) -> DataFrame:
-    """``seed_clusters`` of all rows (id, scope, v), seeds by id, at a cosine threshold, without a table of pairs.
-
-    Candidates are compared only with seeds and members, so memory is that of a scope's vectors; the
-    assignment is sequential, so a scope is one Arrow group (vectors of other lengths are never similar)."""
-
-    def assign(key, group):
-        import numpy as np
-        import pandas as pd
-
-        group = group.sort_values("id", kind="stable")
-        ids, v = group["id"].to_numpy(), np.array(group["v"].tolist(), dtype=np.float64)
-        length = np.linalg.norm(v, axis=1, keepdims=True)
-        v = v / np.where(length > 0, length, 1)
-        free, out = np.ones(len(ids), dtype=bool), []
-        for seed in range(len(ids)):
-            if not free[seed]:
-                continue
-            fits, members, at = free & (v @ v[seed] >= threshold), [seed], -1
-            fits[seed] = False
-            while (later := np.flatnonzero(fits[at + 1 :])).size:
-                at += 1 + int(later[0])
-                members.append(at)
-                fits &= v @ v[at] >= threshold
-            if len(members) >= least:
-                free[members] = False
-                out += [(key[0], ids[seed], ids[m]) for m in members]
-        return pd.DataFrame(out, columns=["scope", "seed", "member"])
-
-    kinds = dict(rows.dtypes)
-    known = rows.select("id", "scope", "v").where("id is not null and scope is not null and v is not null")
-    return known.groupBy("scope", F.size("v")).applyInPandas(assign, f"scope {kinds['scope']}, seed {kinds['id']}, member {kinds['id']}")
-
-
 def contrast_partners(asked: DataFrame, pool: DataFrame, threshold: float = 0.72) -> DataFrame:
     """Each asked row's most similar row of the opposite verdict within its scope: id, partner, sim."""
     side = lambda ok: F.concat_ws(" ", ok.cast("string"), F.col("scope").cast("string"))
@@ -189,19 +120,3 @@ def surprising(rows: DataFrame, share: int = 10, cap: int = 5) -> DataFrame:
     n = F.count(F.lit(1)).over(Window.partitionBy("scope"))
     ranked = rows.withColumn("nth", F.row_number().over(order)).withColumn("n", n)
     return ranked.where((F.col("nth") <= F.greatest(F.lit(1), F.floor(F.col("n") / share))) & (F.col("nth") <= cap)).drop("n")
-
-
-SKILL_MEMBERS, SKILL_SUCCESSES, COVERED = 3, 2, 0.80
-
-
-def skill_clusters(clusters: DataFrame, members: DataFrame, skills: DataFrame) -> DataFrame:
-    """seed, its successes and ``is_gold`` of the clusters (seed, member) that can become a skill: enough members (id, success,
-    gold, v) and successes among them, and no existing skill (id, v) as near to the seed as ``COVERED``."""
-    own = members.select(F.col("id").alias("member"), "success", "gold")
-    found = clusters.join(own, "member").groupBy("seed").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("success").alias("n_success"), F.max("gold").alias("is_gold")
-    )
-    fine = found.where((F.col("n") >= SKILL_MEMBERS) & (F.col("n_success") >= SKILL_SUCCESSES))
-    seeds = members.join(fine.select(F.col("seed").alias("id")), "id", "left_semi").select(F.col("id").alias("query"), F.col("v").alias("q"))
-    near = nearest(skills.select((-1 - F.col("id")).alias("doc"), "v"), seeds, 1).where(F.col("sim") >= COVERED)
-    return fine.join(near.select(F.col("query").alias("seed")), "seed", "left_anti").select("seed", "n_success", "is_gold")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions import scoring, text
-from lorekeep.operators import fts, fusion, learning, predicates, vectors
+from lorekeep.operators import clusters, fusion, learning, predicates, vectors
 from lorekeep.plans.registry import query
 from lorekeep.plans.retrieval import HYBRID, LEGS, _docs, _fused, _queries, hybrid
 from lorekeep.session import table
@@ -77,10 +77,33 @@ def _(spark, sf_dir):
     return learning.contrast_partners(pool.where("id % 20 = 0"), pool, 0.1).withColumn("sim", F.round("sim", 6))
 
 
-@query("v5_v6_w10_seed_clusters")
+def clusters_sql(threshold: float, k: int = 8, wanted: str = "true") -> str:
+    """CTEs of the clusters of ``v`` (id, scope, e, won, barred): one pass over the seeds by recursion; ``picked`` (seed, members)."""
+    return f"""sims as materialized (select a.id as seed, b.id as m, a.scope, list_cosine_similarity(a.e, b.e) as sim from v a join v b on a.scope is not distinct from b.scope and a.id <> b.id),
+  near as (select seed, m, row_number() over (partition by seed order by sim desc, m) as nth from sims qualify nth <= {k} and sim >= {threshold}),
+  alike as (select seed as a, m as b from sims where sim >= {threshold}),
+  codes as (select x.seed, x.nth, x.m, list_concat([x.nth, 0], coalesce(list(y.nth) filter (where al.a is not null), [])) as code
+    from near x left join near y on y.seed = x.seed and y.nth < x.nth left join alike al on al.a = x.m and al.b = y.m group by x.seed, x.nth, x.m),
+  seeds as materialized (select v.id as seed, row_number() over (order by v.id) as pos, barred, list_concat([v.id], coalesce(list(m order by c.nth) filter (where m is not null), [])) as ms,
+    coalesce(list(code order by c.nth) filter (where m is not null), []) as codes from v left join codes c on c.seed = v.id group by v.id, barred),
+  walk(pos, taken, seed, members) as (
+    select 0::bigint, []::bigint[], null::bigint, []::bigint[]
+    union all
+    select pos, case when fits then list_concat(taken, got) else taken end, seed, case when fits then got else [] end from (
+      select *, len(got) >= 3 and {wanted} as fits from (
+        select s.pos, w.taken, s.seed, case when s.barred or list_contains(w.taken, s.seed) then [] else list_transform(list_reduce(list_filter(s.codes, lambda x: not list_contains(w.taken, s.ms[x[1] + 1])),
+          lambda a, x: case when list_has_all(x[2:], a) then list_append(a, x[1]) else a end, [0::bigint]), lambda i: s.ms[i + 1]) end as got
+        from walk w join seeds s on s.pos = w.pos + 1))),
+  picked as (select seed, members from walk where len(members) > 0)"""
+
+
+@query(
+    "v5_v6_w10_seed_clusters",
+    f"with recursive v as (select vec_id as id, label as scope, embedding::double[] as e, false as won, false as barred from embeddings), {clusters_sql(0.2)} select v.scope, seed, unnest(members) as member from picked join v on v.id = seed",
+)
 def _(spark, sf_dir):
-    """Greedy clusters of all rows of each scope, in the order of their ids."""
-    return learning.vector_clusters(_vectors(spark, sf_dir), 0.2)
+    """Greedy exclusive clusters of each scope, in the order of their seeds, over the eight nearest rows of each."""
+    return clusters.greedy_clusters(_vectors(spark, sf_dir), 0.2)
 
 
 @query("v32_probes", f"""{M} select * from (select 'tombstone_open' as probe, count(*) filter (where status = 'tombstone' and valid_to is null) as failures from memories
@@ -186,13 +209,16 @@ def _(spark, sf_dir):
 
 @query(
     "v6_skill_clusters",
-    f"""with {VECTORS}, m as (select id, id - id % 5 as seed, id % 3 = 0 as success, id % 11 = 0 as gold, e from v where id % 5 <> 4 or id % 2 = 0),
-    c as (select seed, count(*) as n, count(*) filter (where success) as n_success, bool_or(gold) as is_gold from m group by seed having count(*) >= 3 and count(*) filter (where success) >= 2)
-    select seed, n_success, is_gold from c where seed not in (select a.id from v a join v b on b.id % 25 = 1 where list_cosine_similarity(a.e, b.e) >= 0.8)""",
+    f"""with recursive w as (select vec_id as id, embedding::double[] as e from embeddings where vec_id % 25 = 1),
+    v as (select vec_id as id, label as scope, embedding::double[] as e, vec_id % 3 = 0 as won, exists (select 1 from w where w.id <> vec_id and list_cosine_similarity(w.e, embedding::double[]) >= 0.6) as barred from embeddings),
+    {clusters_sql(0.15, 12, "len(list_filter(got, lambda i: i % 3 = 0)) >= 2")}
+    select seed, len(list_filter(members, lambda i: i % 3 = 0)) as n_success, len(list_filter(members, lambda i: i % 11 = 0)) > 0 as is_gold, len(members) as n from picked""",
 )
 def _(spark, sf_dir):
-    """Clusters of five rows with at least two successes that no skill covers; every 25th row is a skill."""
-    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    members = rows.withColumns({"success": F.col("id") % 3 == 0, "gold": F.col("id") % 11 == 0})
-    clusters = rows.where("id % 5 <> 4 or id % 2 = 0").select((F.col("id") - F.col("id") % 5).alias("seed"), F.col("id").alias("member"))
-    return learning.skill_clusters(clusters, members, rows.where("id % 25 = 1"))
+    """Clusters that can become a skill: three members, two of them successes, and no skill as near to the seed; every 25th row is a skill."""
+    rows = _vectors(spark, sf_dir).withColumns({"success": F.col("id") % 3 == 0, "gold": F.col("id") % 11 == 0})
+    skills = rows.where("id % 25 = 1").select(F.col("id").alias("doc"), "v")
+    covered = vectors.nearest(skills, rows.select(F.col("id").alias("query"), F.col("v").alias("q")), 1).where("sim >= 0.6").select(F.col("query").alias("id"))
+    found = clusters.greedy_clusters(rows, 0.15, neighbours=12, successes=2, barred=covered)
+    own = rows.select(F.col("id").alias("member"), "success", "gold")
+    return found.join(own, "member").groupBy("seed").agg(F.count_if("success").alias("n_success"), F.max("gold").alias("is_gold"), F.count(F.lit(1)).alias("n"))

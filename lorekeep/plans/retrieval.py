@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions import scoring, text
-from lorekeep.operators import fts, fusion, graph, grams, predicates, sessions, vectors
+from lorekeep.operators import ann, fts, fusion, graph, grams, predicates, sessions, vectors
 from lorekeep.operators.inverted import InvertedIndex
 from lorekeep.operators.ranking import numbered
 from lorekeep.plans import registry
@@ -234,23 +235,77 @@ def _(spark, sf_dir):
     return graph.co_mentioned(m, m.where("memory % 97 = 0").select(F.col("memory").alias("node")).distinct(), 50)
 
 
+def edge_pagerank_sql(rounds: int = graph.ROUNDS, damping: float = graph.DAMPING) -> str:
+    """CTEs of a personal PageRank over ``g`` (query, entity, memory) and ``edges`` (query, a, b, w) from ``seeds`` (query, node): ``ppr``."""
+    steps = f"""deg as materialized (select *, count(*) over (partition by query, entity) - 1 as d from g),
+  paired as materialized (select query, a, b, sum(w) as w from (select query, a, b, w from edges where a <> b union all select query, b, a, w from edges where a <> b) group by all),
+  outs as (select query, node, sum(o) as out from (select query, memory as node, d::double as o from deg union all select query, a, w from paired) group by all having sum(o) > 0),
+  inn as (select o.*, s.node is not null as is_seed from outs o left join seeds s on s.query = o.query and s.node = o.node),
+  nodes as materialized (select *, case when count(*) filter (where is_seed) over (partition by query) = 0 then 1.0 / count(*) over (partition by query)
+    when is_seed then 1.0 / count(*) filter (where is_seed) over (partition by query) else 0.0 end::double as start from inn),
+  p0 as materialized (select query, node, start as share from nodes)"""
+    for i in range(rounds):
+        steps += f""",
+  w{i} as materialized (select n.query, n.node, share / out as flow from p{i} p join nodes n using (query, node)),
+  e{i} as (select d.query, entity, memory, flow, sum(flow) over (partition by d.query, entity) - flow as got from deg d join w{i} f on f.query = d.query and f.node = memory where d > 0),
+  i{i} as (select query, node, sum(x) as x from (select query, memory as node, got as x from e{i} union all select b.query, b.b, b.w * flow from paired b join w{i} f on f.query = b.query and f.node = b.a) group by all),
+  p{i + 1} as materialized (select n.query, n.node, {1 - damping} * start + {damping} * coalesce(x, 0) as share from nodes n left join i{i} using (query, node))"""
+    return steps + f""",
+  ppr as (select query, node, round(share, 9) as score from p{rounds} join nodes n using (query, node) where not is_seed and share > 0)"""
+
+
+#: Live edges between an order and the customer's order before it; those of finished orders are closed.
+EDGES_SQL = """chain as (select o_orderkey as b, lag(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as a, 1.0::double - (o_orderkey % 5)::double / 10 as w, o_orderstatus <> 'F' as live from orders),
+    edges as materialized (select x.query, c.a, c.b, c.w from chain c join (select distinct query, memory from g) x on x.memory = c.a join (select distinct query, memory from g) y on y.memory = c.b and y.query = x.query where live)"""
+
+
+def _live_edges(spark, sf_dir):
+    """a, b and weight: orders of one customer that follow each other, by confidence; edges of finished orders are closed."""
+    before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("b"), before.alias("a"), (F.lit(1.0) - (F.col("o_orderkey") % 5) / 10).alias("weight"), "o_orderstatus")
+    return rows.where("o_orderstatus <> 'F' and a is not null").select("a", "b", "weight")
+
+
 @query(
     "r9_pagerank_leg",
     f"""with g as materialized (select distinct l_suppkey as query, l_partkey as entity, l_orderkey as memory from lineitem),
-    seeds as materialized (select query, memory as node from (select distinct query, memory from g) qualify row_number() over (partition by query order by memory) <= 5), {pagerank_sql()}
-    select query, node, score from ppr""",
+    seeds as materialized (select query, memory as node from (select distinct query, memory from g) qualify row_number() over (partition by query order by memory) <= 5),
+    {EDGES_SQL}, {edge_pagerank_sql()}
+    select query, node, score from ppr where score > 0""",
 )
 def _(spark, sf_dir):
-    """For each supplier, all its orders linked by shared parts; its smallest orders are the seeds."""
-    from pyspark.sql import Window
-
-    sold = table(spark, sf_dir, "lineitem").select(
-        F.col("l_suppkey").alias("query"), F.col("l_partkey").alias("entity"), F.col("l_orderkey").alias("memory")
-    )
+    """For each supplier, all its orders linked by shared parts and by live edges; its smallest orders are the seeds."""
+    sold = stored(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("query"), F.col("l_partkey").alias("entity"), F.col("l_orderkey").alias("memory")).distinct())
+    own = sold.select("query", "memory").distinct()
     nth = F.row_number().over(Window.partitionBy("query").orderBy("memory"))
-    seeds = sold.select("query", "memory").distinct().withColumn("nth", nth).where("nth <= 5")
-    ranked = graph.mention_pagerank(sold, seeds.select("query", F.col("memory").alias("node")))
-    return ranked.withColumn("score", F.round("score", 9))
+    seeds = own.withColumn("nth", nth).where("nth <= 5").select("query", F.col("memory").alias("node"))
+    edges = _live_edges(spark, sf_dir).join(own.withColumnRenamed("memory", "a"), "a")
+    edges = edges.join(own.withColumnRenamed("memory", "b"), ["query", "b"]).select("query", "a", "b", "weight")
+    ranked = graph.personal_pagerank(sold, edges, seeds)
+    return ranked.withColumn("score", F.round("score", 9)).where("score > 0")
+
+
+INT8 = "int8 as materialized (select vec_id, list_transform(embedding, lambda x: greatest(-127, least(127, round_even(x::double * 127, 0)))::double) as b from embeddings)"
+
+
+def _int8_index(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc"), F.col("embedding").alias("v"))
+    return built(spark, "int8", [rows], lambda path: ann.Int8Index(spark, path).create(rows))
+
+
+@query(
+    "r6_o2_int8_neighbours",
+    f"""with {CURRENT}, {INT8}, k as (select q.vec_id as query, d.vec_id as doc, (list_inner_product(q.b, q.b) + list_inner_product(d.b, d.b) - 2 * list_inner_product(q.b, d.b))::bigint as dist
+      from int8 q join int8 d on q.vec_id <> d.vec_id where q.vec_id % 20 = 0 qualify row_number() over (partition by q.vec_id order by dist, d.vec_id) <= {3 * K})
+    select query, doc, dist, row_number() over (partition by query order by dist, doc)::int as rank from k where doc in (select doc from docs) qualify rank <= {K}""",
+)
+def _(spark, sf_dir):
+    """Three times as many int8 neighbours as are asked for, by whole L2 distances, of which the current memories stay."""
+    asked = table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
+    near = _int8_index(spark, sf_dir).nearest(asked, 3 * K).select("query", "doc", "dist")
+    kept = near.join(_docs(spark, sf_dir).select("doc"), "doc", "left_semi")
+    order = Window.partitionBy("query").orderBy("dist", "doc")
+    return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= K).select("query", "doc", "dist", "rank")
 
 
 @query(
@@ -437,8 +492,6 @@ def _(spark, sf_dir):
     r as (select section, doc, row_number() over (partition by section order by a desc, valid_from desc, doc)::int as nth from s) select section, doc, nth from r where nth <= 8""",
 )
 def _(spark, sf_dir):
-    from pyspark.sql import Window
-
     docs = _docs(spark, sf_dir)
     part = lambda name, keep, by: docs.where(keep).select(F.lit(name).alias("section"), "doc", F.col(by).alias("a"), "valid_from")
     rows = part("warnings", F.col("kind") == "warning", "harmful").unionByName(part("pinned", F.col("pinned"), "helpful"))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lorekeep.operators import chains, learning, queues, recall, skills, sync, vectors
+from lorekeep.operators import chains, queues, recall, skills, sync, vectors
 from lorekeep.operators.ranking import numbered
 
 
@@ -88,11 +88,3 @@ def test_skills_are_promoted_once_their_file_is_there(spark, tmp_path):
     made = skills.forged(spark.createDataFrame(rows, "name string, description string, steps array<string>"))
     assert [(r.name, r.document.split("\n")[-1]) for r in made.collect()] == [("my-skill", "- b")]
     assert [tuple(r) for r in skills.promoted(spark, made, str(tmp_path / "s")).collect()] == [("my-skill", "promoted")]
-
-
-def test_covered_clusters_are_no_skills(spark):
-    members = [(i, i != 2, i == 1, [1.0, 0.0]) for i in range(3)] + [(10 + i, True, False, [0.0, 1.0]) for i in range(3)]
-    df = spark.createDataFrame(members, "id long, success boolean, gold boolean, v array<double>")
-    clusters = df.select(F.when(F.col("id") < 10, 0).otherwise(10).cast("long").alias("seed"), F.col("id").alias("member"))
-    skill = spark.createDataFrame([(0, [0.1, 0.9])], "id long, v array<double>")
-    assert [tuple(r) for r in learning.skill_clusters(clusters, df, skill).collect()] == [(0, 2, True)]

@@ -135,15 +135,6 @@ def test_small_parsers(spark):
     assert get(text.json_span(lit('so:\n```json\n{"a": [1]}\n```'))) == '{"a": [1]}' and get(text.json_span(lit("none"))) is None
 
 
-def test_seed_clusters_are_greedy_and_exclusive(spark):
-    from lorekeep.operators.learning import seed_clusters
-
-    pairs = spark.createDataFrame([("s", a, b) for a, b in [(1, 2), (1, 3), (2, 3), (3, 4), (4, 5), (3, 5)]], "scope string, a int, b int")
-    order = spark.createDataFrame([("s", i, i) for i in range(1, 7)], "scope string, id int, nth int")
-    got = sorted((r.seed, r.member) for r in seed_clusters(pairs, order).collect())
-    assert got == [(1, 1), (1, 2), (1, 3)]
-
-
 def test_pairs_outliers_and_merges_take_every_row(spark, tmp_path):
     from lorekeep.plans import insight, registry, retrieval  # noqa: F401
 
@@ -155,35 +146,6 @@ def test_pairs_outliers_and_merges_take_every_row(spark, tmp_path):
     assert {r.new_id for r in got["v2_j21_all_merge_candidates"]} == set(range(1, 41))
 
 
-def test_clusters_of_all_rows_equal_those_of_pairs(spark):
-    import numpy as np
-
-    from lorekeep.operators import learning
-
-    rng = np.random.default_rng(3)
-    centres = rng.normal(size=(60, 4))
-    rows = [(i, i % 2, [float(x) for x in centres[i % 60] + rng.normal(size=4) / 3]) for i in range(900)]
-    v = np.array([r[2] for r in rows])
-    v /= np.linalg.norm(v, axis=1, keepdims=True)
-    near = v @ v.T >= 0.9
-    pairs = [(s, a, b) for s in (0, 1) for a in range(s, 900, 2) for b in range(a + 2, 900, 2) if near[a, b]]
-    df = spark.createDataFrame(rows, "id long, scope long, v array<double>")
-    order = df.select("scope", "id", F.col("id").alias("nth"))
-    want = learning.seed_clusters(spark.createDataFrame(pairs, "scope long, a long, b long"), order).collect()
-    got = learning.vector_clusters(df, 0.9).collect()
-    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
-    assert max(r.member for r in got) >= 400  # beyond the first 200 rows of either scope
-
-
-def test_registered_clusters_take_all_rows(spark, tmp_path):
-    from lorekeep.plans import insight, registry  # noqa: F401
-
-    rows = [(i, 0, [1.0, 0.0] if i >= 250 else [float(i % 2), -1.0]) for i in range(260)]
-    spark.createDataFrame(rows, "vec_id long, label long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
-    got = registry.queries()["v5_v6_w10_seed_clusters"](spark, str(tmp_path)).collect()
-    assert {r.member for r in got} == set(range(260))
-
-
 def test_pagerank_over_mentions_equals_that_over_all_edges(spark):
     rows = [(1, e, 7 * e % 5 + 5 * m) for e in range(9) for m in range(0, 90, 1 + e)] + [(1, 99, m) for m in range(450)] + [(2, 1, 3), (2, 1, 4)]
     df = spark.createDataFrame(rows, "query int, entity int, memory long")

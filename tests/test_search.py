@@ -158,11 +158,13 @@ def brute_clusters(rows, threshold, k, least, successes=0, barred=()):
     return out
 
 
-@pytest.mark.parametrize("threshold", [0.6, 0.9])
+@pytest.mark.parametrize("threshold,finish", [(0.6, 0), (0.9, 0), (0.6, 300), (0.9, 100_000)])
 @pytest.mark.parametrize("successes", [0, 2])
-def test_greedy_clusters_equal_the_pass_in_order(spark, threshold, successes):
+def test_greedy_clusters_equal_the_pass_in_order(spark, monkeypatch, threshold, finish, successes):
+    from lorekeep.operators import clusters
     from lorekeep.operators.clusters import greedy_clusters
 
+    monkeypatch.setattr(clusters, "FINISH", finish)
     rng = np.random.default_rng(11)
     heads = rng.normal(size=(6, 5))
     rows = [(int(i), ["a", "b", None][i % 3], (heads[rng.integers(0, 6)] + rng.normal(0, 0.4, 5)).tolist(), bool(rng.random() < 0.4)) for i in rng.permutation(150)]
@@ -173,3 +175,50 @@ def test_greedy_clusters_equal_the_pass_in_order(spark, threshold, successes):
     want = brute_clusters(rows, threshold, 8, 3, successes, barred)
     assert want and {(r.scope, r.seed, r.member) for r in got} == want and len(got) == len(want)
     assert greedy_clusters(df.where("false"), threshold).count() == 0
+
+
+def brute_pagerank(mentions, edges, seeds, rounds=25, damping=0.5):
+    out = {}
+    for q in {m[0] for m in mentions} | {e[0] for e in edges}:
+        w = Counter()
+        by = {}
+        for _, entity, memory in {m for m in mentions if m[0] == q}:
+            by.setdefault(entity, []).append(memory)
+        for group in by.values():
+            for a in group:
+                for b in group:
+                    if a != b:
+                        w[a, b] += 1.0
+        for _, a, b, x in (e for e in edges if e[0] == q and e[1] != e[2]):
+            w[a, b] += x
+            w[b, a] += x
+        total = Counter()
+        for (a, _), x in w.items():
+            total[a] += x
+        first = {s for p, s in seeds if p == q}
+        base = (first & set(total)) or set(total)
+        start = {n: (1 / len(base) if n in base else 0.0) for n in total}
+        share = dict(start)
+        for _ in range(rounds):
+            after = {n: (1 - damping) * start[n] for n in total}
+            for (a, b), x in w.items():
+                after[b] += damping * share[a] * x / total[a]
+            share = after
+        out |= {(q, n): x for n, x in share.items() if n not in first and x > 0}
+    return out
+
+
+@pytest.mark.parametrize("grouped", [200_000, 60, 0])
+def test_pagerank_of_mentions_and_edges_equals_brute_force(spark, monkeypatch, grouped):
+    from lorekeep.operators import graph
+
+    monkeypatch.setattr(graph, "GROUPED", grouped)
+    rng = np.random.default_rng(12)
+    mentions = [(int(q), f"e{rng.integers(0, 9)}", int(rng.integers(0, 25))) for q in range(4) for _ in range(20 + 30 * q)] + [(9, "alone", 1)]
+    edges = [(int(q), int(rng.integers(0, 30)), int(rng.integers(0, 30)), float(rng.random())) for q in range(5) for _ in range(6)]
+    seeds = [(q, n) for q in range(3) for n in (1, 5, 77)] + [(3, 99), (4, int(edges[-1][1])), (9, 1)]
+    got = graph.personal_pagerank(
+        spark.createDataFrame(mentions, "query long, entity string, memory long"), spark.createDataFrame(edges, "query long, a long, b long, weight double"), spark.createDataFrame(seeds, "query long, node long")
+    ).collect()
+    want = brute_pagerank(mentions, edges, seeds)
+    assert {(r.query, r.node) for r in got} == set(want) and all(abs(r.score - want[r.query, r.node]) < 1e-12 for r in got)
