@@ -129,24 +129,6 @@ def _(spark, sf_dir):
     return fts.top_k(found.withColumn("score", F.round("score", 6)), 10).select("query", "doc", "score")
 
 
-@query(
-    "r34_deep_recall",
-    f"""{'with ' + MEMORIES_SQL}, cur as (select id, content, scope_user, trust_tier, source, helpful from memories where {CURRENT_SQL}), top as (select *, row_number() over (partition by source order by helpful desc, id) as nth from cur qualify nth <= 3),
-    near as (select t.source, c.id, row_number() over (partition by t.source order by c.id) as nth from (select source, max(id) as last from top group by source) t join cur c on c.source = t.source where c.id not in (select id from top) and (c.scope_user is null or c.scope_user = 'u1') qualify nth <= 6)
-    select source, id, length(content)::bigint as n_chars, false as neighbour from top union all select source, id, null, true from near""",
-)
-def _(spark, sf_dir):
-    """Full text of the three best memories of a source, and up to six visible neighbours that share it."""
-    from pyspark.sql import Window
-
-    cur = memories(spark, sf_dir).where(predicates.current_truth(now())).select("id", "content", "scope_user", "source", "helpful")
-    best = cur.withColumn("nth", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("helpful"), "id"))).where("nth <= 3")
-    seen = F.col("scope_user").isNull() | (F.col("scope_user") == "u1")
-    rest = cur.where(seen).join(best.select("id"), "id", "left_anti").withColumn("nth", F.row_number().over(Window.partitionBy("source").orderBy("id")))
-    full = best.select("source", "id", F.length("content").cast("long").alias("n_chars"), F.lit(False).alias("neighbour"))
-    return full.unionByName(rest.where("nth <= 6").select("source", "id", F.lit(None).cast("long").alias("n_chars"), F.lit(True).alias("neighbour")))
-
-
 @query("t17_due", "select user_id as name, max(ts) filter (where event_type = 'purchase') is null or max(ts) filter (where event_type = 'purchase') + interval 6 hour < timestamp '2024-01-15' as due from events group by 1")
 def _(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("name"), F.when(F.col("event_type") == "purchase", F.col("ts")).alias("finished_at"))

@@ -178,18 +178,6 @@ def _(spark, sf_dir):
     return rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= limit).select("id", "kind")
 
 
-@query("r25_guidance_scores", f"""{M}, w as (select id, kind, helpful, harmful, helpful + harmful as n, case when helpful + harmful > 0 then helpful::double / (helpful + harmful) end as p from memories where kind in ('strategy', 'case')),
-  s as (select id, kind, n, helpful, harmful, case when n > 0 then greatest(0.0, (p + 3.8414588206941236 / (2 * n) - 1.959963984540054 * sqrt(p * (1 - p) / n + 3.8414588206941236 / (4.0 * n * n))) / (1 + 3.8414588206941236 / n)) else 0.0 end as low from w)
-  select id, round(case kind when 'case' then 0.8 * 1.15 else 0.8 * (0.5 + 0.5 * low) end::double, 6) as score from s where not (kind = 'strategy' and n >= 5 and harmful > helpful)""")
-def _(spark, sf_dir):
-    rows = memories(spark, sf_dir).where(F.col("kind").isin("strategy", "case")).withColumn("n", F.col("helpful") + F.col("harmful"))
-    low = scoring.wilson_bounds(F.col("helpful"), F.col("n"))[0]
-    sim = F.lit(0.8)
-    scored = F.when(F.col("kind") == "case", sim * 1.15).otherwise(sim * (F.lit(0.5) + low * 0.5))
-    bad = (F.col("kind") == "strategy") & (F.col("n") >= 5) & (F.col("harmful") > F.col("helpful"))
-    return rows.where(~bad).select("id", F.round(scored, 6).alias("score"))
-
-
 @query("u3_jaccard", r"""with t as (select doc_id, lang, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) as w from documents)
   select a.doc_id as a, b.doc_id as b, round(len(list_intersect(a.w, b.w))::double / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 6) as jaccard from t a join t b on a.doc_id + 100 = b.doc_id""")
 def _(spark, sf_dir):
@@ -274,11 +262,3 @@ def _(spark, sf_dir):
     new = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
     have = table(spark, sf_dir, "part").where("p_size < 3").select(F.col("p_partkey").alias("dst"))
     return new.join(have, "dst", "left_anti").select("src", "dst")
-
-
-@query("k25_k26_recall_counts", f"{O}, l as (select turn_id, session_id, lead(turn_id) over (partition by session_id order by created_at, turn_id) as resolved_by from outcomes) select turn_id, resolved_by, count(*) over (partition by session_id) as recalls from l")
-def _(spark, sf_dir):
-    order = Window.partitionBy("session_id").orderBy("created_at", "turn_id")
-    return outcomes(spark, sf_dir).select(
-        "turn_id", F.lead("turn_id").over(order).alias("resolved_by"), F.count(F.lit(1)).over(Window.partitionBy("session_id")).alias("recalls")
-    )

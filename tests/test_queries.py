@@ -2,7 +2,7 @@
 
 import pytest
 
-from lorekeep.plans import agents, functions, history, insight, queues, registry, retrieval, rollups, rows, search, stores, surfaces  # noqa: F401
+from lorekeep.plans import agents, functions, history, insight, queues, registry, retrieval, rollups, rows, seams, search, stores, surfaces  # noqa: F401
 from tests.conftest import SMALL
 from tests.oracle import assert_same, connect
 
