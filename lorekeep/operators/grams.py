@@ -14,9 +14,8 @@ SIZE, GRANULE, FOLDERS = 3, 32, 16
 
 
 def grams(text: Column, size: int = SIZE) -> Column:
-    """The distinct runs of ``size`` characters of a text; none if it is shorter."""
-    starts = F.sequence(F.lit(1), F.length(text) - size + 1)
-    return F.when(F.length(text) >= size, F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(size))))).otherwise(F.array().cast("array<string>"))
+    """The distinct runs of ``size`` characters of a text, found in one pass over it; none if it is shorter."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
 
 
 def _granule(doc: str) -> Column:
