@@ -147,5 +147,7 @@ def test_registered_pagerank_takes_all_orders(spark, tmp_path):
 
     rows = [(1, 1, m) for m in range(450)]
     spark.createDataFrame(rows, "l_suppkey long, l_partkey long, l_orderkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    orders = spark.createDataFrame([(m, m % 7, "O") for m in range(450)], "o_orderkey long, o_custkey long, o_orderstatus string")
+    orders.withColumn("o_orderdate", F.current_date()).write.parquet(f"{tmp_path}/orders.parquet")
     got = registry.queries()["r9_pagerank_leg"](spark, str(tmp_path)).collect()
     assert {r.node for r in got} == set(range(5, 450))
