@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 OPS = ("create", "supersede", "tombstone", "purge")
@@ -27,9 +27,9 @@ def last_writer_wins(local: DataFrame, remote: DataFrame) -> DataFrame:
 
 def applied_once(events: DataFrame, seen: DataFrame) -> DataFrame:
     """Events whose uid hasn't been applied before, one for each uid (the first by id)."""
-    order = Window.partitionBy("uid").orderBy("event_id")
     fresh = events.join(seen.select("uid").distinct(), "uid", "left_anti")
-    return fresh.withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth")
+    first = F.min_by(F.struct(*[c for c in fresh.columns if c != "uid"]), F.struct("event_id"))  # added up before it is shuffled
+    return fresh.groupBy("uid").agg(first.alias("r")).select("uid", "r.*").select(*fresh.columns)
 
 
 def remapped(rows: DataFrame, ids: DataFrame, columns: list[str]) -> DataFrame:

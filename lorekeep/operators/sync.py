@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.operators.cdc import applied_once
+from lorekeep.operators.ranking import numbered
 
 #: Fixed bounds of a relay.
 MAX_BLOBS, MAX_BLOB_CHARS, DEFAULT_LIMIT, MAX_LIMIT = 10_000, 4 * 1024 * 1024, 500, 5_000
@@ -22,11 +23,12 @@ def opened(blob: Column, key: bytes, namespace: Column) -> Column:
 
 
 def appended(log: DataFrame, blobs: DataFrame, *order: str) -> DataFrame:
-    """The log (namespace, seq, blob) with new (namespace, blob) rows behind its last number, in ``order``."""
+    """The log (namespace, seq, blob) with new (namespace, blob) rows behind its last number, in ``order``.
+
+    The new rows are sealed and numbered once, in ranges, so a large namespace is no single task."""
     high = log.groupBy("namespace").agg(F.max("seq").alias("high"))
-    nth = F.row_number().over(Window.partitionBy("namespace").orderBy(*order))
     checked = blobs.withColumn("blob", F.when(F.length("blob") <= MAX_BLOB_CHARS, F.col("blob")).otherwise(F.raise_error(F.lit("an envelope is too long"))))
-    new = checked.withColumn("nth", nth).join(high, "namespace", "left")
+    new = numbered(checked, *order, by="namespace").join(high, "namespace", "left")
     return log.unionByName(new.select("namespace", (F.coalesce("high", F.lit(0)) + F.col("nth")).cast("long").alias("seq"), "blob"))
 
 
@@ -37,6 +39,13 @@ def since(log: DataFrame, namespace: str, cursor: int, limit: int = DEFAULT_LIMI
     return log.where((F.col("namespace") == namespace) & (F.col("seq") > low) & (F.col("seq") <= low + size))
 
 
+def paged(log: DataFrame, namespace: str, limit: int = DEFAULT_LIMIT) -> DataFrame:
+    """All envelopes of a namespace with the ``page`` (from 0) that ``since`` gives each in, page after page, by one read of the log."""
+    size = min(limit if limit > 0 else DEFAULT_LIMIT, MAX_LIMIT)
+    own = log.where((F.col("namespace") == namespace) & (F.col("seq") > 0))
+    return own.withColumn("page", F.floor((F.col("seq") - 1) / size))
+
+
 def pushed(events: DataFrame, key: bytes, namespace: str) -> DataFrame:
     """Envelopes (namespace, blob, ts, event_id) of the events that aren't synced yet."""
     own = events.where("synced_at is null").withColumn("namespace", F.lit(namespace))

@@ -66,6 +66,20 @@ def test_envelopes_open_only_with_their_key_and_namespace(spark):
         sync.appended(log, long, "blob").collect()
 
 
+def test_all_pages_of_a_namespace_are_one_read(spark):
+    rows = [("n" if i % 4 else "m", str(i), i) for i in range(200)] + [(None, "x", 1), (None, "y", 2)]
+    new = spark.createDataFrame(rows, "namespace string, blob string, at long")
+    log = sync.appended(spark.createDataFrame([("n", 3, "old")], "namespace string, seq long, blob string"), new, "at")
+    got = {(r.namespace, r.blob): r.seq for r in log.collect()}
+    of_n = sorted(i for i in range(200) if i % 4)
+    assert {b: s for (n, b), s in got.items() if n == "n"} == {str(i): k + 4 for k, i in enumerate(of_n)} | {"old": 3}
+    assert (got[None, "x"], got[None, "y"], got["m", "0"], got["m", "196"]) == (1, 2, 1, 50)
+    pages = sync.paged(log, "n", 60)
+    for page in range(3):
+        assert {r.seq for r in pages.where(f"page = {page}").collect()} == {r.seq for r in sync.since(log, "n", 60 * page, 60).collect()}
+    assert pages.count() == 151 and len(pages.inputFiles()) == len(set(pages.inputFiles()))
+
+
 def test_cache_tiers_in_order(spark):
     v = [[1.0, 0.0], [0.0, 1.0], [0.99, 0.05]]
     cached = spark.createDataFrame([(1, "Hello big world", v[0]), (2, " hello  BIG world ", v[1])], "entry long, text string, v array<double>")
