@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.functions.text import normalised
+from lorekeep.functions.text import edged, normalised
 from lorekeep.operators.vectors import nearest
 
 MAX_LESSON_WORDS, MAX_FIELD, NOVELTY, EDGE_CONFIDENCE = 140, 300, 0.92, 0.8
 # Fixed pattern of operational narration in a lesson.
-NARRATION = (
-    r"(?i)\b(?:created|made|pushed|amended|rebased|squashed)\s+(?:the\s+)?commit\b"
-    r"|\b(?:branch|deployment|pull request|pr\s*#?\d+|ci)\b.{0,100}\b(?:is|was|are|were|waiting|blocked|open|closed|passed|failed|green|red)\b"
+NARRATION = edged(
+    r"(?iu)\b(?:created|made|pushed|amended|rebased|squashed)[\t\n\f\r ]+(?:the[\t\n\f\r ]+)?commit\b"
+    r"|\b(?:branch|deployment|pull request|pr[\t\n\f\r ]*#?\d+|ci)\b[^\n]{0,100}\b(?:is|was|are|were|waiting|blocked|open|closed|passed|failed|green|red)\b"
 )
 
 
@@ -21,7 +21,7 @@ def specific(proposals: DataFrame, members: DataFrame, entities: DataFrame) -> D
     citation of a member (id, uid, content), and an entity that is known (``entities``: entity) or stands in a member.
 
     The result has the proposal with only its valid ``cites``."""
-    words = F.size(F.filter(F.split(F.col("content"), r"\s+"), lambda w: w != ""))
+    words = F.size(F.filter(F.split(F.col("content"), r"[\t\n\f\r ]+"), lambda w: w != ""))
     shaped = proposals.withColumns({"content": F.trim("content"), "entity": F.trim(F.coalesce("entity", F.lit("")))})
     shaped = shaped.where((F.col("content") != "") & (words <= MAX_LESSON_WORDS) & ~F.col("content").rlike(NARRATION) & F.col("actionable") & (F.col("entity") != ""))
     own = members.select("id", "uid", F.lower("content").alias("said"))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lorekeep.operators import chains, queues, recall, skills, sync, vectors
+from lorekeep.operators import chains, proposals, queues, recall, skills, sync, vectors
 from lorekeep.operators.ranking import numbered
 
 
@@ -102,3 +102,16 @@ def test_skills_are_promoted_once_their_file_is_there(spark, tmp_path):
     made = skills.forged(spark.createDataFrame(rows, "name string, description string, steps array<string>"))
     assert [(r.name, r.document.split("\n")[-1]) for r in made.collect()] == [("my-skill", "- b")]
     assert [tuple(r) for r in skills.promoted(spark, made, str(tmp_path / "s")).collect()] == [("my-skill", "promoted")]
+
+
+def test_words_of_a_lesson_end_where_ascii_words_do(spark):
+    said = ["la queñcióncique was here", "óci el. It was", "Nascia was red", "ci\n was red", "ci\r was red", "the cI waſ red", "pr\x0b#1 is open"]
+    made = spark.createDataFrame([(i, t, True, ["u"], "en") for i, t in enumerate(said)], "id long, content string, actionable boolean, cites array<string>, entity string")
+    members = spark.createDataFrame([(i, "u", t) for i, t in enumerate(said)], "id long, uid string, content string")
+    kept = {r.id for r in proposals.specific(made, members, spark.createDataFrame([("EN",)], "entity string")).collect()}
+    import duckdb
+
+    con = duckdb.connect()
+    pattern = r"(?i)\b(?:created|made|pushed|amended|rebased|squashed)\s+(?:the\s+)?commit\b|\b(?:branch|deployment|pull request|pr\s*#?[0-9]+|ci)\b.{0,100}\b(?:is|was|are|were|waiting|blocked|open|closed|passed|failed|green|red)\b"
+    assert kept == {i for i, t in enumerate(said) if not con.execute("select regexp_matches(?, ?)", [t, pattern]).fetchone()[0]}
+    assert 0 not in kept and 2 in kept
