@@ -115,3 +115,22 @@ def test_words_of_a_lesson_end_where_ascii_words_do(spark):
     pattern = r"(?i)\b(?:created|made|pushed|amended|rebased|squashed)\s+(?:the\s+)?commit\b|\b(?:branch|deployment|pull request|pr\s*#?[0-9]+|ci)\b.{0,100}\b(?:is|was|are|were|waiting|blocked|open|closed|passed|failed|green|red)\b"
     assert kept == {i for i, t in enumerate(said) if not con.execute("select regexp_matches(?, ?)", [t, pattern]).fetchone()[0]}
     assert 0 not in kept and 2 in kept
+
+
+def test_groups_of_blocks_are_bounded_and_copied_as_they_are(spark, monkeypatch):
+    for name, n in (("BLOCK", 7), ("BATCH", 3), ("GROUP", 2), ("FEW", 2), ("SLICE", 2)):
+        monkeypatch.setattr(vectors, name, n, raising=False)
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=4).astype(np.float32).tolist()) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc long, v array<float>")
+    near = vectors.nearest(df, df.withColumnsRenamed({"doc": "query", "v": "q"}), 3)
+    v = np.array([r[1] for r in rows])
+    length = np.linalg.norm(v, axis=1)
+    sims = v @ v.T / np.outer(np.where(length > 0, length, 1), np.where(length > 0, length, 1))
+    want = {(i, n): j for i in range(80) for n, (_, j) in enumerate(sorted((-round(sims[i, j], 9), j) for j in range(80) if j != i)[:3], 1)}
+    assert {(r.query, r["rank"]): r.doc for r in near.collect()} == want
+    pairs = vectors.similar_pairs(df, 0.713)
+    assert {(r.a, r.b) for r in pairs.collect()} == {(i, j) for i in range(80) for j in range(i + 1, 80) if sims[i, j] >= 0.713}
+    for made in (near, pairs):  # a group of blocks is one step of a task; rows that hold blocks are not joined, nor widened
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapCoGroupsInArrow" in plan and "array<double>" not in plan
