@@ -20,12 +20,17 @@ from lorekeep.session import stored
 FINISH = 100_000
 
 
+def _met(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """A join of tables that both grow with the rows: neither goes through the driver, however small a round leaves it."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def _similar(candidates: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
     """seed, nth, member and ``fits``: which of the seed's earlier candidates (by nth) each candidate is similar to.
 
     A seed has as many candidates as it has neighbours, a fixed number, so their comparisons stay in its row."""
     v = rows.select(F.col("id").alias("member"), "v")
-    group = candidates.join(v, "member").groupBy("seed").agg(F.sort_array(F.collect_list(F.struct("nth", "member", "v"))).alias("c"))
+    group = _met(candidates, v, "member").groupBy("seed").agg(F.sort_array(F.collect_list(F.struct("nth", "member", "v"))).alias("c"))
 
     def work(batches):
         import numpy as np
@@ -93,14 +98,14 @@ def greedy_clusters(
     own = known.select(F.col("id").alias("seed"), F.lit(0).alias("nth"), F.col("id").alias("member"))
     flag = F.col("success").cast("int") if successes else F.lit(0)
     flags = known.select(F.col("id").alias("member"), flag.alias("won"))
-    open_ = stored(_similar(found.unionByName(own), known, threshold).join(flags, "member"))
+    open_ = stored(_met(_similar(found.unionByName(own), known, threshold), flags, "member"))
     if barred is not None:
-        open_ = stored(open_.join(barred.select(F.col("id").alias("seed")), "seed", "left_anti"))
+        open_ = stored(_met(open_, barred.select(F.col("id").alias("seed")), "seed", "left_anti"))
     sizes = open_.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("seed")
-    open_, clusters = stored(open_.join(sizes, "seed")), None  # a seed of fewer candidates finds nothing
+    open_, clusters = stored(_met(open_, sizes, "seed")), None  # a seed of fewer candidates finds nothing
     while (n_open := open_.count()) > FINISH:
         claims = open_.groupBy("member").agg(F.min("seed").alias("first"))
-        met = open_.join(claims, "member")
+        met = _met(open_, claims, "member")
         ready = met.groupBy("seed").agg(
             F.min((F.col("first") == F.col("seed")).cast("int")).alias("mine"), F.sort_array(F.collect_list(F.struct("nth", "member", "fits", "won"))).alias("c")
         )
@@ -109,14 +114,14 @@ def greedy_clusters(
         decided = stored(ready.select("seed", F.when(whole, F.transform("m", lambda x: x["member"])).alias("members")))
         part = decided.where("members is not null").select("seed", F.explode("members").alias("member"))
         clusters = part if clusters is None else clusters.unionByName(part)
-        left = open_.join(decided.select("seed"), "seed", "left_anti").join(part.select("member"), "member", "left_anti")
-        left = left.join(part.select(F.col("member").alias("seed")), "seed", "left_anti")  # a member is no seed any more
+        left = _met(_met(open_, decided.select("seed"), "seed", "left_anti"), part.select("member"), "member", "left_anti")
+        left = _met(left, part.select(F.col("member").alias("seed")), "seed", "left_anti")  # a member is no seed any more
         # of candidates that are gone the others don't care; a seed that has too few left is decided
         enough = left.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("seed")
-        open_ = stored(left.join(enough, "seed"))
+        open_ = stored(_met(left, enough, "seed"))
     if n_open:
         last = _in_order(open_, least, successes)
         clusters = last if clusters is None else clusters.unionByName(last)
     scopes = known.select(F.col("id").alias("seed"), "scope")
     none = scopes.select("scope", "seed", F.col("seed").alias("member")).where("false")
-    return none if clusters is None else clusters.join(scopes, "seed").select("scope", "seed", "member")
+    return none if clusters is None else _met(clusters, scopes, "seed").select("scope", "seed", "member")

@@ -19,7 +19,7 @@ TABLES = ("patterns", "edges", "members")
 
 def planned(clusters: DataFrame, memories: DataFrame) -> dict[str, DataFrame]:
     """The rows of each table from clusters (scope, seed, member) and memories (id, trust_tier, importance)."""
-    rows = stored(clusters.join(memories.select(F.col("id").alias("member"), "trust_tier", "importance"), "member"))
+    rows = stored(clusters.join(memories.select(F.col("id").alias("member"), "trust_tier", "importance").hint("merge"), "member"))
     rank = by_key(F.col("trust_tier"), {t: i for i, t in enumerate(TRUST_ORDER)}, len(TRUST_ORDER))
     patterns = rows.groupBy("seed").agg(
         F.max("scope").alias("scope"),

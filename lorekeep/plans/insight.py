@@ -221,4 +221,4 @@ def _(spark, sf_dir):
     covered = vectors.nearest(skills, rows.select(F.col("id").alias("query"), F.col("v").alias("q")), 1).where("sim >= 0.6").select(F.col("query").alias("id"))
     found = clusters.greedy_clusters(rows, 0.15, neighbours=12, successes=2, barred=covered)
     own = rows.select(F.col("id").alias("member"), "success", "gold")
-    return found.join(own, "member").groupBy("seed").agg(F.count_if("success").alias("n_success"), F.max("gold").alias("is_gold"), F.count(F.lit(1)).alias("n"))
+    return found.join(own.hint("merge"), "member").groupBy("seed").agg(F.count_if("success").alias("n_success"), F.max("gold").alias("is_gold"), F.count(F.lit(1)).alias("n"))

@@ -177,6 +177,20 @@ def test_greedy_clusters_equal_the_pass_in_order(spark, monkeypatch, threshold,
     assert greedy_clusters(df.where("false"), threshold).count() == 0
 
 
+def test_rounds_of_clusters_send_no_table_through_the_driver(spark, monkeypatch):
+    from lorekeep.operators import clusters
+
+    plans, real = [], clusters.stored
+    monkeypatch.setattr(clusters, "stored", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), real(df))[1])
+    monkeypatch.setattr(clusters, "FINISH", 0)
+    rng = np.random.default_rng(5)
+    rows = [(i, "a", rng.normal(size=3).tolist()) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, scope string, v array<double>")
+    last = clusters.greedy_clusters(df, 0.3)
+    plans = [*plans[1:], last._jdf.queryExecution().executedPlan().toString()]  # the first one deals blocks, by a row for each scope
+    assert len(plans) > 3 and last.count() and not any("Broadcast" in p for p in plans)
+
+
 def brute_pagerank(mentions, edges, seeds, rounds=25, damping=0.5):
     out = {}
     for q in {m[0] for m in mentions} | {e[0] for e in edges}:
