@@ -26,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, text_of, tidy, written
+from .common import discard, release_memory, text_of, tidy, written
 
 PREFIXES = (4, 5, 7)
 MIN_TEXTS = 5
 MAX_ROWS = 3000
 MAX_ENTRIES = 40_000_000
 MAX_GRADES = 16
+#: Entries that are coded at a time.
+PART = 1 << 20
 STANDS_OUT = 4.0
 L1 = 0.0001
 
@@ -65,14 +67,37 @@ def _csr(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return lists.values.to_numpy()[ends[0] : ends[-1]], ends - ends[0]
 
 
-def _frequent(lists: pa.ListArray, least: int = MIN_TEXTS) -> tuple[np.ndarray, np.ndarray]:
-    """Row number and feature of all entries but those whose feature surely has fewer than ``least`` of them,
-    told by how many entries share the feature's leading bits. It spares the memory that rare ones would take."""
+def _coded(lists: pa.ListArray, least: int = MIN_TEXTS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row number and place among the sorted ``names`` of all entries but those whose feature surely has fewer than ``least`` of them,
+    told by how many entries share the feature's leading bits; made in parts, as the driver holds little beside them."""
     flat, ends = _csr(lists)
-    row = np.repeat(np.arange(len(ends) - 1, dtype=np.int32), np.diff(ends))
-    lead = (flat.view(np.uint64) >> np.uint64(42)).astype(np.int32)
-    kept = np.bincount(lead, minlength=1 << 22)[lead] >= least
-    return row[kept], flat[kept]
+    lead = np.zeros(1 << 22, dtype=np.int32)
+    parts = range(0, len(flat), PART)
+    for at in parts:
+        np.add.at(lead, _lead(flat[at : at + PART]), 1)
+    kept = np.concatenate([lead[_lead(flat[at : at + PART])] >= least for at in parts]) if len(flat) else np.zeros(0, dtype=bool)
+    names = flat[kept]
+    names.sort()
+    names = names[np.flatnonzero(np.r_[True, names[1:] != names[:-1]])] if len(names) else names
+    row, column, done = np.empty(int(kept.sum()), dtype=np.int32), np.empty(int(kept.sum()), dtype=np.int32), 0
+    for at in parts:
+        own = np.flatnonzero(kept[at : at + PART]) + at
+        row[done : done + len(own)] = np.searchsorted(ends, own, side="right") - 1
+        column[done : done + len(own)] = np.searchsorted(names, flat[own])
+        done += len(own)
+    return row, column, names
+
+
+def _added(column: np.ndarray, n: int, weights: np.ndarray | None = None, row: np.ndarray | None = None) -> np.ndarray:
+    """The entries of each of ``n`` features, or the sum of the ``weights`` of their rows, added in order and in parts."""
+    out = np.zeros(n, dtype=np.int64 if weights is None else np.float64)
+    for at in range(0, len(column), PART):
+        np.add.at(out, column[at : at + PART], 1 if weights is None else weights[row[at : at + PART]])
+    return out
+
+
+def _lead(flat: np.ndarray) -> np.ndarray:
+    return (flat.view(np.uint64) >> np.uint64(42)).astype(np.int32)
 
 
 def loss(row: np.ndarray, column: np.ndarray, grades: np.ndarray, weight: np.ndarray, w: np.ndarray, theta: np.ndarray) -> float:
@@ -110,15 +135,16 @@ def fit(lists: pa.ListArray, grades: np.ndarray, weight: np.ndarray | None = Non
     n = len(grades)
     weight = np.ones(n) if weight is None else weight
     weight = weight / weight.sum()
-    row, flat = _frequent(lists)
-    names, column, seen = np.unique(flat, return_inverse=True, return_counts=True)
+    row, column, names = _coded(lists)
+    seen = _added(column, len(names))
     base = (grades - grades.mean()) / max(grades.std(), 1e-9)
-    tilt = np.bincount(column, weights=base[row]) / np.sqrt(seen)  # a z-score, were the feature no sign of a grade
+    tilt = _added(column, len(names), base, row) / np.sqrt(seen)  # a z-score, were the feature no sign of a grade
     kept = np.flatnonzero((seen >= MIN_TEXTS) & (np.abs(tilt) >= STANDS_OUT) & (seen < 0.9 * n))
-    place = np.full(len(names), -1)
+    place = np.full(len(names), -1, dtype=np.int32)
     place[kept] = np.arange(len(kept))
-    own = place[column] >= 0
-    row, column = row[own], place[column][own]
+    column = place[column]
+    own = column >= 0
+    row, column = row[own], column[own]
     share = np.array([weight[grades <= k].sum() for k in range(levels - 1)]).clip(1e-6, 1 - 1e-6)
     theta = np.log(share / (1 - share))
     theta = np.maximum.accumulate(theta + 1e-3 * np.arange(levels - 1))
@@ -145,12 +171,11 @@ def severity_grades(lists: pa.ListArray, toxic: np.ndarray) -> np.ndarray:
     median of the toxic rows, where a sign is a feature that toxic rows have at least 20 times as often."""
     if not toxic.any():
         return toxic.astype(np.int64)
-    row, flat = _frequent(lists)
-    _, column = np.unique(flat, return_inverse=True)
-    bad = np.bincount(column, weights=toxic[row]) / toxic.sum()
-    good = np.bincount(column, weights=1 - toxic[row]) / max(1, (1 - toxic).sum())
-    sign = (bad > 20 * (good + 1e-4)) & (np.bincount(column) >= MIN_TEXTS)
-    signs = np.bincount(row, weights=sign[column], minlength=len(toxic))
+    row, column, names = _coded(lists)
+    bad = _added(column, len(names), toxic, row) / toxic.sum()
+    good = _added(column, len(names), 1 - toxic, row) / max(1, (1 - toxic).sum())
+    sign = (bad > 20 * (good + 1e-4)) & (_added(column, len(names)) >= MIN_TEXTS)
+    signs = _added(row, len(toxic), sign, column)
     return np.where(toxic == 1, 1 + (signs > np.median(signs[toxic == 1])), 0)
 
 
@@ -199,7 +224,13 @@ def train(docs: DataFrame, labels: DataFrame, *, toxic_col: str = "toxic", id_co
     lists = rows["features"].combine_chunks()
     lists = lists if isinstance(lists, pa.ListArray) else lists.cast(pa.list_(pa.int64()))
     toxic = (rows["label"].to_numpy() > 0).astype(np.int64)
-    return fit(lists, severity_grades(lists, toxic), rows["weight"].to_numpy().astype(np.float64))
+    weight = rows["weight"].to_numpy().astype(np.float64)
+    del rows
+    release_memory()  # the driver's memory is shared with its JVM
+    model = fit(lists, severity_grades(lists, toxic), weight)
+    del lists
+    release_memory()
+    return model
 
 
 def score(docs: DataFrame, model: OrdinalModel, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -441,6 +441,24 @@ def test_toxicity_learns_from_a_bounded_sample_without_a_window(spark, monkeypat
     assert toxicity.score(empty, toxicity.train(empty, labels)).count() == 0
 
 
+def test_training_holds_little_beside_its_entries(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(toxicity, "PART", 1 << 16, raising=False)
+    rng = np.random.default_rng(0)
+    ids = rng.integers(-(2**63), 2**63 - 1, 20_000)
+    lists = pa.array([np.sort(ids[rng.integers(0, 20_000, 1000)]) for _ in range(2000)], pa.list_(pa.int64()))
+    tracemalloc.start()
+    try:
+        toxicity.fit(lists, toxicity.severity_grades(lists, rng.integers(0, 2, 2000)), rounds=1)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 32 * 2_000_000, peak  # an entry is 8 bytes
+
+
 def test_toxicity_on_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.train(docs, labels.where("doc_id % 3 <> 0"))
