@@ -236,3 +236,16 @@ def test_pagerank_of_mentions_and_edges_equals_brute_force(spark, monkeypatch, g
     ).collect()
     want = brute_pagerank(mentions, edges, seeds)
     assert {(r.query, r.node) for r in got} == set(want) and all(abs(r.score - want[r.query, r.node]) < 1e-12 for r in got)
+
+
+def test_index_is_dealt_to_more_tasks_as_it_grows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(inverted, "SHARE", 16)
+    rows = [(i, f"w{i % 7} w{i % 5} w{i % 5}", None if i % 3 else "w1") for i in range(200)] + [(3, "w9 w9", "z"), (None, "w1", "w1")]
+    df = spark.createDataFrame(rows, "doc long, a string, b string")
+    index = InvertedIndex(spark, str(tmp_path / "ix"), "doc", {"a": 1.0, "b": 3.0}, width=8)
+    dealt, tasks = index._one_each(df)
+    assert tasks == 13 and dealt.rdd.getNumPartitions() == 13  # 201 rows, 16 a task
+    index.create(df)
+    docs = {i: [(a, 1.0), (b, 3.0)] for i, a, b in rows if i is not None}
+    found = [(r.doc, r.score) for r in sorted(index.search(spark.createDataFrame([(1, "w1"), (1, "w9")], "query long, term string"), 20).collect(), key=lambda r: r["rank"])]
+    assert found == brute_bm25(docs, {1: ["w1", "w9"]}, 20)[1]
