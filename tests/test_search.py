@@ -249,3 +249,16 @@ def test_index_is_dealt_to_more_tasks_as_it_grows(spark, tmp_path, monkeypatch):
     docs = {i: [(a, 1.0), (b, 3.0)] for i, a, b in rows if i is not None}
     found = [(r.doc, r.score) for r in sorted(index.search(spark.createDataFrame([(1, "w1"), (1, "w9")], "query long, term string"), 20).collect(), key=lambda r: r["rank"])]
     assert found == brute_bm25(docs, {1: ["w1", "w9"]}, 20)[1]
+
+
+def test_grams_are_one_row_for_each_block(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(grams, "GRANULE", 2)
+    rows = [(i, "Abcd" if i % 64 else "x\U0001f600yzabc") for i in range(256)] + [(300, "ab"), (301, "")]
+    df = spark.createDataFrame(rows, "doc long, text string")
+    index = grams.GramIndex(spark, str(tmp_path / "g")).create(df)
+    own = {(r.gram, r.block): r.bits & (2**64 - 1) for r in index.read().collect()}
+    assert own[("bcd", 0)] == 2**64 - 1 and own[("\U0001f600yz", 1)] == 1 | 1 << 32 and len(own) == 12
+    strings = spark.createDataFrame([("\U0001f600yza",), ("bcd",), ("ab",)], "string string")
+    assert {(r.string, r.granule) for r in index.candidates(strings.where("string <> 'bcd'")).collect()} == {("\U0001f600yza", g) for g in (0, 32, 64, 96)}
+    found = {(r.string, r.doc) for r in index.find(df, strings).collect()}
+    assert found == {(s, d) for s in ("\U0001f600yza", "bcd", "ab") for d, t in rows if s in t.lower()}
