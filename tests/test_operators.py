@@ -142,6 +142,21 @@ def test_pagerank_over_mentions_equals_that_over_all_edges(spark):
     assert all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
 
 
+def test_co_mentions_are_counted_in_more_tasks_as_they_grow(spark, monkeypatch):
+    monkeypatch.setattr(graph, "PAIRS", 50)
+    rows = [(e, m) for e in range(20) for m in range(e % 3, 30, 1 + e % 4)] * 2 + [(None, 1), (None, 2), (5, None), (77, 1)]
+    found = graph.co_mentions(spark.createDataFrame(rows, "entity int, memory long"), per_entity=9)
+    want = {}
+    for e in range(20):
+        kept = sorted({m for x, m in rows if x == e and m is not None})[: 9 - (e == 5)]  # the null of entity 5 comes first
+        for a in kept:
+            for b in kept:
+                if a < b:
+                    want[a, b] = want.get((a, b), 0) + 1
+    assert {(r.a, r.b): r.weight for r in found.collect()} == want
+    assert found.rdd.getNumPartitions() == -(-sum(want.values()) // 50) > 4
+
+
 def test_registered_pagerank_takes_all_orders(spark, tmp_path):
     from lorekeep.plans import registry, retrieval  # noqa: F401
 
