@@ -1,8 +1,8 @@
 """Importance resampling towards a target: hashed n-gram features, gains by bucket, a draw by perturbed weights.
 
 Features are counted by DuckDB inside each Spark task: SQL unnests the words of a slice of texts, a window
-reads the words that follow, each n-gram is hashed by a registered zlib CRC function, and the counts of each
-text and bucket go to a Parquet table in the shared folder. Spark merges that table: counts of the whole corpus
+reads the CRCs of the words that follow, where each word is hashed by a registered zlib CRC function and an n-gram by joining the CRCs
+of its words, and the counts of each text and bucket go to a Parquet table in the shared folder. Spark merges that table: counts of the whole corpus
 by bucket, gains against the target's, a sum of gains for each text, and one sort of the scores.
 
 Texts are counted whole: long ones in pieces that end between words, where a piece also sees the words that
@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,12 +49,16 @@ with texts as (
 ), words as (
   select d, unnest(list_concat(own, follows)) as w1, generate_subscripts(list_concat(own, follows), 1) as i, len(own) as n_own, rid
   from (select *, row_number() over () as rid from texts)
+), hashed as (
+  select d, i, n_own, rid, crc(w1) as c1, strlen(w1) as n1 from words
 ), runs as (
-  select d, i, n_own, w1, lead(w1, 1) over w as w2, lead(w1, 2) over w as w3 from words window w as (partition by rid order by i)
+  select d, i, n_own, c1, lead(c1, 1) over w as c2, lead(n1, 1) over w as n2, lead(c1, 2) over w as c3, lead(n1, 2) over w as n3 from hashed window w as (partition by rid order by i)
+), pairs as (
+  select d, c1, case when c2 is not null then crc_joined(c1, c2, n2) end as c12, c3, n3 from runs where i <= n_own
 ), features as (
-  select d, unnest([w1, w1 || ' ' || w2, w1 || ' ' || w2 || ' ' || w3]) as f from runs where i <= n_own
+  select d, unnest([c1, c12, case when c3 is not null then crc_joined(c12, c3, n3) end]) as f from pairs
 )
-select d, crc(f) % {BUCKETS} as b, count(*) as n from features where f is not null group by all order by d, b
+select d, f % {BUCKETS} as b, count(*) as n from features where f is not null group by all
 """
 
 
@@ -69,6 +74,39 @@ def _crc(strings: pa.ChunkedArray) -> pa.Array:
     return pa.array(out, pa.int64())
 
 
+#: CRCs are linear: that of two joined strings is that of the first, carried on over as many zero bytes as the second has, xor that of
+#: the second. ``_carried(n)`` has what each value of each byte of a CRC becomes over ``n`` bytes.
+_CARRIED: dict[int, np.ndarray] = {}
+
+
+def _carried(n: int) -> np.ndarray:
+    if n not in _CARRIED:
+        if len(_CARRIED) > 4096:  # of 4 KB each
+            _CARRIED.clear()
+        zeros = bytes(n)
+        bits = [zlib.crc32(zeros, 1 << k) ^ zlib.crc32(zeros, 0) for k in range(32)]
+        tables = np.zeros((4, 256), dtype=np.int64)
+        for byte in range(4):
+            for k in range(8):
+                tables[byte, 1 << k : 2 << k] = tables[byte, : 1 << k] ^ bits[8 * byte + k]
+        _CARRIED[n] = tables
+    return _CARRIED[n]
+
+
+def _crc_joined(first: pa.ChunkedArray, second: pa.ChunkedArray, size: pa.ChunkedArray) -> pa.Array:
+    """The CRC of two strings joined by one space, from their own CRCs and the bytes of the second; null where one is null."""
+    a, b, n = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (first, second, size))
+    valid = pc.and_(pc.and_(a.is_valid(), b.is_valid()), n.is_valid())
+    a, b, n = (pc.fill_null(x, 0).to_numpy(zero_copy_only=False).astype(np.int64) for x in (a, b, n))
+    space, own = _carried(1), zlib.crc32(b" ")
+    a = space[0][a & 255] ^ space[1][a >> 8 & 255] ^ space[2][a >> 16 & 255] ^ space[3][a >> 24] ^ own
+    sizes, which = np.unique(n, return_inverse=True)
+    tables = np.stack([_carried(int(k)) for k in sizes]).reshape(-1) if len(sizes) else np.zeros(0, dtype=np.int64)
+    at = which * 1024
+    out = tables[at + (a & 255)] ^ tables[at + 256 + (a >> 8 & 255)] ^ tables[at + 512 + (a >> 16 & 255)] ^ tables[at + 768 + (a >> 24)] ^ b
+    return pc.if_else(valid, pa.array(out, pa.int64()), pa.scalar(None, pa.int64()))
+
+
 def pieces(text: str, chars: int) -> Iterator[tuple[str, str]]:
     """The text in pieces that end between words, each with the words that follow, as far as a run reaches."""
     first = 0
@@ -90,6 +128,7 @@ class _Counter:
 
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": ""})
         self.db.create_function("crc", _crc, ["VARCHAR"], "BIGINT", type="arrow")
+        self.db.create_function("crc_joined", _crc_joined, ["BIGINT", "BIGINT", "BIGINT"], "BIGINT", type="arrow", null_handling="special")
 
     def slice(self, rows: list[tuple[int, str, str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         d, own, follows = (list(x) for x in zip(*rows))

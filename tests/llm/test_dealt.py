@@ -265,3 +265,17 @@ def test_manifest_edges(spark):
     assert manifest.manifest(one.where("false")).count() == 0
     plain = manifest.manifest(spark.createDataFrame([(i, "a", None, "s", 1) for i in range(5)], DOCS)).collect()
     assert all(r.verified for r in plain) and {len(r.path) for r in plain} == {2}
+
+
+def test_crc_of_joined_words_comes_from_their_own():
+    import zlib
+
+    import pyarrow as pa
+
+    from lorekeep.llm.resample import _crc_joined
+
+    pairs = [("a", "b"), ("été", "x" * 70_000), ("z" * 300, "日本"), ("q", "7")]
+    crc = lambda s: zlib.crc32(s.encode())
+    first, second = pa.array([crc(a) for a, _ in pairs] + [None, 5]), pa.array([crc(b) for _, b in pairs] + [1, None])
+    got = _crc_joined(first, second, pa.array([len(b.encode()) for _, b in pairs] + [1, None]))
+    assert got.to_pylist() == [crc(f"{a} {b}") for a, b in pairs] + [None, None]
