@@ -19,7 +19,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -121,7 +121,7 @@ def pieces(text: str, chars: int) -> Iterator[tuple[str, str]]:
 
 
 class _Counter:
-    """Counts of buckets by row of a batch, in slices of bounded size."""
+    """Counts of buckets by text, in slices of bounded size."""
 
     def __init__(self) -> None:
         import duckdb
@@ -131,6 +131,7 @@ class _Counter:
         self.db.create_function("crc_joined", _crc_joined, ["BIGINT", "BIGINT", "BIGINT"], "BIGINT", type="arrow", null_handling="special")
 
     def slice(self, rows: list[tuple[int, str, str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, bucket and count, in no order."""
         d, own, follows = (list(x) for x in zip(*rows))
         piece = pa.table([pa.array(d, pa.int32()), pa.array(own, pa.string()), pa.array(follows, pa.string())], ["d", "own", "follows"])
         self.db.register("piece", piece)
@@ -138,21 +139,37 @@ class _Counter:
         self.db.unregister("piece")
         return tuple(np.asarray(found[x], dtype=np.int64) for x in ("d", "b", "n"))
 
-    def batch(self, texts: list[str | None], chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row, bucket and count of all texts, ordered; the parts of a text in several slices are added up."""
-        slices, rows, held = [], [], 0
-        for d, text in enumerate(texts):
-            for own, follows in pieces((text or "").translate(_LOWER), chars):
-                rows.append((d, own, follows))
-                held += len(own)
-                if held >= chars:
-                    slices.append(self.slice(rows))
-                    rows, held = [], 0
+    def whole(self, text: str, chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row (0), bucket and count of one text that is longer than a slice: those of its pieces, added up."""
+        sums = np.zeros(BUCKETS, dtype=np.int64)
+        for own, follows in pieces(text, chars):
+            _, b, n = self.slice([(0, own, follows)])
+            np.add.at(sums, b, n)
+        b = np.flatnonzero(sums)
+        return np.zeros(len(b), dtype=np.int64), b, sums[b]
+
+    def slices(self, texts: Iterable[str | None], chars: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Of one slice of whole texts after the other: the first text and the one behind the last, then row (from the first), bucket and
+        count, ordered. So no more than a slice's counts are held at a time, however many texts a batch has."""
+        first, rows, held, at = 0, [], 0, -1
+        for at, text in enumerate(texts):
+            text = (text or "").translate(_LOWER)
+            if rows and held + len(text) > chars:
+                yield first, at, *_ordered(*self.slice(rows))
+                first, rows, held = at, [], 0
+            if len(text) > chars:
+                yield at, at + 1, *self.whole(text, chars)
+                first = at + 1
+            else:
+                rows.append((at - first, text, ""))
+                held += len(text)
         if rows:
-            slices.append(self.slice(rows))
-        d, b, n = (np.concatenate([s[k] for s in slices]) for k in range(3))
-        key, where = np.unique(d * BUCKETS + b, return_inverse=True)
-        return key // BUCKETS, key % BUCKETS, np.bincount(where, weights=n, minlength=len(key)).astype(np.int64)
+            yield first, at + 1, *_ordered(*self.slice(rows))
+
+
+def _ordered(d: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.argsort(d * BUCKETS + b)
+    return d[order], b[order], n[order]
 
 
 def bucket_counts(docs: DataFrame, id_col: str | None = "doc_id", text_col: str = "text") -> DataFrame:
@@ -165,18 +182,18 @@ def bucket_counts(docs: DataFrame, id_col: str | None = "doc_id", text_col: str
         counter = None
         for batch in batches:
             counter = counter or _Counter()
-            d, b, n = counter.batch(batch.column(0).to_pylist(), chars)
-            ends = np.concatenate([[0], np.cumsum(np.bincount(d, minlength=batch.num_rows))])
-            sums = np.bincount(d, weights=n, minlength=batch.num_rows).astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(1),
-                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(b, pa.int16())),
-                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(n, pa.int32())),
-                    pa.array(sums),
-                ],
-                ["id", "buckets", "counts", "n_features"],
-            )
+            for first, stop, d, b, n in counter.slices((text.as_py() for text in batch.column(0)), chars):
+                ends = np.concatenate([[0], np.cumsum(np.bincount(d, minlength=stop - first))])
+                sums = np.bincount(d, weights=n, minlength=stop - first).astype(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(1).slice(first, stop - first),
+                        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(b, pa.int16())),
+                        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(n, pa.int32())),
+                        pa.array(sums),
+                    ],
+                    ["id", "buckets", "counts", "n_features"],
+                )
         del counter
         release_memory()
 

@@ -279,3 +279,15 @@ def test_crc_of_joined_words_comes_from_their_own():
     first, second = pa.array([crc(a) for a, _ in pairs] + [None, 5]), pa.array([crc(b) for _, b in pairs] + [1, None])
     got = _crc_joined(first, second, pa.array([len(b.encode()) for _, b in pairs] + [1, None]))
     assert got.to_pylist() == [crc(f"{a} {b}") for a, b in pairs] + [None, None]
+
+
+def test_counts_leave_slice_by_slice():
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice(["Ab", "c9", "été", "-", "dd"], rng.integers(0, 30))) for _ in range(60)] + [None, "", "x y " * 500, "z" * 900, "end"]
+    taken, seen, found = [], 0, []
+    for first, stop, d, b, n in resample._Counter().slices((taken.append(t) or t for t in texts), 200):
+        assert first == seen and len(taken) <= stop + 1  # the texts behind a slice are not read, so nor are their counts held
+        assert stop == first + 1 or sum(len(t or "") for t in texts[first:stop]) <= 200
+        found += [Counter({int(y): int(z) for x, y, z in zip(d, b, n) if x == k}) for k in range(stop - first)]
+        seen = stop
+    assert found == [brute_features(t)[1] for t in texts]
