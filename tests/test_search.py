@@ -139,6 +139,28 @@ def test_pruned_neighbours_equal_brute_force(spark, tmp_path, spread):
     assert Int8Index(spark, str(tmp_path / "none")).create(df.where("false")).nearest(asked, 3).count() == 0
 
 
+def test_neighbours_meet_in_tiles_of_bounded_size(spark, tmp_path, monkeypatch):
+    from lorekeep.operators import ann
+
+    for name, n in {"VALUES": 12 * 40, "GROUP": 7, "CHUNK": 5, "SLICE": 3, "STEP": 50}.items():
+        monkeypatch.setattr(ann, name, n)
+    rng = np.random.default_rng(11)
+    v = np.clip(rng.normal(0, 0.4, (300, 12)), -1.2, 1.2)
+    v[100:220] = v[100]  # a cluster of more vectors than a tile has
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "doc long, v array<double>")
+    index = ann.Int8Index(spark, str(tmp_path / "ann"), centres=9, block=16).create(df)
+    clusters, tiles = index._tiles(12)
+    sizes = {c: -(-n // own) for c, _, _, n, _, own in clusters}
+    assert all(sum(sizes[c] for c in tile) <= 40 for tile in tiles) and any(own > 2 for *_, own in clusters)
+    b = np.clip(np.rint(v * 127), -127, 127).astype(int)
+    want = set()
+    for q in range(0, 300, 10):
+        dist = ((b - b[q]) ** 2).sum(axis=1)
+        want |= {(q, n, i, d) for n, (d, i) in enumerate(sorted((int(d), i) for i, d in enumerate(dist) if i != q)[:6], 1)}
+    near = index.nearest(df.where("doc % 10 = 0").select(F.col("doc").alias("query"), F.col("v").alias("q")), 6)
+    assert {(r.query, r["rank"], r.doc, r.dist) for r in near.collect()} == want
+
+
 def brute_clusters(rows, threshold, k, least, successes=0, barred=()):
     """One pass over the seeds in order of their ids; ``rows``: id, scope, vector, success."""
     cos = lambda a, b: float(a @ b / ((np.linalg.norm(a) or 1) * (np.linalg.norm(b) or 1)))
