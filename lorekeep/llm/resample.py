@@ -16,6 +16,7 @@ columns are read, so others may have any name.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 import zlib
@@ -34,6 +35,8 @@ MAX_RUN = 3
 SCALE = 1000
 #: A slice of texts that DuckDB counts at once; a longer text is cut into pieces of about so many characters.
 SLICE_CHARS = 500_000
+#: Rows of counts that a worker adds up at once.
+ROWS = 256
 #: Memory of the DuckDB of one task, several times what a slice takes; it has no folder to spill to.
 MEMORY = "500MB"
 
@@ -41,7 +44,7 @@ _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 _BREAK = re.compile(_GAP)
 _FOLLOWING = re.compile(f"(?:{_GAP}*{_WORD}+){{0,{MAX_RUN - 1}}}")
-_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 _SQL = f"""
 with texts as (
@@ -77,6 +80,7 @@ def _crc(strings: pa.ChunkedArray) -> pa.Array:
 #: CRCs are linear: that of two joined strings is that of the first, carried on over as many zero bytes as the second has, xor that of
 #: the second. ``_carried(n)`` has what each value of each byte of a CRC becomes over ``n`` bytes.
 _CARRIED: dict[int, np.ndarray] = {}
+SHORT = 64
 
 
 def _carried(n: int) -> np.ndarray:
@@ -93,6 +97,12 @@ def _carried(n: int) -> np.ndarray:
     return _CARRIED[n]
 
 
+@functools.cache
+def _short() -> np.ndarray:
+    """``_carried`` of all sizes below ``SHORT``."""
+    return np.stack([_carried(n) for n in range(SHORT)]).reshape(-1)
+
+
 def _crc_joined(first: pa.ChunkedArray, second: pa.ChunkedArray, size: pa.ChunkedArray) -> pa.Array:
     """The CRC of two strings joined by one space, from their own CRCs and the bytes of the second; null where one is null."""
     a, b, n = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (first, second, size))
@@ -100,8 +110,11 @@ def _crc_joined(first: pa.ChunkedArray, second: pa.ChunkedArray, size: pa.Chunke
     a, b, n = (pc.fill_null(x, 0).to_numpy(zero_copy_only=False).astype(np.int64) for x in (a, b, n))
     space, own = _carried(1), zlib.crc32(b" ")
     a = space[0][a & 255] ^ space[1][a >> 8 & 255] ^ space[2][a >> 16 & 255] ^ space[3][a >> 24] ^ own
-    sizes, which = np.unique(n, return_inverse=True)
-    tables = np.stack([_carried(int(k)) for k in sizes]).reshape(-1) if len(sizes) else np.zeros(0, dtype=np.int64)
+    if n.max(initial=0) < SHORT:
+        tables, which = _short(), n
+    else:
+        sizes, which = np.unique(n, return_inverse=True)
+        tables = np.stack([_carried(int(k)) for k in sizes]).reshape(-1)
     at = which * 1024
     out = tables[at + (a & 255)] ^ tables[at + 256 + (a >> 8 & 255)] ^ tables[at + 512 + (a >> 16 & 255)] ^ tables[at + 768 + (a >> 24)] ^ b
     return pc.if_else(valid, pa.array(out, pa.int64()), pa.scalar(None, pa.int64()))
@@ -153,7 +166,7 @@ class _Counter:
         count, ordered. So no more than a slice's counts are held at a time, however many texts a batch has."""
         first, rows, held, at = 0, [], 0, -1
         for at, text in enumerate(texts):
-            text = (text or "").translate(_LOWER)
+            text = (text or "").encode().translate(_LOWER).decode()  # bytes of other characters are none of A-Z
             if rows and held + len(text) > chars:
                 yield first, at, *_ordered(*self.slice(rows))
                 first, rows, held = at, [], 0
@@ -200,12 +213,18 @@ def bucket_counts(docs: DataFrame, id_col: str | None = "doc_id", text_col: str
     return rows.mapInArrow(work, f"id {kind}, buckets array<smallint>, counts array<int>, n_features long")
 
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of ``ROWS`` rows, as a row has all counts of a text."""
+    for batch in batches:
+        yield from (batch.slice(at, ROWS) for at in range(0, batch.num_rows, ROWS))
+
+
 def totals(counted: DataFrame) -> np.ndarray:
     """The features of all rows by bucket: one partial sum a task, ``BUCKETS`` numbers at the driver."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(BUCKETS, dtype=np.int64)
-        for batch in batches:
+        for batch in _cut(batches):
             b, n = (batch.column(k).flatten().to_numpy() for k in (0, 1))
             sums += np.bincount(b, weights=n, minlength=BUCKETS).astype(np.int64)
         has = np.flatnonzero(sums)
@@ -260,7 +279,7 @@ def resample(
     kind = counted.schema["id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _cut(batches):
             ends = np.concatenate([[0], np.cumsum(batch.column(1).value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
             each = gain[batch.column(1).flatten().to_numpy()] * batch.column(2).flatten().to_numpy().astype(np.int64)
             run = np.concatenate([[0], np.cumsum(each)])
