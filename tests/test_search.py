@@ -284,3 +284,52 @@ def test_grams_are_one_row_for_each_block(spark, tmp_path, monkeypatch):
     assert {(r.string, r.granule) for r in index.candidates(strings.where("string <> 'bcd'")).collect()} == {("\U0001f600yza", g) for g in (0, 32, 64, 96)}
     found = {(r.string, r.doc) for r in index.find(df, strings).collect()}
     assert found == {(s, d) for s in ("\U0001f600yza", "bcd", "ab") for d, t in rows if s in t.lower()}
+
+
+def test_documents_among_the_best_for_their_own_terms_are_those_of_the_search(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(2)
+    text = lambda n: " ".join(f"w{int(x)}" for x in rng.geometric(0.15, n))
+    rows = [(int(i), text(rng.integers(0, 30)), text(4) if i % 3 else None) for i in range(-40, 260)]
+    rows += [(1000 + i, *rows[i][1:]) for i in range(30)] + [(2000 + i, "w1 w2", None) for i in range(12)] + [(3000 + i, "all", None) for i in range(4)] + [(None, "w1", None)]
+    df = spark.createDataFrame(rows, "doc long, a string, b string")
+    index = InvertedIndex(spark, str(tmp_path / "ix"), "doc", {"a": 1.0, "b": 2.0}, width=32, folders=4)
+    own = df.select(F.col("doc").alias("query"), F.explode(F.array_distinct(F.split(F.concat_ws(" ", F.substring("a", 1, 12), "b"), " "))).alias("term")).union(spark.createDataFrame([(9999, "w1"), (2, "none"), (5, None)], "query long, term string"))
+    assert index.recalled(own, 3).count() == 0
+    index.create(df)
+
+    def check():
+        want = sorted(r.query for r in index.search(own.where("query is not null"), 3).where("doc = query").collect())
+        assert sorted(r.query for r in index.recalled(own, 3).collect()) == want
+        return want
+
+    found = check()
+    assert 0 < len(found) < 300 and [q for q in found if 2000 <= q < 2012] == [q for q in found if 2000 <= q < 2003]
+    monkeypatch.setattr(inverted, "MAX_OWN", 100)
+    monkeypatch.setattr(inverted, "MAX_TERMS", 7)
+    assert check() == found
+    index.upsert(spark.createDataFrame([(7, "w1 w90 w91", "w90"), (4000, "w3", None)], "doc long, a string, b string"), 1)
+    index.delete(spark.createDataFrame([(2000,), (3001,)], "doc long"), 2)
+    assert check() != found
+
+
+def test_self_retrieval_moves_postings_once_for_any_number_of_queries(spark, tmp_path, monkeypatch):
+    from lorekeep.plans import registry, seams  # noqa: F401
+
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(f"w{int(x)}" for x in rng.geometric(0.01, 60)), "en", "s") for i in range(4000)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda: sorted(map(tuple, registry.queries()["v32_self_retrieval"](spark, str(tmp_path)).collect()))
+
+    def shuffled():
+        gateway, seen = spark.sparkContext._gateway, spark._jsc.sc().statusStore()
+        stages = seen.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    once = run()  # with the building of the index
+    sizes = [shuffled()]
+    for bound in (10**6, 300):  # pairs of query and term a pass: one pass, or several
+        for name in ("MAX_PAIRS", "MAX_OWN"):
+            monkeypatch.setattr(inverted, name, bound, raising=False)
+        assert run() == once
+        sizes.append(shuffled())
+    assert len(once) > 50 and sizes[2] - sizes[1] < 1.5 * (sizes[1] - sizes[0])
