@@ -333,3 +333,42 @@ def test_self_retrieval_moves_postings_once_for_any_number_of_queries(spark, tmp
         assert run() == once
         sizes.append(shuffled())
     assert len(once) > 50 and sizes[2] - sizes[1] < 1.5 * (sizes[1] - sizes[0])
+
+
+@pytest.mark.parametrize("bound", [100, 0])
+def test_most_shared_compares_all_memories(spark, monkeypatch, bound):
+    from lorekeep.operators import graph
+
+    monkeypatch.setattr(graph, "MAX_NAMED", bound)
+    monkeypatch.setattr(graph, "SHARE", 16)
+    held = {m: {"common"} | {f"e{x}" for x in range(1, 9) if m % x == 0} for m in range(200)}
+    rows = [(m, sorted(e)) for m, e in held.items()] + [(8, ["common", "e2", "more"]), (500, []), (501, None)]  # 8 stands twice
+    held[8].add("more")
+    seeds = [(1, 199), (1, 8), (2, 193)]
+    named = {1: held[199] | held[8], 2: {"common"}}
+    lists = spark.createDataFrame(rows, "memory long, entities array<string>")
+    asked = spark.createDataFrame([(q, e) for q, es in named.items() for e in [*es, "common"]], "query long, entity string")
+    got = graph.most_shared(lists, asked, spark.createDataFrame(seeds, "query long, memory long"), 70)
+    want = []
+    for q, es in named.items():
+        shared = [(-len(es & e), m) for m, e in held.items() if es & e and (q, m) not in seeds]
+        want += [(q, m, -n) for n, m in sorted(shared)[:70]]
+    assert sorted((r.query, r.memory, r.shared) for r in got.collect()) == sorted(want)
+
+
+def test_deep_recall_finds_neighbours_beyond_sixty_memories_of_an_entity(spark, tmp_path):
+    import duckdb
+
+    from lorekeep.plans import registry, seams  # noqa: F401
+
+    rows = [(i, f"Overland plain {i}", "en", "s") for i in range(300)] + [(i, "Overland Harbour Mountain question asked", "en", "s") for i in range(1001, 1004)]
+    rows += [(i, "Overland Harbour note" if i > 500 else "Harbour plain", "en", "s") for i in (*range(301, 500), 502, 703, 801, 902)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(20, "a question asked")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = registry.queries()["r34_deep_recall"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"create view {name} as select * from read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    want = con.execute(f"select query, doc, content, neighbour from ({registry.oracle_sql()['r34_deep_recall']})").fetchall()
+    assert sorted((r.query, r.doc, r.content, r.neighbour) for r in got) == sorted(want)
+    assert {r.doc for r in got if r.neighbour} & {502, 703, 801, 902}  # more than sixty memories before them name all that they name but one
